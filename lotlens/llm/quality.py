@@ -54,19 +54,27 @@ def _steady(y: np.ndarray, counts: dict[int, int]) -> float | None:
 
 
 def _platt(margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of the logistic curve through (margin, y), by Newton steps on a slightly damped likelihood."""
-    a, b = 1.0, 0.0
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a * margin + b, -30, 30)))
-        g = weight * (p - y)
-        s = weight * p * (1 - p)
-        grad = np.array([(g * margin).sum() + 1e-3 * (a - 1), g.sum() + 1e-3 * b])
-        hess = np.array([[(s * margin * margin).sum() + 1e-3, (s * margin).sum()], [(s * margin).sum(), s.sum() + 1e-3]])
-        step = np.linalg.solve(hess, grad)
-        a, b = a - np.clip(step[0], -2, 2), b - np.clip(step[1], -2, 2)
-        if abs(step).max() < 1e-6:
+    """Slope and shift of the logistic curve through (margin, y): Newton steps, halved until the loss falls, smoothed targets."""
+    n1, n0 = weight[y == 1].sum(), weight[y == 0].sum()
+    target = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+
+    def loss(at):
+        z = at[0] * margin + at[1]
+        return (weight * (np.logaddexp(0, z) - target * z)).sum()
+
+    at = np.array([1.0, 0.0])
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-np.clip(at[0] * margin + at[1], -30, 30)))
+        g, s = weight * (p - target), weight * p * (1 - p)
+        hess = np.array([[(s * margin * margin).sum() + 1e-6, (s * margin).sum()], [(s * margin).sum(), s.sum() + 1e-6]])
+        step = np.linalg.solve(hess, np.array([(g * margin).sum(), g.sum()]))
+        scale = 1.0
+        while scale > 1e-6 and loss(at - scale * step) > loss(at):
+            scale /= 2
+        at = at - scale * step
+        if abs(scale * step).max() < 1e-7:
             break
-    return float(a), float(b)
+    return float(at[0]), float(at[1])
 
 
 def fit_logistic(raw, offsets, y, counts, epochs: int = 12, rate: float = 0.5, bits: int = BITS) -> dict:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality, tokens
+from . import decontaminate, linededup, packing, quality, simhash, tokens
 from .common import id_text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.fit_logistic(*quality.labelled_sample(docs, table(spark, sf_dir, "labels")))
@@ -35,9 +39,35 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.line_dedup(table(spark, sf_dir, "documents")).drop("deleted")
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_token_files(tokens.write_token_files(table(spark, sf_dir, "documents"), tokens.vocabulary()))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_quality_rules, op6_best_fit_packing, op7_quality_classifier, op9_token_files)}
-ORACLE: dict[str, str] = {}
+def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (op2_benchmark_decontamination, op3_quality_rules, op6_best_fit_packing, op7_quality_classifier, op8_line_dedup, op9_token_files, op10_simhash_near_dedup)
+}
+ORACLE: dict[str, str] = {
+    "op8_line_dedup": r"""
+WITH l AS (SELECT doc_id, line_no, line, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS pos
+           FROM (SELECT doc_id, unnest(range(len(ls))) AS line_no, trim(translate(unnest(ls), chr(9) || chr(11) || chr(12) || chr(13), '    ')) AS line
+                 FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)) WHERE line <> ''),
+p AS (SELECT doc_id, pos, line, lead(line) OVER (PARTITION BY doc_id ORDER BY pos) AS nxt FROM l),
+g AS (SELECT line, nxt, min({'d': doc_id, 'p': pos}) AS f FROM p WHERE nxt IS NOT NULL GROUP BY ALL HAVING count(*) > 1),
+later AS (SELECT p.doc_id, p.pos FROM p JOIN g ON p.line = g.line AND p.nxt = g.nxt WHERE NOT (p.doc_id = g.f.d AND p.pos = g.f.p)),
+gone AS (SELECT DISTINCT l.doc_id, l.line_no FROM l JOIN (SELECT doc_id, pos FROM later UNION SELECT doc_id, pos + 1 FROM later) x ON l.doc_id = x.doc_id AND l.pos = x.pos),
+d AS (SELECT doc_id, list(line_no) AS ns FROM gone GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n_lines FROM l GROUP BY doc_id)
+SELECT t.doc_id, coalesce(n.n_lines, 0) AS n_lines, coalesce(len(d.ns), 0) AS n_deleted,
+       CASE WHEN d.ns IS NULL THEN t.text ELSE coalesce(array_to_string(list_filter(string_split(t.text, chr(10)), lambda x, i: NOT list_contains(d.ns, i - 1)), chr(10)), '') END AS text
+FROM documents t LEFT JOIN d ON t.doc_id = d.doc_id LEFT JOIN n ON t.doc_id = n.doc_id""",
+}
