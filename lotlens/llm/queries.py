@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, linededup, packing, quality, simhash, tokens
+from . import decontaminate, linededup, ngramlm, packing, quality, sentences, simhash, substring, tokens
 from .common import id_text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.sentence_dedup(table(spark, sf_dir, "documents"))
+
+
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -27,6 +31,14 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(docs, model)
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramlm.score_texts(table(spark, sf_dir, "documents"))
+
+
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.substring_dedup(table(spark, sf_dir, "documents")).drop("removed")
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.cut_documents(table(spark, sf_dir, "documents"), tokens.vocabulary()))
 
@@ -54,9 +66,22 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op2_benchmark_decontamination, op3_quality_rules, op6_best_fit_packing, op7_quality_classifier, op8_line_dedup, op9_token_files, op10_simhash_near_dedup)
+    for f in (op1_substring_dedup, op2_benchmark_decontamination, op3_quality_rules, op4_lm_scoring, op5_suffix_array_dedup, op6_best_fit_packing, op7_quality_classifier, op8_line_dedup, op9_token_files, op10_simhash_near_dedup)
 }
 ORACLE: dict[str, str] = {
+    "op1_substring_dedup": r"""
+WITH c AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?][ \t\r\n]+|\n+)', '\1' || chr(1), 'g'), chr(1)) AS ps FROM documents),
+s AS (SELECT doc_id, piece, s, row_number() OVER (PARTITION BY doc_id ORDER BY piece) - 1 AS pos
+      FROM (SELECT doc_id, unnest(range(len(ps))) AS piece, trim(unnest(ps), chr(32) || chr(9) || chr(13) || chr(10)) AS s FROM c) WHERE s <> ''),
+r AS (SELECT doc_id, pos, s AS a, lead(s) OVER w AS b, lead(s, 2) OVER w AS c FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+f AS (SELECT a, b, c, min({'d': doc_id, 'p': pos}) AS f FROM r WHERE c IS NOT NULL GROUP BY ALL HAVING count(*) > 1),
+later AS (SELECT r.doc_id, r.pos FROM r JOIN f ON r.a = f.a AND r.b = f.b AND r.c = f.c WHERE NOT (r.doc_id = f.f.d AND r.pos = f.f.p)),
+covered AS (SELECT DISTINCT doc_id, pos + k AS pos FROM later, (SELECT unnest([0, 1, 2]) AS k)),
+gone AS (SELECT s.doc_id, list(s.piece) AS ns FROM s JOIN covered USING (doc_id, pos) GROUP BY s.doc_id),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id)
+SELECT t.doc_id, coalesce(n.n, 0) AS n_sentences, coalesce(len(gone.ns), 0) AS n_removed,
+       CASE WHEN gone.ns IS NULL THEN t.text ELSE coalesce(array_to_string(list_filter(c.ps, lambda x, i: NOT list_contains(gone.ns, i - 1)), ''), '') END AS text
+FROM documents t LEFT JOIN c ON t.doc_id = c.doc_id LEFT JOIN gone ON t.doc_id = gone.doc_id LEFT JOIN n ON t.doc_id = n.doc_id""",
     "op8_line_dedup": r"""
 WITH l AS (SELECT doc_id, line_no, line, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS pos
            FROM (SELECT doc_id, unnest(range(len(ls))) AS line_no, trim(translate(unnest(ls), chr(9) || chr(11) || chr(12) || chr(13), '    ')) AS line
