@@ -71,3 +71,9 @@ def overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id:
     near = near.select("doc_id", "item_id", same.alias("same")).select("doc_id", "item_id", F.array_max(sums).alias("n_agree"), width.alias("n_compared"))
     near = near.where(F.col("n_agree") * 100 >= F.col("n_compared") * agree)
     return near.groupBy("doc_id", "item_id").agg(F.max("n_agree").cast("long").alias("n_agree"), F.max("n_compared").cast("long").alias("n_compared"))
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
+    """All columns of the rows that overlap with no item; rows with a null doc_id stay."""
+    found = settle(overlaps(docs, items, **how).where(F.col("doc_id").isNotNull()).select("doc_id").distinct())
+    return docs.join(F.broadcast(found) if found.count() <= SEND else found, "doc_id", "left_anti").select(docs.columns)

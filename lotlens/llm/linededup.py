@@ -91,3 +91,11 @@ def line_dedup(docs: DataFrame, min_lines: int = 2) -> DataFrame:
     """doc_id, text (what is left), n_lines, n_deleted, deleted (line numbers) of every row."""
     out = delete_later_copies(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), min_lines)
     return out.select("doc_id", "text", F.col("_.n_lines").cast("long").alias("n_lines"), F.size("_.deleted").cast("long").alias("n_deleted"), F.col("_.deleted").alias("deleted"))
+
+
+def keep_first_copies(docs: DataFrame, min_lines: int = 2) -> DataFrame:
+    """All columns of the rows that have a line left (or had none), ``text`` without later copies, ``n_chars`` as it now is."""
+    out = delete_later_copies(docs, min_lines).where("_.n_lines = 0 OR size(_.deleted) < _.n_lines")
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.size("_.deleted") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.drop("_")

@@ -199,19 +199,37 @@ def text_counts(raw: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
+NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+def judge(raw: np.ndarray, offsets: np.ndarray, model: dict, threshold: float, min_words: int, max_repeat_percent: int):
+    """Counts, base_failed, probability and verdict of each text."""
+    c = text_counts(raw, offsets)
+    failed = (c["n_words"] < min_words) | (100 * c["n_repeat_words"] > max_repeat_percent * c["n_words"])
+    p = probability(raw, offsets, model)
+    return c, failed, p, ~failed & (p >= threshold)
+
+
 def quality_rules(docs: DataFrame, model: dict, threshold: float = 0.5, min_words: int = 20, max_repeat_percent: int = 30) -> DataFrame:
     """Counts, base_failed, score and kept of every row: kept needs both the base rules and score >= threshold."""
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
-    def judge(batches):
+    def run(batches):
         for batch in batches:
             for part in pieces(batch, "text"):
-                raw, offsets = utf8(part.column(1))
-                c = text_counts(raw, offsets)
-                failed = (c["n_words"] < min_words) | (100 * c["n_repeat_words"] > max_repeat_percent * c["n_words"])
-                p = probability(raw, offsets, model)
-                arrays = [part.column(0), *(pa.array(c[k], pa.int64()) for k in names), pa.array(failed), pa.array(p), pa.array(~failed & (p >= threshold))]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", *names, "base_failed", "score", "kept"])
+                c, failed, p, kept = judge(*utf8(part.column(1)), model, threshold, min_words, max_repeat_percent)
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c[k], pa.int64()) for k in NAMES), pa.array(failed), pa.array(p), pa.array(kept)], ["doc_id", *NAMES, "base_failed", "score", "kept"])
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return docs.mapInArrow(judge, f"doc_id long, {', '.join(k + ' long' for k in names)}, base_failed boolean, score double, kept boolean")
+    return docs.mapInArrow(run, f"doc_id long, {', '.join(k + ' long' for k in NAMES)}, base_failed boolean, score double, kept boolean")
+
+
+def keep_good(docs: DataFrame, model: dict, threshold: float = 0.5, min_words: int = 20, max_repeat_percent: int = 30) -> DataFrame:
+    """The rows that ``quality_rules`` keeps, with all their columns."""
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                yield part.filter(pa.array(judge(*utf8(part.column(at)), model, threshold, min_words, max_repeat_percent)[3]))
+
+    return docs.mapInArrow(run, docs.schema)
