@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from . import queries_maintenance, queries_photos, queries_sales, queries_text  # noqa: F401
+from .register import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
