@@ -10,15 +10,17 @@ from .text import WORD_END, WORD_START, col, is_junk, lines, strip
 
 
 def makers(line: Column | str) -> Column:
-    """array<struct<maker, raw>>: each maker once, by its longest spelling in the line."""
+    """array<struct<maker, raw>>: each maker once, by its longest spelling in the line; makers in the order of those spellings."""
     low = F.lower(col(line))
     names = R.aliases()
     bound = lambda p: f"(^|[^a-z0-9])({p})([^a-z0-9]|$)"
-    each = F.array(*(F.when(low.rlike(bound(R.quoted(a))), F.struct(F.lit(m).alias("maker"), F.lit(a).alias("raw"))) for a, m in names))
-    found = F.filter(each, lambda x: x.isNotNull())
-    first = F.filter(found, lambda x, i: ~F.exists(F.slice(found, 1, i), lambda y: y["maker"] == x["maker"]))
-    # one scan settles lines without any maker, which most are
-    return F.when(low.rlike(bound("|".join(R.quoted(a) for a, _ in names))), first).otherwise(F.slice(each, 1, 0))
+    best: dict[str, Column] = {}
+    for rank, (alias, maker) in enumerate(names):  # longest first, so the first that fits is a maker's longest
+        # the plain search settles most spellings before the pattern runs
+        test, value = F.contains(low, F.lit(alias)) & low.rlike(bound(R.quoted(alias))), F.struct(F.lit(rank).alias("rank"), F.lit(maker).alias("maker"), F.lit(alias).alias("raw"))
+        best[maker] = best[maker].when(test, value) if maker in best else F.when(test, value)
+    found = F.array_sort(F.array_compact(F.array(*best.values())))
+    return F.transform(found, lambda x: F.struct(x["maker"].alias("maker"), x["raw"].alias("raw")))
 
 
 def category(line: Column | str) -> Column:

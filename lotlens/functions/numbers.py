@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from .rules import EARTH_MILES
@@ -70,14 +71,14 @@ def quality_gate(grey: Column | str, least_mean: float = 20.0, least_variance: f
     return F.when(g.isNull() | (n <= 0), True).otherwise((mean >= least_mean) & (spread >= least_variance))
 
 
-@pandas_udf("array<float>")
+@pandas_udf(T.ArrayType(T.FloatType()))
 def blob_to_vector(blobs: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Little-endian 32-bit floats as an array."""
     for s in blobs:
         yield s.map(lambda b: None if b is None else np.frombuffer(b, "<f4"))
 
 
-@pandas_udf("binary")
+@pandas_udf(T.BinaryType())
 def vector_to_blob(vectors: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in vectors:
         yield s.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())

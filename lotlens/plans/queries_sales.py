@@ -14,12 +14,14 @@ from . import fragments as S
 from .bindings import AS_OF, Tables
 from .register import query
 
-TODAY = F.expr(AS_OF)
+def today():
+    return F.expr(AS_OF)
+
 UP = f"(SELECT * FROM sales WHERE end_date >= {AS_OF})"
 
 
 def up(t: Tables):
-    return ranking.upcoming(t.sales, TODAY)
+    return ranking.upcoming(t.sales, today())
 
 
 @query("scan_project", "findings", sql="SELECT finding_id, sale_id, description FROM findings WHERE confidence = 'high'")
@@ -37,12 +39,12 @@ def _(t):
 
 @query("past_sales", "sales", sql=f"SELECT {SALE} FROM sales WHERE end_date < {AS_OF}")
 def _(t):
-    return ranking.past(t.sales, TODAY).orderBy(F.desc("end_date"), "distance_miles", "sale_id").select(SALE.split(", "))
+    return ranking.past(t.sales, today()).orderBy(F.desc("end_date"), "distance_miles", "sale_id").select(SALE.split(", "))
 
 
 @query("all_sales", "sales", sql=f"SELECT {SALE}, end_date >= {AS_OF} AS is_upcoming FROM sales")
 def _(t):
-    return t.sales.select(*SALE.split(", "), (F.col("end_date") >= TODAY).alias("is_upcoming"))
+    return t.sales.select(*SALE.split(", "), (F.col("end_date") >= today()).alias("is_upcoming"))
 
 
 @query("keyword_match", "findings", sql="SELECT finding_id, contains(lower(description), 'lamp') OR contains(lower(description), 'stickley') AS matched FROM findings")
@@ -229,7 +231,7 @@ def _(t):
 CASE WHEN start_date = {AS_OF} THEN 'Today' WHEN start_date = {AS_OF} + 1 THEN 'Tomorrow' WHEN dayofweek(start_date) = 6 THEN 'Sat' WHEN dayofweek(start_date) = 0 THEN 'Sun' ELSE strftime(start_date, '%b %-d') END AS badge,
 greatest(0, end_date - {AS_OF}) AS days_left, printf('%.1f', distance_miles) || ' mi' AS distance FROM sales""")
 def _(t):
-    return t.sales.select("sale_id", X.clean_title("title").alias("clean_title"), X.date_badge("start_date", TODAY).alias("badge"), X.days_left("end_date", TODAY).cast("long").alias("days_left"), X.distance_text("distance_miles").alias("distance"))
+    return t.sales.select("sale_id", X.clean_title("title").alias("clean_title"), X.date_badge("start_date", today()).alias("badge"), X.days_left("end_date", today()).cast("long").alias("days_left"), X.distance_text("distance_miles").alias("distance"))
 
 
 @query("local_date", sql="SELECT event_id, CAST(timezone('America/New_York', timezone('UTC', ts)) AS DATE) AS local_date FROM events")

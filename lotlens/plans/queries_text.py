@@ -97,8 +97,8 @@ def _(t):
 
 @query("maker_resolve", "findings", sql=f"SELECT finding_id, array_to_string({S.makers('description')}, ',') AS makers, coalesce(({S.makers('description', True)})[1], '') AS raw FROM findings")
 def _(t):
-    m = I.makers("description")
-    return t.findings.select("finding_id", F.array_join(F.transform(m, lambda x: x["maker"]), ",").alias("makers"), F.coalesce(F.get(m, F.lit(0))["raw"], F.lit("")).alias("raw"))
+    rows = t.findings.select("finding_id", I.makers("description").alias("m"))
+    return rows.select("finding_id", F.array_join(F.transform("m", lambda x: x["maker"]), ",").alias("makers"), F.coalesce(F.get("m", F.lit(0))["raw"], F.lit("")).alias("raw"))
 
 
 # "Atari 2600" is found by two spellings; the oracle lists distinct makers in the order of their first spelling
