@@ -67,7 +67,7 @@ def quality_gate(grey: Column | str, least_mean: float = 20.0, least_variance: f
     g = as_double(grey)
     n = F.size(g)
     mean = F.aggregate(g, F.lit(0.0), lambda a, x: a + x) / n
-    spread = F.aggregate(F.transform(g, lambda x: (x - mean) * (x - mean)), F.lit(0.0), lambda a, x: a + x) / n
+    spread = F.aggregate(g, F.lit(0.0), lambda a, x: a + x * x) / n - mean * mean
     return F.when(g.isNull() | (n <= 0), True).otherwise((mean >= least_mean) & (spread >= least_variance))
 
 

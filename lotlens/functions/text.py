@@ -30,7 +30,8 @@ def any_of(tests: list[Column]) -> Column:
 
 
 def matches(c: Column | str, pattern: str) -> Column:
-    return col(c).rlike(f"(?i){pattern}")
+    """Whether a pattern of lower-case text occurs in any case; lowering once is cheaper than a pattern that ignores case."""
+    return F.lower(col(c)).rlike(pattern)
 
 
 def finding_tag(description: Column | str) -> Column:
@@ -60,7 +61,7 @@ def has_findings(response: Column | str, limit: int = 1400, trim_lines: bool = T
     nothing = F.upper(t).rlike(r"^NOTHING\b[.\s]*(\[\w+\])?$") if strict_nothing else F.upper(t) == "NOTHING"
     full = F.filter(lines(F.upper(t)), lambda x: strip(x) != "")
     some = F.exists(full, lambda x: ~is_junk(x, trim_lines))
-    return F.coalesce((t != "") & ~nothing & (F.length(t) <= limit) & ~matches(t, f"^({R.NO_ANSWER})") & some, F.lit(False))
+    return F.coalesce((t != "") & ~nothing & (F.length(t) <= limit) & ~matches(t, f"^({R.NO_ANSWER.lower()})") & some, F.lit(False))
 
 
 def line_confidence(line: Column | str) -> Column:

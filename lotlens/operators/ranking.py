@@ -58,8 +58,9 @@ def nest_top(scored_findings: DataFrame, k: int = R.TOP_FINDINGS) -> DataFrame:
 
 def standouts(sales: DataFrame, findings: DataFrame, least: float = R.STANDOUT_SCORE, k: int = R.STANDOUTS) -> DataFrame:
     """The k best findings of all sales with a score of ``least`` or more."""
-    f = scored(findings).where(F.col("score") >= least).join(sales.select("sale_id", "title", "distance_miles"), "sale_id")
-    return f.orderBy(F.desc("score"), "finding_id").limit(k)
+    # the join comes first and the bound last: scores are then worked out once, for the findings of these sales only
+    f = scored(findings.join(sales.select("sale_id", "title", "distance_miles"), "sale_id"))
+    return f.orderBy(F.desc("score"), "finding_id").limit(k).where(F.col("score") >= least)
 
 
 def category_totals(scored_findings: DataFrame) -> DataFrame:

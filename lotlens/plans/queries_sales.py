@@ -277,8 +277,8 @@ def expanded(t: Tables):
 
 
 def lexical_hits(t: Tables):
-    items = extract_items(t.findings, keep=("finding_id", "sale_id"))
-    return search.lexical(expanded(t), up(t), t.findings, items)
+    f = t.findings.join(up(t).select("sale_id"), "sale_id", "left_semi")
+    return search.lexical(expanded(t), up(t), f, extract_items(f, keep=("finding_id", "sale_id")))
 
 
 @query("query_expand", "queries", "findings", sql=f"WITH {EXPAND} SELECT q.query_id, q.expanded, q.categories, count(f.finding_id) AS n_findings FROM (SELECT lt.query_id, (SELECT string_agg(term, ',' ORDER BY term) FROM terms WHERE terms.query_id = lt.query_id) AS expanded, coalesce((SELECT string_agg(category, ',' ORDER BY category) FROM wanted WHERE wanted.query_id = lt.query_id), '') AS categories FROM lt) q LEFT JOIN (SELECT DISTINCT query_id, finding_id FROM findings, terms WHERE contains(lower(description), term)) f ON q.query_id = f.query_id GROUP BY ALL")
