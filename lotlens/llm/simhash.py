@@ -13,6 +13,8 @@ other columns are not read.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -136,7 +138,8 @@ def near_duplicates(docs: DataFrame, most: int = 3, width: int = WIDTH) -> DataF
 
 # --- classes by similarity ------------------------------------------------------------------------------------------
 
-BANDS = 64
+#: The chance with which a pair at the threshold must share a band.
+RECALL = 0.97
 #: Two texts of Jaccard similarity 0.8 differ in 0.15 of the bits; of 64 bits, 9.7 on average and over 24 once in a million.
 SHORT_MOST = 24
 
@@ -146,6 +149,14 @@ def band_bits(n: int) -> int:
     return max(16, int(n).bit_length())
 
 
+def band_count(bits: int, similarity: float, recall: float = RECALL) -> int:
+    """So many bands of ``bits`` bits that two texts of that similarity share one with a chance of ``recall``, at any size of corpus."""
+    differ = math.acos(2 * similarity / (1 + similarity)) / math.pi  # the share of bits in which sets of that similarity differ
+    if differ == 0:
+        return 1
+    return max(1, math.ceil(math.log(1 - recall) / math.log1p(-((1 - differ) ** bits))))
+
+
 def wide_fingerprint(shingles: np.ndarray, salts: np.ndarray) -> bytes:
     """64 bits for each salt from the distinct shingle hashes of a text."""
     total = np.zeros(64 * len(salts), np.int64)
@@ -175,7 +186,7 @@ def wide_fingerprints(docs: DataFrame, width: int, salts: np.ndarray) -> DataFra
     return docs.mapInArrow(run, "doc_id long, row long, fp binary")
 
 
-def similar_links(nodes: DataFrame, bits: int, similarity: float) -> DataFrame:
+def similar_links(nodes: DataFrame, bits: int, n_bands: int, similarity: float) -> DataFrame:
     """Pairs (a, b) of ``node`` whose fingerprints say a similarity of ``similarity`` or more.
 
     Candidates share a band of ``bits`` bits.  In a bucket, pivot tables and the first 64 bits part unrelated texts; what is left together
@@ -187,13 +198,13 @@ def similar_links(nodes: DataFrame, bits: int, similarity: float) -> DataFrame:
         for batch in batches:
             fp = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
             short = np.ascontiguousarray(fp[:, :8]).view(">u8").astype(np.uint64).reshape(-1).view(np.int64)
-            rows = np.unpackbits(fp, axis=1)[:, : BANDS * bits].reshape(batch.num_rows, BANDS, bits)
-            keys = np.zeros((batch.num_rows, BANDS), np.uint64)
+            rows = np.unpackbits(fp, axis=1)[:, : n_bands * bits].reshape(batch.num_rows, n_bands, bits)
+            keys = np.zeros((batch.num_rows, n_bands), np.uint64)
             for k in range(bits):
                 keys = keys << np.uint64(1) | rows[:, :, k]
-            keys |= np.arange(BANDS, dtype=np.uint64) << np.uint64(57)
+            keys |= np.arange(n_bands, dtype=np.uint64) << np.uint64(48)
             node = np.asarray(batch.column(0))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64).reshape(-1)), pa.array(np.repeat(node, BANDS)), pa.array(np.repeat(short, BANDS))], ["key", "node", "short"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64).reshape(-1)), pa.array(np.repeat(node, n_bands)), pa.array(np.repeat(short, n_bands))], ["key", "node", "short"])
 
     dealt = nodes.select("node", "fp").mapInArrow(bands, "key long, node long, short long")
     groups = dealt.groupBy("key").agg(F.collect_list("node").alias("nodes"), F.collect_list("short").alias("shorts")).where(F.size("nodes") > 1).select("nodes", "shorts")
@@ -249,10 +260,11 @@ def repeats(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFra
     """
     docs = docs.where(F.col("doc_id").isNotNull() & F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False)))
     bits = band_bits(docs.count())
-    salts = H.mix(np.arange(1, bits + 1, dtype=np.uint64))  # BANDS * bits = 64 * bits bits
+    n_bands = band_count(bits, similarity)
+    salts = H.mix(np.arange(1, -(-n_bands * bits // 64) + 1, dtype=np.uint64))  # 64 bits each
     rows = settle(wide_fingerprints(docs, width, salts).withColumn("node", F.xxhash64("fp")))
     nodes = settle(rows.groupBy("node").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("least")))
-    member = components(similar_links(nodes, bits, similarity))
+    member = components(similar_links(nodes, bits, n_bands, similarity))
     named = settle(nodes.drop("fp").join(member, "node", "left").withColumn("component", F.coalesce("component", "node")))
     least = named.groupBy("component").agg(F.min("least").alias("first"))
     table = named.join(least, "component").select("node", "first")
