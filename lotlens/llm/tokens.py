@@ -47,7 +47,7 @@ class WordEncoder:
     The memory is bounded: when it is full, its older half goes.
     """
 
-    MOST = 700_000
+    MOST = 300_000
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -221,7 +221,7 @@ def write_token_files(docs: DataFrame, vocab: str, end_id: int = 2, segment: int
         types = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
         names = [x.split()[0] for x in FILE_SCHEMA.split(", ")]
         for batch in batches:
-            for part in pieces(batch, "text", 4_000_000):
+            for part in pieces(batch, "text"):
                 for doc_id, tokens in zip(part.column(0).to_pylist(), encoded(part, vocab, end_id)):
                     ids.append(0 if doc_id is None else doc_id)
                     none.append(doc_id is None)
