@@ -59,7 +59,7 @@ HUNTS = """
 SELECT * FROM (VALUES ('u1', 1, 'watches', array('watch')), ('u1', 2, 'home', array('turntable', 'CREDENZA')), ('u1', 3, 'home', array('lamp'))) AS t(owner, hunt_id, name, keywords)"""
 
 QUERIES = """
-SELECT * FROM (VALUES (1, 'couch'), (2, 'Record player'), (3, 'pocket watch'), (4, 'urgent sale'), (5, 'nothing at all')) AS t(query_id, query)"""
+SELECT * FROM (VALUES (1, 'couch'), (2, 'Record player'), (3, 'pocket watch'), (4, 'urgent sale'), (5, 'nothing at all'), (6, 'toy')) AS t(query_id, query)"""
 
 #: The click stream as scan events: a user is a sale, and seq is the order of time.
 EVENTS = """
