@@ -31,27 +31,31 @@ def sentences(text: Column) -> Column:
 
 
 def repeated_spans(docs: DataFrame, span: int = 3) -> DataFrame:
-    """row, at: the first sentence of every run that is not the first of its kind."""
-    rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "row", F.transform(sentences(F.col("text")), lambda p: p["s"]).alias("s"))
-    rows = rows.where(F.size("s") >= span)
-    runs = F.transform(
-        F.sequence(F.lit(0), F.size("s") - span),
-        lambda i: F.struct(i.alias("at"), F.xxhash64(*(F.get("s", i + k) for k in range(span))).alias("a"), F.xxhash64(F.lit(1), *(F.get("s", i + k) for k in range(span))).alias("b")),
-    )
-    runs = settle(rows.select("doc_id", "row", F.explode(runs).alias("r")).select("doc_id", "row", "r.at", "r.a", "r.b"))
+    """row, pieces: the numbers of the pieces that hold the sentences of every run that is not the first of its kind."""
+    rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "row", sentences(F.col("text")).alias("q"))
+    starts = F.when(F.size("q") >= span, F.sequence(F.lit(0), F.size("q") - span)).otherwise(F.array().cast("array<int>"))
+
+    def run(i: Column) -> Column:
+        held = [F.get("q", i + k) for k in range(span)]
+        said = [x["s"] for x in held]
+        return F.struct(i.alias("at"), F.xxhash64(*said).alias("a"), F.xxhash64(F.lit(1), *said).alias("b"), F.array(*(x["piece"] for x in held)).alias("pieces"))
+
+    runs = rows.select("doc_id", "row", F.explode(F.transform(starts, run)).alias("r"))
+    runs = settle(runs.select("doc_id", "row", "r.at", "r.a", "r.b", "r.pieces"))
     # sums by run first: a run that half the corpus has is one row per task before the shuffle
     first = runs.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "row", "at")).alias("first")).where("n > 1").drop("n")
-    return runs.join(first, ["a", "b"]).where(F.struct("doc_id", "row", "at") != F.col("first")).select("row", "at")
+    return runs.join(first, ["a", "b"]).where(F.struct("doc_id", "row", "at") != F.col("first")).select("row", "pieces")
 
 
 def sentence_dedup(docs: DataFrame, span: int = 3) -> DataFrame:
     """doc_id, n_sentences, n_removed, text (what is left) of every row."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row", F.xxhash64("doc_id", "text"))
-    gone = repeated_spans(docs, span).groupBy("row").agg(F.collect_set("at").alias("starts"))
-    # sentence numbers that a repeated run covers
-    gone = gone.select("row", F.array_distinct(F.flatten(F.transform("starts", lambda a: F.sequence(a, a + (span - 1))))).alias("covered"))
-    out = docs.join(gone, "row", "left").withColumn("held", F.coalesce(sentences(F.col("text")), F.array().cast("array<struct<piece:int,s:string>>")))
-    pieces = F.transform(F.filter(F.transform("held", lambda p, i: F.struct(p["piece"].alias("piece"), F.array_contains("covered", i).alias("gone"))), lambda p: p["gone"]), lambda p: p["piece"])
-    out = out.withColumn("dropped", F.when(F.col("covered").isNotNull(), pieces))
+    gone = repeated_spans(docs, span).select("row", F.explode("pieces").alias("piece")).groupBy("row").agg(F.collect_set("piece").alias("dropped"))
+    out = docs.join(gone, "row", "left")
+    # the test of each piece reads a column of the join, not an expression that it would have to work out anew
     left = F.array_join(F.filter(cut(F.col("text")), lambda x, i: ~F.array_contains("dropped", i)), "")
-    return out.select("doc_id", F.size("held").cast("long").alias("n_sentences"), F.coalesce(F.size("covered"), F.lit(0)).cast("long").alias("n_removed"), F.when(F.col("covered").isNull(), F.col("text")).otherwise(left).alias("text"))
+    n = F.coalesce(F.size(sentences(F.col("text"))), F.lit(0))
+    return out.select(
+        "doc_id", F.when(F.col("text").isNull(), 0).otherwise(n).cast("long").alias("n_sentences"), F.when(F.col("dropped").isNull(), 0).otherwise(F.size("dropped")).cast("long").alias("n_removed"),
+        F.when(F.col("dropped").isNull(), F.col("text")).otherwise(left).alias("text"),
+    )
