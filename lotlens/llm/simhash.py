@@ -151,7 +151,7 @@ def band_bits(n: int) -> int:
 
 def band_count(bits: int, similarity: float, recall: float = RECALL) -> int:
     """So many bands of ``bits`` bits that two texts of that similarity share one with a chance of ``recall``, at any size of corpus."""
-    differ = math.acos(2 * similarity / (1 + similarity)) / math.pi  # the share of bits in which sets of that similarity differ
+    differ = differing(similarity)
     if differ == 0:
         return 1
     return max(1, math.ceil(math.log(1 - recall) / math.log1p(-((1 - differ) ** bits))))
@@ -186,13 +186,39 @@ def wide_fingerprints(docs: DataFrame, width: int, salts: np.ndarray) -> DataFra
     return docs.mapInArrow(run, "doc_id long, row long, fp binary")
 
 
-def similar_links(nodes: DataFrame, bits: int, n_bands: int, similarity: float) -> DataFrame:
-    """Pairs (a, b) of ``node`` whose fingerprints say a similarity of ``similarity`` or more.
+def differing(similarity: float) -> float:
+    """The share of bits in which the fingerprints of two sets of that Jaccard similarity differ, on average."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def wide(column: pa.Array) -> np.ndarray:
+    """Fingerprints of one length as rows of 64-bit words."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
 
-    Candidates share a band of ``bits`` bits.  In a bucket, pivot tables and the first 64 bits part unrelated texts; what is left together
-    is linked by a star and a chain, two links a member, so that large groups give no squares; other bands deal the same texts into other
-    buckets.  Every candidate link is then verified on all bits.
+
+def spanning(fps: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Index pairs of a spanning forest of the links of at most ``most`` bits among rows of words.
+
+    Every member is compared with every found member until it is linked.  (Pivots would discard nothing: at this width the distances to a
+    reference fingerprint differ by less than ``most`` for unrelated texts too.)
     """
+    rest, queue, out = np.arange(len(fps)), [], []
+    while len(rest):
+        if not queue:
+            queue, rest = [int(rest[0])], rest[1:]
+            continue
+        x = queue.pop()
+        near = np.zeros(len(rest), bool)
+        for at in range(0, len(rest), 65536):
+            near[at : at + 65536] = np.bitwise_count(fps[rest[at : at + 65536]] ^ fps[x]).sum(axis=1, dtype=np.int64) <= most
+        out += [(x, int(y)) for y in rest[near]]
+        queue += rest[near].tolist()
+        rest = rest[~near]
+    return out
+
+
+def shared_buckets(nodes: DataFrame, bits: int, n_bands: int) -> DataFrame:
+    """What shares a band of ``bits`` bits and is not parted by the first 64 bits: pairs (a, b), or ``nodes`` of three or more."""
 
     def bands(batches):
         for batch in batches:
@@ -216,27 +242,62 @@ def similar_links(nodes: DataFrame, bits: int, n_bands: int, similarity: float)
             starts = np.cumsum(sizes) - sizes
             two = starts[sizes == 2]
             near = two[np.bitwise_count(short[two] ^ short[two + 1]) <= SHORT_MOST]
-            a, b = [node[near]], [node[near + 1]]
+            a, b, more = [node[near]], [node[near + 1]], []
             for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
                 order = np.argsort(node[s : s + n]) + s
                 for group in clusters(short[order], SHORT_MOST):
                     who = node[order[group]]
-                    a += [who[1:], who[1:]]
-                    b += [np.repeat(who[:1], len(who) - 1), who[:-1]]
+                    if len(who) > 2:
+                        more.append(who)
+                    else:
+                        a.append(who[1:])
+                        b.append(who[:1])
             a, b = np.concatenate(a), np.concatenate(b)
-            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
+            none = pa.nulls(len(a), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b)), none], ["a", "b", "nodes"])
+            if more:
+                none = pa.nulls(len(more), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, none, pa.array(more, pa.list_(pa.int64()))], ["a", "b", "nodes"])
+
+    # a group that many bands find is one row
+    return settle(groups.mapInArrow(compare, "a long, b long, nodes array<long>").distinct())
+
 
-    pairs = groups.mapInArrow(compare, "a long, b long").distinct()
+def similar_links(nodes: DataFrame, bits: int, n_bands: int, similarity: float) -> DataFrame:
+    """Pairs (a, b) of ``node`` whose fingerprints say a similarity of ``similarity`` or more; their components are those of all such pairs
+    that share a band of ``bits`` bits.
+
+    In a bucket, pivot tables and the first 64 bits part unrelated texts.  Two that are left together are verified on all bits; of more, the
+    full fingerprints come together and give a spanning forest at the threshold itself, so that large groups give no squares of links.
+    """
+    found = shared_buckets(nodes, bits, n_bands)
+    fps = nodes.select("node", "fp")
 
     def verify(batches):
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (2, 3))
-            cosine = np.cos(np.pi * np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) / (8 * x.shape[1]))
-            yield batch.filter(pa.array(cosine / (2 - cosine) >= similarity)).select(["a", "b"])
+            x, y = wide(batch.column(2)), wide(batch.column(3))
+            differ = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            yield batch.filter(pa.array(differ <= differing(similarity) * 64 * x.shape[1])).select(["a", "b"])
 
-    fps = nodes.select("node", "fp")
+    pairs = found.where("nodes IS NULL").select("a", "b")
     pairs = pairs.join(fps.withColumnsRenamed({"node": "a", "fp": "x"}), "a").join(fps.withColumnsRenamed({"node": "b", "fp": "y"}), "b")
-    return pairs.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
+    pairs = pairs.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
+
+    def connect(batches):
+        for batch in batches:
+            a, b = [], []
+            for node, fp in zip(batch.column(0), batch.column(1)):
+                node, fp = node.values.to_numpy(), wide(fp.values)
+                order = np.argsort(node)  # so that a group's forest is the same in every band
+                for x, y in spanning(fp[order], math.floor(differing(similarity) * 64 * fp.shape[1])):
+                    a.append(node[order[x]])
+                    b.append(node[order[y]])
+            a, b = np.array(a, np.int64), np.array(b, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
+
+    members = found.where("nodes IS NOT NULL").select(F.xxhash64("nodes").alias("g"), F.explode("nodes").alias("node"))
+    groups = members.join(fps, "node").groupBy("g").agg(F.collect_list("node").alias("nodes"), F.collect_list("fp").alias("fps"))
+    return pairs.union(groups.select("nodes", "fps").mapInArrow(connect, "a long, b long")).distinct()
 
 
 def clusters(fps: np.ndarray, most: int) -> list[np.ndarray]:
