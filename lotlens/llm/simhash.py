@@ -140,6 +140,9 @@ def near_duplicates(docs: DataFrame, most: int = 3, width: int = WIDTH) -> DataF
 
 #: The chance with which a pair at the threshold must share a band.
 RECALL = 0.97
+#: Fingerprints propose what may reach the threshold; the estimate from 1024 bits has a standard error of about 0.025 at 0.8.
+MARGIN = 0.1
+WORDS = 16
 #: Two texts of Jaccard similarity 0.8 differ in 0.15 of the bits; of 64 bits, 9.7 on average and over 24 once in a million.
 SHORT_MOST = 24
 
@@ -166,24 +169,37 @@ def wide_fingerprint(shingles: np.ndarray, salts: np.ndarray) -> bytes:
     return np.packbits(2 * total > len(shingles)).tobytes()
 
 
+def shingle_sets(column: pa.Array, width: int):
+    """The distinct word shingle hashes, ascending, of each text of a column."""
+    raw, offsets = utf8(column)
+    raw = LOWER[raw]
+    starts, ends = H.runs(~H.SPACE[raw], offsets)
+    words, at = H.slice_hashes(raw, starts, ends), np.searchsorted(starts, offsets)
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+        yield np.unique(H.window_hashes(words[a:b], min(width, b - a))) if b > a else np.zeros(0, np.uint64)
+
+
+def with_row(docs: DataFrame) -> DataFrame:
+    """doc_id, row (a hash of the text), text."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text")
+
+
 def wide_fingerprints(docs: DataFrame, width: int, salts: np.ndarray) -> DataFrame:
-    """doc_id, row (a hash of the text), fp: fingerprints over the set of word shingles of every row."""
+    """doc_id, row, node (a hash of the set), fp: fingerprints over the set of word shingles of every row."""
 
     def run(batches):
+        import xxhash
+
         for batch in batches:
             for part in pieces(batch, "text"):
-                raw, offsets = utf8(part.column(2))
-                raw = LOWER[raw]
-                starts, ends = H.runs(~H.SPACE[raw], offsets)
-                words, at = H.slice_hashes(raw, starts, ends), np.searchsorted(starts, offsets)
-                fps = []
-                for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
-                    shingles = np.unique(H.window_hashes(words[a:b], min(width, b - a))) if b > a else np.zeros(0, np.uint64)
+                nodes, fps = [], []
+                for shingles in shingle_sets(part.column(2), width):
+                    nodes.append(xxhash.xxh64_intdigest(shingles.tobytes()))
                     fps.append(wide_fingerprint(shingles, salts))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fps, pa.binary())], ["doc_id", "row", "fp"])
+                node = pa.array(np.array(nodes, np.uint64).view(np.int64))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), node, pa.array(fps, pa.binary())], ["doc_id", "row", "node", "fp"])
 
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text")
-    return docs.mapInArrow(run, "doc_id long, row long, fp binary")
+    return with_row(docs).mapInArrow(run, "doc_id long, row long, node long, fp binary")
 
 
 def differing(similarity: float) -> float:
@@ -192,8 +208,13 @@ def differing(similarity: float) -> float:
 
 
 def wide(column: pa.Array) -> np.ndarray:
-    """Fingerprints of one length as rows of 64-bit words."""
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
+    """Fingerprints as rows of WORDS 64-bit words, the width that every estimate uses at any number of bands."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, WORDS)
+
+
+def bits_apart(similarity: float) -> int:
+    """The most bits of such a row in which two fingerprints differ whose estimate is ``similarity`` or more."""
+    return math.floor(differing(similarity) * 64 * WORDS)
 
 
 def spanning(fps: np.ndarray, most: int) -> list[tuple[int, int]]:
@@ -217,6 +238,21 @@ def spanning(fps: np.ndarray, most: int) -> list[tuple[int, int]]:
     return out
 
 
+def crossing(fps: np.ndarray, label: np.ndarray, most: int):
+    """Arrays of index pairs: all pairs of different labels within ``most`` bits.  Members of the most frequent label are not compared."""
+    names, which, count = np.unique(label, return_inverse=True, return_counts=True)
+    rare = np.flatnonzero(which != count.argmax())
+    common = np.flatnonzero(which == count.argmax())
+    for k, x in enumerate(rare.tolist()):
+        later = rare[k + 1 :]
+        others = np.concatenate([common, later[which[later] != which[x]]])
+        for at in range(0, len(others), 65536):
+            some = others[at : at + 65536]
+            near = some[np.bitwise_count(fps[some] ^ fps[x]).sum(axis=1, dtype=np.int64) <= most]
+            if len(near):
+                yield np.full(len(near), x), near
+
+
 def shared_buckets(nodes: DataFrame, bits: int, n_bands: int) -> DataFrame:
     """What shares a band of ``bits`` bits and is not parted by the first 64 bits: pairs (a, b), or ``nodes`` of three or more."""
 
@@ -263,21 +299,19 @@ def shared_buckets(nodes: DataFrame, bits: int, n_bands: int) -> DataFrame:
     return settle(groups.mapInArrow(compare, "a long, b long, nodes array<long>").distinct())
 
 
-def similar_links(nodes: DataFrame, bits: int, n_bands: int, similarity: float) -> DataFrame:
-    """Pairs (a, b) of ``node`` whose fingerprints say a similarity of ``similarity`` or more; their components are those of all such pairs
-    that share a band of ``bits`` bits.
+def ordered(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
 
-    In a bucket, pivot tables and the first 64 bits part unrelated texts.  Two that are left together are verified on all bits; of more, the
-    full fingerprints come together and give a spanning forest at the threshold itself, so that large groups give no squares of links.
-    """
-    found = shared_buckets(nodes, bits, n_bands)
-    fps = nodes.select("node", "fp")
+
+def first_candidates(found: DataFrame, fps: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) to be decided first: what shares a bucket alone and reaches the threshold less MARGIN by the estimate; of every larger
+    group a spanning forest of the estimates at the threshold itself, so that large groups of close copies give no squares of pairs."""
+    margin, close = bits_apart(max(0.0, similarity - MARGIN)), bits_apart(similarity)
 
     def verify(batches):
         for batch in batches:
             x, y = wide(batch.column(2)), wide(batch.column(3))
-            differ = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
-            yield batch.filter(pa.array(differ <= differing(similarity) * 64 * x.shape[1])).select(["a", "b"])
+            yield batch.filter(pa.array(np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= margin)).select(["a", "b"])
 
     pairs = found.where("nodes IS NULL").select("a", "b")
     pairs = pairs.join(fps.withColumnsRenamed({"node": "a", "fp": "x"}), "a").join(fps.withColumnsRenamed({"node": "b", "fp": "y"}), "b")
@@ -289,15 +323,64 @@ def similar_links(nodes: DataFrame, bits: int, n_bands: int, similarity: float)
             for node, fp in zip(batch.column(0), batch.column(1)):
                 node, fp = node.values.to_numpy(), wide(fp.values)
                 order = np.argsort(node)  # so that a group's forest is the same in every band
-                for x, y in spanning(fp[order], math.floor(differing(similarity) * 64 * fp.shape[1])):
+                for x, y in spanning(fp[order], close):
                     a.append(node[order[x]])
                     b.append(node[order[y]])
-            a, b = np.array(a, np.int64), np.array(b, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
+            yield ordered(np.array(a, np.int64), np.array(b, np.int64))
 
     members = found.where("nodes IS NOT NULL").select(F.xxhash64("nodes").alias("g"), F.explode("nodes").alias("node"))
     groups = members.join(fps, "node").groupBy("g").agg(F.collect_list("node").alias("nodes"), F.collect_list("fp").alias("fps"))
-    return pairs.union(groups.select("nodes", "fps").mapInArrow(connect, "a long, b long")).distinct()
+    return pairs.union(groups.select("nodes", "fps").mapInArrow(connect, "a long, b long"))
+
+
+def open_candidates(found: DataFrame, fps: DataFrame, member: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of larger groups that are in different classes yet and reach the threshold less MARGIN by the estimate: all of them."""
+    margin = bits_apart(max(0.0, similarity - MARGIN))
+
+    def cross(batches):
+        for batch in batches:
+            for node, label, fp in zip(*batch.columns):
+                node = node.values.to_numpy()
+                for x, y in crossing(wide(fp.values), label.values.to_numpy(), margin):
+                    yield ordered(node[x], node[y])
+
+    members = found.where("nodes IS NOT NULL").select(F.xxhash64("nodes").alias("g"), F.explode("nodes").alias("node"))
+    members = settle(members.join(member, "node", "left").select("g", "node", F.coalesce("component", "node").alias("label")))
+    divided = members.groupBy("g").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("g")
+    groups = members.join(divided, "g", "left_semi").join(fps, "node").groupBy("g")
+    groups = groups.agg(F.collect_list("node").alias("nodes"), F.collect_list("label").alias("labels"), F.collect_list("fp").alias("fps"))
+    return groups.select("nodes", "labels", "fps").mapInArrow(cross, "a long, b long")
+
+
+def decided(pairs: DataFrame, docs: DataFrame, rows: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets of distinct shingle hashes have a Jaccard similarity of ``similarity`` or more."""
+    pairs = settle(pairs.distinct())
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    one = rows.join(wanted, "node").groupBy("node").agg(F.min(F.struct("doc_id", "row")).alias("s")).select("node", "s.doc_id", "s.row")
+    texts = with_row(docs).join(one, ["doc_id", "row"]).select("node", "text").dropDuplicates(["node"])
+
+    def run(batches):
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                sets = pa.array([x.view(np.int64) for x in shingle_sets(part.column(1), width)], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), sets], ["node", "shingles"])
+
+    sets = settle(texts.mapInArrow(run, "node long, shingles array<long>"))
+    both = pairs.join(sets.withColumnsRenamed({"node": "a", "shingles": "x"}), "a").join(sets.withColumnsRenamed({"node": "b", "shingles": "y"}), "b")
+    # same / (n - same) >= similarity, solved for the number that must be the same
+    least = F.ceil((F.size("x") + F.size("y")) * F.lit(similarity / (1 + similarity)) - F.lit(1e-9))
+    return settle(both.where((F.least(F.size("x"), F.size("y")) >= least) & (F.size(F.array_intersect("x", "y")) >= least)).select("a", "b"))
+
+
+def similar_classes(docs: DataFrame, rows: DataFrame, nodes: DataFrame, bits: int, n_bands: int, width: int, similarity: float) -> DataFrame:
+    """(node, component) of every node that has a link: the classes of all pairs that share a bucket, are proposed and are similar."""
+    found = shared_buckets(nodes, bits, n_bands)
+    fps = settle(nodes.select("node", F.expr(f"substring(fp, 1, {8 * WORDS})").alias("fp")))
+    member = components(decided(first_candidates(found, fps, similarity), docs, rows, width, similarity))
+    more = decided(open_candidates(found, fps, member, similarity), docs, rows, width, similarity)
+    if more.isEmpty():
+        return member
+    return components(member.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
 
 
 def clusters(fps: np.ndarray, most: int) -> list[np.ndarray]:
@@ -316,16 +399,17 @@ def clusters(fps: np.ndarray, most: int) -> list[np.ndarray]:
 def repeats(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, row (xxhash64 of the text) of every row that is not the least doc_id of its class of similar texts.
 
-    Similar: a Jaccard similarity of word shingles of ``similarity`` or more, as their SimHash fingerprints tell.  A text without words has
+    Similar: a Jaccard similarity of word shingles of ``similarity`` or more.  SimHash fingerprints propose pairs, the sets of shingles decide
+    each; a pair at the threshold is proposed with a chance of RECALL or more, a closer one nearly always.  A text without words has
     no shingles and stays; rows with a null doc_id stay and make no other row a repeat.
     """
     docs = docs.where(F.col("doc_id").isNotNull() & F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False)))
     bits = band_bits(docs.count())
     n_bands = band_count(bits, similarity)
-    salts = H.mix(np.arange(1, -(-n_bands * bits // 64) + 1, dtype=np.uint64))  # 64 bits each
-    rows = settle(wide_fingerprints(docs, width, salts).withColumn("node", F.xxhash64("fp")))
+    salts = H.mix(np.arange(1, max(WORDS, -(-n_bands * bits // 64)) + 1, dtype=np.uint64))  # 64 bits each
+    rows = settle(wide_fingerprints(docs, width, salts))
     nodes = settle(rows.groupBy("node").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("least")))
-    member = components(similar_links(nodes, bits, n_bands, similarity))
+    member = similar_classes(docs, rows, nodes, bits, n_bands, width, similarity)
     named = settle(nodes.drop("fp").join(member, "node", "left").withColumn("component", F.coalesce("component", "node")))
     least = named.groupBy("component").agg(F.min("least").alias("first"))
     table = named.join(least, "component").select("node", "first")
