@@ -30,10 +30,11 @@ def kept_lines(text: Column) -> Column:
     return F.filter(lines, lambda s: s["line"] != "")
 
 
-def suffixes(docs: DataFrame, row: str) -> DataFrame:
-    """row, doc_id, at (place among the lines with a word), line_no, a, b (the line's 128-bit id)."""
+def suffixes(docs: DataFrame, row: str, min_words: int | None = None) -> DataFrame:
+    """row, doc_id, at (place among the lines with a word), line_no, a, b (the line's 128-bit id), and with ``min_words`` wordy."""
     rows = docs.where(F.col("doc_id").isNotNull()).select(row, F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(kept_lines(F.col("text"))).alias("at", "s"))
-    return rows.select(row, "doc_id", "at", F.col("s.line_no").alias("line_no"), F.xxhash64("s.line").alias("a"), F.xxhash64(F.lit(1), "s.line").alias("b"))
+    wordy = [] if min_words is None else [(F.regexp_count("s.line", F.lit("[^ ]+")) >= min_words).alias("wordy")]
+    return rows.select(row, "doc_id", "at", F.col("s.line_no").alias("line_no"), F.xxhash64("s.line").alias("a"), F.xxhash64(F.lit(1), "s.line").alias("b"), *wordy)
 
 
 def first_ranks(lines: DataFrame) -> DataFrame:
@@ -56,9 +57,15 @@ def deeper(ranks: DataFrame, row: str, other: DataFrame, ahead: int) -> DataFram
     return paired.join(classes, ["rank", "then"]).drop("rank", "then").withColumnRenamed("deep", "rank")
 
 
-def later_copies(docs: DataFrame, row: str = "row", min_lines: int = 2) -> DataFrame:
-    """row, line_no of every line to be deleted."""
-    ranks = settle(first_ranks(suffixes(docs, row)))
+def later_copies(docs: DataFrame, row: str = "row", min_lines: int = 2, min_words: int | None = None) -> DataFrame:
+    """row, line_no of every line to be deleted: of runs of ``min_lines``, and of single lines of ``min_words`` words if that is given."""
+    ranks = settle(first_ranks(suffixes(docs, row, min_words)))
+    single = None
+    if min_words is not None:
+        wordy = ranks.where("wordy")
+        first = wordy.groupBy("rank").agg(F.min(F.struct("doc_id", row, "at")).alias("first"))
+        single = wordy.join(first, "rank").where(F.struct("doc_id", row, "at") != F.col("first")).select(row, "line_no")
+        ranks = ranks.drop("wordy")
     powers, depth = {1: ranks}, 1
     while 2 * depth <= min_lines:
         ranks = settle(deeper(ranks, row, ranks, depth))
@@ -71,13 +78,14 @@ def later_copies(docs: DataFrame, row: str = "row", min_lines: int = 2) -> DataF
     # an interval of the suffix array is the suffixes of one rank; its first member stays
     first = ranks.groupBy("rank").agg(F.min(F.struct("doc_id", row, "at")).alias("first"))
     later = ranks.join(first, "rank").where(F.struct("doc_id", row, "at") != F.col("first")).select(row, F.explode(F.sequence(F.col("at"), F.col("at") + (min_lines - 1))).alias("at"))
-    return powers[1].join(later.distinct(), [row, "at"]).select(row, "line_no")
+    gone = powers[1].join(later.distinct(), [row, "at"]).select(row, "line_no")
+    return gone if single is None else gone.union(single).distinct()
 
 
-def delete_later_copies(docs: DataFrame, min_lines: int = 2, text: str = "text") -> DataFrame:
+def delete_later_copies(docs: DataFrame, min_lines: int = 2, text: str = "text", min_words: int | None = None) -> DataFrame:
     """All rows and columns of ``docs``, ``text`` without the deleted lines; the struct column ``_`` is added: n_lines, deleted."""
     held = docs.select(F.struct("*").alias("_d"), F.xxhash64("doc_id", text).alias("row"))
-    gone = later_copies(docs.select("doc_id", F.col(text).alias("text"), F.xxhash64("doc_id", text).alias("row")), "row", min_lines)
+    gone = later_copies(docs.select("doc_id", F.col(text).alias("text"), F.xxhash64("doc_id", text).alias("row")), "row", min_lines, min_words)
     gone = gone.groupBy("row").agg(F.array_sort(F.collect_set("line_no")).alias("deleted"))
     out = held.join(gone, "row", "left")
     was, none = F.col(f"_d.`{text}`"), F.array().cast("array<int>")
@@ -93,9 +101,9 @@ def line_dedup(docs: DataFrame, min_lines: int = 2) -> DataFrame:
     return out.select("doc_id", "text", F.col("_.n_lines").cast("long").alias("n_lines"), F.size("_.deleted").cast("long").alias("n_deleted"), F.col("_.deleted").alias("deleted"))
 
 
-def keep_first_copies(docs: DataFrame, min_lines: int = 2) -> DataFrame:
+def keep_first_copies(docs: DataFrame, min_lines: int = 2, min_words: int | None = None) -> DataFrame:
     """All columns of the rows that have a line left (or had none), ``text`` without later copies, ``n_chars`` as it now is."""
-    out = delete_later_copies(docs, min_lines).where("_.n_lines = 0 OR size(_.deleted) < _.n_lines")
+    out = delete_later_copies(docs, min_lines, min_words=min_words).where("_.n_lines = 0 OR size(_.deleted) < _.n_lines")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.size("_.deleted") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.drop("_")

@@ -44,3 +44,10 @@ def test_stages_take_empty_and_odd_tables(spark, sf_dir, tmp_path):
         for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
             stage(spark, df, sf_dir).write.parquet(f"{tmp_path}/{name}{k}")
             df = spark.read.parquet(f"{tmp_path}/{name}{k}")
+
+
+def test_line_stage_deletes_a_long_line_between_other_neighbours(spark, sf_dir):
+    long, short = " ".join(f"w{k}" for k in range(20)), " ".join(f"w{k}" for k in range(19))
+    df, _ = fixture.docs(spark, texts=[(0, f"a\n{long}\nb\n{short}"), (1, f"c\n\t{long}\nd\n{short}\ne"), (2, long)])
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_stage(spark, df, sf_dir).collect()}
+    assert got == {0: f"a\n{long}\nb\n{short}", 1: f"c\nd\n{short}\ne"}
