@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,15 +13,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+SHARED = "spark.lotlens.shared.dir"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder name under ``spark.checkpoint.dir``, which every executor can reach.
+    """A new folder name in the folder that all executors share.
 
-    Only where that setting is absent (tests, one machine) a temporary folder serves.
+    That is ``spark.checkpoint.dir``, or else the library's own setting ``spark.lotlens.shared.dir``.  Where neither is set, a session on one
+    machine (master local, as in tests) gets a temporary folder; on a cluster that is an error, since executors would not see it.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(SHARED, None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError(f"set spark.checkpoint.dir or {SHARED} to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="lotlens-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        spark.conf.set(SHARED, base)
     return f"{base.rstrip('/')}/lotlens-{uuid.uuid4().hex}"
 
 

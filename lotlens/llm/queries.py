@@ -70,18 +70,25 @@ QUERIES: dict[str, Query] = {
 }
 ORACLE: dict[str, str] = {
     "op1_substring_dedup": r"""
-WITH c AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?][ \t\r\n]+|\n+)', '\1' || chr(1), 'g'), chr(1)) AS ps FROM documents),
-s AS (SELECT doc_id, piece, s, row_number() OVER (PARTITION BY doc_id ORDER BY piece) - 1 AS pos
-      FROM (SELECT doc_id, unnest(range(len(ps))) AS piece, trim(unnest(ps), chr(32) || chr(9) || chr(13) || chr(10)) AS s FROM c) WHERE s <> ''),
-r AS (SELECT doc_id, pos, s AS a, lead(s) OVER w AS b, lead(s, 2) OVER w AS c FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
-f AS (SELECT a, b, c, min({'d': doc_id, 'p': pos}) AS f FROM r WHERE c IS NOT NULL GROUP BY ALL HAVING count(*) > 1),
-later AS (SELECT r.doc_id, r.pos FROM r JOIN f ON r.a = f.a AND r.b = f.b AND r.c = f.c WHERE NOT (r.doc_id = f.f.d AND r.pos = f.f.p)),
-covered AS (SELECT DISTINCT doc_id, pos + k AS pos FROM later, (SELECT unnest([0, 1, 2]) AS k)),
-gone AS (SELECT s.doc_id, list(s.piece) AS ns FROM s JOIN covered USING (doc_id, pos) GROUP BY s.doc_id),
-n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id)
-SELECT t.doc_id, coalesce(n.n, 0) AS n_sentences, coalesce(len(gone.ns), 0) AS n_removed,
+WITH c AS (SELECT doc_id, flatten(list_transform(string_split(regexp_replace(text, '([.!?][ \t\r\n]+|\n+)', '\1' || chr(1), 'g'), chr(1)), lambda p:
+             CASE WHEN len(regexp_extract_all(p, '[^\x09-\x0D\x20]+')) <= 20 THEN [p] ELSE
+               flatten(list_transform(string_split(regexp_replace(p, '([,;:][ \t\r\n]+)', '\1' || chr(1), 'g'), chr(1)), lambda q:
+                 CASE WHEN len(regexp_extract_all(q, '[^\x09-\x0D\x20]+')) <= 20 THEN [q] ELSE
+                   string_split(array_to_string(list_transform(regexp_extract_all(q, '[\x09-\x0D\x20]*[^\x09-\x0D\x20]+[\x09-\x0D\x20]*'), lambda t:
+                     t || CASE WHEN md5(regexp_extract(t, '[^\x09-\x0D\x20]+'))[1] IN ('0', '1') THEN chr(1) ELSE '' END), ''), chr(1)) END)) END)) AS ps FROM documents),
+s AS (SELECT doc_id, piece, s, row_number() OVER w - 1 AS pos, len(regexp_extract_all(s, '[^\x09-\x0D\x20]+')) AS n, sum(n) OVER w AS upto
+      FROM (SELECT doc_id, unnest(range(len(ps))) AS piece, trim(unnest(ps), chr(32) || chr(9) || chr(13) || chr(10)) AS s FROM c) WHERE s <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY piece)),
+d AS (SELECT doc_id, list(s ORDER BY pos) AS said FROM s GROUP BY doc_id),
+e AS (SELECT x.doc_id, x.pos, greatest(x.pos + 1, y.pos) AS last FROM (SELECT doc_id, pos, upto - n + 20 AS least FROM s) x ASOF JOIN s y ON x.doc_id = y.doc_id AND x.least <= y.upto),
+r AS (SELECT doc_id, pos, last, array_to_string(list_slice(said, pos + 1, last + 1), chr(10)) AS k FROM e JOIN d USING (doc_id) WHERE last < len(said)),
+a AS (SELECT * FROM r UNION ALL SELECT doc_id, 0, len(said) - 1, 'whole' || chr(1) || array_to_string(said, chr(10)) FROM d WHERE doc_id NOT IN (SELECT doc_id FROM r)),
+f AS (SELECT k, min({'d': doc_id, 'p': pos}) AS f FROM a GROUP BY k HAVING count(*) > 1),
+later AS (SELECT a.doc_id, a.pos, a.last FROM a JOIN f USING (k) WHERE NOT (a.doc_id = f.f.d AND a.pos = f.f.p)),
+covered AS (SELECT DISTINCT doc_id, unnest(range(pos, last + 1)) AS pos FROM later),
+gone AS (SELECT s.doc_id, list(s.piece) AS ns FROM s JOIN covered USING (doc_id, pos) GROUP BY s.doc_id)
+SELECT t.doc_id, coalesce(len(d.said), 0) AS n_sentences, coalesce(len(gone.ns), 0) AS n_removed,
        CASE WHEN gone.ns IS NULL THEN t.text ELSE coalesce(array_to_string(list_filter(c.ps, lambda x, i: NOT list_contains(gone.ns, i - 1)), ''), '') END AS text
-FROM documents t LEFT JOIN c ON t.doc_id = c.doc_id LEFT JOIN gone ON t.doc_id = gone.doc_id LEFT JOIN n ON t.doc_id = n.doc_id""",
+FROM documents t LEFT JOIN c ON t.doc_id = c.doc_id LEFT JOIN gone ON t.doc_id = gone.doc_id LEFT JOIN d ON t.doc_id = d.doc_id""",
     "op8_line_dedup": r"""
 WITH l AS (SELECT doc_id, line_no, line, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS pos
            FROM (SELECT doc_id, unnest(range(len(ls))) AS line_no, trim(translate(unnest(ls), chr(9) || chr(11) || chr(12) || chr(13), '    ')) AS line

@@ -3,6 +3,8 @@
 import collections
 import hashlib
 import math
+import random
+import re
 import zlib
 
 import numpy as np
@@ -110,30 +112,66 @@ def test_elias_fano():
             assert (ef.find(asked) == np.searchsorted(values, asked)).all()
 
 
-def test_sentence_dedup(spark, data):
-    df, made = data
+def plain_pieces(t):
+    """The pieces of a text for op1, by other means: marks after every cut."""
+    words = lambda x: re.findall(r"[^\x09-\x0D\x20]+", x)
+    out = []
+    for p in re.sub("([.!?][ \t\r\n]+|\n+)", "\\1\x01", t).split("\x01"):
+        for q in [p] if len(words(p)) <= 20 else re.sub("([,;:][ \t\r\n]+)", "\\1\x01", p).split("\x01"):
+            if len(words(q)) > 20:
+                q = re.sub(r"([^\x09-\x0D\x20]+)([\x09-\x0D\x20]*)", lambda m: m[0] + ("\x01" if hashlib.md5(m[1].encode()).hexdigest()[0] in "01" else ""), q)
+            out += q.split("\x01")
+    return out
+
+
+def test_sentence_dedup(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice(["th", "er", "on", "an", "é", "in", "st"]) for _ in range(rng.randint(1, 4)))
+    said = lambda n: " ".join(word() for _ in range(n)) + rng.choice([". ", "! ", ".\n", ", ", ": "])
+    passage = "".join(said(rng.randint(4, 14)) for _ in range(7)).strip() + ". "
+    bare = " ".join(word() for _ in range(60))
+    texts = [(i, "".join(said(rng.randint(1, 25)) for _ in range(rng.randint(1, 20)))) for i in range(30)]
+    texts += [(100 + i, said(9)[:-3] + " " + passage + said(5)) for i in range(5)] + [(200 + i, said(9)[:-2] + bare + " " + said(4)) for i in range(3)]
+    texts += [(300, "a few words"), (301, "a few  words"), (302, " a few words\n"), (303, ""), (304, None), (305, " \n"), (None, passage), (31, texts[3][1]), (31, texts[6][1]), texts[4], texts[4], (306, "one " * 500), (307, passage + passage)]
+    df, made = fixture.docs(spark, texts=texts)
     got = sentences.sentence_dedup(df).collect()
-    import re
+    pieces = {(i, t): [(k, p.strip(" \t\r\n")) for k, p in enumerate(plain_pieces(t)) if p.strip(" \t\r\n")] for i, t in set(made) if t is not None}
+
+    def runs(ps):
+        n, out = [len(p.encode().split()) for _, p in ps], []
+        for i in range(len(ps)):
+            j = next((j for j in range(i + 2, len(ps) + 1) if sum(n[i:j]) >= 20), None)
+            if j:
+                out.append((i, j, tuple(p for _, p in ps[i:j])))
+        return out or ([(0, len(ps), ("whole", *(p for _, p in ps)))] if ps else [])
 
-    cut = lambda t: re.sub("([.!?][ \t\r\n]+|\n+)", "\\1\x01", t).split("\x01")
-    pieces = {(i, t): [(k, p.strip(" \t\r\n")) for k, p in enumerate(cut(t)) if p.strip(" \t\r\n")] for i, t in set(made) if t is not None}
+    # two texts of one id are told apart by a hash; here the fixture's have no run in common
     first = {}
     for (i, t), ps in pieces.items():
         if i is not None:
-            for k in range(len(ps) - 2):
-                w = tuple(p for _, p in ps[k : k + 3])
-                first[w] = min(first.get(w, (i, k)), (i, k))
+            for at, _, k in runs(ps):
+                first[k] = min(first.get(k, (i, at)), (i, at))
     want = []
     for i, t in made:
         ps, gone = pieces.get((i, t), []), set()
-        for k in range(len(ps) - 2):
-            if i is not None and first[tuple(p for _, p in ps[k : k + 3])] != (i, k):
-                gone |= {k, k + 1, k + 2}
+        for at, to, k in runs(ps):
+            if i is not None and first[k] != (i, at):
+                gone |= set(range(at, to))
         out = {ps[k][0] for k in gone}
-        want.append((i, len(ps), len(gone), t if not gone else "".join(p for k, p in enumerate(cut(t)) if k not in out)))
+        want.append((i, len(ps), len(gone), t if not gone else "".join(p for k, p in enumerate(plain_pieces(t)) if k not in out)))
     same(got, want)
-    assert sum(w[2] for w in want) > 10
+    removed = {w[0]: w[2] for w in want}
+    assert all(removed[i] > 2 for i in (101, 102, 103, 104, 201, 202)) and removed[100] == 0 and removed[301] == removed[302] == 1
     assert sentences.sentence_dedup(fixture.empty(spark)).count() == 0
+    assert sentences.sentence_dedup(df.where("text IS NULL")).collect()[0].text is None
+
+
+def test_a_hot_run_is_dealt_out(spark):
+    """A passage in every document: each document but the first loses it, whichever place its runs are dealt to."""
+    passage = " ".join(f"Alpha{k} beta gamma delta epsilon zeta." for k in range(8))
+    df, _ = fixture.docs(spark, texts=[(i, f"Own words of {i} here, as no other. {passage} And an end of {i}.") for i in range(300)])
+    got = {r.doc_id: r for r in sentences.sentence_dedup(df).collect()}
+    assert got[0].n_removed == 0 and all(got[i].n_removed == 8 and got[i].text == f"Own words of {i} here, as no other. And an end of {i}." for i in range(1, 300))
 
 
 @pytest.mark.parametrize("least", [1, 2, 3])
