@@ -132,7 +132,7 @@ def test_sentence_dedup(spark):
     bare = " ".join(word() for _ in range(60))
     texts = [(i, "".join(said(rng.randint(1, 25)) for _ in range(rng.randint(1, 20)))) for i in range(30)]
     texts += [(100 + i, said(9)[:-3] + " " + passage + said(5)) for i in range(5)] + [(200 + i, said(9)[:-2] + bare + " " + said(4)) for i in range(3)]
-    texts += [(300, "a few words"), (301, "a few  words"), (302, " a few words\n"), (303, ""), (304, None), (305, " \n"), (None, passage), (31, texts[3][1]), (31, texts[6][1]), texts[4], texts[4], (306, "one " * 500), (307, passage + passage)]
+    texts += [(300, "a few words"), (301, "a few words  "), (302, " a few words\n"), (303, ""), (304, None), (305, " \n"), (None, passage), (31, texts[3][1]), (31, texts[6][1]), texts[4], texts[4], (306, "one " * 500), (307, passage + passage)]
     df, made = fixture.docs(spark, texts=texts)
     got = sentences.sentence_dedup(df).collect()
     pieces = {(i, t): [(k, p.strip(" \t\r\n")) for k, p in enumerate(plain_pieces(t)) if p.strip(" \t\r\n")] for i, t in set(made) if t is not None}
