@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -354,10 +355,27 @@ def test_the_shingles_decide_at_the_threshold(spark):
     assert left >= {*range(60), *range(200, 260)} and len(left & {*range(100, 160)}) <= 4  # the bands may miss 3 percent
 
 
+def plain_overlaps(made, items):
+    """Every document against every item along every diagonal."""
+    want = {}
+    for i, t in made:
+        w = (t or "").lower().split()
+        for k, b in items:
+            v = (b or "").lower().split()
+            n = min(13, len(v))
+            for shift in range(-len(v), len(w)) if v else []:
+                hit = [int(0 <= shift + j < len(w) and w[shift + j] == x) for j, x in enumerate(v)]
+                best = max(sum(hit[a : a + n]) for a in range(len(v) - n + 1))
+                if best * 100 >= 80 * n:
+                    want[i, k] = max(want.get((i, k), (0, n)), (best, n))
+    return want
+
+
 def test_decontamination(spark):
     rng = np.random.default_rng(4)
     word = lambda: f"w{int(rng.integers(0, 3000))}"
     items = [(k, " ".join(word() for _ in range(n))) for k, n in enumerate([40, 25, 13, 7, 5, 3])] + [(6, None), (7, "")]
+    items += [(8, items[0][1]), (None, items[3][1])]
 
     def changed(t, every):
         return " ".join("sub" if k % every == every - 1 else x for k, x in enumerate(t.split()))
@@ -368,26 +386,34 @@ def test_decontamination(spark):
     df, made = fixture.docs(spark, texts=texts)
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {(r.doc_id, r.item_id): (r.n_agree, r.n_compared) for r in decontaminate.overlaps(df, bench).collect()}
-    want = {}
-    for i, t in made:
-        w = (t or "").lower().split()
-        for k, b in items:
-            v = (b or "").lower().split()
-            n = min(13, len(v))
-            if len(v) < 5:
-                continue
-            for shift in range(-len(v), len(w)):
-                hit = [int(0 <= shift + j < len(w) and w[shift + j] == x) for j, x in enumerate(v)]
-                best = max(sum(hit[a : a + n]) for a in range(len(v) - n + 1))
-                if best * 100 >= 80 * n:
-                    want[i, k] = max(want.get((i, k), (0, n)), (best, n))
-    assert got == want and {(0, 0), (1, 0), (2, 1), (10, 2), (None, 2)} <= set(want)
+    want = plain_overlaps(made, items)
+    assert got == want and {(0, 0), (0, 8), (1, 0), (2, 1), (5, None), (7, 5), (10, 2), (None, 2)} <= set(want)
     clean = decontaminate.drop_contaminated(df, bench)
-    assert clean.columns == df.columns and sorted(str(r.doc_id) for r in clean.collect()) == sorted(map(str, [3, 4, 7, 8, 9, *([11] if (11, 0) not in want else []), None]))
+    found = {i for i, _ in want if i is not None}
+    assert clean.columns == df.columns and sorted(str(r.doc_id) for r in clean.collect()) == sorted(str(i) for i, _ in made if i not in found)
     assert decontaminate.overlaps(fixture.empty(spark), bench).count() == 0
     assert decontaminate.overlaps(df, bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_every_length_and_substitution(spark, monkeypatch):
+    """Items of 1 to 14 tokens with every allowed choice of substituted places, and with one substitution more."""
+    items = [(n, " ".join(f"i{n}t{k}" for k in range(n))) for n in range(1, 15)]
+    texts = []
+    for n, t in items:
+        most = min(n, 13) - math.ceil(min(n, 13) * 0.8)
+        for gone in (g for m in (most, most + 1) for g in itertools.combinations(range(n), m)):
+            texts.append((len(texts), " ".join(["before", *("sub" if k in gone else w for k, w in enumerate(t.split())), "after"])))
+    df, made = fixture.docs(spark, texts=texts)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = plain_overlaps(made, items)
+    got = {(r.doc_id, r.item_id): (r.n_agree, r.n_compared) for r in decontaminate.overlaps(df, bench).collect()}
+    assert got == want and {k for _, k in want} == set(range(1, 15))
+    monkeypatch.setattr(decontaminate, "SEND", 15)  # in blocks
+    assert {(r.doc_id, r.item_id): (r.n_agree, r.n_compared) for r in decontaminate.overlaps(df.where("doc_id % 9 = 0"), bench).collect()} == {k: v for k, v in want.items() if k[0] % 9 == 0}
+    with pytest.raises(ValueError):
+        decontaminate.overlaps(df, bench, masks=("11111011", "1101111011"))
+
+
 def plain_counts(t):
     t = t or ""
     w = t.encode().split()
