@@ -90,16 +90,21 @@ def overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id:
     blocks = max(1, -(-n // SEND), -(-held // SEND_BYTES))
 
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), "text").where(F.length("text") > 0).select("doc_id", words(F.col("text")).alias("w"))
-    places = texts.select("doc_id", "w", F.posexplode("w").alias("at", "_"))
+    # outer, lest Spark adds a test of the size and cuts every text twice; a text without words has no seed
+    places = texts.select("doc_id", "w", F.posexplode_outer("w").alias("at", "_"))
     seeds = places.select("doc_id", "w", "at", F.explode(F.array(*(seed(F.col("w"), F.col("at"), k, mask) for k, (mask, _, _) in enumerate(kinds)))).alias("seed"))
-    same = F.transform("held", lambda x, j: F.coalesce(F.get("w", F.col("at") - F.col("before") + j) == x, F.lit(False)).cast("int"))
+    most = max(width - len(mask) for mask, width, _ in kinds)
+    around = F.array(*(F.get("w", F.col("at") + j) for j in range(-most, max(width for _, width, _ in kinds))))
+    same = F.transform("held", lambda x, j: F.coalesce(F.get("around", most - F.col("before") + j) == x, F.lit(False)).cast("int"))
     # a stretch lies within the item: its first and its last word exist
     whole = F.filter(F.sequence(F.lit(0), F.col("before")), lambda s: F.get("held", s).isNotNull() & F.get("held", s + F.col("width") - 1).isNotNull())
     sums = F.transform(whole, lambda s: F.aggregate(F.slice("same", s + 1, F.col("width")), F.lit(0), lambda a, x: a + x))
     out = None
     for b in range(blocks):
         block = spread if blocks == 1 else spread.where(F.pmod("seed", F.lit(blocks)) == b)
-        near = seeds.join(F.broadcast(block), "seed").select("doc_id", "items", "nameless", "width", "before", "held", same.alias("same"))
+        # first who has a seed at all, in compiled code; only a hit takes its surrounding along
+        hits = seeds.join(F.broadcast(block.select("seed").distinct()), "seed", "left_semi").select("doc_id", "seed", around.alias("around"))
+        near = hits.join(F.broadcast(block), "seed").select("doc_id", "items", "nameless", "width", "before", "held", same.alias("same"))
         near = near.select("doc_id", "items", "nameless", F.array_max(sums).alias("n_agree"), F.col("width").alias("n_compared")).where(F.col("n_agree") * 100 >= F.col("n_compared") * agree)
         ids = F.when(F.col("nameless"), F.concat("items", F.array(F.lit(None).cast("long")))).otherwise(F.col("items"))
         near = near.select("doc_id", F.explode(ids).alias("item_id"), "n_agree", "n_compared")
