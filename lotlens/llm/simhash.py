@@ -1,10 +1,11 @@
 """SimHash near-duplicates: fingerprints, links at a small Hamming distance, classes.
 
-Distinct fingerprints only are compared.  Two that differ in at most three of five blocks' bits agree on two whole blocks, so each
-fingerprint is dealt out under its ten pairs of blocks, and the fingerprints under one key are compared with the help of pivot
-distance tables: distances to reference fingerprints are precomputed, a pair whose distances to any pivot differ by more than the
-allowed bits is discarded (triangle inequality), and the rest is verified bit by bit.  A key yields a spanning forest of its links,
-never all pairs, so nothing grows with the square of a group.
+Distinct fingerprints only are compared.  Each has a row of the pivot distance table: its Hamming distances to PIVOTS reference
+fingerprints, worked out once and dealt out with it.  Two fingerprints that differ in at most three bits agree on two of five blocks
+(and, within such a bucket, on one of four quarters of the other bits: a bucket of more than LIMIT is dealt again by these, which loses
+no pair), so fingerprints meet under their ten pairs of blocks.  There they stand in the order of the first pivot distance; a
+pair is formed only if no distance in its two rows of the table differs by more than the allowed bits (the triangle inequality discards the others
+unseen), and is then verified bit by bit.  A larger group yields a spanning forest of its links, never all pairs.
 
 Defined cases: a null or empty text has fingerprint zero and is linked like any other; repeated rows share a class; an empty table
 gives an empty result; a null doc_id has a fingerprint and a class but is never the class id unless it stands alone (then null);
@@ -27,6 +28,8 @@ from .components import components
 WIDTH = 3
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 PIVOTS = 16
+#: The most fingerprints, or texts, that meet in one bucket.
+LIMIT = 4096
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
@@ -69,31 +72,88 @@ def pivots(n: int = PIVOTS) -> np.ndarray:
     return np.concatenate([[np.uint64(0)], np.random.default_rng(64).integers(0, 1 << 64, n - 1, np.uint64)])
 
 
+def pivot_table(fps: DataFrame) -> DataFrame:
+    """fp, table: of every distinct fingerprint the distances to the pivots."""
+    distances = [F.bit_count(F.col("fp").bitwiseXOR(F.lit(int(p)))).cast("byte") for p in pivots().view(np.int64)]
+    return fps.select("fp").distinct().select("fp", F.array(*distances).alias("table"))
+
+
 def forest(fps: np.ndarray, most: int = 3, table: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Index pairs of a spanning forest of the links among distinct fingerprints.
 
-    A found fingerprint is compared with those not yet found; the pivot table discards most of them unseen.
+    A found fingerprint meets those not yet found whose first pivot distance is near its own; the other pivots discard most of these.
     """
     if table is None:
         table = np.bitwise_count(fps[:, None] ^ pivots()[None, :]).astype(np.int8)
-    rest, out = np.arange(1, len(fps)), []
-    queue = [0]
-    while queue or len(rest):
-        if not queue:
-            queue, rest = [int(rest[0])], rest[1:]
+    order = np.argsort(table[:, 0], kind="stable")
+    first, rest, links = table[order, 0].astype(np.int64), np.ones(len(fps), bool), []
+    for start in range(len(fps)):
+        if not rest[start]:
             continue
-        x = queue.pop()
-        near = rest
-        for k in range(table.shape[1]):
-            near = near[np.abs(table[near, k] - table[x, k]) <= most]
-            if not len(near):
-                break
-        if len(near):
-            near = near[np.bitwise_count(fps[near] ^ fps[x]) <= most]
-        if len(near):
-            out += [(x, int(y)) for y in near]
+        rest[start] = False
+        queue = [start]
+        while queue:
+            x = queue.pop()  # places in the order of the first distance
+            lo, hi = np.searchsorted(first, [first[x] - most, first[x] + most + 1])
+            near = lo + np.flatnonzero(rest[lo:hi])
+            near = near[(np.abs(table[order[near], 1:] - table[order[x], 1:]) <= most).all(axis=1)]
+            near = near[np.bitwise_count(fps[order[near]] ^ fps[order[x]]) <= most]
+            rest[near] = False
+            links += [(int(order[x]), int(order[y])) for y in near]
             queue += near.tolist()
-            rest = np.setdiff1d(rest, near, assume_unique=True)
+    return links
+
+
+def pairs_of(sizes: np.ndarray, most_size: int):
+    """Places of all pairs within each group of at most ``most_size``; groups lie end to end."""
+    starts = np.cumsum(sizes) - sizes
+    for n in np.unique(sizes[(sizes > 1) & (sizes <= most_size)]).tolist():
+        at = starts[sizes == n]
+        i, j = np.triu_indices(n, 1)
+        yield (at[:, None] + i).reshape(-1), (at[:, None] + j).reshape(-1)
+
+
+def linked(fps: np.ndarray, table: np.ndarray, sizes: np.ndarray, most: int, small: int = 8) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """Places of linked pairs; of groups of up to ``small`` how many pairs there were and how many the pivots left to be verified."""
+    a, b, n, left = [], [], 0, 0
+    for x, y in pairs_of(sizes, small):
+        n += len(x)
+        for k in range(table.shape[1]):
+            near = np.abs(table[x, k] - table[y, k]) <= most
+            x, y = x[near], y[near]
+        left += len(x)
+        near = np.bitwise_count(fps[x] ^ fps[y]) <= most
+        a.append(x[near])
+        b.append(y[near])
+    starts = np.cumsum(sizes) - sizes
+    for s, m in zip(starts[sizes > small].tolist(), sizes[sizes > small].tolist()):
+        tree = np.array(forest(fps[s : s + m], most, table[s : s + m]), np.int64).reshape(-1, 2) + s
+        a.append(tree[:, 0])
+        b.append(tree[:, 1])
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *a]), np.concatenate([none, *b]), n, left
+
+
+def _mask(at: int, n: int) -> int:
+    """Bits at .. at + n - 1 of a fingerprint, as a signed number."""
+    m = ((1 << n) - 1) << at
+    return m - (1 << 64) if m >> 63 else m
+
+
+def _bucket_masks() -> list[tuple[int, list[int]]]:
+    """The bits of each pair of blocks, and of the four quarters of the others."""
+    out = []
+    for i in range(5):
+        for j in range(i + 1, 5):
+            mine = _mask(*BLOCKS[i]) | _mask(*BLOCKS[j])
+            other = [b for b in range(64) if not mine >> b & 1]
+            quarters = []
+            for part in np.array_split(other, 4):
+                more = mine
+                for b in part.tolist():
+                    more |= _mask(b, 1)
+                quarters.append(more)
+            out.append((mine, quarters))
     return out
 
 
@@ -101,24 +161,24 @@ def links(fps: DataFrame, most: int = 3) -> DataFrame:
     """Pairs (a, b) of the distinct values of ``fp`` whose components are those of all pairs within ``most`` (at most 3) bits."""
     if not 0 <= most <= 3:
         raise ValueError("five blocks find pairs that differ in three bits at most")
-    keys = []
-    for i in range(5):
-        for j in range(i + 1, 5):
-            (a, n), (b, m) = BLOCKS[i], BLOCKS[j]
-            block = [F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << k) - 1)) for at, k in ((a, n), (b, m))]
-            keys.append(F.shiftleft(block[0], 13).bitwiseOR(block[1]).bitwiseOR(F.lit((5 * i + j) << 30)))
-    dealt = fps.select("fp").distinct().select("fp", F.explode(F.array(*keys)).alias("key"))
+    masks = _bucket_masks()
+    part = lambda name, mask: F.struct(F.lit(name).alias("path"), F.col("fp").bitwiseAND(F.lit(mask)).alias("part"))
+    table = settle(pivot_table(fps))
+    dealt = table.select("fp", "table", F.explode(F.array(*(part(p, mask) for p, (mask, _) in enumerate(masks)))).alias("k")).select("fp", "table", "k.path", "k.part")
+    large = settle(dealt.groupBy("path", "part").agg(F.count("*").alias("n")).where(F.col("n") > LIMIT).select("path", "part"))
+    if not large.isEmpty():
+        again = F.array(*(F.array(*(part(16 * (p + 1) + q, mask) for q, mask in enumerate(quarters))) for p, (_, quarters) in enumerate(masks)))
+        split = dealt.join(large, ["path", "part"]).select("fp", "table", F.explode(F.get(again, F.col("path"))).alias("k")).select("fp", "table", "k.path", "k.part")
+        dealt = dealt.join(large, ["path", "part"], "left_anti").select("fp", "table", "path", "part").union(split)
     # keys that one fingerprint alone has end in Spark's own aggregation
-    groups = dealt.groupBy("key").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1).select("fps")
+    groups = dealt.groupBy("path", "part").agg(F.collect_list("fp").alias("fps"), F.flatten(F.collect_list("table")).alias("table")).where(F.size("fps") > 1).select("fps", "table")
 
     def compare(batches):
         for batch in batches:
-            pairs = []
-            for group in batch.column(0):
-                x = np.sort(group.values.to_numpy(zero_copy_only=False)).view(np.uint64)
-                pairs += [(x[i], x[j]) for i, j in forest(x, most)]
-            out = np.array(pairs, np.uint64).reshape(-1, 2).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["a", "b"])
+            x = batch.column(0).flatten().to_numpy().view(np.uint64)
+            rows = batch.column(1).flatten().to_numpy().reshape(-1, PIVOTS)
+            a, b, _, _ = linked(x, rows, np.diff(batch.column(0).offsets.to_numpy()), most)
+            yield ordered(x[a].view(np.int64), x[b].view(np.int64))
 
     return groups.mapInArrow(compare, "a long, b long").distinct()
 
@@ -138,26 +198,15 @@ def near_duplicates(docs: DataFrame, most: int = 3, width: int = WIDTH) -> DataF
 
 # --- classes by similarity ------------------------------------------------------------------------------------------
 
-#: The chance with which a pair at the threshold must share a band.
-RECALL = 0.97
-#: Fingerprints propose what may reach the threshold; the estimate from 1024 bits has a standard error of about 0.025 at 0.8.
+#: Two texts at the threshold of 0.8 share one of BANDS bands of BITS bits with a chance of 0.97, whatever the size of the corpus.
+BITS, BANDS = 18, 66
+#: Fingerprints propose what may reach the threshold; the estimate from 1216 bits has a standard error of about 0.024 at 0.8.
+WORDS = -(-BITS * BANDS // 64)
 MARGIN = 0.1
-WORDS = 16
 #: Two texts of Jaccard similarity 0.8 differ in 0.15 of the bits; of 64 bits, 9.7 on average and over 24 once in a million.
 SHORT_MOST = 24
-
-
-def band_bits(n: int) -> int:
-    """Bits of a band: as many as tell n unrelated texts apart, 16 at least."""
-    return max(16, int(n).bit_length())
-
-
-def band_count(bits: int, similarity: float, recall: float = RECALL) -> int:
-    """So many bands of ``bits`` bits that two texts of that similarity share one with a chance of ``recall``, at any size of corpus."""
-    differ = differing(similarity)
-    if differ == 0:
-        return 1
-    return max(1, math.ceil(math.log(1 - recall) / math.log1p(-((1 - differ) ** bits))))
+#: Members of a bucket over LIMIT that all of its parts hold.
+ANCHORS = 64
 
 
 def wide_fingerprint(shingles: np.ndarray, salts: np.ndarray) -> bytes:
@@ -238,14 +287,12 @@ def spanning(fps: np.ndarray, most: int) -> list[tuple[int, int]]:
     return out
 
 
-def crossing(fps: np.ndarray, label: np.ndarray, most: int):
-    """Arrays of index pairs: all pairs of different labels within ``most`` bits.  Members of the most frequent label are not compared."""
-    names, which, count = np.unique(label, return_inverse=True, return_counts=True)
-    rare = np.flatnonzero(which != count.argmax())
-    common = np.flatnonzero(which == count.argmax())
-    for k, x in enumerate(rare.tolist()):
-        later = rare[k + 1 :]
-        others = np.concatenate([common, later[which[later] != which[x]]])
+def crossing(fps: np.ndarray, label: np.ndarray, rare: np.ndarray, most: int):
+    """Arrays of index pairs: each ``rare`` member with all others of different labels within ``most`` bits; a pair of rare ones once."""
+    rares, common = np.flatnonzero(rare), np.flatnonzero(~rare)
+    for k, x in enumerate(rares.tolist()):
+        others = np.concatenate([common, rares[k + 1 :]])
+        others = others[label[others] != label[x]]
         for at in range(0, len(others), 65536):
             some = others[at : at + 65536]
             near = some[np.bitwise_count(fps[some] ^ fps[x]).sum(axis=1, dtype=np.int64) <= most]
@@ -253,33 +300,42 @@ def crossing(fps: np.ndarray, label: np.ndarray, most: int):
                 yield np.full(len(near), x), near
 
 
-def shared_buckets(nodes: DataFrame, bits: int, n_bands: int) -> DataFrame:
-    """What shares a band of ``bits`` bits and is not parted by the first 64 bits: pairs (a, b), or ``nodes`` of three or more."""
+def band_keys(nodes: DataFrame) -> DataFrame:
+    """key (band and its bits), node, short (the first 64 bits): a row for each band of each node."""
 
     def bands(batches):
         for batch in batches:
             fp = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-            short = np.ascontiguousarray(fp[:, :8]).view(">u8").astype(np.uint64).reshape(-1).view(np.int64)
-            rows = np.unpackbits(fp, axis=1)[:, : n_bands * bits].reshape(batch.num_rows, n_bands, bits)
-            keys = np.zeros((batch.num_rows, n_bands), np.uint64)
-            for k in range(bits):
-                keys = keys << np.uint64(1) | rows[:, :, k]
-            keys |= np.arange(n_bands, dtype=np.uint64) << np.uint64(48)
+            short = np.ascontiguousarray(fp[:, :8]).view(np.int64).reshape(-1)
+            rows = np.unpackbits(fp, axis=1)[:, : BANDS * BITS].reshape(batch.num_rows, BANDS, BITS)
+            keys = rows @ (1 << np.arange(BITS, dtype=np.int32)) + (np.arange(BANDS, dtype=np.int32) << BITS)
             node = np.asarray(batch.column(0))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64).reshape(-1)), pa.array(np.repeat(node, n_bands)), pa.array(np.repeat(short, n_bands))], ["key", "node", "short"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).astype(np.int32)), pa.array(np.repeat(node, BANDS)), pa.array(np.repeat(short, BANDS))], ["key", "node", "short"])
+
+    return nodes.select("node", "fp").mapInArrow(bands, "key int, node long, short long")
 
-    dealt = nodes.select("node", "fp").mapInArrow(bands, "key long, node long, short long")
+
+def shared_buckets(dealt: DataFrame) -> DataFrame:
+    """What shares a bucket and is not parted by the first 64 bits: pairs (a, b), or ``nodes`` of three or more."""
     groups = dealt.groupBy("key").agg(F.collect_list("node").alias("nodes"), F.collect_list("short").alias("shorts")).where(F.size("nodes") > 1).select("nodes", "shorts")
 
     def compare(batches):
         for batch in batches:
             sizes = np.diff(batch.column(0).offsets.to_numpy())
             node, short = batch.column(0).flatten().to_numpy(), batch.column(1).flatten().to_numpy().view(np.uint64)
-            starts = np.cumsum(sizes) - sizes
-            two = starts[sizes == 2]
-            near = two[np.bitwise_count(short[two] ^ short[two + 1]) <= SHORT_MOST]
-            a, b, more = [node[near]], [node[near + 1]], []
-            for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
+            starts, owner = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(sizes)), sizes)
+            near = [np.zeros((0, 2), np.int64)]
+            for x, y in pairs_of(sizes, 32):
+                for at in range(0, len(x), 1 << 20):
+                    some = slice(at, at + (1 << 20))
+                    ok = np.bitwise_count(short[x[some]] ^ short[y[some]]) <= SHORT_MOST
+                    near.append(np.stack([x[some][ok], y[some][ok]], axis=1))
+            near = np.concatenate(near)
+            found = np.bincount(owner[near[:, 0]], minlength=len(sizes))
+            alone = near[found[owner[near[:, 0]]] == 1]
+            a, b, more = [node[alone[:, 0]]], [node[alone[:, 1]]], []
+            busy = np.flatnonzero((found > 1) | (sizes > 32))
+            for s, n in zip(starts[busy].tolist(), sizes[busy].tolist()):
                 order = np.argsort(node[s : s + n]) + s
                 for group in clusters(short[order], SHORT_MOST):
                     who = node[order[group]]
@@ -303,9 +359,10 @@ def ordered(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
 
 
-def first_candidates(found: DataFrame, fps: DataFrame, similarity: float) -> DataFrame:
+def first_candidates(found: DataFrame, large: DataFrame, fps: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) to be decided first: what shares a bucket alone and reaches the threshold less MARGIN by the estimate; of every larger
-    group a spanning forest of the estimates at the threshold itself, so that large groups of close copies give no squares of pairs."""
+    group, and of every part of a bucket over LIMIT, a spanning forest of the estimates at the threshold itself, so that large groups of close
+    copies give no squares of pairs."""
     margin, close = bits_apart(max(0.0, similarity - MARGIN)), bits_apart(similarity)
 
     def verify(batches):
@@ -328,28 +385,41 @@ def first_candidates(found: DataFrame, fps: DataFrame, similarity: float) -> Dat
                     b.append(node[order[y]])
             yield ordered(np.array(a, np.int64), np.array(b, np.int64))
 
-    members = found.where("nodes IS NOT NULL").select(F.xxhash64("nodes").alias("g"), F.explode("nodes").alias("node"))
-    groups = members.join(fps, "node").groupBy("g").agg(F.collect_list("node").alias("nodes"), F.collect_list("fp").alias("fps"))
+    members = found.where("nodes IS NOT NULL").select(F.xxhash64("nodes").alias("g"), F.lit(0).alias("part"), F.explode("nodes").alias("node")).union(large)
+    groups = members.join(fps, "node").groupBy("g", "part").agg(F.collect_list("node").alias("nodes"), F.collect_list("fp").alias("fps"))
     return pairs.union(groups.select("nodes", "fps").mapInArrow(connect, "a long, b long"))
 
 
-def open_candidates(found: DataFrame, fps: DataFrame, member: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of larger groups that are in different classes yet and reach the threshold less MARGIN by the estimate: all of them."""
+def open_candidates(found: DataFrame, large: DataFrame, fps: DataFrame, member: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of larger groups that are in different classes yet and reach the threshold less MARGIN by the estimate: all of them.
+
+    A group's most frequent class is not compared with itself.  What is outside it (``rare``) meets all members, both in parts of at most
+    LIMIT, so that a task holds two parts however large the group is.
+    """
     margin = bits_apart(max(0.0, similarity - MARGIN))
 
     def cross(batches):
         for batch in batches:
-            for node, label, fp in zip(*batch.columns):
-                node = node.values.to_numpy()
-                for x, y in crossing(wide(fp.values), label.values.to_numpy(), margin):
-                    yield ordered(node[x], node[y])
+            for node, label, rare, fp in zip(*batch.columns):
+                node, label, rare, fp = node.values.to_numpy(), label.values.to_numpy(), rare.values.to_numpy(zero_copy_only=False), wide(fp.values)
+                if rare.any():
+                    for x, y in crossing(fp, label, rare, margin):
+                        yield ordered(node[x], node[y])
 
-    members = found.where("nodes IS NOT NULL").select(F.xxhash64("nodes").alias("g"), F.explode("nodes").alias("node"))
+    members = found.where("nodes IS NOT NULL").select(F.xxhash64("nodes").alias("g"), F.explode("nodes").alias("node")).union(large.select("g", "node").distinct())
     members = settle(members.join(member, "node", "left").select("g", "node", F.coalesce("component", "node").alias("label")))
-    divided = members.groupBy("g").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("g")
-    groups = members.join(divided, "g", "left_semi").join(fps, "node").groupBy("g")
-    groups = groups.agg(F.collect_list("node").alias("nodes"), F.collect_list("label").alias("labels"), F.collect_list("fp").alias("fps"))
-    return groups.select("nodes", "labels", "fps").mapInArrow(cross, "a long, b long")
+    counts = members.groupBy("g", "label").agg(F.count("*").alias("n")).groupBy("g").agg(F.count("*").alias("labels"), F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n"))
+    counts = counts.where("labels > 1").select("g", F.col("top.label").alias("top"), F.ceil((F.col("n") - F.col("top.n")) / LIMIT).cast("int").alias("rares"), F.ceil(F.col("n") / LIMIT).cast("int").alias("alls"))
+    rows = members.join(counts, "g").withColumn("rare", F.col("label") != F.col("top"))
+    at = lambda parts: F.pmod(F.xxhash64("node"), F.col(parts)).cast("int")
+    every = lambda parts: F.sequence(F.lit(0), F.col(parts) - 1)
+    rare = rows.where("rare").select("g", "node", "label", F.lit(True).alias("rare"), at("rares").alias("r"), F.explode(every("alls")).alias("c"))
+    rest = rows.select("g", "node", "label", F.lit(False).alias("rare"), F.explode(every("rares")).alias("r"), at("alls").alias("c"))
+    # a rare member that its own part of all members holds too comes once, as rare
+    dealt = rare.union(rest).groupBy("g", "r", "c", "node", "label").agg(F.max("rare").alias("rare"))
+    groups = dealt.join(fps, "node").groupBy("g", "r", "c")
+    groups = groups.agg(F.collect_list("node").alias("nodes"), F.collect_list("label").alias("labels"), F.collect_list("rare").alias("rares"), F.collect_list("fp").alias("fps"))
+    return groups.select("nodes", "labels", "rares", "fps").mapInArrow(cross, "a long, b long")
 
 
 def decided(pairs: DataFrame, docs: DataFrame, rows: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -372,12 +442,21 @@ def decided(pairs: DataFrame, docs: DataFrame, rows: DataFrame, width: int, simi
     return settle(both.where((F.least(F.size("x"), F.size("y")) >= least) & (F.size(F.array_intersect("x", "y")) >= least)).select("a", "b"))
 
 
-def similar_classes(docs: DataFrame, rows: DataFrame, nodes: DataFrame, bits: int, n_bands: int, width: int, similarity: float) -> DataFrame:
+def similar_classes(docs: DataFrame, rows: DataFrame, nodes: DataFrame, width: int, similarity: float) -> DataFrame:
     """(node, component) of every node that has a link: the classes of all pairs that share a bucket, are proposed and are similar."""
-    found = shared_buckets(nodes, bits, n_bands)
-    fps = settle(nodes.select("node", F.expr(f"substring(fp, 1, {8 * WORDS})").alias("fp")))
-    member = components(decided(first_candidates(found, fps, similarity), docs, rows, width, similarity))
-    more = decided(open_candidates(found, fps, member, similarity), docs, rows, width, similarity)
+    dealt = settle(band_keys(nodes))
+    size = F.col("n")
+    over = settle(dealt.groupBy("key").agg(F.count("*").alias("n")).where(size > LIMIT))
+    found = shared_buckets(dealt if over.isEmpty() else dealt.join(over, "key", "left_anti"))
+    # buckets over LIMIT: parts by a hash of the node, and ANCHORS members that every part has
+    place = F.xxhash64("node")
+    wide_ones = dealt.join(over, "key").select(F.col("key").cast("long").alias("g"), "n", "node", F.ceil(size / (LIMIT - ANCHORS)).cast("int").alias("parts"))
+    anchors = F.pmod(place, size) < ANCHORS
+    part = F.when(anchors, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(place, F.col("parts")).cast("int")))
+    large = settle(wide_ones.select("g", F.explode(part).alias("part"), "node"))
+    fps = settle(nodes.select("node", "fp"))
+    member = components(decided(first_candidates(found, large, fps, similarity), docs, rows, width, similarity))
+    more = decided(open_candidates(found, large, fps, member, similarity), docs, rows, width, similarity)
     if more.isEmpty():
         return member
     return components(member.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
@@ -400,16 +479,14 @@ def repeats(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFra
     """doc_id, row (xxhash64 of the text) of every row that is not the least doc_id of its class of similar texts.
 
     Similar: a Jaccard similarity of word shingles of ``similarity`` or more.  SimHash fingerprints propose pairs, the sets of shingles decide
-    each; a pair at the threshold is proposed with a chance of RECALL or more, a closer one nearly always.  A text without words has
+    each; a pair at 0.8 is proposed with a chance of 0.97, a closer one nearly always, at any size of corpus.  A text without words has
     no shingles and stays; rows with a null doc_id stay and make no other row a repeat.
     """
     docs = docs.where(F.col("doc_id").isNotNull() & F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False)))
-    bits = band_bits(docs.count())
-    n_bands = band_count(bits, similarity)
-    salts = H.mix(np.arange(1, max(WORDS, -(-n_bands * bits // 64)) + 1, dtype=np.uint64))  # 64 bits each
+    salts = H.mix(np.arange(1, WORDS + 1, dtype=np.uint64))  # 64 bits each
     rows = settle(wide_fingerprints(docs, width, salts))
     nodes = settle(rows.groupBy("node").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("least")))
-    member = similar_classes(docs, rows, nodes, bits, n_bands, width, similarity)
+    member = similar_classes(docs, rows, nodes, width, similarity)
     named = settle(nodes.drop("fp").join(member, "node", "left").withColumn("component", F.coalesce("component", "node")))
     least = named.groupBy("component").agg(F.min("least").alias("first"))
     table = named.join(least, "component").select("node", "first")

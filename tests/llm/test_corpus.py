@@ -303,6 +303,88 @@ def test_simhash_classes(spark, data):
                 assert found[int(signed[i])] == found[int(signed[j])]
 
 
+def test_pivots_discard_before_pairs_are_verified():
+    rng = np.random.default_rng(3)
+    fps = rng.integers(0, 1 << 64, 8000, np.uint64)
+    fps[1::8] = fps[::8] ^ np.uint64(5)
+    table = np.bitwise_count(fps[:, None] ^ simhash.pivots()[None, :]).astype(np.int8)
+    a, b, pairs, left = simhash.linked(fps, table, np.full(1000, 8), 3)
+    want = {(8 * g + i, 8 * g + j) for g in range(1000) for i in range(8) for j in range(i + 1, 8) if bin(int(fps[8 * g + i] ^ fps[8 * g + j])).count("1") <= 3}
+    assert set(zip(a.tolist(), b.tolist())) == want and len(want) == 1000
+    assert pairs == 28000 and 1000 <= left < 1100  # the pivots discard over 99 percent of the unrelated pairs
+    a, b, _, _ = simhash.linked(fps, table, np.full(20, 400), 3)
+    assert {(min(x), max(x)) for x in zip(a.tolist(), b.tolist())} == want
+
+
+def test_large_buckets_of_fingerprints_are_dealt_again(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "LIMIT", 20)
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 1 << 38, 400, np.uint64)  # all agree on the two upper blocks
+    x[200:] = x[:200] ^ (np.uint64(1) << rng.integers(0, 38, 200, np.uint64)) ^ (np.uint64(1) << rng.integers(0, 38, 200, np.uint64)) ^ (np.uint64(1) << rng.integers(0, 38, 200, np.uint64))
+    x = np.unique(x).view(np.int64)
+    found = {r.node: r.component for r in components.components(simhash.links(spark.createDataFrame([(int(v),) for v in x], "fp long"))).collect()}
+    name = {int(v): int(v) for v in x}
+    near = [(int(v), int(u)) for v in x for u in x if v < u and bin(int(v) ^ int(u)).count("1") <= 3]
+    for _ in range(20):
+        for v, u in near:
+            name[v] = name[u] = min(name[v], name[u])
+    assert len(near) >= 200 and all(found.get(v, v) == c for v, c in name.items())
+
+
+def shingles(t):
+    w = (t or "").encode().lower().split()
+    return frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def similar_pairs(sets, least=0.8):
+    """All pairs of different sets with a Jaccard similarity of ``least``: two such share one of the first (1 - least) of their members in any order."""
+    places, out = collections.defaultdict(list), set()
+    for k, s in enumerate(sets):
+        for x in sorted(s, key=hash)[: len(s) - math.ceil(least * len(s)) + 1]:
+            for j in places[x]:
+                if (j, k) not in out and len(s & sets[j]) >= least * len(s | sets[j]):
+                    out.add((j, k))
+            places[x].append(k)
+    return out
+
+
+def test_recall_of_similar_pairs(spark, sf_dir):
+    """Of all pairs of different sets of shingles at 0.8 or more, how many end in one class."""
+    docs = spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/documents.parquet")
+    sets = {r.doc_id: shingles(r.text) for r in docs.select("doc_id", "text").collect()}
+    first = {}
+    for i in sorted(sets):
+        first.setdefault(sets[i], i)
+    kinds = [s for s in first if s]
+    pairs = similar_pairs(kinds)
+    left = {r.doc_id for r in simhash.keep_one(docs).select("doc_id").collect()}
+    name = {k: k for k in range(len(kinds))}
+    for _ in range(30):
+        for j, k in pairs:
+            name[j] = name[k] = min(name[j], name[k], key=lambda x: first[kinds[x]])
+    want = {first[s] for k, s in enumerate(kinds) if name[k] == k} | {i for i, s in sets.items() if not s}
+    assert pairs and want <= left  # nothing goes that brute force keeps
+    assert len(left - want) <= 0.1 * (len(sets) - len(want))
+
+
+def test_buckets_over_the_limit_lose_nothing(spark, monkeypatch):
+    """Copies that only their original links, in buckets that are dealt in parts."""
+    monkeypatch.setattr(simhash, "LIMIT", 100)
+    monkeypatch.setattr(simhash, "ANCHORS", 10)
+    rng = np.random.default_rng(11)
+    original = [f"w{int(x)}" for x in rng.integers(0, 10**6, 304)]
+    texts = [(500, " ".join(original))]
+    for k in range(400):
+        w = list(original)
+        for at in rng.choice(60, 4, replace=False) * 5 + 2:
+            w[at] = f"edit{k}x{int(at)}"
+        texts.append((k, " ".join(w)))
+    texts += [(1000 + k, " ".join(f"v{int(x)}" for x in rng.integers(0, 10**6, 100))) for k in range(50)]
+    df, _ = fixture.docs(spark, texts=texts)
+    left = sorted(r.doc_id for r in simhash.keep_one(df).select("doc_id").collect())
+    assert set(range(1000, 1050)) <= set(left) and left[0] == 0 and len(left) <= 50 + 1 + 4
+
+
 def test_similar_texts_keep_one(spark):
     rng = np.random.default_rng(7)
     base = [" ".join(f"w{int(x)}" for x in rng.integers(0, 5000, 150)) for _ in range(20)]
