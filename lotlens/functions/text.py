@@ -16,9 +16,13 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+#: White space, the Unicode separators and the byte-order mark, as a class of a pattern.
+BLANK = r"[\s\x0B\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
+
+
 def strip(c: Column | str) -> Column:
-    """Without white space at both ends, tabs and line breaks included."""
-    return F.regexp_replace(col(c), r"^\s+|\s+$", "")
+    """Without white space at both ends, tabs, line breaks and no-break spaces included."""
+    return F.regexp_replace(col(c), f"^{BLANK}+|{BLANK}+$", "")
 
 
 def lines(c: Column | str) -> Column:

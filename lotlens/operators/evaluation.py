@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,12 +72,29 @@ def latency(records: DataFrame, order: str = "seq", duration: str = "duration_s"
     # the first record is the least of the order: one number, found without sorting the table in one task
     rows = records.crossJoin(F.broadcast(records.agg(F.min(order).alias("_first"))))
     rest = F.when(F.col(order) > F.col("_first"), F.col(duration))
-    return rows.agg(
-        F.min(F.when(F.col(order) == F.col("_first"), F.col(duration))).alias("cold_start_s"),
-        F.coalesce(F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY CASE WHEN {order} > _first THEN {duration} END)"), F.lit(0.0)).alias("p50"),
-        F.coalesce(F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY CASE WHEN {order} > _first THEN {duration} END)"), F.lit(0.0)).alias("p95"),
-        F.round(F.coalesce(F.avg(rest), F.lit(0.0)), 6).alias("avg_s"), F.count(rest).alias("n"),
-    )
+    sums = rows.agg(F.min(F.when(F.col(order) == F.col("_first"), F.col(duration))).alias("cold_start_s"), F.round(F.coalesce(F.avg(rest), F.lit(0.0)), 6).alias("avg_s"), F.count(rest).alias("n"))
+    ranked = nearest_ranks(rows.where(F.col(order) > F.col("_first")), duration, {"p50": 0.5, "p95": 0.95})
+    return sums.crossJoin(F.broadcast(ranked)).select("cold_start_s", *(F.coalesce(p, F.lit(0.0)).alias(p) for p in ("p50", "p95")), "avg_s", "n")  # one row each
+
+
+def nearest_ranks(rows: DataFrame, value: str, shares: dict[str, float], slices: int = 4096) -> DataFrame:
+    """One row: for each name the least value that at least that share of the rows do not exceed (null without rows).
+
+    Values are counted first; ``slices`` equal parts of their range are summed to find the slice that holds each rank, and only the
+    values of these slices are put in order.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("k"))
+    span = counts.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("k").alias("total"))
+    place = F.when(F.col("hi") > F.col("lo"), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * (slices - 1))).otherwise(F.lit(0))
+    counts = counts.crossJoin(F.broadcast(span)).withColumn("slice", place.cast("int"))  # one row
+    parts = counts.groupBy("slice", "total").agg(F.sum("k").alias("m"))
+    # at most ``slices`` rows meet in the one window without a key
+    parts = parts.withColumn("upto", F.sum("m").over(Window.orderBy("slice")))
+    wanted = {n: F.ceil(F.round(F.col("total") * p, 9)) for n, p in shares.items()}
+    held = reduce(lambda a, b: a | b, ((F.col("upto") >= w) & (F.col("upto") - F.col("m") < w) for w in wanted.values()))
+    near = counts.join(F.broadcast(parts.where(held).select("slice", (F.col("upto") - F.col("m")).alias("before"))), "slice")  # a slice for each share
+    near = near.withColumn("upto", F.col("before") + F.sum("k").over(Window.partitionBy("slice").orderBy("v")))
+    return near.agg(*(F.min(F.when(F.col("upto") >= w, F.col("v"))).alias(n) for n, w in wanted.items()))
 
 
 def throughput(records: DataFrame, elapsed: Column) -> DataFrame:

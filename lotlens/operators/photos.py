@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,16 +15,24 @@ from ..functions.text import has_findings, response_score, strip, strip_tags, to
 def near_pairs(photos: DataFrame, most: int = R.NEAR_BITS, group: str | None = "sale_id", key: str = "image_id", phash: str = "phash") -> DataFrame:
     """a, b, bits: pairs of photos whose hashes differ in at most ``most`` bits, inside a group or (None) everywhere.
 
-    Two hashes that differ in so many bits agree on one of most + 1 blocks of bits, so only photos that share a block are compared.
+    Two hashes that differ in so many bits agree on one of most + 1 blocks of bits, so only photos that share a block are compared, and a
+    pair is kept where it first meets.  Where blocks are too narrow to tell hashes apart (under six bits), a group's photos are compared directly.
     """
     n = most + 1
+    if group is not None and 64 // n < 6:
+        rows = photos.where(F.col(phash).isNotNull()).select(group, F.col(key).alias("k"), F.col(phash).alias("h"))
+        pairs = rows.withColumnsRenamed({"k": "a", "h": "ha"}).join(rows.withColumnsRenamed({"k": "b", "h": "hb"}), group).where("a < b")
+        return pairs.withColumn("distance", hamming("ha", "hb")).where(F.col("distance") <= most).select(group, "a", "b", "distance")
     edges = [64 * i // n for i in range(n + 1)]
     blocks = F.array(*(F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(phash, edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1)).alias("bits")) for i in range(n)))
     keys = [] if group is None else [group]
     dealt = photos.where(F.col(phash).isNotNull()).select(*keys, F.col(key).alias("k"), F.col(phash).alias("h"), F.explode(blocks).alias("b")).select(*keys, "k", "h", "b.block", "b.bits")
     on = [*keys, "block", "bits"]
     pairs = dealt.withColumnsRenamed({"k": "a", "h": "ha"}).join(dealt.withColumnsRenamed({"k": "b", "h": "hb"}), on).where("a < b")
-    return pairs.withColumn("distance", hamming("ha", "hb")).where(F.col("distance") <= most).select(*keys, "a", "b", "distance").distinct()
+    differ = F.col("ha").bitwiseXOR(F.col("hb"))
+    same = [F.when(F.shiftrightunsigned(differ, edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1)) == 0, F.lit(i)) for i in range(n)]
+    pairs = pairs.where(F.col("block") == F.coalesce(*same))
+    return pairs.withColumn("distance", hamming("ha", "hb")).where(F.col("distance") <= most).select(*keys, "a", "b", "distance")
 
 
 def collapse(photos: DataFrame, most: int = R.NEAR_BITS, group: str = "sale_id", order: str = "position", key: str = "image_id", phash: str = "phash") -> DataFrame:
@@ -114,7 +124,7 @@ def escalation_evidence(df: DataFrame, group: str, k: int = R.EVIDENCE) -> DataF
 
 def budget_select(df: DataFrame, group: str, score: str, key: str, budget: float, cost: float, floor: int = 4) -> DataFrame:
     """The budget's worth of rows: first each group's ``floor`` best, then the best of all; ``pick`` from 1."""
-    k = int(budget / cost)
+    k = int(Decimal(str(budget)) / Decimal(str(cost)))  # in decimals: 0.3 pays for three at 0.1
     best = Window.partitionBy(group).orderBy(F.desc(score), key)
     rows = df.withColumn("tier", F.when(F.row_number().over(best) <= floor, 0).otherwise(1))
     return rows.orderBy("tier", F.desc(score), key).limit(k)

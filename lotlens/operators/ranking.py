@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions.text import col, finding_score, finding_tag, keyword_match, thumb_url
+from .search import containing
 
 
 def upcoming(sales: DataFrame, as_of: Column) -> DataFrame:
@@ -71,12 +72,12 @@ def category_totals(scored_findings: DataFrame) -> DataFrame:
 def hunt_matches(findings: DataFrame, hunts: DataFrame) -> DataFrame:
     """finding_id, sale_id, hunt_id, name: pairs of which any keyword of the hunt occurs in the finding.
 
-    Hunts are a user's saved searches, so their distinct keywords are the small side; each description is tested against all of them at
-    once before the pairs are formed.
+    Each description is tested against the distinct keywords of all hunts, however many hunts share one.
     """
     words = hunts.select("hunt_id", "name", F.explode("keywords").alias("keyword")).where("keyword <> ''")
-    pairs = findings.select("finding_id", "sale_id", "description").join(words, F.contains(F.lower("description"), F.lower("keyword")))
-    return pairs.select("finding_id", "sale_id", "hunt_id", "name").distinct()
+    words = words.groupBy(F.lower("keyword").alias("keyword")).agg(F.collect_set(F.struct("hunt_id", "name")).alias("hunts"))
+    hits = containing(findings.select("finding_id", "sale_id", F.lower("description").alias("d")), "d", words, "keyword")
+    return hits.select("finding_id", "sale_id", F.explode("hunts").alias("h")).select("finding_id", "sale_id", "h.hunt_id", "h.name").distinct()
 
 
 def hunt_match_counts(findings: DataFrame, hunts: DataFrame) -> DataFrame:

@@ -55,11 +55,17 @@ IMAGES = """
 SELECT f.finding_id AS image_id, f.sale_id, f.source_id, e.vec_id, e.embedding, CASE WHEN e.label = 9 THEN 'stale' ELSE 'current' END AS embed_model
 FROM (SELECT f.*, f.part_id % k.n AS vec FROM {findings} f CROSS JOIN (SELECT count(*) AS n FROM {embeddings}) k) f JOIN {embeddings} e ON f.vec = e.vec_id"""
 
+#: Three saved hunts for every thousandth customer.
 HUNTS = """
-SELECT * FROM (VALUES ('u1', 1, 'watches', array('watch')), ('u1', 2, 'home', array('turntable', 'CREDENZA')), ('u1', 3, 'home', array('lamp'))) AS t(owner, hunt_id, name, keywords)"""
+SELECT concat('u', CAST(c.c_custkey AS STRING)) AS owner, c.c_custkey * 10 + h.k AS hunt_id, h.name, h.keywords FROM {customer} c
+CROSS JOIN (SELECT * FROM (VALUES (1, 'watches', array('watch')), (2, 'home', array('turntable', 'CREDENZA')), (3, 'home', array('lamp'))) AS t(k, name, keywords)) h
+WHERE c.c_custkey % 1000 = 1"""
 
+#: Searches: a text and a vector for every hundredth vector.
 QUERIES = """
-SELECT * FROM (VALUES (1, 'couch'), (2, 'Record player'), (3, 'pocket watch'), (4, 'urgent sale'), (5, 'nothing at all'), (6, 'toy')) AS t(query_id, query)"""
+SELECT e.vec_id AS query_id, CASE CAST(floor(e.vec_id / 100) AS INT) % 6 WHEN 0 THEN 'couch' WHEN 1 THEN 'Record player' WHEN 2 THEN 'pocket watch'
+       WHEN 3 THEN 'urgent sale' WHEN 4 THEN 'nothing at all' ELSE 'toy' END AS query, e.embedding
+FROM {embeddings} e WHERE e.vec_id % 100 = 0"""
 
 #: The click stream as scan events: a user is a sale, and seq is the order of time.
 EVENTS = """
@@ -70,7 +76,7 @@ FROM {events}"""
 #: Documents judged by a length rule, in two runs; the label is what was expected.
 RESULTS = """
 SELECT m.run, d.doc_id, d.source, CASE d.doc_id % 4 WHEN 0 THEN 'seating' WHEN 1 THEN 'electronics' WHEN 2 THEN 'art' ELSE 'kitsch' END AS category,
-       CASE WHEN d.n_chars > m.least THEN substring(d.text, 1, 1200) ELSE 'NOTHING' END AS raw, array('the', 'eau') AS expected_keywords, l.quality = 0 AS expect_nothing,
+       CASE WHEN d.n_chars > m.least THEN d.text ELSE 'NOTHING' END AS raw, array('the', 'eau') AS expected_keywords, l.quality = 0 AS expect_nothing,
        CASE WHEN d.doc_id % 11 = 0 THEN 'timeout' END AS error, d.n_chars / 1000.0 AS duration_ms
 FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id CROSS JOIN (SELECT * FROM (VALUES ('long', 1000), ('short', 200)) AS t(run, least)) m"""
 

@@ -10,7 +10,8 @@ def lit(s: str) -> str:
 
 
 def trim(x: str) -> str:
-    return rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+    blank = r"[\s\x0B\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+    return f"regexp_replace({x}, '^{blank}+|{blank}+$', '', 'g')"
 
 
 def has(x: str, pattern: str) -> str:

@@ -10,24 +10,26 @@ from ..streaming import progress as G
 from .bindings import Tables
 from .register import query
 
-#: Old rows: customers under 1000.  Changes: customers from 900 on, with a higher balance, and no segment for every third.
-NEW = "(SELECT c_custkey, c_acctbal + 1 AS c_acctbal, CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment || '!' END AS c_mktsegment FROM customer WHERE c_custkey >= 900)"
-OLD = "(SELECT c_custkey, c_acctbal, c_mktsegment FROM customer WHERE c_custkey < 1000)"
+#: Old rows: all customers.  Changes: the customers that have orders, with a higher balance and no segment for every third, and suppliers as new rows.
+NEW = "(SELECT c_custkey, c_acctbal + 1 AS c_acctbal, CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment || '!' END AS c_mktsegment FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders) UNION ALL SELECT 1000000000000 + s_suppkey, s_acctbal, CASE WHEN s_suppkey % 3 <> 0 THEN 'supplier' END FROM supplier)"
+OLD = "(SELECT c_custkey, c_acctbal, c_mktsegment FROM customer)"
 
 
 def old(t: Tables):
-    return t.customer.where("c_custkey < 1000").select("c_custkey", "c_acctbal", "c_mktsegment")
+    return t.customer.select("c_custkey", "c_acctbal", "c_mktsegment")
 
 
 def new(t: Tables):
     segment = F.when(F.col("c_custkey") % 3 != 0, F.concat("c_mktsegment", F.lit("!")))
-    return t.customer.where("c_custkey >= 900").select("c_custkey", (F.col("c_acctbal") + 1).alias("c_acctbal"), segment.alias("c_mktsegment"))
+    ordering = t.customer.join(t.orders.select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi")
+    rows = ordering.select("c_custkey", (F.col("c_acctbal") + 1).alias("c_acctbal"), segment.alias("c_mktsegment"))
+    return rows.unionByName(t.supplier.select((F.col("s_suppkey") + 1000000000000).alias("c_custkey"), F.col("s_acctbal").alias("c_acctbal"), F.when(F.col("s_suppkey") % 3 != 0, "supplier").alias("c_mktsegment")))
 
 
 KEY = ["c_custkey"]
 
 
-@query("upsert_insert_only", sql=f"SELECT *, md5(c_custkey || '|' || 'c') AS row_id FROM (SELECT c_custkey, round(c_acctbal, 6) AS c_acctbal, c_mktsegment FROM {OLD} UNION ALL SELECT c_custkey, round(c_acctbal, 6), c_mktsegment FROM {NEW} WHERE c_custkey >= 1000)")
+@query("upsert_insert_only", sql=f"SELECT *, md5(c_custkey || '|' || 'c') AS row_id FROM (SELECT c_custkey, round(c_acctbal, 6) AS c_acctbal, c_mktsegment FROM {OLD} UNION ALL SELECT c_custkey, round(c_acctbal, 6), c_mktsegment FROM {NEW} WHERE c_custkey NOT IN (SELECT c_custkey FROM customer))")
 def _(t):
     out = C.insert_only(old(t), new(t).unionByName(new(t)), KEY)
     return out.withColumn("c_acctbal", F.round("c_acctbal", 6)).withColumn("row_id", C.surrogate_key("c_custkey", F.lit("c")))
@@ -38,18 +40,18 @@ def _(t):
     return C.upsert_coalesce(old(t), new(t), KEY).withColumn("c_acctbal", F.round("c_acctbal", 6))
 
 
-@query("upsert_replace", sql=f"SELECT c_custkey, round(c_acctbal, 6) AS c_acctbal, c_mktsegment FROM {NEW} UNION ALL SELECT c_custkey, round(c_acctbal, 6), c_mktsegment FROM {OLD} WHERE c_custkey < 900")
+@query("upsert_replace", sql=f"SELECT c_custkey, round(c_acctbal, 6) AS c_acctbal, c_mktsegment FROM {NEW} UNION ALL SELECT c_custkey, round(c_acctbal, 6), c_mktsegment FROM {OLD} WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
 def _(t):
     twice = new(t).withColumn("at", F.lit(2)).unionByName(new(t).withColumns({"c_acctbal": F.lit(0.0), "at": F.lit(1)}))
     return C.upsert_replace(old(t), C.last_of(twice, KEY, "at").drop("at"), KEY).withColumn("c_acctbal", F.round("c_acctbal", 6))
 
 
-@query("update_columns", sql=f"SELECT c_custkey, round(c_acctbal, 6) AS c_acctbal, CASE WHEN c_custkey >= 900 THEN CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment || '!' END ELSE c_mktsegment END AS c_mktsegment FROM {OLD}")
+@query("update_columns", sql=f"SELECT c_custkey, round(c_acctbal, 6) AS c_acctbal, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders) THEN CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment || '!' END ELSE c_mktsegment END AS c_mktsegment FROM {OLD}")
 def _(t):
     return C.update_columns(old(t), new(t), KEY, ["c_mktsegment"]).withColumn("c_acctbal", F.round("c_acctbal", 6))
 
 
-@query("delete_keys", sql=f"SELECT c_custkey, c_mktsegment FROM {OLD} WHERE c_custkey < 900")
+@query("delete_keys", sql=f"SELECT c_custkey, c_mktsegment FROM {OLD} WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
 def _(t):
     return C.delete_keys(old(t), new(t), KEY).select("c_custkey", "c_mktsegment")
 
@@ -109,7 +111,11 @@ def _log_dir(t: Tables) -> str:
     import tempfile
     import uuid
 
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lotlens-")
+    base = t.spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not t.spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="lotlens-")
     return f"{base.rstrip('/')}/events-{uuid.uuid4().hex}"
 
 
@@ -132,8 +138,28 @@ def _(t):
 
 @query("scan_progress_stream", "scan_events", sql=f"WITH {LAST} {PROGRESS}")
 def _(t):
-    """scan_progress kept up by a stream that has read all events."""
+    """scan_progress kept up by a stream over several micro-batches, in the order of the events."""
     path = _log_dir(t)
-    t.scan_events.write.json(f"{path}/in")
-    G.maintain(G.read_stream(t.spark, f"{path}/in"), f"{path}/log", G.scan_progress, f"{path}/state", f"{path}/cp").awaitTermination()
-    return t.spark.read.parquet(f"{path}/state/v=0").withColumn("last_value", F.round("last_value", 6))
+    t.scan_events.repartitionByRange(4, "seq").write.json(f"{path}/in")
+    G.fold_stream(G.read_stream(t.spark, f"{path}/in"), f"{path}/state", f"{path}/cp").awaitTermination()
+    return G.latest_state(t.spark, f"{path}/state").withColumn("last_value", F.round("last_value", 6))
+
+
+@query("skip_processed_stream", "findings", sql="SELECT DISTINCT finding_id AS image_url FROM findings")
+def _(t):
+    """Photos that arrive twice, in several micro-batches, are taken once."""
+    path = _log_dir(t)
+    urls = t.findings.select(F.col("finding_id").alias("image_url"))
+    urls.unionByName(urls).repartition(3).write.json(f"{path}/in")
+    G.ingest_new(G.read_stream(t.spark, f"{path}/in", "image_url string", files=2), f"{path}/out", f"{path}/cp").awaitTermination()
+    return t.spark.read.parquet(f"{path}/out").select("image_url")
+
+
+@query("flush_stream", "scan_events", sql="SELECT type, seq, sale_id FROM scan_events WHERE type IN ('progress', 'oracle_request') AND sale_id IN (SELECT sale_id FROM scan_events WHERE type = 'sale_done')")
+def _(t):
+    """Sales that end in any micro-batch have their photos (here: progress) and findings (here: requests) written once."""
+    path = _log_dir(t)
+    t.scan_events.repartition(3).write.json(f"{path}/in")
+    photos, findings = t.scan_events.where("type = 'progress'"), t.scan_events.where("type = 'oracle_request'")
+    G.flush_stream(G.read_stream(t.spark, f"{path}/in", files=2), photos, findings, f"{path}/out", f"{path}/cp").awaitTermination()
+    return t.spark.read.parquet(f"{path}/out/images").unionByName(t.spark.read.parquet(f"{path}/out/findings")).select("type", "seq", "sale_id")

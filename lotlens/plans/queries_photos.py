@@ -61,7 +61,10 @@ def _(t):
     return P.near_pairs(rows, 20, "source_id", "vec_id")
 
 
-@query("near_dup_collapse")
+@query("near_dup_collapse", "images", sql=f"""
+WITH {PHOTOS}, f AS (SELECT *, row_number() OVER (PARTITION BY source_id, phash ORDER BY position, image_id) AS nth FROM ph),
+k AS (SELECT source_id, list_reduce(list([phash] ORDER BY position, image_id), lambda a, b: CASE WHEN len(list_filter(a, lambda s: bit_count(xor(s, b[1])) <= 20)) > 0 THEN a ELSE list_concat(a, b) END) AS kept FROM f WHERE nth = 1 GROUP BY source_id)
+SELECT image_id, source_id, position, nth = 1 AND list_contains(kept, phash) AS kept FROM f JOIN k USING (source_id)""")
 def _(t):
     return P.collapse(photos(t), 20, "source_id").select("image_id", "source_id", "position", "kept")
 

@@ -305,7 +305,7 @@ def _(t):
 
 CANDIDATES = f"(SELECT f.finding_id, f.sale_id, i.embedding FROM findings f JOIN images i ON f.finding_id = i.image_id WHERE i.embed_model = 'current' AND i.embedding IS NOT NULL AND f.sale_id IN (SELECT sale_id FROM {UP}))"
 SEM = f"""sm AS (SELECT query_id, sale_id, max(c) AS cosine, arg_min(finding_id, (-c, finding_id)) AS finding_id FROM
-(SELECT v.vec_id AS query_id, k.sale_id, k.finding_id, {S.cosine('k.embedding', 'v.embedding')} AS c FROM {CANDIDATES} k, (SELECT * FROM embeddings WHERE vec_id BETWEEN 1 AND 5) v) WHERE c >= 0.2 GROUP BY query_id, sale_id)"""
+(SELECT v.vec_id AS query_id, k.sale_id, k.finding_id, {S.cosine('k.embedding', 'v.embedding')} AS c FROM {CANDIDATES} k, (SELECT * FROM embeddings WHERE vec_id % 100 = 0) v) WHERE c >= 0.2 GROUP BY query_id, sale_id)"""
 
 
 def candidates(t: Tables):
@@ -315,7 +315,7 @@ def candidates(t: Tables):
 
 
 def vectors(t: Tables):
-    return t.embeddings.where("vec_id BETWEEN 1 AND 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return t.queries.select("query_id", F.col("embedding").alias("vector"))
 
 
 @query("semantic_candidates", "findings", "images", "sales", sql=f"SELECT finding_id, sale_id, len(embedding) AS dim FROM {CANDIDATES}")
@@ -328,18 +328,17 @@ def _(t):
     return search.semantic(vectors(t), candidates(t)).select("query_id", "sale_id", "finding_id", F.round("cosine", 6).alias("cosine"))
 
 
-@query("best_per_sale", "findings", "images", "sales", sql=f"SELECT sale_id, arg_min(finding_id, (-c, finding_id)) AS finding_id, round(max(c), 6) AS cosine FROM (SELECT k.sale_id, k.finding_id, {S.cosine('k.embedding', 'v.embedding')} AS c FROM {CANDIDATES} k, (SELECT * FROM embeddings WHERE vec_id = 1) v) GROUP BY sale_id")
+@query("best_per_sale", "findings", "images", "sales", sql=f"SELECT query_id, sale_id, arg_min(finding_id, (-c, finding_id)) AS finding_id, round(max(c), 6) AS cosine FROM (SELECT v.vec_id AS query_id, k.sale_id, k.finding_id, {S.cosine('k.embedding', 'v.embedding')} AS c FROM {CANDIDATES} k, (SELECT * FROM embeddings WHERE vec_id % 100 = 0) v) GROUP BY query_id, sale_id")
 def _(t):
-    one = t.embeddings.where("vec_id = 1").select(F.col("embedding").alias("q"))
-    near = candidates(t).crossJoin(F.broadcast(one)).select("sale_id", "finding_id", F.round(N.cosine("vector", "q"), 9).alias("cosine"))  # one query vector
-    return search.best_per_sale(near).select("sale_id", "finding_id", F.round("cosine", 6).alias("cosine"))
+    return search.semantic(vectors(t), candidates(t), floor=None).select("query_id", "sale_id", "finding_id", F.round("cosine", 6).alias("cosine"))
 
 
-@query("cosine", sql="SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS cosine FROM embeddings a JOIN embeddings b ON a.label = b.label AND b.vec_id % 100 = 0")
+@query("cosine", sql="SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id % 100 = 0")
 def _(t):
-    a = t.embeddings.select(F.col("vec_id").alias("a"), F.col("embedding").alias("x"), "label")
-    b = t.embeddings.where("vec_id % 100 = 0").select(F.col("vec_id").alias("b"), F.col("embedding").alias("y"), "label")
-    return a.join(b, "label").select("a", "b", F.round(N.cosine("x", "y"), 6).alias("cosine"))
+    """Every hundredth vector against all."""
+    a = t.embeddings.select(F.col("vec_id").alias("a"), F.col("embedding").alias("x"))
+    b = t.embeddings.where("vec_id % 100 = 0").select(F.col("vec_id").alias("b"), F.col("embedding").alias("y"))
+    return search.against_all(a, b, "b").select("a", "b", F.round(N.cosine("x", "y"), 6).alias("cosine"))
 
 
 FUSED = """fl AS (SELECT query_id, sale_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, distance_miles, sale_id) - 1 AS rank FROM lx),

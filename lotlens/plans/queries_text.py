@@ -319,7 +319,7 @@ def _(t):
     return named.join(got, ["request_id", "slot"]).select("request_id", F.col("slot").cast("long").alias("slot"), F.when(F.col("vector").isNotNull(), F.col("vec_id")).alias("vec_id"))
 
 
-@query("vector_blob")
+@query("vector_blob", sql="SELECT vec_id, CAST(4 * len(embedding) AS INT) AS n_bytes, true AS same FROM embeddings")
 def _(t):
     """Vectors to little-endian bytes and back."""
     rows = t.embeddings.select("vec_id", "embedding", N.vector_to_blob("embedding").alias("blob"))

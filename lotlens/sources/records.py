@@ -11,7 +11,10 @@ EVENT = "seq long, type string, sale_id string, value double, total int, message
 
 
 def read_array(spark: SparkSession, path: str, schema: str = REFERENCE) -> DataFrame:
-    """A file that must be a JSON array of records; anything else fails."""
+    """Files that must each be a JSON array of records; anything else fails."""
+    other = spark.read.text(path, wholetext=True).where(~F.col("value").rlike(r"^[\s\uFEFF]*\["))
+    if not other.isEmpty():
+        raise ValueError(f"{path} must hold an array of records")
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 

@@ -1,14 +1,12 @@
 """Scan events: folds that are the same in batch and in Structured Streaming.
 
 An event has seq, sale_id, type (sale_start, progress, oracle_request, sale_done, sale_skip) and value.  The state of a sale follows from
-its events since the last start, so the stream recomputes the touched sales of each micro-batch from the event table and replaces
-them: a batch that runs twice changes nothing.
+its events since the last start; the stream keeps one small record per sale and writes the records that a micro-batch has changed under the
+batch's number, so that a batch that runs twice changes nothing.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -50,9 +48,10 @@ def flush_completed(events: DataFrame) -> DataFrame:
     return events.join(end, "sale_id").where("seq <= upto").groupBy("sale_id").agg(F.max("upto").alias("upto"), F.count("*").alias("n_events"))
 
 
-def read_stream(spark: SparkSession, path: str, schema: str = EVENT) -> DataFrame:
-    """New event files as a stream; a file is seen whole or not at all."""
-    return spark.readStream.schema(schema).json(path)
+def read_stream(spark: SparkSession, path: str, schema: str = EVENT, files: int | None = None) -> DataFrame:
+    """New event files as a stream, at most ``files`` of them in a micro-batch; a file is seen whole or not at all."""
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", files) if files else reader).json(path)
 
 
 def append_events(events: DataFrame, path: str, checkpoint: str):
@@ -60,27 +59,6 @@ def append_events(events: DataFrame, path: str, checkpoint: str):
     return events.writeStream.format("json").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def maintain(stream: DataFrame, log_path: str, fold: Callable[[DataFrame], DataFrame], out_path: str, checkpoint: str):
-    """Keep ``fold`` of all events so far under ``out_path``/v=<batch>; the greatest v is the state.
-
-    Each micro-batch is written to the log under its own number, so that a repeated batch overwrites itself, and its sales are folded anew
-    from the log; other sales come from the state before.
-    """
-
-    def run(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{log_path}/batch={number}")
-        log = spark.read.schema(batch.schema).parquet(f"{log_path}/batch=*")
-        touched = batch.select("sale_id").distinct()
-        fresh = fold(log.join(touched, "sale_id", "left_semi"))
-        if number > 0:
-            before = spark.read.schema(fresh.schema).parquet(f"{out_path}/v={number - 1}")
-            fresh = before.join(touched, "sale_id", "left_anti").unionByName(fresh)
-        fresh.write.mode("overwrite").parquet(f"{out_path}/v={number}")
-
-    return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 def fold_stream(stream: DataFrame, out_path: str, checkpoint: str):
     """scan_progress by arbitrary state: one small record per sale instead of its events, in update mode."""
     from collections.abc import Iterator
@@ -113,8 +91,47 @@ def fold_stream(stream: DataFrame, out_path: str, checkpoint: str):
     return folded.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def latest_state(spark: SparkSession, out_path: str, key: str = "sale_id") -> DataFrame:
+    """The records that a stream of updates has left under ``out_path``/batch=<n>: of each key the last one."""
+    rows = spark.read.parquet(out_path)
+    last = rows.groupBy(key).agg(F.max_by(F.struct(*(c for c in rows.columns if c not in (key, "batch"))), "batch").alias("s"))
+    return last.select(key, "s.*")
+
+
 def new_only(batch: DataFrame, done: DataFrame, key: str = "image_url") -> DataFrame:
     """The rows of a micro-batch that no earlier run has processed, one per key."""
-    w = Window.partitionBy(key).orderBy(*sorted(c for c in batch.columns if c != key))
+    w = Window.partitionBy(key).orderBy(*sorted(batch.columns))
     first = batch.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
     return skip_processed(first, done, key)
+
+
+def _earlier(batch: DataFrame, path: str, number: int) -> DataFrame:
+    """What micro-batches before ``number`` have written under ``path``; a repeated batch does not see its own rows."""
+    if number == 0:
+        return batch.limit(0)
+    return batch.sparkSession.read.parquet(path).where(F.col("batch") < number).drop("batch")
+
+
+def ingest_new(stream: DataFrame, path: str, checkpoint: str, key: str = "image_url"):
+    """A stream of photos of which each key is taken once over all runs; micro-batch n goes to ``path``/batch=<n>."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        new_only(batch, _earlier(batch, path, number), key).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def flush_stream(events: DataFrame, images: DataFrame, findings: DataFrame, path: str, checkpoint: str):
+    """When a sale is done, its buffered photos and then its findings are written, once over all runs.
+
+    Micro-batch n goes to ``path``/images, ``path``/findings and, last, ``path``/sales, each under batch=<n>: a run that breaks between them is
+    repeated as a whole and overwrites what it had written.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        done = new_only(batch.where("type = 'sale_done'").select("sale_id"), _earlier(batch.select("sale_id"), f"{path}/sales", number), "sale_id")
+        for name, rows in (("images", images), ("findings", findings)):
+            rows.join(done, "sale_id", "left_semi").write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
+        done.write.mode("overwrite").parquet(f"{path}/sales/batch={number}")
+
+    return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,10 +1,12 @@
 """Small tables through the operators: ties, nulls, invariants."""
 
 import datetime
+import math
 
 import pytest
 from pyspark.sql import functions as F
 
+from lotlens.functions import text
 from lotlens.operators import changes, evaluation, inference, photos, ranking, search
 from lotlens.sources import pages, records
 from lotlens.streaming import progress
@@ -98,6 +100,7 @@ def test_budget_keeps_floors(spark, sf_dir):
     df = spark.range(200).select((F.col("id") % 10).alias("g"), F.col("id").cast("double").alias("s"), F.col("id").alias("k"))
     out = photos.budget_select(df, "g", "s", "k", budget=50, cost=1)
     assert out.count() == 50 and out.groupBy("g").count().agg(F.min("count")).first()[0] >= 4
+    assert photos.budget_select(df, "g", "s", "k", budget=0.3, cost=0.1).count() == 3
 
 
 def test_changes_are_idempotent(spark):
@@ -116,6 +119,10 @@ def test_evaluation_edges(spark):
     r = spark.createDataFrame([(i, float(d)) for i, d in enumerate([99, 1, 2, 3, 10])], "seq int, duration_s double")
     got = evaluation.latency(r).first()
     assert (got.cold_start_s, got.p50, got.p95, got.avg_s, got.n) == (99, 2, 10, 4, 4)
+    many = spark.range(1000).select(F.col("id").alias("seq"), ((F.col("id") * 37) % 1001).cast("double").alias("duration_s"))
+    data = sorted(x * 37 % 1001 for x in range(1, 1000))
+    got = evaluation.latency(many).first()
+    assert (got.p50, got.p95) == (data[math.ceil(0.5 * 999) - 1], data[math.ceil(0.95 * 999) - 1])
     empty = evaluation.latency(r.where("seq > 99")).first()
     assert (empty.cold_start_s, empty.p50, empty.n) == (None, 0, 0)
     base = spark.createDataFrame([("a", True, 1), ("b", True, 2), ("c", True, 3), ("d", False, 4)], "image_url string, has_findings boolean, seq int")
@@ -158,18 +165,24 @@ def test_event_folds(spark):
 
 
 def test_stream_equals_batch(spark, tmp_path):
-    """Two runs of the stream over a growing log give the fold of the whole log, in both forms."""
-    out, last = {}, None
+    """Two runs of the stream over a growing log give the fold of the whole log."""
     for part in (EVENTS[:4], EVENTS[4:]):
         events(spark, part).coalesce(1).write.mode("append").json(f"{tmp_path}/in")
-        progress.maintain(progress.read_stream(spark, f"{tmp_path}/in"), f"{tmp_path}/log", progress.scan_progress, f"{tmp_path}/state", f"{tmp_path}/cp").awaitTermination()
-    want = rows(progress.scan_progress(events(spark)), *STATE)
-    last = max(p.name for p in (tmp_path / "state").iterdir())
-    assert rows(spark.read.parquet(f"{tmp_path}/state/{last}"), *STATE) == want
-    progress.fold_stream(progress.read_stream(spark, f"{tmp_path}/in"), f"{tmp_path}/fold", f"{tmp_path}/cp2").awaitTermination()
-    for r in spark.read.parquet(f"{tmp_path}/fold").orderBy("last_seq").collect():
-        out[r.sale_id] = tuple(r[c] for c in STATE)
-    assert sorted(out.values()) == want
+        progress.fold_stream(progress.read_stream(spark, f"{tmp_path}/in"), f"{tmp_path}/fold", f"{tmp_path}/cp").awaitTermination()
+    assert rows(progress.latest_state(spark, f"{tmp_path}/fold"), *STATE) == rows(progress.scan_progress(events(spark)), *STATE)
+
+
+def test_streams_take_each_photo_and_each_sale_once(spark, tmp_path):
+    url = lambda *names: spark.createDataFrame([(n, n) for n in names], "image_url string, sale_id string").coalesce(1)
+    buffered = url("a", "b", "c").withColumn("description", F.lit("d"))
+    for part, ended in ((("a", "b"), EVENTS[:3]), (("b", "c", "c"), [*EVENTS[3:], (9, "sale_done", "a", 0.0), (10, "sale_done", "b", 0.0)])):
+        url(*part).write.mode("append").json(f"{tmp_path}/urls")
+        events(spark, ended).coalesce(1).write.mode("append").json(f"{tmp_path}/events")
+        progress.ingest_new(progress.read_stream(spark, f"{tmp_path}/urls", "image_url string, sale_id string"), f"{tmp_path}/new", f"{tmp_path}/cp1").awaitTermination()
+        progress.flush_stream(progress.read_stream(spark, f"{tmp_path}/events"), buffered, buffered, f"{tmp_path}/out", f"{tmp_path}/cp2").awaitTermination()
+    assert rows(spark.read.parquet(f"{tmp_path}/new"), "image_url", "batch") == [("a", 0), ("b", 0), ("c", 1)]
+    for name in ("images", "findings"):
+        assert rows(spark.read.parquet(f"{tmp_path}/out/{name}"), "sale_id", "batch") == [("a", 0), ("b", 1)]
 
 
 def test_files(spark, tmp_path):
@@ -177,6 +190,23 @@ def test_files(spark, tmp_path):
     assert rows(records.read_events(spark, str(tmp_path / "log.json"), 2), "seq", "type") == [(2, "sale_done")]
     (tmp_path / "r.json").write_text('[{"sale_id": "a", "image_url": "u", "has_findings": true}]')
     assert rows(records.read_array(spark, str(tmp_path / "r.json")), "sale_id", "has_findings") == [("a", True)]
+    (tmp_path / "one.json").write_text(' {"sale_id": "a", "image_url": "u", "has_findings": true}')
+    with pytest.raises(ValueError):
+        records.read_array(spark, str(tmp_path / "one.json"))
     nested = spark.createDataFrame([("a", [("u", "d"), ("v", "e")]), ("b", None)], "sale_id string, findings array<struct<image_url:string,findings:string>>")
     done = spark.createDataFrame([("u",)], "image_url string")
     assert rows(records.import_nested(nested, done), "sale_id", "image_url", "description") == [("a", "v", "e")]
+
+
+def test_many_words_meet_texts_by_their_first_characters(spark):
+    texts = spark.createDataFrame([(1, "an oak table"), (2, "a"), (3, ""), (4, None), (5, "table lamp tab")], "i int, t string")
+    words = spark.createDataFrame([("oak",), ("ab",), ("a",), ("table",), ("lamps",), ("tab",)], "w string")
+    want = rows(search.containing(texts, "t", words, "w"), "i", "w")
+    assert want == rows(search.containing(texts, "t", words, "w", most=2), "i", "w") and len(want) == 10
+    a, b = spark.range(7).withColumnRenamed("id", "a"), spark.range(5).withColumnRenamed("id", "b")
+    assert rows(search.against_all(a, b, "b", most=2), "a", "b") == [(x, y) for x in range(7) for y in range(5)]
+
+
+def test_white_space_that_is_trimmed(spark):
+    df = spark.createDataFrame([("\u00a0\ufeff\t x\u2003y \u2028\n",)], "t string")
+    assert df.select(text.strip("t")).first()[0] == "x\u2003y"
