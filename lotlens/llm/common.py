@@ -39,6 +39,31 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Remove what ``settle`` wrote for ``df``; nothing may read it any more."""
+    spark = df.sparkSession
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: A key with more than 1 / HEAVY of all rows (fewer than HEAVY keys, by arithmetic) is dealt to SALTS places.
+HEAVY, SALTS = 1000, 64
+
+
+def join_hot(rows: DataFrame, kinds: DataFrame, on: list[str]) -> DataFrame:
+    """Inner join of ``rows`` with ``kinds``, one row for each key, whose column ``n`` says how many rows have it.
+
+    Rows of a key that is too frequent for one task meet copies of its kind in several.  ``kinds`` is read twice and should be settled.
+    """
+    total = kinds.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    heavy = F.col("n") * HEAVY > total
+    hot = kinds.where(heavy).select(*on, F.lit(True).alias("_hot"))
+    dealt = rows.join(F.broadcast(hot), on, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.hash(*rows.columns), F.lit(SALTS))).otherwise(0)).drop("_hot")
+    every = F.when(heavy, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return dealt.join(kinds.withColumn("_salt", F.explode(every)).drop("n"), [*on, "_salt"]).drop("_salt")
+
+
 def id_text(doc_ids: DataFrame | None = None, column: str = "doc_id"):
     """crc32 of the id written as text, the rule by which folds are dealt."""
     return F.crc32(F.col(column).cast("string").cast("binary"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import discard, settle
 
 
 def _stars(links: DataFrame, large: bool) -> DataFrame:
@@ -37,7 +37,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     links = settle(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = None
     for _ in range(rounds):
-        links = settle(_stars(_stars(links, large=True), large=False))
+        before, links = links, settle(_stars(_stars(links, large=True), large=False))
+        discard(before)
         # one row of counts and sums: equal marks mean that no link moved
         now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003), F.sum(F.xxhash64("b", "a") % 998_244_353)).first()
         if now == mark:

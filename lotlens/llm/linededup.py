@@ -16,12 +16,15 @@ with a null doc_id are left alone; other columns, whatever their names, pass thr
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import settle
+from .common import join_hot, settle
 
 SLICES = 4096
+BLANK = b" \t\x0b\x0c\r"
 
 
 def kept_lines(text: Column) -> Column:
@@ -43,28 +46,32 @@ def first_ranks(lines: DataFrame) -> DataFrame:
     inside = Window.partitionBy("slice").orderBy("a", "b")
     # at most SLICES rows meet in the one window without a key
     base = classes.groupBy("slice").agg(F.sum("n").alias("m")).select("slice", (F.sum("m").over(Window.orderBy("slice")) - F.col("m")).alias("base"))
-    ranked = classes.join(F.broadcast(base), "slice").select("a", "b", (F.col("base") + F.sum("n").over(inside) - F.col("n")).alias("rank"))
-    return lines.join(ranked, ["a", "b"]).drop("a", "b").distinct()
+    ranked = settle(classes.join(F.broadcast(base), "slice").select("a", "b", "n", (F.col("base") + F.sum("n").over(inside) - F.col("n")).alias("rank")))
+    return join_hot(lines, ranked, ["a", "b"]).drop("a", "b").distinct()
 
 
 def deeper(ranks: DataFrame, row: str, other: DataFrame, ahead: int) -> DataFrame:
     """Ranks by first lines as many as ``ranks`` and, ``ahead`` lines on, ``other`` reach together; settled suffixes leave."""
-    nexts = other.select(row, (F.col("at") - ahead).alias("at"), F.col("rank").alias("then"))
-    paired = settle(ranks.join(nexts, [row, "at"]))
+    nexts = other.select(row, "doc_id", (F.col("at") - ahead).alias("at"), F.col("rank").alias("then"))
+    paired = settle(ranks.join(nexts, [row, "doc_id", "at"]))
     classes = paired.groupBy("rank", "then").agg(F.count("*").alias("n")).where("n > 1")
     order = Window.partitionBy("rank").orderBy("then")
-    classes = classes.select("rank", "then", (F.col("rank") + F.sum("n").over(order) - F.col("n")).alias("deep"))
-    return paired.join(classes, ["rank", "then"]).drop("rank", "then").withColumnRenamed("deep", "rank")
+    classes = settle(classes.select("rank", "then", "n", (F.col("rank") + F.sum("n").over(order) - F.col("n")).alias("deep")))
+    return join_hot(paired, classes, ["rank", "then"]).drop("rank", "then").withColumnRenamed("deep", "rank")
+
+
+def firsts(ranks: DataFrame, row: str) -> DataFrame:
+    """rank, n, first: of every interval its size and its first member by doc_id, then place."""
+    return settle(ranks.groupBy("rank").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", row, "at")).alias("first")))
 
 
 def later_copies(docs: DataFrame, row: str = "row", min_lines: int = 2, min_words: int | None = None) -> DataFrame:
-    """row, line_no of every line to be deleted: of runs of ``min_lines``, and of single lines of ``min_words`` words if that is given."""
+    """row, doc_id, line_no of every line to be deleted: of runs of ``min_lines``, and of single lines of ``min_words`` words if that is given."""
     ranks = settle(first_ranks(suffixes(docs, row, min_words)))
     single = None
     if min_words is not None:
         wordy = ranks.where("wordy")
-        first = wordy.groupBy("rank").agg(F.min(F.struct("doc_id", row, "at")).alias("first"))
-        single = wordy.join(first, "rank").where(F.struct("doc_id", row, "at") != F.col("first")).select(row, "line_no")
+        single = join_hot(wordy, firsts(wordy, row), ["rank"]).where(F.struct("doc_id", row, "at") != F.col("first")).select(row, "doc_id", "line_no")
         ranks = ranks.drop("wordy")
     powers, depth = {1: ranks}, 1
     while 2 * depth <= min_lines:
@@ -76,23 +83,37 @@ def later_copies(docs: DataFrame, row: str = "row", min_lines: int = 2, min_word
         ranks = settle(deeper(ranks, row, powers[step], depth))
         depth += step
     # an interval of the suffix array is the suffixes of one rank; its first member stays
-    first = ranks.groupBy("rank").agg(F.min(F.struct("doc_id", row, "at")).alias("first"))
-    later = ranks.join(first, "rank").where(F.struct("doc_id", row, "at") != F.col("first")).select(row, F.explode(F.sequence(F.col("at"), F.col("at") + (min_lines - 1))).alias("at"))
-    gone = powers[1].join(later.distinct(), [row, "at"]).select(row, "line_no")
+    later = join_hot(ranks, firsts(ranks, row), ["rank"]).where(F.struct("doc_id", row, "at") != F.col("first")).select(row, "doc_id", F.explode(F.sequence(F.col("at"), F.col("at") + (min_lines - 1))).alias("at"))
+    gone = powers[1].join(later.distinct(), [row, "doc_id", "at"]).select(row, "doc_id", "line_no")
     return gone if single is None else gone.union(single).distinct()
 
 
 def delete_later_copies(docs: DataFrame, min_lines: int = 2, text: str = "text", min_words: int | None = None) -> DataFrame:
     """All rows and columns of ``docs``, ``text`` without the deleted lines; the struct column ``_`` is added: n_lines, deleted."""
-    held = docs.select(F.struct("*").alias("_d"), F.xxhash64("doc_id", text).alias("row"))
-    gone = later_copies(docs.select("doc_id", F.col(text).alias("text"), F.xxhash64("doc_id", text).alias("row")), "row", min_lines, min_words)
-    gone = gone.groupBy("row").agg(F.array_sort(F.collect_set("line_no")).alias("deleted"))
-    out = held.join(gone, "row", "left")
-    was, none = F.col(f"_d.`{text}`"), F.array().cast("array<int>")
-    left = F.array_join(F.filter(F.split(was, "\n"), lambda x, i: ~F.array_contains("deleted", i)), "\n")
-    note = F.struct(F.coalesce(F.size(kept_lines(was)), F.lit(0)).alias("n_lines"), F.coalesce("deleted", none).alias("deleted"))
-    changed = F.when(F.col("deleted").isNull(), was).otherwise(left)
-    return out.select(*(changed.alias(c) if c == text else F.col(f"_d.`{c}`").alias(c) for c in docs.columns), note.alias("_"))
+    key = F.xxhash64("doc_id", text)
+    gone = later_copies(docs.select("doc_id", F.col(text).alias("text"), key.alias("row")), "row", min_lines, min_words)
+    gone = gone.groupBy("row", "doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("deleted"))
+    held = docs.select(F.struct("*").alias("_d"), F.col("doc_id").cast("long").alias("doc_id"), key.alias("row")).join(gone, ["row", "doc_id"], "left").select("_d", "deleted")
+    at, names = docs.columns.index(text), docs.columns
+
+    def delete(batches):
+        for batch in batches:
+            rows, deleted = batch.column(0), batch.column(1)
+            fields, left, counts, numbers = rows.flatten(), [], [], []
+            for was, gone in zip(fields[at].cast(pa.large_binary()).to_pylist(), deleted.to_pylist()):
+                lines = was.split(b"\n") if was is not None else []
+                counts.append(sum(1 for x in lines if x.strip(BLANK)))
+                numbers.append(gone or [])
+                if gone:
+                    out = set(gone)
+                    was = b"\n".join(x for k, x in enumerate(lines) if k not in out)
+                left.append(was)
+            fields[at] = pa.array(left, pa.binary()).cast(pa.string())
+            note = pa.StructArray.from_arrays([pa.array(counts, pa.int32()), pa.array(numbers, pa.list_(pa.int32()))], ["n_lines", "deleted"])
+            yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(fields, names), note], ["_d", "_"])
+
+    shape = T.StructType([T.StructField("_d", T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema])), T.StructField("_", T.StructType([T.StructField("n_lines", T.IntegerType()), T.StructField("deleted", T.ArrayType(T.IntegerType()))]))])
+    return held.mapInArrow(delete, shape).select(*(F.col(f"_d.`{c}`").alias(c) for c in docs.columns), "_")
 
 
 def line_dedup(docs: DataFrame, min_lines: int = 2) -> DataFrame:

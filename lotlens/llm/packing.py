@@ -112,7 +112,7 @@ def pack(cut: DataFrame, capacity: int = 4096) -> DataFrame:
     # no more rows than lengths up to the capacity
     histogram = {r["length"]: r["n"] for r in sums.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     table = slots(minimum_bin_slack(histogram, capacity))
-    ranked = cut.withColumn("at", F.row_number().over(Window.partitionBy("bucket", "length").orderBy("doc_id", "piece", "start")) - 1)
+    ranked = cut.withColumn("at", F.row_number().over(Window.partitionBy("bucket", "length").orderBy("doc_id", "piece", "start", "ids_crc32")) - 1)
     ranked = ranked.join(before, ["length", "bucket"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("at")).alias("rank"))
 
     def place(batches):

@@ -4,7 +4,7 @@
 regression; ``fit_embeddings`` trains averaged n-gram vectors with a softmax; ``score_quality`` and
 ``quality_rules`` score every whole text in Arrow batches.
 
-Defined cases: a null text is an empty text; an empty text has the score of the bias alone; repeated rows are
+Defined cases: a null text is an empty text; of rows that repeat a labelled id the least text is learnt from; an empty text has the score of the bias alone; repeated rows are
 scored alike; an empty table gives an empty result; a null doc_id stays and is never a training row; columns other
 than those named are neither read nor returned.  If the labels hold one class or none, the score is the share of label 1
 (0.5 without labels) for all.
@@ -39,7 +39,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int = 600, al
         part = rows.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         picked = part if picked is None else picked.unionByName(part)
     # at most 2 * per_class rows of two numbers: small enough to send whatever the size of the tables
-    texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])
+    # of rows that repeat an id the least text, so that the model does not depend on the order of tasks
+    texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     table = texts.select("doc_id", "text", "label").toArrow().sort_by("doc_id").combine_chunks()
     raw, offsets = utf8(table.column("text").combine_chunks() if len(table) else pa.array([], pa.string()))
     return raw, offsets, np.asarray(table.column("label"), np.int64), counts
@@ -107,13 +108,11 @@ def fit_logistic(raw, offsets, y, counts, epochs: int = 12, rate: float = 0.5, b
     return {"weights": (w * 50.0).astype(np.float32), "slope": a, "shift": a * bias + b, "bits": bits}
 
 
-def fit_embeddings(raw, offsets, y, counts, dim: int = 16, epochs: int = 6, rate: float = 0.5, bits: int = BITS) -> dict:
+def learn_embeddings(raw, offsets, y, dim: int = 16, epochs: int = 6, rate: float = 0.5, bits: int = BITS):
     """Vectors of hashed word and character n-grams, averaged per document, softmax on top; plain stochastic gradient steps.
 
-    Returned folded: a document's logit is linear in the mean vector, so each slot needs one number when scoring.
+    -> vectors, head, bias, scale: the logits of a document are head @ (scale * its mean vector) + bias.
     """
-    if (steady := _steady(y, counts)) is not None:
-        return {"weights": np.zeros(1 << bits, np.float32), "slope": 0.0, "shift": float(np.log((steady + 1e-6) / (1 - steady + 1e-6))), "bits": bits}
     rows = ngrams.bags(raw, offsets, bits)
     rng = np.random.default_rng(7)
     vectors = rng.uniform(-1 / dim, 1 / dim, (1 << bits, dim)).astype(np.float32)
@@ -135,6 +134,17 @@ def fit_embeddings(raw, offsets, y, counts, dim: int = 16, epochs: int = 6, rate
             head -= np.float32(now * 0.2) * np.outer(p, hidden)
             bias -= np.float32(now * 0.2) * p
             vectors[slots] -= np.float32(now) * scale * shares[:, None] * back
+    return vectors, head, bias, scale
+
+
+def fit_embeddings(raw, offsets, y, counts, bits: int = BITS, **how) -> dict:
+    """``learn_embeddings``, with the classes' shares among all labels put right.
+
+    Returned folded: a document's logit is linear in the mean vector, so each slot needs one number when scoring.
+    """
+    if (steady := _steady(y, counts)) is not None:
+        return {"weights": np.zeros(1 << bits, np.float32), "slope": 0.0, "shift": float(np.log((steady + 1e-6) / (1 - steady + 1e-6))), "bits": bits}
+    vectors, head, bias, scale = learn_embeddings(raw, offsets, y, bits=bits, **how)
     prior = np.log(max(counts.get(1, 0), 1) / max(counts.get(0, 0), 1)) - np.log(max((y == 1).sum(), 1) / max((y == 0).sum(), 1))
     return {"weights": scale * (vectors @ (head[1] - head[0])), "slope": 1.0, "shift": float(bias[1] - bias[0] + prior), "bits": bits}
 

@@ -7,7 +7,7 @@ globally; a run that is not the first of its kind (by doc_id, then place) covers
 text that is too short for a run is one run as a whole, which meets only other such texts.
 
 A run that half the corpus has is one row a task in the sums that find the first of each kind.  To mark the later copies the runs meet the
-firsts by a shuffle, in which runs with more than 1 / HEAVY of all places (fewer than HEAVY of these exist) are dealt to SALTS places.
+firsts by a shuffle in which the most frequent ones are dealt to several places.
 
 Defined cases: a null text stays null and has no sentences, a blank one has none either; white space around a sentence does not matter
 to its hash, and blank pieces are kept and not counted; runs may repeat inside one document; rows that repeat id and text count as one
@@ -25,16 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import join_hot, settle
 from .common import pieces as slices
-from .common import settle
 
 BLANK = b" \t\r\n"
 SENTENCE = re.compile(rb"[.!?][ \t\r\n]+|\n+")
 COMMA = re.compile(rb"[,;:][ \t\r\n]+")
 WORD = re.compile(rb"[\x09-\x0D\x20]*[^\x09-\x0D\x20]+[\x09-\x0D\x20]*")
 LONG, WORDS, LEAST = 20, 20, 2
-HEAVY = 1000
-SALTS = 64
 
 
 def _after(pattern: re.Pattern, text: bytes) -> list[bytes]:
@@ -117,13 +115,7 @@ def later_runs(docs: DataFrame, long: int = LONG, words: int = WORDS, least: int
     place = F.struct("doc_id", "row", "at")
     # the runs of a text are worked out again for the join, which is cheaper than keeping them all on disk
     kinds = settle(found.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1"))
-    # a run with more than 1 / HEAVY of the places of all repeated runs: fewer than HEAVY rows by arithmetic
-    total = kinds.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    heavy = F.col("n") * HEAVY > total
-    hot = kinds.where(heavy).select("a", "b", F.lit(True).alias("hot"))
-    dealt = found.join(F.broadcast(hot), ["a", "b"], "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.hash("row", "at"), F.lit(SALTS))).otherwise(0)).drop("hot")
-    kinds = kinds.select("a", "b", "first", F.explode(F.when(heavy, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt"))
-    return dealt.join(kinds, ["a", "b", "salt"]).where(place != F.col("first")).select("doc_id", "row", "at", "upto")
+    return join_hot(found, kinds, ["a", "b"]).where(place != F.col("first")).select("doc_id", "row", "at", "upto")
 
 
 def sentence_dedup(docs: DataFrame, long: int = LONG, words: int = WORDS, least: int = LEAST) -> DataFrame:

@@ -6,6 +6,7 @@ has its place in the order; an empty table gives an empty result; a null doc_id
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from array import array
@@ -40,7 +41,7 @@ LOWER[ord("A") : ord("Z") + 1] += 32
 
 
 class WordEncoder:
-    """ids of texts by a tokenizer that never joins across white space, letter runs, digits and symbol runs.
+    """ids of texts by a tokenizer that never joins across white space, letter runs, digits and symbol runs (CUTS); any other encodes whole texts.
 
     Those parts are found with numpy, each distinct part is encoded by the tokenizer once and remembered, and documents are put
     together again from the remembered ids.  Words with other characters, apostrophes or special tokens are parts as a whole.
@@ -48,12 +49,21 @@ class WordEncoder:
     """
 
     MOST = 300_000
+    #: What the tokenizer's file must say of its normaliser and its splitter.
+    CUTS = (
+        {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+    )
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            said = json.load(f)
+        cut = said.get("pre_tokenizer") or {}
+        self.by_parts = (said.get("normalizer"), (cut.get("pretokenizers") or [None])[0]) == self.CUTS
         self.known: dict[int, bytes] = {}
 
     def _parts(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -85,6 +95,10 @@ class WordEncoder:
         """(ids of all texts, where each text's ids start and the last ones end)."""
         if not len(raw):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
+        if not self.by_parts:
+            data = raw.tobytes()
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast([data[a:b].decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())], add_special_tokens=False)]
+            return np.concatenate([np.array(x, np.uint32) for x in ids]), np.concatenate([[0], np.cumsum([len(x) for x in ids])])
         text, starts, ends = self._parts(raw, offsets)
         keys, at, which = np.unique(H.slice_hashes(text, starts, ends), return_index=True, return_inverse=True)
         if len(self.known) > self.MOST:
