@@ -49,10 +49,11 @@ class EliasFano:
         self.low = max(0, (top // max(1, self.n)).bit_length() - 1)
         values = values.astype(np.uint64)
         high = (values >> np.uint64(self.low)).astype(np.int64)
-        bits = np.zeros((int(high[-1]) if self.n else 0) + self.n + 1, bool)
-        bits[high + np.arange(self.n)] = True
-        self.upper = np.packbits(bits)
-        self.size = len(bits)
+        self.tops = int(high[-1]) + 1 if self.n else 1
+        upper = np.zeros((self.tops + self.n >> 6) + 1, np.uint64)
+        at = high + np.arange(self.n)
+        np.bitwise_or.at(upper, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
+        self.upper = upper
         words = np.zeros((self.n * self.low >> 6) + 2, np.uint64)
         if self.low:
             at = np.arange(self.n, dtype=np.uint64) * np.uint64(self.low)
@@ -67,14 +68,25 @@ class EliasFano:
         return [self.upper, self.lows]
 
     def open(self, upper: np.ndarray, lows: np.ndarray) -> EliasFano:
-        """Use mapped arrays; the select directories of the unary part are made here."""
+        """Use mapped arrays; all that is made here is the number of ones before each word of 64 bits."""
         self.upper, self.lows = upper, lows
-        bits = np.unpackbits(upper, count=self.size).astype(bool)
-        self.ones = np.flatnonzero(bits)
-        zeros = np.flatnonzero(~bits)
-        self.starts = np.concatenate([[0], zeros - np.arange(len(zeros)), [self.n]])  # values before each high part
+        self.before = np.cumsum(np.bitwise_count(upper), dtype=np.int64) - np.bitwise_count(upper)
         return self
 
+    def _select(self, i: np.ndarray, ones: bool) -> np.ndarray:
+        """The place of the i-th one (or zero) of the unary part."""
+        before = self.before if ones else np.arange(len(self.before), dtype=np.int64) * 64 - self.before
+        word = np.searchsorted(before, i, "right") - 1
+        bits = self.upper[word] if ones else ~self.upper[word]
+        left, place = i - before[word], np.zeros(len(i), np.int64)
+        for width in (32, 16, 8, 4, 2, 1):  # halves of the word, the one that holds it
+            low = np.bitwise_count(bits & np.uint64((1 << width) - 1)).astype(np.int64)
+            up = left >= low
+            left -= np.where(up, low, 0)
+            place += np.where(up, width, 0)
+            bits = np.where(up, bits >> np.uint64(width), bits)
+        return word * 64 + place
+
     def lowbits(self, i: np.ndarray) -> np.ndarray:
         if not self.low:
             return np.zeros(len(i), np.uint64)
@@ -86,13 +98,18 @@ class EliasFano:
         return out & np.uint64((1 << self.low) - 1)
 
     def access(self, i: np.ndarray) -> np.ndarray:
-        return (self.ones[i] - i).astype(np.uint64) << np.uint64(self.low) | self.lowbits(i)
+        i = np.asarray(i, np.int64)
+        return (self._select(i, True) - i).astype(np.uint64) << np.uint64(self.low) | self.lowbits(i)
 
     def find(self, values: np.ndarray) -> np.ndarray:
         """The first place whose value is not below each of ``values`` (n: none): the successor search."""
         high = (values >> np.uint64(self.low)).astype(np.int64)
-        inside = np.minimum(high, len(self.starts) - 2)
-        at, end = self.starts[inside].copy(), self.starts[inside + 1]
+        inside = np.minimum(high, self.tops - 1)
+        # a value's upper part h lies between the zeros h - 1 and h
+        at = np.zeros(len(high), np.int64)
+        later = inside > 0
+        at[later] = self._select(inside[later] - 1, False) - inside[later] + 1
+        end = self._select(inside, False) - inside
         at[high > inside] = self.n
         want = values & np.uint64((1 << self.low) - 1)
         open_ = np.flatnonzero(at < end)
