@@ -100,6 +100,10 @@ def test_stages_equal_brute_force(spark, sf_dir, tmp_path):
     """Each of the first four stages on what its predecessor kept."""
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
     items = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text").collect()]
+    # near copies on one line, and two documents with an item of the benchmark in their midst
+    made = [(10_000 + r.doc_id, " ".join("edit" if k == 30 else w for k, w in enumerate(r.text.split()))) for r in df.where("length(text) > 1000").limit(30).collect()]
+    made += [(20_000 + k, t.replace("edit", items[k][1])) for k, (_, t) in enumerate(made[:2])]
+    df = df.unionByName(spark.createDataFrame(made, "doc_id long, text string").selectExpr("doc_id", "text", "'en' AS lang", "'made' AS source", "length(text) AS n_chars"))
     plain = [lambda d: keeps_good(spark, sf_dir, d), keeps_first_lines, keeps_one, lambda d: keeps_clean(d, items)]
     for k, (keep, (name, stage)) in enumerate(zip(plain, corpus_pipeline.STAGES)):
         docs = sorted((r.doc_id, r.text) for r in df.select("doc_id", "text").collect())
