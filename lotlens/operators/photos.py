@@ -3,23 +3,28 @@
 from __future__ import annotations
 
 from decimal import Decimal
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import rules as R
 from ..functions.numbers import hamming
 from ..functions.text import has_findings, response_score, strip, strip_tags, top_confidence
+from .lineage import settle
 
 
 def near_pairs(photos: DataFrame, most: int = R.NEAR_BITS, group: str | None = "sale_id", key: str = "image_id", phash: str = "phash") -> DataFrame:
     """a, b, bits: pairs of photos whose hashes differ in at most ``most`` bits, inside a group or (None) everywhere.
 
     Two hashes that differ in so many bits agree on one of most + 1 blocks of bits, so only photos that share a block are compared, and a
-    pair is kept where it first meets.  Where blocks are too narrow to tell hashes apart (under six bits), a group's photos are compared directly.
+    pair is kept where it first meets.  Where blocks are too narrow to tell hashes apart (under five bits), a group's photos are compared directly.
     """
     n = most + 1
-    if group is not None and 64 // n < 6:
+    if group is not None and 64 // n < 5:
         rows = photos.where(F.col(phash).isNotNull()).select(group, F.col(key).alias("k"), F.col(phash).alias("h"))
         pairs = rows.withColumnsRenamed({"k": "a", "h": "ha"}).join(rows.withColumnsRenamed({"k": "b", "h": "hb"}), group).where("a < b")
         return pairs.withColumn("distance", hamming("ha", "hb")).where(F.col("distance") <= most).select(group, "a", "b", "distance")
@@ -35,20 +40,54 @@ def near_pairs(photos: DataFrame, most: int = R.NEAR_BITS, group: str | None = "
     return pairs.withColumn("distance", hamming("ha", "hb")).where(F.col("distance") <= most).select(*keys, "a", "b", "distance")
 
 
-def collapse(photos: DataFrame, most: int = R.NEAR_BITS, group: str = "sale_id", order: str = "position", key: str = "image_id", phash: str = "phash") -> DataFrame:
+#: The most different hashes of a group that one task takes.
+GROUP_LIMIT = 50_000
+
+
+def collapse(photos: DataFrame, most: int = R.NEAR_BITS, group: str = "sale_id", order: str = "position", key: str = "image_id", phash: str = "phash", limit: int = GROUP_LIMIT) -> DataFrame:
     """All photos with ``kept``: in order, a photo goes if it is within ``most`` bits of one that stays; without a hash it stays.
 
-    The fold needs a sale's hashes in order, and equal hashes are folded once: only the first photo of each hash enters.
+    Only the first photo of each hash is compared.  A group of up to ``limit`` hashes is settled in one task, where each hash that stays
+    is held against the later ones at once; the hashes of a larger group are settled in rounds of joins over its near pairs.
     """
     first = Window.partitionBy(group, phash).orderBy(order, key)
     rows = photos.withColumn("_n", F.when(F.col(phash).isNotNull(), F.row_number().over(first)))
-    none = F.array().cast("array<bigint>")
-    fold = lambda acc, x: F.when(F.exists(acc, lambda s: hamming(s, x["h"]) <= most), acc).otherwise(F.array_append(acc, x["h"]))
-    listed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(key).alias("k"), F.col(phash).alias("h"))))
-    kept = rows.where("_n = 1").groupBy(group).agg(F.aggregate(listed, none, fold).alias("_kept"))
-    out = rows.join(kept, group, "left")
-    stays = F.col(phash).isNull() | ((F.col("_n") == 1) & F.coalesce(F.array_contains("_kept", F.col(phash)), F.lit(False)))
-    return out.withColumn("kept", F.coalesce(stays, F.lit(True))).drop("_n", "_kept")
+    nodes = rows.where("_n = 1").select(group, phash, order, key)
+    large = nodes.groupBy(group).agg(F.count("*").alias("_k")).where(F.col("_k") > limit).select(group)
+    shape = T.StructType([nodes.schema[group], nodes.schema[phash]])
+
+    def settle_group(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values([order, key])
+        hashes = rows[phash].to_numpy(np.int64)
+        stays = np.ones(len(hashes), bool)
+        for i in range(len(hashes)):
+            if stays[i]:
+                stays[i + 1 :] &= np.bitwise_count((hashes[i + 1 :] ^ hashes[i]).view(np.uint64)) > most
+        return rows.loc[stays, [group, phash]]
+
+    kept = nodes.join(large, group, "left_anti").groupBy(group).applyInPandas(settle_group, shape)
+    if not large.isEmpty():
+        kept = kept.unionByName(survivors(nodes.join(large, group, "left_semi"), most, group, order, key, phash))
+    out = rows.join(kept.withColumn("_kept", F.lit(True)), [group, phash], "left")
+    stays = F.col(phash).isNull() | ((F.col("_n") == 1) & F.coalesce("_kept", F.lit(False)))
+    return out.select(*photos.columns, stays.alias("kept"))
+
+
+def survivors(nodes: DataFrame, most: int, group: str, order: str, key: str, phash: str) -> DataFrame:
+    """group, phash of the hashes that stay.  In each round those stay that no earlier open one is near, and those near them go."""
+    at = nodes.select(group, F.col(phash).alias("h"), F.struct(order, key).alias("at"))
+    pairs = near_pairs(nodes, most, group, phash, phash).select(group, "a", "b")
+    pairs = pairs.join(at.withColumnsRenamed({"h": "a", "at": "at_a"}), [group, "a"]).join(at.withColumnsRenamed({"h": "b", "at": "at_b"}), [group, "b"])
+    before = F.col("at_a") < F.col("at_b")
+    pairs = settle(pairs.select(group, F.when(before, F.col("a")).otherwise(F.col("b")).alias("earlier"), F.when(before, F.col("b")).otherwise(F.col("a")).alias("h")))
+    left, kept = settle(at.select(group, "h")), []
+    while not left.isEmpty():
+        stay = settle(left.join(pairs.select(group, "h"), [group, "h"], "left_anti"))
+        kept.append(stay)
+        gone = pairs.join(stay.withColumnRenamed("h", "earlier"), [group, "earlier"], "left_semi").select(group, "h")
+        left = settle(left.join(stay, [group, "h"], "left_anti").join(gone, [group, "h"], "left_anti"))
+        pairs = settle(pairs.join(left, [group, "h"], "left_semi").join(left.withColumnRenamed("h", "earlier"), [group, "earlier"], "left_semi").select(group, "earlier", "h"))
+    return reduce(DataFrame.union, kept, nodes.select(group, F.col(phash).alias("h")).limit(0)).withColumnRenamed("h", phash)
 
 
 def boilerplate(photos: DataFrame, fingerprint: str = "phash", group: str = "sale_id", least: int = R.BOILERPLATE_SALES) -> DataFrame:

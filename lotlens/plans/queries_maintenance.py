@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import changes as C
+from ..operators.lineage import shared_dir
 from ..sources import records
 from ..streaming import progress as G
 from .bindings import Tables
@@ -107,22 +108,10 @@ def _(t):
     return G.flush_completed(t.scan_events)
 
 
-def _log_dir(t: Tables) -> str:
-    import tempfile
-    import uuid
-
-    base = t.spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not t.spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="lotlens-")
-    return f"{base.rstrip('/')}/events-{uuid.uuid4().hex}"
-
-
 @query("event_log_read", "scan_events", sql="SELECT seq, sale_id, type, value FROM scan_events WHERE seq >= 100")
 def _(t):
     """The events written as a log of JSON lines and read from an offset."""
-    path = _log_dir(t)
+    path = shared_dir(t.spark)
     t.scan_events.write.json(path)
     return records.read_events(t.spark, path, 100).select("seq", "sale_id", "type", "value")
 
@@ -130,7 +119,7 @@ def _(t):
 @query("event_log_append", "scan_events", sql="SELECT seq, sale_id, type, value FROM scan_events")
 def _(t):
     """The events streamed from one log into another."""
-    path = _log_dir(t)
+    path = shared_dir(t.spark)
     t.scan_events.write.json(f"{path}/in")
     G.append_events(G.read_stream(t.spark, f"{path}/in"), f"{path}/out", f"{path}/cp").awaitTermination()
     return records.read_events(t.spark, f"{path}/out").select("seq", "sale_id", "type", "value")
@@ -139,7 +128,7 @@ def _(t):
 @query("scan_progress_stream", "scan_events", sql=f"WITH {LAST} {PROGRESS}")
 def _(t):
     """scan_progress kept up by a stream over several micro-batches, in the order of the events."""
-    path = _log_dir(t)
+    path = shared_dir(t.spark)
     t.scan_events.repartitionByRange(4, "seq").write.json(f"{path}/in")
     G.fold_stream(G.read_stream(t.spark, f"{path}/in"), f"{path}/state", f"{path}/cp").awaitTermination()
     return G.latest_state(t.spark, f"{path}/state").withColumn("last_value", F.round("last_value", 6))
@@ -148,7 +137,7 @@ def _(t):
 @query("skip_processed_stream", "findings", sql="SELECT DISTINCT finding_id AS image_url FROM findings")
 def _(t):
     """Photos that arrive twice, in several micro-batches, are taken once."""
-    path = _log_dir(t)
+    path = shared_dir(t.spark)
     urls = t.findings.select(F.col("finding_id").alias("image_url"))
     urls.unionByName(urls).repartition(3).write.json(f"{path}/in")
     G.ingest_new(G.read_stream(t.spark, f"{path}/in", "image_url string", files=2), f"{path}/out", f"{path}/cp").awaitTermination()
@@ -158,7 +147,7 @@ def _(t):
 @query("flush_stream", "scan_events", sql="SELECT type, seq, sale_id FROM scan_events WHERE type IN ('progress', 'oracle_request') AND sale_id IN (SELECT sale_id FROM scan_events WHERE type = 'sale_done')")
 def _(t):
     """Sales that end in any micro-batch have their photos (here: progress) and findings (here: requests) written once."""
-    path = _log_dir(t)
+    path = shared_dir(t.spark)
     t.scan_events.repartition(3).write.json(f"{path}/in")
     photos, findings = t.scan_events.where("type = 'progress'"), t.scan_events.where("type = 'oracle_request'")
     G.flush_stream(G.read_stream(t.spark, f"{path}/in", files=2), photos, findings, f"{path}/out", f"{path}/cp").awaitTermination()

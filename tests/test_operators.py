@@ -2,6 +2,7 @@
 
 import datetime
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -68,6 +69,29 @@ def test_near_duplicates_fold(spark):
     assert rows(photos.near_pairs(df, 3), "a", "b", "distance") == [("a", "b", 3), ("a", "e", 0), ("b", "c", 3), ("b", "e", 3)]
 
 
+def test_collapse_is_the_fold_in_order(spark):
+    """In one task and in rounds, against the fold photo by photo."""
+    rng = random.Random(3)
+    data = []
+    for g in range(3):
+        hashes = [rng.getrandbits(63) for _ in range(6)]
+        for i in range(60):
+            h = rng.choice(hashes)
+            for _ in range(rng.randint(0, 4)):
+                h ^= 1 << rng.randint(0, 63)
+            data.append((f"s{g}", i // 2, f"p{g}-{i}", h - (1 << 64) if h >> 63 else h))
+    data.append(("s0", 99, "none", None))
+    want, stay = set(), {}
+    for g, _, k, h in sorted(data, key=lambda r: (r[0], r[1], r[2])):
+        if h is None or all(bin((h ^ s) & ((1 << 64) - 1)).count("1") > 3 for s in stay.setdefault(g, [])):
+            want.add(k)
+            stay.setdefault(g, []).append(h) if h is not None else None
+    df = spark.createDataFrame(data, "sale_id string, position int, image_id string, phash long")
+    for limit in (1000, 5):
+        assert {r.image_id for r in photos.collapse(df, 3, limit=limit).where("kept").collect()} == want
+    assert photos.collapse(df.limit(0), 3).count() == 0
+
+
 def test_collapse_invariant(spark, sf_dir):
     from lotlens.plans.bindings import Tables
     from lotlens.plans.queries_photos import photos as photo_rows
