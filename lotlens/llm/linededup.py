@@ -1,13 +1,14 @@
 """Line dedup by a distributed suffix array over line ids.
 
-The lines with a word, in order, are the symbols of each document.  Prefix doubling ranks the suffixes by their first 1, 2, 4, ...
-lines: a suffix that shares its first k lines with no other is settled and leaves, so later rounds are small.  The suffixes with one
-rank at depth ``min_lines`` are an interval of the suffix array whose longest common prefix has at least that many lines; every
-member but the first (by doc_id, then place) is a later copy, and the lines that its copies cover are deleted.  Runs that overlap
-merge, so what is deleted are exactly the later copies of the maximal repeated runs.
+The lines with a word, in order, are the symbols of each document; a document's end is a symbol of its own.  Prefix doubling ranks the
+suffixes by their first 1, 2, 4, ... lines until every suffix is settled, that is alone in its class; settled suffixes keep their rank and
+leave, so later rounds are small.  Ranks need no global sort: a class's rank is its old rank plus the number of suffixes in smaller
+classes of the same old rank, which is a running sum over classes, not over suffixes.
 
-Ranks need no global sort: a class's rank is its old rank plus the number of suffixes in smaller classes of the same old rank,
-which is a running sum over classes, not over suffixes.
+Where a class splits, its parts are neighbours in the suffix array; the longest common prefix of two neighbours follows from the ranks of
+the rounds before, by halving steps.  Joining neighbours of one class by falling prefix length gives its intervals: when two intervals meet, the
+first member of the later one (by doc_id, then place) has found the longest run of lines with which it begins and which occurs earlier.  A
+run that no run of the line before contains is maximal, and its lines are deleted.
 
 Defined cases: a null or blank text has no lines and stays as it is; blank lines neither count nor are deleted; a run never spans
 documents; the copies may lie in one document; rows that repeat id and text count as one row; an empty table gives an empty result; rows
@@ -41,51 +42,130 @@ def suffixes(docs: DataFrame, row: str, min_words: int | None = None) -> DataFra
 
 
 def first_ranks(lines: DataFrame) -> DataFrame:
-    """rank at depth 1 of every suffix whose first line occurs twice or more; ranks follow the order of line ids."""
-    classes = settle(lines.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").withColumn("slice", F.shiftrightunsigned("a", 52)))
+    """The lines with rank and lone (no other has the line); ranks follow the order of line ids."""
+    classes = settle(lines.groupBy("a", "b").agg(F.count("*").alias("n")).withColumn("slice", F.shiftrightunsigned("a", 52)))
     inside = Window.partitionBy("slice").orderBy("a", "b")
     # at most SLICES rows meet in the one window without a key
     base = classes.groupBy("slice").agg(F.sum("n").alias("m")).select("slice", (F.sum("m").over(Window.orderBy("slice")) - F.col("m")).alias("base"))
-    ranked = settle(classes.join(F.broadcast(base), "slice").select("a", "b", "n", (F.col("base") + F.sum("n").over(inside) - F.col("n")).alias("rank")))
-    return join_hot(lines, ranked, ["a", "b"]).drop("a", "b").distinct()
-
-
-def deeper(ranks: DataFrame, row: str, other: DataFrame, ahead: int) -> DataFrame:
-    """Ranks by first lines as many as ``ranks`` and, ``ahead`` lines on, ``other`` reach together; settled suffixes leave."""
-    nexts = other.select(row, "doc_id", (F.col("at") - ahead).alias("at"), F.col("rank").alias("then"))
-    paired = settle(ranks.join(nexts, [row, "doc_id", "at"]))
-    classes = paired.groupBy("rank", "then").agg(F.count("*").alias("n")).where("n > 1")
-    order = Window.partitionBy("rank").orderBy("then")
-    classes = settle(classes.select("rank", "then", "n", (F.col("rank") + F.sum("n").over(order) - F.col("n")).alias("deep")))
-    return join_hot(paired, classes, ["rank", "then"]).drop("rank", "then").withColumnRenamed("deep", "rank")
-
-
-def firsts(ranks: DataFrame, row: str) -> DataFrame:
-    """rank, n, first: of every interval its size and its first member by doc_id, then place."""
-    return settle(ranks.groupBy("rank").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", row, "at")).alias("first")))
+    ranked = classes.join(F.broadcast(base), "slice").select("a", "b", "n", (F.col("base") + F.sum("n").over(inside) - F.col("n")).alias("rank"), (F.col("n") == 1).alias("lone"))
+    return join_hot(lines, settle(ranked), ["a", "b"]).drop("a", "b").distinct()
+
+
+def split(open_: DataFrame, now: DataFrame, row: str, depth: int) -> tuple[DataFrame, DataFrame]:
+    """Suffixes ranked by ``depth`` lines, by twice as many: (parts, suffixes).
+
+    ``parts``: rank, part (the new rank), n, first, before (the first member of the part before it in the same class).
+    """
+    nexts = now.select(row, "doc_id", (F.col("at") - depth).alias("at"), F.col("rank").alias("then"))
+    key = [row, "doc_id", "at"]
+    # an end comes before all lines and is like no other end
+    ends = F.when(F.col("then").isNull(), F.xxhash64(*key)).otherwise(0)
+    paired = settle(open_.select(*key, "rank").join(nexts, key, "left").select(*key, "rank", F.coalesce("then", F.lit(-1)).alias("then"), ends.alias("end")))
+    on = ["rank", "then", "end"]
+    order = Window.partitionBy("rank").orderBy("then", "end")
+    parts = paired.groupBy(*on).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", row, "at")).alias("first"))
+    parts = settle(parts.withColumn("part", F.col("rank") + F.sum("n").over(order) - F.col("n")).withColumn("before", F.lag("first").over(order)))
+    ranks = join_hot(paired, parts.select(*on, "n", "part", (F.col("n") == 1).alias("lone")), on)
+    return parts.select("rank", "part", "n", "first", "before"), settle(ranks.select(*key, F.col("part").alias("rank"), "lone"))
+
+
+def common_prefixes(pairs: DataFrame, ranks: dict[int, DataFrame], row: str) -> DataFrame:
+    """``pairs`` (depth, x, y) with ``length``: the lines that the suffixes x and y, which share ``depth`` and not twice as many, have in common."""
+    out = pairs.withColumn("length", F.col("depth"))
+    for step in sorted(ranks, reverse=True):
+        for side in ("x", "y"):
+            place = ranks[step].select(F.col("doc_id").alias(f"{side}_doc"), F.col(row).alias(f"{side}_row"), F.col("at").alias(f"{side}_at"), F.col("rank").alias(f"{side}_rank"))
+            on = (F.col(f"{side}.doc_id") == F.col(f"{side}_doc")) & (F.col(f"{side}.{row}") == F.col(f"{side}_row")) & (F.col(f"{side}.at") + F.col("length") == F.col(f"{side}_at")) & (F.col("depth") > step)
+            out = out.join(place, on, "left").drop(f"{side}_doc", f"{side}_row", f"{side}_at")
+        longer = F.when(F.col("x_rank") == F.col("y_rank"), step).otherwise(0)
+        out = out.withColumn("length", F.col("length") + longer).drop("x_rank", "y_rank")
+    return out
+
+
+def _longest(order: list[int], first: list[tuple], length: list[int]) -> tuple[list[int], list[int]]:
+    """For parts in order, each with its first member and the prefix it shares with the part before (0: none): (part, run) of each part
+    that has an earlier member beside it, by joining neighbours from the longest prefix down."""
+    home, found, runs = list(range(len(order))), [], []
+
+    def top(i: int) -> int:
+        while home[i] != i:
+            home[i] = home[home[i]]
+            i = home[i]
+        return i
+
+    for i in sorted((i for i in range(1, len(order)) if length[i]), key=lambda i: -length[i]):
+        a, b = top(i - 1), top(i)
+        if first[b] < first[a]:
+            a, b = b, a
+        home[b] = a  # a stands for both: its member is first
+        found.append(b)
+        runs.append(length[i])
+    return found, runs
+
+
+def longest_runs(neighbours: DataFrame, row: str) -> DataFrame:
+    """doc_id, row, at, length of the first member of each part that is not the first of its interval: its longest run that occurs earlier."""
+    groups = neighbours.groupBy("depth", "rank").agg(F.array_sort(F.collect_list(F.struct("part", "first", "length"))).alias("parts")).select("parts")
+
+    def run(batches):
+        for batch in batches:
+            docs, rows, places, lengths = [], [], [], []
+            for parts in batch.column(0):
+                part, first, length = (parts.values.field(k) for k in range(3))
+                members = list(zip(*(first.field(k).to_pylist() for k in range(3))))
+                for i, n in zip(*_longest(part.to_pylist(), members, length.to_pylist())):
+                    docs.append(members[i][0])
+                    rows.append(members[i][1])
+                    places.append(members[i][2])
+                    lengths.append(n)
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(rows, pa.int64()), pa.array(places, pa.int32()), pa.array(lengths, pa.int32())], ["doc_id", row, "at", "length"])
+
+    return groups.mapInArrow(run, f"doc_id long, {row} long, at int, length int")
+
+
+def repeated_runs(lines: DataFrame, row: str, min_lines: int = 2, rounds: int = 40) -> DataFrame:
+    """doc_id, row, at, length: the maximal runs of ``min_lines`` lines or more that occur earlier too.
+
+    ``lines``: the result of ``first_ranks``.
+    """
+    now, depth, ranks, neighbours = lines.select(row, "doc_id", "at", "rank", "lone"), 1, {}, None
+    for _ in range(rounds):
+        open_ = now.where("NOT lone")
+        if open_.isEmpty():
+            break
+        ranks[depth] = open_
+        parts, fresh = split(open_, now, row, depth)
+        # what stands alone keeps its rank, in the documents that still have something open
+        busy = fresh.where("NOT lone").select(row, "doc_id").distinct()
+        now = settle(fresh.unionByName(now.where("lone")).join(busy, [row, "doc_id"], "left_semi"))
+        if 2 * depth > min_lines:
+            parts = parts.select(F.lit(depth).alias("depth"), "rank", "part", F.col("first").alias("y"), F.col("before").alias("x"))
+            neighbours = parts if neighbours is None else neighbours.unionByName(parts)
+        depth *= 2
+    else:
+        raise RuntimeError(f"runs of more than {depth} lines")
+    if neighbours is None:
+        return lines.select("doc_id", row, F.col("at").cast("int").alias("at"), F.lit(0).alias("length")).limit(0)
+    # most neighbours part within four lines and need the ranks of one line only
+    few = common_prefixes(neighbours.where("depth <= 2"), {k: r for k, r in ranks.items() if k < 2}, row)
+    pairs = settle(few.unionByName(common_prefixes(neighbours.where("depth > 2"), {k: r for k, r in ranks.items() if k < depth // 2}, row)))
+    length = F.when(F.col("x").isNotNull() & (F.col("length") >= min_lines), F.col("length")).otherwise(0)
+    found = settle(longest_runs(pairs.select("depth", "rank", "part", F.col("y").alias("first"), length.alias("length")), row))
+    before = F.lag(F.col("at") + F.col("length")).over(Window.partitionBy(row, "doc_id").orderBy("at"))
+    return found.withColumn("_upto", before).where("_upto IS NULL OR at + length > _upto").drop("_upto")
 
 
 def later_copies(docs: DataFrame, row: str = "row", min_lines: int = 2, min_words: int | None = None) -> DataFrame:
     """row, doc_id, line_no of every line to be deleted: of runs of ``min_lines``, and of single lines of ``min_words`` words if that is given."""
-    ranks = settle(first_ranks(suffixes(docs, row, min_words)))
-    single = None
-    if min_words is not None:
-        wordy = ranks.where("wordy")
-        single = join_hot(wordy, firsts(wordy, row), ["rank"]).where(F.struct("doc_id", row, "at") != F.col("first")).select(row, "doc_id", "line_no")
-        ranks = ranks.drop("wordy")
-    powers, depth = {1: ranks}, 1
-    while 2 * depth <= min_lines:
-        ranks = settle(deeper(ranks, row, ranks, depth))
-        depth *= 2
-        powers[depth] = ranks
-    while depth < min_lines:  # the rest of the depth, by the largest power that fits
-        step = max(p for p in powers if p <= min_lines - depth)
-        ranks = settle(deeper(ranks, row, powers[step], depth))
-        depth += step
-    # an interval of the suffix array is the suffixes of one rank; its first member stays
-    later = join_hot(ranks, firsts(ranks, row), ["rank"]).where(F.struct("doc_id", row, "at") != F.col("first")).select(row, "doc_id", F.explode(F.sequence(F.col("at"), F.col("at") + (min_lines - 1))).alias("at"))
-    gone = powers[1].join(later.distinct(), [row, "doc_id", "at"]).select(row, "doc_id", "line_no")
-    return gone if single is None else gone.union(single).distinct()
+    lines = settle(first_ranks(suffixes(docs, row, min_words)))
+    runs = repeated_runs(lines, row, min_lines).select(row, "doc_id", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("length") - 1)).alias("at"))
+    gone = lines.join(runs.distinct(), [row, "doc_id", "at"]).select(row, "doc_id", "line_no")
+    if min_words is None:
+        return gone
+    wordy = lines.where("wordy AND NOT lone")
+    first = settle(wordy.groupBy("rank").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", row, "at")).alias("first")))
+    single = join_hot(wordy, first, ["rank"]).where(F.struct("doc_id", row, "at") != F.col("first")).select(row, "doc_id", "line_no")
+    return gone.union(single).distinct()
 
 
 def delete_later_copies(docs: DataFrame, min_lines: int = 2, text: str = "text", min_words: int | None = None) -> DataFrame:

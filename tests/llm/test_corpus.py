@@ -200,6 +200,26 @@ def test_line_dedup(spark, data, least):
     assert kept.columns == df.columns
 
 
+@pytest.mark.parametrize("least", [1, 2, 3])
+def test_maximal_repeated_runs(spark, least):
+    """Lengths of the longest runs that occur earlier, over few different lines, copies of documents and repeats within one."""
+    rng = random.Random(least)
+    made = [[rng.choice("abc") for _ in range(rng.randint(0, 14))] for _ in range(25)]
+    made += [made[3], made[5] + made[7], list("abcabcabcabc"), list("a" * 9), ["z"], made[3] + ["q"], list("uvwxyz" * 3)]
+    df, _ = fixture.docs(spark, texts=[(i, "\n".join(x)) for i, x in enumerate(made)])
+    lines = linededup.first_ranks(linededup.suffixes(df.withColumn("row", F.col("doc_id") * 7), "row")).cache()
+    got = {(r.doc_id, r.at): r.length for r in linededup.repeated_runs(lines, "row", least).collect()}
+    places = [(i, k) for i, x in enumerate(made) for k in range(len(x))]
+
+    def common(p, q):
+        x, y = made[p[0]][p[1] :], made[q[0]][q[1] :]
+        return next((n for n, (a, b) in enumerate(zip(x, y)) if a != b), min(len(x), len(y)))
+
+    longest = {p: max((common(p, q) for q in places[:n]), default=0) for n, p in enumerate(places)}
+    want = {(i, k): n for (i, k), n in longest.items() if n >= least and not (longest.get((i, k - 1), 0) >= least and longest[i, k - 1] == n + 1)}
+    assert got == want and max(want.values()) >= 9
+
+
 def test_token_files_round_trip(spark, data):
     from tokenizers import Tokenizer
 
