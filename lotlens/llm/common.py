@@ -10,20 +10,29 @@ from pyspark.sql import functions as F
 
 from ..operators.lineage import discard, settle
 
-__all__ = ["discard", "id_text", "join_hot", "pieces", "settle", "utf8"]
+__all__ = ["counts", "discard", "id_text", "join_hot", "pieces", "settle", "utf8"]
 
 
-#: A key with more than 1 / HEAVY of all rows (fewer than HEAVY keys, by arithmetic) is dealt to SALTS places.
-HEAVY, SALTS = 1000, 64
+#: A key with over LEAST rows and more than 1 / HEAVY of all rows (fewer than HEAVY keys, by arithmetic) is dealt to SALTS places.
+HEAVY, LEAST, SALTS = 1000, 1000, 64
 
 
-def join_hot(rows: DataFrame, kinds: DataFrame, on: list[str]) -> DataFrame:
+def counts(kinds: DataFrame) -> tuple[int, int]:
+    """The sum and the greatest of ``n``."""
+    total, top = kinds.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    return total, top
+
+
+def join_hot(rows: DataFrame, kinds: DataFrame, on: list[str], known: tuple[int, int] | None = None) -> DataFrame:
     """Inner join of ``rows`` with ``kinds``, one row for each key, whose column ``n`` says how many rows have it.
 
-    Rows of a key that is too frequent for one task meet copies of its kind in several.  ``kinds`` is read twice and should be settled.
+    Rows of a key that is too frequent for one task meet copies of its kind in several.  ``kinds`` is read twice and should be settled;
+    ``known`` are its ``counts``.
     """
-    total = kinds.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    heavy = F.col("n") * HEAVY > total
+    total, top = known or counts(kinds)
+    if top <= LEAST or top * HEAVY <= total:
+        return rows.join(kinds.drop("n"), on)
+    heavy = (F.col("n") > LEAST) & (F.col("n") * HEAVY > total)
     hot = kinds.where(heavy).select(*on, F.lit(True).alias("_hot"))
     dealt = rows.join(F.broadcast(hot), on, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.hash(*rows.columns), F.lit(SALTS))).otherwise(0)).drop("_hot")
     every = F.when(heavy, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))

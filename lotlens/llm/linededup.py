@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import join_hot, settle
+from .common import counts, join_hot, settle
 
 SLICES = 4096
 BLANK = b" \t\x0b\x0c\r"
@@ -51,8 +51,8 @@ def first_ranks(lines: DataFrame) -> DataFrame:
     return join_hot(lines, settle(ranked), ["a", "b"]).drop("a", "b").distinct()
 
 
-def split(open_: DataFrame, now: DataFrame, row: str, depth: int) -> tuple[DataFrame, DataFrame]:
-    """Suffixes ranked by ``depth`` lines, by twice as many: (parts, suffixes).
+def split(open_: DataFrame, now: DataFrame, row: str, depth: int) -> tuple[DataFrame, DataFrame, int]:
+    """Suffixes ranked by ``depth`` lines, by twice as many: (parts, suffixes, the size of the largest part).
 
     ``parts``: rank, part (the new rank), n, first, before (the first member of the part before it in the same class).
     """
@@ -65,8 +65,9 @@ def split(open_: DataFrame, now: DataFrame, row: str, depth: int) -> tuple[DataF
     order = Window.partitionBy("rank").orderBy("then", "end")
     parts = paired.groupBy(*on).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", row, "at")).alias("first"))
     parts = settle(parts.withColumn("part", F.col("rank") + F.sum("n").over(order) - F.col("n")).withColumn("before", F.lag("first").over(order)))
-    ranks = join_hot(paired, parts.select(*on, "n", "part", (F.col("n") == 1).alias("lone")), on)
-    return parts.select("rank", "part", "n", "first", "before"), settle(ranks.select(*key, F.col("part").alias("rank"), "lone"))
+    known = counts(parts)
+    ranks = join_hot(paired, parts.select(*on, "n", "part", (F.col("n") == 1).alias("lone")), on, known)
+    return parts.select("rank", "part", "n", "first", "before"), ranks.select(*key, F.col("part").alias("rank"), "lone"), known[1]
 
 
 def common_prefixes(pairs: DataFrame, ranks: dict[int, DataFrame], row: str) -> DataFrame:
@@ -128,16 +129,17 @@ def repeated_runs(lines: DataFrame, row: str, min_lines: int = 2, rounds: int =
 
     ``lines``: the result of ``first_ranks``.
     """
-    now, depth, ranks, neighbours = lines.select(row, "doc_id", "at", "rank", "lone"), 1, {}, None
+    now, depth, ranks, neighbours, largest = lines.select(row, "doc_id", "at", "rank", "lone"), 1, {}, None, 2
     for _ in range(rounds):
-        open_ = now.where("NOT lone")
-        if open_.isEmpty():
+        if largest < 2:
             break
-        ranks[depth] = open_
-        parts, fresh = split(open_, now, row, depth)
-        # what stands alone keeps its rank, in the documents that still have something open
-        busy = fresh.where("NOT lone").select(row, "doc_id").distinct()
-        now = settle(fresh.unionByName(now.where("lone")).join(busy, [row, "doc_id"], "left_semi"))
+        open_ = ranks[depth] = now.where("NOT lone")
+        parts, fresh, largest = split(open_, now, row, depth)
+        # what stands alone keeps its rank
+        after = settle(fresh)
+        now = after.unionByName(now.where("lone"))
+        if depth <= 2:  # in the documents that still have something open: at first most have not
+            now = settle(now.join(after.where("NOT lone").select(row, "doc_id").distinct(), [row, "doc_id"], "left_semi"))
         if 2 * depth > min_lines:
             parts = parts.select(F.lit(depth).alias("depth"), "rank", "part", F.col("first").alias("y"), F.col("before").alias("x"))
             neighbours = parts if neighbours is None else neighbours.unionByName(parts)
