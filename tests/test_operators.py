@@ -2,13 +2,14 @@
 
 import datetime
 import math
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from lotlens.functions import text
-from lotlens.operators import changes, evaluation, inference, photos, ranking, search
+from lotlens.operators import changes, evaluation, inference, lineage, photos, ranking, search
 from lotlens.sources import pages, records
 from lotlens.streaming import progress
 
@@ -234,3 +235,31 @@ def test_many_words_meet_texts_by_their_first_characters(spark):
 def test_white_space_that_is_trimmed(spark):
     df = spark.createDataFrame([("\u00a0\ufeff\t x\u2003y \u2028\n",)], "t string")
     assert df.select(text.strip("t")).first()[0] == "x\u2003y"
+
+
+class Session:
+    """As much of a session as the choice of a folder reads."""
+
+    def __init__(self, master, **settings):
+        self.sparkContext = type("Context", (), {"master": master})
+        self.conf = type("Conf", (), {"get": staticmethod(lambda k, d=None: settings.get(k, d)), "set": staticmethod(settings.__setitem__)})
+
+
+def test_where_shared_tables_go():
+    with pytest.raises(ValueError):
+        lineage.shared_dir(Session("spark://host:7077"))
+    with pytest.raises(ValueError):
+        lineage.shared_dir(Session("local-cluster[3,2,1000]"))
+    both = {"spark.checkpoint.dir": "hdfs://a/b/", lineage.SHARED: "hdfs://c"}
+    assert lineage.shared_dir(Session("yarn", **both)).startswith("hdfs://a/b/lotlens-")
+    assert lineage.shared_dir(Session("yarn", **{lineage.SHARED: "hdfs://c"})).startswith("hdfs://c/lotlens-")
+    one = Session("local[4]")
+    assert lineage.shared_dir(one).rpartition("/")[0] == lineage.shared_dir(one).rpartition("/")[0]
+
+
+def test_settled_tables_can_be_discarded(spark):
+    df = lineage.settle(spark.range(5))
+    folder = df.inputFiles()[0].removeprefix("file://").rpartition("/")[0]
+    assert df.count() == 5 and os.path.isdir(folder)
+    lineage.discard(df)
+    assert not os.path.exists(folder)
