@@ -79,7 +79,8 @@ def common_prefixes(pairs: DataFrame, ranks: dict[int, DataFrame], row: str) ->
             on = (F.col(f"{side}.doc_id") == F.col(f"{side}_doc")) & (F.col(f"{side}.{row}") == F.col(f"{side}_row")) & (F.col(f"{side}.at") + F.col("length") == F.col(f"{side}_at")) & (F.col("depth") > step)
             out = out.join(place, on, "left").drop(f"{side}_doc", f"{side}_row", f"{side}_at")
         longer = F.when(F.col("x_rank") == F.col("y_rank"), step).otherwise(0)
-        out = out.withColumn("length", F.col("length") + longer).drop("x_rank", "y_rank")
+        # written at each step: one plan of all steps would be planned anew whenever one of its many stages ends
+        out = settle(out.withColumn("length", F.col("length") + longer).drop("x_rank", "y_rank"))
     return out
 
 
@@ -130,16 +131,17 @@ def repeated_runs(lines: DataFrame, row: str, min_lines: int = 2, rounds: int =
     ``lines``: the result of ``first_ranks``.
     """
     now, depth, ranks, neighbours, largest = lines.select(row, "doc_id", "at", "rank", "lone"), 1, {}, None, 2
+    open_ = now.where("NOT lone")
     for _ in range(rounds):
         if largest < 2:
             break
-        open_ = ranks[depth] = now.where("NOT lone")
+        ranks[depth] = open_
         parts, fresh, largest = split(open_, now, row, depth)
         # what stands alone keeps its rank
         after = settle(fresh)
-        now = after.unionByName(now.where("lone"))
+        open_, now = after.where("NOT lone"), after.unionByName(now.where("lone"))
         if depth <= 2:  # in the documents that still have something open: at first most have not
-            now = settle(now.join(after.where("NOT lone").select(row, "doc_id").distinct(), [row, "doc_id"], "left_semi"))
+            now = settle(now.join(open_.select(row, "doc_id").distinct(), [row, "doc_id"], "left_semi"))
         if 2 * depth > min_lines:
             parts = parts.select(F.lit(depth).alias("depth"), "rank", "part", F.col("first").alias("y"), F.col("before").alias("x"))
             neighbours = parts if neighbours is None else neighbours.unionByName(parts)
@@ -150,7 +152,7 @@ def repeated_runs(lines: DataFrame, row: str, min_lines: int = 2, rounds: int =
         return lines.select("doc_id", row, F.col("at").cast("int").alias("at"), F.lit(0).alias("length")).limit(0)
     # most neighbours part within four lines and need the ranks of one line only
     few = common_prefixes(neighbours.where("depth <= 2"), {k: r for k, r in ranks.items() if k < 2}, row)
-    pairs = settle(few.unionByName(common_prefixes(neighbours.where("depth > 2"), {k: r for k, r in ranks.items() if k < depth // 2}, row)))
+    pairs = few.unionByName(common_prefixes(neighbours.where("depth > 2"), {k: r for k, r in ranks.items() if k < depth // 2}, row))
     length = F.when(F.col("x").isNotNull() & (F.col("length") >= min_lines), F.col("length")).otherwise(0)
     found = settle(longest_runs(pairs.select("depth", "rank", "part", F.col("y").alias("first"), length.alias("length")), row))
     before = F.lag(F.col("at") + F.col("length")).over(Window.partitionBy(row, "doc_id").orderBy("at"))
