@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lotlens.functions import items as I
 from lotlens.functions import numbers as N
 from lotlens.functions import text as X
+from lotlens.operators import search
 
 
 def column(spark, values, make, kind="string"):
@@ -77,3 +78,29 @@ def test_vectors_and_hashes(spark):
     assert [r[0] for r in grey.select(N.quality_gate("g")).collect()] == [True, False, True, True]
     miles = spark.range(1).select(N.haversine(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(90.0))).first()[0]
     assert math.isclose(miles, 3958.8 * math.pi / 2)
+
+
+def test_rules_by_what_is_expected_of_them(spark):
+    """Expectations written out, not drawn from the rule tables that the oracles share with the operators."""
+    categories = {
+        "leather loveseat": "seating", "oak dresser with drawers": "case_goods", "dining table for eight": "tables", "four-poster bed": "beds", "brass floor lamp": "lighting",
+        "ceramic rooster": "kitsch", "velvet painting over an armchair": "kitsch", "mantel clock": "clocks", "oil on canvas of a ship": "art", "pottery vase": "ceramics_glass",
+        "sterling flatware": "silver", "gold pocket watch": "jewelry_watches", "reel-to-reel deck": "electronics", "nintendo cartridges": "games_toys", "acoustic guitar": "instruments", "garden hose": "other",
+    }
+    assert dict(zip(categories, column(spark, list(categories), I.category))) == categories
+    eras = {"a radio of the 1960s, vintage": "1960s", "art deco mirror": "Art Deco", "a victorian couch": "Victorian", "antique desk": "antique", "mid-century lamp": "mid-century", "circa 1920 clock": "circa 1920", "plain chair": None}
+    assert dict(zip(eras, column(spark, list(eras), I.era))) == eras
+    makers = {"oak chair by Stickley": ["Stickley"], "an Atari 2600": ["Atari"], "Reed & Barton spoons": ["Reed & Barton"], "Wedgwood and wedgewood": ["Wedgwood"], "planer from a bakery": []}
+    got = column(spark, list(makers), lambda c: F.transform(I.makers(c), lambda m: m["maker"]))
+    assert dict(zip(makers, got)) == makers
+    high = [F.lit("Victorian"), F.lit("vintage"), F.lit(None).cast("string")]
+    assert list(spark.range(1).select(*(I.desirability(F.lit(n), e) for n in (0, 1) for e in high)).first()) == ["high", "med", "med", "high", "high", "high"]
+
+
+def test_searches_by_what_is_expected_of_them(spark):
+    queries = {"couch": ({"sofa", "loveseat", "sectional"}, {"seating"}), "settee": (set(), {"seating"}), "record player": ({"turntable", "stereo"}, {"electronics"}), "zzz": (set(), set()), "  ": (set(), set())}
+    df = spark.createDataFrame([(i, q) for i, q in enumerate(queries)], "query_id int, query string")
+    got = {r.query_id: r for r in search.expand(df, search.synonyms(spark)).collect()}
+    for i, (q, (terms, categories)) in enumerate(queries.items()):
+        assert set(q.split()) | terms <= set(got[i].expanded) and categories <= set(got[i].categories)
+    assert got[3].expanded == ["zzz"] and got[3].categories == [] and got[4].expanded == []
