@@ -70,17 +70,27 @@ def split(open_: DataFrame, now: DataFrame, row: str, depth: int) -> tuple[DataF
     return parts.select("rank", "part", "n", "first", "before"), ranks.select(*key, F.col("part").alias("rank"), "lone"), known[1]
 
 
-def common_prefixes(pairs: DataFrame, ranks: dict[int, DataFrame], row: str) -> DataFrame:
-    """``pairs`` (depth, x, y) with ``length``: the lines that the suffixes x and y, which share ``depth`` and not twice as many, have in common."""
-    out = pairs.withColumn("length", F.col("depth"))
+def common_prefixes(neighbours: dict[int, DataFrame], ranks: dict[int, DataFrame], row: str) -> DataFrame:
+    """All ``neighbours`` (by depth: depth, rank, part, x, y) with ``length``: the lines that the suffixes x and y, which share ``depth`` and not
+    twice as many, have in common.  Pairs of one depth join at half of it; what they share beyond is found by ever smaller steps."""
+    out = None
     for step in sorted(ranks, reverse=True):
+        more = neighbours.get(2 * step)
+        if more is not None:
+            more = more.withColumn("length", F.col("depth"))
+            out = more if out is None else out.unionByName(more)
+        if out is None:
+            continue
         for side in ("x", "y"):
             place = ranks[step].select(F.col("doc_id").alias(f"{side}_doc"), F.col(row).alias(f"{side}_row"), F.col("at").alias(f"{side}_at"), F.col("rank").alias(f"{side}_rank"))
-            on = (F.col(f"{side}.doc_id") == F.col(f"{side}_doc")) & (F.col(f"{side}.{row}") == F.col(f"{side}_row")) & (F.col(f"{side}.at") + F.col("length") == F.col(f"{side}_at")) & (F.col("depth") > step)
+            on = (F.col(f"{side}.doc_id") == F.col(f"{side}_doc")) & (F.col(f"{side}.{row}") == F.col(f"{side}_row")) & (F.col(f"{side}.at") + F.col("length") == F.col(f"{side}_at"))
             out = out.join(place, on, "left").drop(f"{side}_doc", f"{side}_row", f"{side}_at")
         longer = F.when(F.col("x_rank") == F.col("y_rank"), step).otherwise(0)
         # written at each step: one plan of all steps would be planned anew whenever one of its many stages ends
         out = settle(out.withColumn("length", F.col("length") + longer).drop("x_rank", "y_rank"))
+    if 1 in neighbours:
+        one = neighbours[1].withColumn("length", F.col("depth"))
+        out = one if out is None else out.unionByName(one)
     return out
 
 
@@ -130,7 +140,7 @@ def repeated_runs(lines: DataFrame, row: str, min_lines: int = 2, rounds: int =
 
     ``lines``: the result of ``first_ranks``.
     """
-    now, depth, ranks, neighbours, largest = lines.select(row, "doc_id", "at", "rank", "lone"), 1, {}, None, 2
+    now, depth, ranks, neighbours, largest = lines.select(row, "doc_id", "at", "rank", "lone"), 1, {}, {}, 2
     open_ = now.where("NOT lone")
     for _ in range(rounds):
         if largest < 2:
@@ -140,19 +150,16 @@ def repeated_runs(lines: DataFrame, row: str, min_lines: int = 2, rounds: int =
         # what stands alone keeps its rank
         after = settle(fresh)
         open_, now = after.where("NOT lone"), after.unionByName(now.where("lone"))
-        if depth <= 2:  # in the documents that still have something open: at first most have not
+        if depth <= 8:  # in the documents that still have something open: at first most have not
             now = settle(now.join(open_.select(row, "doc_id").distinct(), [row, "doc_id"], "left_semi"))
         if 2 * depth > min_lines:
-            parts = parts.select(F.lit(depth).alias("depth"), "rank", "part", F.col("first").alias("y"), F.col("before").alias("x"))
-            neighbours = parts if neighbours is None else neighbours.unionByName(parts)
+            neighbours[depth] = parts.select(F.lit(depth).alias("depth"), "rank", "part", F.col("first").alias("y"), F.col("before").alias("x"))
         depth *= 2
     else:
         raise RuntimeError(f"runs of more than {depth} lines")
-    if neighbours is None:
+    if not neighbours:
         return lines.select("doc_id", row, F.col("at").cast("int").alias("at"), F.lit(0).alias("length")).limit(0)
-    # most neighbours part within four lines and need the ranks of one line only
-    few = common_prefixes(neighbours.where("depth <= 2"), {k: r for k, r in ranks.items() if k < 2}, row)
-    pairs = few.unionByName(common_prefixes(neighbours.where("depth > 2"), {k: r for k, r in ranks.items() if k < depth // 2}, row))
+    pairs = common_prefixes(neighbours, ranks, row)
     length = F.when(F.col("x").isNotNull() & (F.col("length") >= min_lines), F.col("length")).otherwise(0)
     found = settle(longest_runs(pairs.select("depth", "rank", "part", F.col("y").alias("first"), length.alias("length")), row))
     before = F.lag(F.col("at") + F.col("length")).over(Window.partitionBy(row, "doc_id").orderBy("at"))
@@ -161,7 +168,7 @@ def repeated_runs(lines: DataFrame, row: str, min_lines: int = 2, rounds: int =
 
 def later_copies(docs: DataFrame, row: str = "row", min_lines: int = 2, min_words: int | None = None) -> DataFrame:
     """row, doc_id, line_no of every line to be deleted: of runs of ``min_lines``, and of single lines of ``min_words`` words if that is given."""
-    lines = settle(first_ranks(suffixes(docs, row, min_words)))
+    lines = settle(first_ranks(settle(suffixes(docs, row, min_words))))
     runs = repeated_runs(lines, row, min_lines).select(row, "doc_id", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("length") - 1)).alias("at"))
     gone = lines.join(runs.distinct(), [row, "doc_id", "at"]).select(row, "doc_id", "line_no")
     if min_words is None:
