@@ -13,8 +13,8 @@ from ..operators.lineage import discard, settle
 __all__ = ["counts", "discard", "id_text", "join_hot", "pieces", "settle", "utf8"]
 
 
-#: A key with over LEAST rows and more than 1 / HEAVY of all rows (fewer than HEAVY keys, by arithmetic) is dealt to SALTS places.
-HEAVY, LEAST, SALTS = 1000, 1000, 64
+#: A task takes about LEAST rows of one key, or a HEAVY-th of all rows where that is more: fewer than HEAVY keys have more, by arithmetic.
+HEAVY, LEAST = 200_000, 2000
 
 
 def counts(kinds: DataFrame) -> tuple[int, int]:
@@ -26,16 +26,18 @@ def counts(kinds: DataFrame) -> tuple[int, int]:
 def join_hot(rows: DataFrame, kinds: DataFrame, on: list[str], known: tuple[int, int] | None = None) -> DataFrame:
     """Inner join of ``rows`` with ``kinds``, one row for each key, whose column ``n`` says how many rows have it.
 
-    Rows of a key that is too frequent for one task meet copies of its kind in several.  ``kinds`` is read twice and should be settled;
-    ``known`` are its ``counts``.
+    Rows of a key that is too frequent for one task are dealt to as many places as they fill, each with a copy of its kind.  ``kinds`` is read
+    twice and should be settled; ``known`` are its ``counts``.
     """
     total, top = known or counts(kinds)
-    if top <= LEAST or top * HEAVY <= total:
+    bound = max(LEAST, total // HEAVY)
+    if top <= bound:
         return rows.join(kinds.drop("n"), on)
-    heavy = (F.col("n") > LEAST) & (F.col("n") * HEAVY > total)
-    hot = kinds.where(heavy).select(*on, F.lit(True).alias("_hot"))
-    dealt = rows.join(F.broadcast(hot), on, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.hash(*rows.columns), F.lit(SALTS))).otherwise(0)).drop("_hot")
-    every = F.when(heavy, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    places = F.ceil(F.col("n") / bound).cast("int")
+    # fewer than HEAVY rows of keys and a number
+    hot = kinds.where(F.col("n") > bound).select(*on, places.alias("_places"))
+    dealt = rows.join(F.broadcast(hot), on, "left").withColumn("_salt", F.when(F.col("_places").isNull(), 0).otherwise(F.pmod(F.hash(*rows.columns), F.coalesce("_places", F.lit(1))))).drop("_places")
+    every = F.when(F.col("n") > bound, F.sequence(F.lit(0), places - 1)).otherwise(F.array(F.lit(0)))
     return dealt.join(kinds.withColumn("_salt", F.explode(every)).drop("n"), [*on, "_salt"]).drop("_salt")
 
 

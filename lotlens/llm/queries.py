@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, linededup, ngramlm, packing, quality, sentences, simhash, substring, tokens
+from . import decontaminate, linededup, ngramlm, packing, prefixtrie, quality, sentences, simhash, substring, tokens
 from .common import id_text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,9 +64,13 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op12_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.shared_head_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_substring_dedup, op2_benchmark_decontamination, op3_quality_rules, op4_lm_scoring, op5_suffix_array_dedup, op6_best_fit_packing, op7_quality_classifier, op8_line_dedup, op9_token_files, op10_simhash_near_dedup)
+    for f in (op1_substring_dedup, op2_benchmark_decontamination, op3_quality_rules, op4_lm_scoring, op5_suffix_array_dedup, op6_best_fit_packing, op7_quality_classifier, op8_line_dedup, op9_token_files, op10_simhash_near_dedup, op12_conversation_prefix_trie)
 }
 ORACLE: dict[str, str] = {
     "op1_substring_dedup": r"""
@@ -102,4 +106,20 @@ n AS (SELECT doc_id, count(*) AS n_lines FROM l GROUP BY doc_id)
 SELECT t.doc_id, coalesce(n.n_lines, 0) AS n_lines, coalesce(len(d.ns), 0) AS n_deleted,
        CASE WHEN d.ns IS NULL THEN t.text ELSE coalesce(array_to_string(list_filter(string_split(t.text, chr(10)), lambda x, i: NOT list_contains(d.ns, i - 1)), chr(10)), '') END AS text
 FROM documents t LEFT JOIN d ON t.doc_id = d.doc_id LEFT JOIN n ON t.doc_id = n.doc_id""",
+    "op12_conversation_prefix_trie": r"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, md5(concat(strlen(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) AS m, turn FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, m) - 1 AS i, m, length(text) AS size FROM t),
+c AS (SELECT DISTINCT conv_id, conv_id - conv_id % 100 AS base,
+        xor(list_reduce(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT)), lambda a, x:
+          list_reduce(range(8), lambda y, z: CASE WHEN y % 2 = 1 THEN xor(y // 2, 3988292384) ELSE y // 2 END, xor(a, x)), 4294967295), 4294967295) % 6 AS h FROM t),
+r AS (SELECT c.conv_id, 0 AS own, o.i, o.m, o.size FROM c JOIN o ON o.conv_id = c.base AND o.i < c.h UNION ALL SELECT c.conv_id, 1, o.i, o.m, o.size FROM c JOIN o ON o.conv_id = c.conv_id AND o.i >= c.h),
+s AS (SELECT conv_id, row_number() OVER w AS depth, size, array_to_string(list(m) OVER w, '') AS path FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY own, i)),
+p AS (SELECT conv_id, 0 AS depth, 0 AS size, '' AS path FROM c UNION ALL SELECT * FROM s),
+n AS (SELECT min(conv_id) AS conv_id, depth, path, count(*) AS n_convs, max(size) AS size FROM p GROUP BY depth, path),
+e AS (SELECT path, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) AS ends FROM (SELECT conv_id, arg_max(path, depth) AS path FROM p GROUP BY conv_id) GROUP BY path),
+k AS (SELECT left(path, 32 * (depth - 1)) AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+v AS (SELECT n.*, coalesce(k.n_children, 0) AS n_children FROM n LEFT JOIN k USING (path)),
+u AS (SELECT left(path, 32 * d) AS path, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum((n_convs - 1) * size) AS saved FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM v) GROUP BY 1)
+SELECT v.conv_id, v.depth, q.conv_id AS parent_conv_id, v.n_convs, v.n_children, u.n_leaves, CAST(u.saved AS BIGINT) AS saved_tokens, coalesce(e.ends, sha256('')) AS ends_sha256
+FROM v JOIN u ON u.path = v.path LEFT JOIN n q ON v.depth > 0 AND q.depth = v.depth - 1 AND q.path = left(v.path, 32 * (v.depth - 1)) LEFT JOIN e ON e.path = v.path""",
 }
