@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, linededup, ngramlm, packing, prefixtrie, quality, sentences, simhash, substring, tokens
+from . import decontaminate, linededup, ngramlm, packing, phrases, prefixtrie, quality, sentences, simhash, substring, tokens
 from .common import id_text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,9 +68,13 @@ def op12_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame
     return prefixtrie.shared_head_trie(table(spark, sf_dir, "conversations"))
 
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_substring_dedup, op2_benchmark_decontamination, op3_quality_rules, op4_lm_scoring, op5_suffix_array_dedup, op6_best_fit_packing, op7_quality_classifier, op8_line_dedup, op9_token_files, op10_simhash_near_dedup, op12_conversation_prefix_trie)
+    for f in (op1_substring_dedup, op2_benchmark_decontamination, op3_quality_rules, op4_lm_scoring, op5_suffix_array_dedup, op6_best_fit_packing, op7_quality_classifier, op8_line_dedup, op9_token_files, op10_simhash_near_dedup, op12_conversation_prefix_trie, op13_phrase_collocations)
 }
 ORACLE: dict[str, str] = {
     "op1_substring_dedup": r"""
@@ -122,4 +126,18 @@ v AS (SELECT n.*, coalesce(k.n_children, 0) AS n_children FROM n LEFT JOIN k USI
 u AS (SELECT left(path, 32 * d) AS path, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum((n_convs - 1) * size) AS saved FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM v) GROUP BY 1)
 SELECT v.conv_id, v.depth, q.conv_id AS parent_conv_id, v.n_convs, v.n_children, u.n_leaves, CAST(u.saved AS BIGINT) AS saved_tokens, coalesce(e.ends, sha256('')) AS ends_sha256
 FROM v JOIN u ON u.path = v.path LEFT JOIN n q ON v.depth > 0 AND q.depth = v.depth - 1 AND q.path = left(v.path, 32 * (v.depth - 1)) LEFT JOIN e ON e.path = v.path""",
+    "op13_phrase_collocations": r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+g AS (SELECT lang, ws[i:i + k - 1] AS ph FROM w, range(1, 4) t(k), LATERAL (SELECT unnest(range(1, len(ws) - k + 2)) AS i)),
+f AS (SELECT lang, ph, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 10 OR len(ph) = 1),
+n AS (SELECT lang, sum(f) AS n FROM f WHERE len(ph) = 1 GROUP BY lang),
+c AS (SELECT lang, ph, f AS a FROM f WHERE len(ph) > 1),
+s AS (SELECT c.lang, c.ph, c.a, k, x.f AS l, y.f AS r, (CAST(1000000 AS HUGEINT) * c.a * c.a) // (CAST(x.f AS HUGEINT) * y.f) AS score
+      FROM c, range(1, 3) t(k), f x, f y WHERE k < len(c.ph) AND x.lang = c.lang AND y.lang = c.lang AND x.ph = c.ph[1:k] AND y.ph = c.ph[k + 1:]),
+b AS (SELECT lang, ph, any_value(a) AS a, min({'score': score, 'k': k, 'l': l, 'r': r}) AS s FROM s GROUP BY lang, ph),
+m AS (SELECT lang, ph, max(a) AS most FROM (SELECT lang, ph[1:2] AS ph, a FROM c WHERE len(ph) = 3 UNION ALL SELECT lang, ph[2:3], a FROM c WHERE len(ph) = 3) GROUP BY lang, ph),
+z AS (SELECT b.lang, array_to_string(b.ph, ' ') AS phrase, b.a, b.s.l AS l, b.s.r AS r, CAST(b.s.score AS BIGINT) AS score FROM b LEFT JOIN m USING (lang, ph) WHERE m.most IS NULL OR 100 * m.most < 50 * b.a),
+k AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM z)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM k JOIN n USING (lang) WHERE rank <= 2000""",
 }
