@@ -17,6 +17,7 @@ columns other than text and lang are not read.
 from __future__ import annotations
 
 import re
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -40,7 +41,7 @@ class Sizes:
     bits: int = 25
     #: Entries of a container before it bursts, and of a task's trie before it spills.
     burst: int = 4096
-    entries: int = 750_000
+    entries: int = 300_000
     #: Bytes of a text that are cut into words at once.
     window: int = 1_000_000
 
@@ -75,14 +76,15 @@ class Node:
     def __len__(self) -> int:
         return len(self.table) if self.kids is None else sum(map(len, self.kids.values()))
 
-    def items(self):
+    def pour(self, keys: list[int], counts: list[int], base: int = 0) -> None:
+        """Adds all keys, ``base`` in front of each, and their counts to two lists."""
         if self.kids is None:
-            yield from self.table.items()
+            keys.extend([base | key for key in self.table] if base else self.table)
+            counts.extend(self.table.values())
         else:
             shift = ID_BITS * (self.width - 1)
             for first, kid in self.kids.items():
-                for key, n in kid.items():
-                    yield first << shift | key, n
+                kid.pour(keys, counts, base | first << shift)
 
 
 class HatTrie:
@@ -112,19 +114,19 @@ class HatTrie:
 
     def spill(self, keep: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """Keys and counts of the largest subtrees, taken out whole until at most ``keep`` entries are left."""
-        if self.root.kids is None:
-            taken = list(self.root.items())
+        keys: list[int] = []
+        counts: list[int] = []
+        if self.root.kids is None or not keep:
+            self.root.pour(keys, counts)
             self.root = Node(self.width)
         else:
-            taken, left, shift = [], self.size, ID_BITS * (self.width - 1)
-            for first, size in sorted(((f, len(k)) for f, k in self.root.kids.items()), key=lambda x: -x[1]):
-                if left <= keep:
+            shift = ID_BITS * (self.width - 1)
+            for first, _ in sorted(((f, len(k)) for f, k in self.root.kids.items()), key=lambda x: -x[1]):
+                if self.size - len(keys) <= keep:
                     break
-                taken.extend((first << shift | key, n) for key, n in self.root.kids.pop(first).items())
-                left -= size
-        self.size -= len(taken)
-        out = np.array(taken, np.int64).reshape(-1, 2)
-        return out[:, 0], out[:, 1]
+                self.root.kids.pop(first).pour(keys, counts, first << shift)
+        self.size -= len(keys)
+        return np.array(keys, np.int64), np.array(counts, np.int64)
 
 
 class Words(dict):
@@ -132,7 +134,7 @@ class Words(dict):
 
     def __init__(self, lang: bytes, wanted: np.ndarray | None, mask: int):
         super().__init__({bytes([b]): 0 for b in b".,;:!?\n\x0b\x0c\r"})
-        self.prefix, self.wanted, self.mask, self.texts, self.hashes = lang + b"\0", wanted, mask, [b""], [0]
+        self.prefix, self.wanted, self.mask, self.texts, self.hashes = lang + b"\0", wanted, mask, [b""], array("Q", [0])
 
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh64_intdigest(self.prefix + word, seed=42)
@@ -146,7 +148,7 @@ class Words(dict):
 
 
 def word_hash(lang: str, word: str) -> Column:
-    return F.xxhash64(F.concat(F.col(lang).cast("binary"), F.lit(b"\0"), F.col(word)))
+    return F.xxhash64(F.concat(F.col(lang), F.lit("\0"), F.col(word)))
 
 
 def word_slots(rows: DataFrame, mask: int) -> DataFrame:
@@ -194,18 +196,21 @@ def windows(raw: bytes, size: int):
 
 
 def runs(docs: DataFrame, width: int, wanted: np.ndarray | None = None, pairs: np.ndarray | None = None, sizes: Sizes = Sizes()) -> DataFrame:  # noqa: B008
-    """lang, w1 .. w<width>, c: sorted runs of counts of phrases; a phrase may be in several."""
-    names = ["lang", *(f"w{k + 1}" for k in range(width)), "c"]
+    """k, c: sorted runs of counts of phrases, k being the words and the language, parted by blanks; a phrase may be in several.
+
+    A run is sorted by the words' hashes.
+    """
     low = (1 << ID_BITS) - 1
 
     def batches_of(lang, words, keys, counts):
-        order = np.argsort(np.argsort(np.array(words.texts, object), kind="stable"), kind="stable")
         ids = [(keys >> (ID_BITS * (width - 1 - k))) & low for k in range(width)]
-        place = np.lexsort([order[i] for i in ids[::-1]])
-        texts = pa.array(words.texts, pa.binary())
+        hashes = np.array(words.hashes)
+        place = np.lexsort([hashes[i] for i in ids[::-1]])
+        texts, lang = pa.array(words.texts, pa.binary()), pa.scalar(lang.encode(), pa.binary())
         for at in range(0, len(place), 50_000):
             now = place[at : at + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(now), pa.string()), *(texts.take(pa.array(i[now])) for i in ids), pa.array(counts[now])], names)
+            k = pc.binary_join_element_wise(*(texts.take(pa.array(i[now])) for i in ids), lang, b" ")
+            yield pa.RecordBatch.from_arrays([k.view(pa.string()), pa.array(counts[now])], ["k", "c"])
 
     def count(batches):
         known: dict[str, tuple[Words, HatTrie]] = {}
@@ -214,7 +219,7 @@ def runs(docs: DataFrame, width: int, wanted: np.ndarray | None = None, pairs: n
                 for lang in pc.unique(part.column(0)).to_pylist():
                     words, trie = known.get(lang) or (Words(lang.encode(), wanted, sizes.mask), HatTrie(width, sizes.burst))
                     rows = part.filter(pc.equal(part.column(0), lang)).column(1).to_pylist()
-                    raw = "\n".join(x or "" for x in rows).encode().translate(LOWER)
+                    raw = b"\n".join(x or b"" for x in rows).translate(LOWER)
                     tail = np.zeros(0, np.int64)
                     for window in windows(raw, sizes.window):
                         tokens = TOKEN.findall(window)
@@ -225,13 +230,13 @@ def runs(docs: DataFrame, width: int, wanted: np.ndarray | None = None, pairs: n
                             if pairs is None:
                                 good = np.all([ids[k : k + m] > 0 for k in range(width)], axis=0)
                             else:
-                                near = paired(ids, np.array(words.hashes, np.uint64), pairs, sizes.mask)
+                                near = paired(ids, np.array(words.hashes), pairs, sizes.mask)
                                 good = np.all([near[k : k + m] for k in range(width - 1)], axis=0)
                             keys = np.zeros(m, np.int64)
                             for k in range(width):
                                 keys = keys << ID_BITS | ids[k : k + m]
                             trie.add(*np.unique(keys[good], return_counts=True))
-                        if len(words) > low >> 2:
+                        if len(words) > low >> 3:
                             # too many words to number: everything goes, and numbering begins anew
                             yield from batches_of(lang, words, *trie.spill())
                             last = [words.texts[i] for i in tail]
@@ -243,14 +248,14 @@ def runs(docs: DataFrame, width: int, wanted: np.ndarray | None = None, pairs: n
         for lang, (words, trie) in known.items():
             yield from batches_of(lang, words, *trie.spill())
 
-    kinds = ", ".join(f"{n} binary" for n in names[1:-1])
-    return docs.mapInArrow(count, f"lang string, {kinds}, c long")
+    return docs.mapInArrow(count, "k string, c long")
 
 
-def merged(parts: DataFrame, least: int) -> DataFrame:
-    """The runs merged: f of every phrase that occurs ``least`` times; settled."""
-    by = [c for c in parts.columns if c != "c"]
-    return settle(parts.groupBy(*by).agg(F.sum("c").alias("f")).where(F.col("f") >= least))
+def merged(parts: DataFrame, width: int, least: int) -> DataFrame:
+    """lang, w1 .. w<width>, f: the runs merged, for every phrase that occurs ``least`` times; settled."""
+    sums = parts.groupBy("k").agg(F.sum("c").alias("f")).where(F.col("f") >= least)
+    k = F.split("k", " ", width + 1)
+    return settle(sums.select(k[width].alias("lang"), *(k[i].alias(f"w{i + 1}") for i in range(width)), "f"))
 
 
 def score(a: str, left: str, right: str) -> Column:
@@ -261,11 +266,11 @@ def score(a: str, left: str, right: str) -> Column:
 
 def phrase_counts(docs: DataFrame, least: int = 10, sizes: Sizes = Sizes()) -> tuple[DataFrame, DataFrame, DataFrame]:  # noqa: B008
     """Tables of words (all of them), pairs and triples (of ``least`` occurrences): lang, w1.., f."""
-    docs = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
-    words = merged(runs(docs, 1, sizes=sizes), 1)
+    docs = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").cast("binary").alias("text"))
+    words = merged(runs(docs, 1, sizes=sizes), 1, 1)
     wanted = bitmap(word_slots(words.where(F.col("f") >= least), sizes.mask), sizes.bits)
-    pairs = merged(runs(docs, 2, wanted, sizes=sizes), least)
-    triples = merged(runs(docs, 3, wanted, bitmap(pair_slots(pairs, sizes.mask), sizes.bits), sizes), least)
+    pairs = merged(runs(docs, 2, wanted, sizes=sizes), 2, least)
+    triples = merged(runs(docs, 3, wanted, bitmap(pair_slots(pairs, sizes.mask), sizes.bits), sizes), 3, least)
     return words, pairs, triples
 
 
@@ -286,7 +291,7 @@ def collocations(docs: DataFrame, least: int = 10, share: int = 50, top: int = 2
     three = three.withColumns({"s1": score("a", "l1", "r1"), "s2": score("a", "l2", "r2")})
     later = F.col("s2") < F.col("s1")
     three = three.select("lang", "w1", "w2", "w3", "a", F.when(later, F.col("l2")).otherwise(F.col("l1")).alias("l"), F.when(later, F.col("r2")).otherwise(F.col("r1")).alias("r"), F.least("s1", "s2").alias("score"))
-    text = lambda *ws: F.concat_ws(" ", *(F.col(w).cast("string") for w in ws)).alias("phrase")
+    text = lambda *ws: F.concat_ws(" ", *ws).alias("phrase")
     rows = two.select("lang", text("w1", "w2"), "a", "l", "r", "score").unionByName(three.select("lang", text("w1", "w2", "w3"), "a", "l", "r", "score"))
     # Spark keeps ``top`` rows of each language in each task before they are sent
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
