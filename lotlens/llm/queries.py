@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, linededup, ngramlm, packing, phrases, prefixtrie, quality, sentences, simhash, substring, tokens
+from . import decontaminate, linededup, ngramlm, packing, phrases, prefixtrie, quality, sentences, simhash, substring, tokens, toxicity
 from .common import id_text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,6 +64,13 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(id_text() % 4 == 2, F.lit(False))
+    scored = toxicity.score_toxicity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"), allowed=~held_out))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op12_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixtrie.shared_head_trie(table(spark, sf_dir, "conversations"))
 
@@ -74,7 +81,7 @@ def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_substring_dedup, op2_benchmark_decontamination, op3_quality_rules, op4_lm_scoring, op5_suffix_array_dedup, op6_best_fit_packing, op7_quality_classifier, op8_line_dedup, op9_token_files, op10_simhash_near_dedup, op12_conversation_prefix_trie, op13_phrase_collocations)
+    for f in (op1_substring_dedup, op2_benchmark_decontamination, op3_quality_rules, op4_lm_scoring, op5_suffix_array_dedup, op6_best_fit_packing, op7_quality_classifier, op8_line_dedup, op9_token_files, op10_simhash_near_dedup, op11_toxicity, op12_conversation_prefix_trie, op13_phrase_collocations)
 }
 ORACLE: dict[str, str] = {
     "op1_substring_dedup": r"""
