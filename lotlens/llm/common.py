@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators.lineage import discard, settle
 
-__all__ = ["counts", "discard", "id_text", "join_hot", "pieces", "settle", "utf8"]
+__all__ = ["counts", "discard", "free_name", "id_text", "join_hot", "pieces", "settle", "utf8"]
 
 
 #: A task takes about LEAST rows of one key, or a HEAVY-th of all rows where that is more: fewer than HEAVY keys have more, by arithmetic.
@@ -41,6 +41,14 @@ def join_hot(rows: DataFrame, kinds: DataFrame, on: list[str], known: tuple[int,
     return dealt.join(kinds.withColumn("_salt", F.explode(every)).drop("n"), [*on, "_salt"]).drop("_salt")
 
 
+def free_name(columns: list[str], name: str = "_") -> str:
+    """``name``, lengthened until none of the columns has it."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def id_text(doc_ids: DataFrame | None = None, column: str = "doc_id"):
     """crc32 of the id written as text, the rule by which folds are dealt."""
     return F.crc32(F.col(column).cast("string").cast("binary"))

@@ -113,6 +113,12 @@ def overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id:
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
-    """All columns of the rows that overlap with no item; rows with a null doc_id stay."""
-    found = settle(overlaps(docs, items, **how).where(F.col("doc_id").isNotNull()).select("doc_id").distinct())
-    return docs.join(F.broadcast(found) if found.count() <= SEND_IDS else found, "doc_id", "left_anti").select(docs.columns)
+    """All columns of the rows that overlap with no item; rows with a null doc_id stay.
+
+    Each row is judged by its own text: a row is known by its id and text together, not by its id.
+    """
+    row = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text")).alias("_row")
+    found = settle(overlaps(docs.select(row, "text").where("_row IS NOT NULL"), items, doc_id="_row", **how).select(F.col("doc_id").alias("_row")).distinct())
+    held = docs.select(F.struct("*").alias("_d"), row)
+    held = held.join(F.broadcast(found) if found.count() <= SEND_IDS else found, "_row", "left_anti")
+    return held.select(*(F.col(f"_d.`{c}`").alias(c) for c in docs.columns))

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import counts, join_hot, settle
+from .common import counts, free_name, join_hot, settle
 
 SLICES = 4096
 BLANK = b" \t\x0b\x0c\r"
@@ -179,8 +179,8 @@ def later_copies(docs: DataFrame, row: str = "row", min_lines: int = 2, min_word
     return gone.union(single).distinct()
 
 
-def delete_later_copies(docs: DataFrame, min_lines: int = 2, text: str = "text", min_words: int | None = None) -> DataFrame:
-    """All rows and columns of ``docs``, ``text`` without the deleted lines; the struct column ``_`` is added: n_lines, deleted."""
+def delete_later_copies(docs: DataFrame, min_lines: int = 2, text: str = "text", min_words: int | None = None, note: str = "_") -> DataFrame:
+    """All rows and columns of ``docs``, ``text`` without the deleted lines; the struct column ``note`` is added: n_lines, deleted."""
     key = F.xxhash64("doc_id", text)
     gone = later_copies(docs.select("doc_id", F.col(text).alias("text"), key.alias("row")), "row", min_lines, min_words)
     gone = gone.groupBy("row", "doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("deleted"))
@@ -200,11 +200,11 @@ def delete_later_copies(docs: DataFrame, min_lines: int = 2, text: str = "text",
                     was = b"\n".join(x for k, x in enumerate(lines) if k not in out)
                 left.append(was)
             fields[at] = pa.array(left, pa.binary()).cast(pa.string())
-            note = pa.StructArray.from_arrays([pa.array(counts, pa.int32()), pa.array(numbers, pa.list_(pa.int32()))], ["n_lines", "deleted"])
-            yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(fields, names), note], ["_d", "_"])
+            told = pa.StructArray.from_arrays([pa.array(counts, pa.int32()), pa.array(numbers, pa.list_(pa.int32()))], ["n_lines", "deleted"])
+            yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(fields, names), told], ["_d", "_"])
 
     shape = T.StructType([T.StructField("_d", T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema])), T.StructField("_", T.StructType([T.StructField("n_lines", T.IntegerType()), T.StructField("deleted", T.ArrayType(T.IntegerType()))]))])
-    return held.mapInArrow(delete, shape).select(*(F.col(f"_d.`{c}`").alias(c) for c in docs.columns), "_")
+    return held.mapInArrow(delete, shape).select(*(F.col(f"_d.`{c}`").alias(c) for c in docs.columns), F.col("_").alias(note))
 
 
 def line_dedup(docs: DataFrame, min_lines: int = 2) -> DataFrame:
@@ -215,7 +215,9 @@ def line_dedup(docs: DataFrame, min_lines: int = 2) -> DataFrame:
 
 def keep_first_copies(docs: DataFrame, min_lines: int = 2, min_words: int | None = None) -> DataFrame:
     """All columns of the rows that have a line left (or had none), ``text`` without later copies, ``n_chars`` as it now is."""
-    out = delete_later_copies(docs, min_lines, min_words=min_words).where("_.n_lines = 0 OR size(_.deleted) < _.n_lines")
+    note = free_name(docs.columns)
+    n_lines, n_deleted = F.col(note)["n_lines"], F.size(F.col(note)["deleted"])
+    out = delete_later_copies(docs, min_lines, min_words=min_words, note=note).where((n_lines == 0) | (n_deleted < n_lines))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("_.deleted") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.drop("_")
+        out = out.withColumn("n_chars", F.when(n_deleted > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.drop(note)

@@ -494,8 +494,18 @@ def repeats(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFra
 
 
 def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """All columns of the rows that stay: of each class of similar texts the one of least doc_id, and of equal rows one."""
+    """All columns of the rows that stay: of each class of similar texts the one of least doc_id, and of rows that repeat id and text one.
+
+    If such rows differ in other columns, the one whose columns have the least hash stays; rows with a null doc_id all do.
+    """
     gone = repeats(docs.select("doc_id", "text"), width, similarity).distinct()
-    held = docs.select(F.struct("*").alias("_d"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"))
-    held = held.join(gone, ["doc_id", "row"], "left_anti").dropDuplicates(["doc_id", "row"])
-    return held.select(*(F.col(f"_d.`{c}`").alias(c) for c in docs.columns))
+    # maps have no hash
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    held = docs.select(F.struct("*").alias("_d"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), F.xxhash64(*hashed).alias("h"))
+    rows = held.select("doc_id", "row", "h").where("doc_id IS NOT NULL").groupBy("doc_id", "row").agg(F.count("*").alias("n"), F.min("h").alias("least"))
+    rows = rows.where("n > 1").select("doc_id", "row", "least").unionByName(gone.withColumn("least", F.lit(None).cast("long")))
+    # what goes has no least hash; what else repeats goes on with one row
+    named = settle(rows.groupBy("doc_id", "row").agg(F.when(F.count("*") == F.count("least"), F.min("least")).alias("least")))
+    once = held.join(named, ["doc_id", "row"], "left_anti").select("_d")
+    again = held.join(named.where("least IS NOT NULL"), ["doc_id", "row"]).where("h = least").dropDuplicates(["doc_id", "row"]).select("_d")
+    return once.union(again).select(*(F.col(f"_d.`{c}`").alias(c) for c in docs.columns))

@@ -21,7 +21,7 @@ def test_query_matches_oracle(spark, sf_dir, name):
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 14))
 
 
 def test_stages(spark, sf_dir, tmp_path):
@@ -121,6 +121,25 @@ def test_stages_take_empty_and_odd_tables(spark, sf_dir, tmp_path):
             df = spark.read.parquet(f"{tmp_path}/{name}{k}")
 
 
+def test_stages_keep_every_row_they_promise(spark, tmp_path):
+    """Null ids twice, null texts, one id with different texts, equal rows with other columns, and columns of awkward names."""
+    benchmark = " ".join(f"bench{k}" for k in range(30))
+    near = " ".join(f"word{k}" for k in range(80))
+    rows = [(None, near, 1), (None, near, 1), (None, None, 2), (None, None, 2), (None, benchmark, 3), (1, near, 4), (1, benchmark, 5), (1, "clean text of its own", 6), (2, near + " more", 7), (3, None, 8), (3, None, 8), (4, near, 9), (4, near, 10)]
+    docs = spark.createDataFrame([(i, t, k, k, k, k, k, k, k) for i, t, k in rows], "doc_id long, text string, _ int, _d int, `a.b` int, row int, h int, least int, _row int").repartition(3)
+    spark.createDataFrame([(1, benchmark)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    near_left = corpus_pipeline.near_duplicate_stage(spark, docs, str(tmp_path))
+    assert near_left.columns == docs.columns
+    got = sorted((r.doc_id or 0, r["a.b"]) for r in near_left.collect())
+    assert got == [(0, 1), (0, 1), (0, 2), (0, 2), (0, 3), (1, 4), (1, 5), (1, 6), (3, 8)]
+    clean = corpus_pipeline.benchmark_stage(spark, docs, str(tmp_path))
+    assert clean.columns == docs.columns
+    assert sorted(r["a.b"] for r in clean.collect()) == sorted(k for i, t, k in rows if i is None or t != benchmark)
+    lines = corpus_pipeline.line_stage(spark, docs, str(tmp_path))
+    assert lines.columns == docs.columns
+    assert sum(r.doc_id is None for r in lines.collect()) == 5
+
+
 def test_line_stage_deletes_a_long_line_between_other_neighbours(spark, sf_dir):
     long, short = " ".join(f"w{k}" for k in range(20)), " ".join(f"w{k}" for k in range(19))
     df, _ = fixture.docs(spark, texts=[(0, f"a\n{long}\nb\n{short}"), (1, f"c\n\t{long}\nd\n{short}\ne"), (2, long)])
