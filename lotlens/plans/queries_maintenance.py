@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import changes as C
-from ..operators.lineage import shared_dir
+from ..operators.lineage import settle, shared_dir
 from ..sources import records
 from ..streaming import progress as G
 from .bindings import Tables
@@ -98,7 +98,7 @@ def _(t):
     return G.scan_totals(t.scan_events).withColumn("total_value", F.round("total_value", 4))
 
 
-@query("scan_status", "scan_events", sql=f"WITH {LAST}, p AS ({PROGRESS}) SELECT (SELECT arg_max(type, seq) FROM scan_events) AS last_type, (SELECT arg_max(sale_id, seq) FROM scan_events) AS last_sale, (SELECT max(seq) FROM scan_events) AS last_seq, count(*) FILTER (WHERE status = 'analyzing') > 0 AS running, count(*) FILTER (WHERE status = 'analyzing') AS n_open FROM p")
+@query("scan_status", "scan_events", sql=f"WITH {LAST}, p AS ({PROGRESS}) SELECT (SELECT arg_max(type, seq) FROM scan_events) AS last_type, (SELECT arg_max(sale_id, seq) FROM scan_events) AS last_sale, (SELECT max(seq) FROM scan_events) AS last_seq, CAST(NULL AS VARCHAR) AS message, false AS failed, count(*) FILTER (WHERE status = 'analyzing') > 0 AS running, count(*) FILTER (WHERE status = 'analyzing') AS n_open FROM p")
 def _(t):
     return G.scan_status(t.scan_events)
 
@@ -110,10 +110,14 @@ def _(t):
 
 @query("event_log_read", "scan_events", sql="SELECT seq, sale_id, type, value FROM scan_events WHERE seq >= 100")
 def _(t):
-    """The events written as a log of JSON lines and read from an offset."""
+    """The events written as a log of JSON lines and read in two steps, of which the second begins where the first ended."""
     path = shared_dir(t.spark)
-    t.scan_events.write.json(path)
-    return records.read_events(t.spark, path, 100).select("seq", "sale_id", "type", "value")
+    t.scan_events.where("seq % 3 = 0").write.json(path)
+    first = settle(records.log_offsets(t.spark, path))
+    t.scan_events.where("seq % 3 <> 0").write.mode("append").json(path)
+    second = settle(records.log_offsets(t.spark, path))
+    parts = records.read_log(t.spark, path, first), records.read_log(t.spark, path, second, first)
+    return parts[0].unionByName(parts[1]).where("seq >= 100").select("seq", "sale_id", "type", "value")
 
 
 @query("event_log_append", "scan_events", sql="SELECT seq, sale_id, type, value FROM scan_events")
@@ -127,13 +131,22 @@ def _(t):
 
 @query("scan_progress_stream", "scan_events", sql=f"WITH {LAST} {PROGRESS}")
 def _(t):
-    """scan_progress kept up by a stream over several micro-batches, in the order of the events."""
+    """scan_progress kept up by a stream over six micro-batches of events in any order."""
     path = shared_dir(t.spark)
-    t.scan_events.repartitionByRange(4, "seq").write.json(f"{path}/in")
-    G.fold_stream(G.read_stream(t.spark, f"{path}/in"), f"{path}/state", f"{path}/cp").awaitTermination()
+    t.scan_events.repartition(6, F.xxhash64("seq")).write.json(f"{path}/in")
+    G.fold_stream(G.read_stream(t.spark, f"{path}/in", files=1), f"{path}/state", f"{path}/cp").awaitTermination()
     return G.latest_state(t.spark, f"{path}/state").withColumn("last_value", F.round("last_value", 6))
 
 
+@query("scan_status_stream", "scan_events", sql="SELECT arg_max(type, seq) AS last_type, arg_max(sale_id, seq) AS last_sale, max(seq) AS last_seq, arg_max('at ' || seq, CASE WHEN seq % 7 = 0 THEN seq END) AS message, false AS failed FROM scan_events")
+def _(t):
+    """The last event and message, kept up over micro-batches in any order."""
+    path = shared_dir(t.spark)
+    t.scan_events.withColumn("message", F.when(F.col("seq") % 7 == 0, F.concat(F.lit("at "), "seq"))).repartition(4, F.xxhash64("seq")).write.json(f"{path}/in")
+    G.status_stream(G.read_stream(t.spark, f"{path}/in", files=1), f"{path}/state", f"{path}/cp").awaitTermination()
+    return G.latest_state(t.spark, f"{path}/state", "run").drop("run")
+
+
 @query("skip_processed_stream", "findings", sql="SELECT DISTINCT finding_id AS image_url FROM findings")
 def _(t):
     """Photos that arrive twice, in several micro-batches, are taken once."""
@@ -144,11 +157,31 @@ def _(t):
     return t.spark.read.parquet(f"{path}/out").select("image_url")
 
 
-@query("flush_stream", "scan_events", sql="SELECT type, seq, sale_id FROM scan_events WHERE type IN ('progress', 'oracle_request') AND sale_id IN (SELECT sale_id FROM scan_events WHERE type = 'sale_done')")
+FLUSHED = """
+WITH m AS (SELECT *, first_value(CASE WHEN type IN ('sale_start', 'sale_done') THEN type END IGNORE NULLS) OVER (PARTITION BY sale_id ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next FROM scan_events)
+SELECT type AS kind, seq, sale_id FROM m WHERE type IN ('progress', 'oracle_request') AND next = 'sale_done'"""
+
+
+@query("flush_stream", "scan_events", sql=FLUSHED)
+def _(t):
+    """Photos (here: progress) and findings (here: requests) are buffered by sale over four micro-batches and written when it is done."""
+    path = shared_dir(t.spark)
+    rows = t.scan_events.select("seq", "sale_id", F.col("type").alias("kind"), F.col("value").cast("string").alias("payload"))
+    # four files by order of seq, so that starts and ends arrive in their order
+    rows.repartitionByRange(4, "seq").write.json(f"{path}/in")
+    stream = G.read_stream(t.spark, f"{path}/in", "seq long, sale_id string, kind string, payload string", files=1)
+    G.flush_stream(stream, f"{path}/out", f"{path}/cp", "progress", "oracle_request").awaitTermination()
+    out = t.spark.read.parquet(f"{path}/out/images").unionByName(t.spark.read.parquet(f"{path}/out/findings"))
+    return out.select("kind", "seq", "sale_id")
+
+
+@query("boilerplate_stream", sql="SELECT sha1(text) AS phash, count(DISTINCT source) AS n_sales FROM documents WHERE text IS NOT NULL AND doc_id % 5 <> 0 GROUP BY 1 HAVING count(DISTINCT source) >= 2")
 def _(t):
-    """Sales that end in any micro-batch have their photos (here: progress) and findings (here: requests) written once."""
+    """Fingerprints in several sources, kept up over micro-batches in which every fifth document comes and goes again."""
     path = shared_dir(t.spark)
-    t.scan_events.repartition(3).write.json(f"{path}/in")
-    photos, findings = t.scan_events.where("type = 'progress'"), t.scan_events.where("type = 'oracle_request'")
-    G.flush_stream(G.read_stream(t.spark, f"{path}/in", files=2), photos, findings, f"{path}/out", f"{path}/cp").awaitTermination()
-    return t.spark.read.parquet(f"{path}/out/images").unionByName(t.spark.read.parquet(f"{path}/out/findings")).select("type", "seq", "sale_id")
+    rows = t.documents.select(F.sha1("text").alias("phash"), F.col("source").alias("sale_id"), F.col("doc_id"))
+    came = rows.withColumn("change", F.lit(1)).repartition(3, "doc_id")
+    came.drop("doc_id").write.json(f"{path}/in")
+    rows.where("doc_id % 5 = 0").withColumn("change", F.lit(-1)).repartition(2, "doc_id").drop("doc_id").write.mode("append").json(f"{path}/in")
+    G.boilerplate_stream(G.read_stream(t.spark, f"{path}/in", "phash string, sale_id string, change int", files=2), f"{path}/out", f"{path}/cp").awaitTermination()
+    return G.boilerplate_prints(t.spark, f"{path}/out", 2)

@@ -1,8 +1,8 @@
 """Scan events: folds that are the same in batch and in Structured Streaming.
 
-An event has seq, sale_id, type (sale_start, progress, oracle_request, sale_done, sale_skip) and value.  The state of a sale follows from
-its events since the last start; the stream keeps one small record per sale and writes the records that a micro-batch has changed under the
-batch's number, so that a batch that runs twice changes nothing.
+An event has seq, sale_id, type (sale_start, progress, oracle_request, sale_done, sale_skip, run_failed) and value.  The state of a sale follows from
+its events since the last start, in whatever order they arrive; a stream writes the records that a micro-batch has changed under the batch's
+number, so that a batch that runs twice changes nothing.
 """
 
 from __future__ import annotations
@@ -10,8 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import rules as R
 from ..operators.changes import skip_processed
 from ..sources.records import EVENT
+from .stateful import ProgressFold, SaleBuffer, SalesOfFingerprint, rocksdb, run_stateful
 
 
 def scan_progress(events: DataFrame) -> DataFrame:
@@ -36,10 +38,27 @@ def scan_totals(events: DataFrame) -> DataFrame:
 
 
 def scan_status(events: DataFrame) -> DataFrame:
-    """One row: the last event's type and sale, and whether a sale is still open."""
-    last = events.agg(F.max_by("type", "seq").alias("last_type"), F.max_by("sale_id", "seq").alias("last_sale"), F.max("seq").alias("last_seq"))
-    open_ = scan_progress(events).agg((F.count_if(F.col("status") == "analyzing") > 0).alias("running"), F.count_if(F.col("status") == "analyzing").alias("n_open"))
-    return last.crossJoin(F.broadcast(open_))  # one row each
+    """One row: the last event's type, sale and number, whether the run has failed and its last message, and whether a sale is still open.
+
+    A run has failed if its last event says so; a failed run is not running.  The message is that of the last event that has one.
+    """
+    message = F.col("message") if "message" in events.columns else F.lit(None).cast("string")
+    last = events.agg(F.max_by("type", "seq").alias("last_type"), F.max_by("sale_id", "seq").alias("last_sale"), F.max("seq").alias("last_seq"), F.max_by(message, F.when(message.isNotNull(), F.col("seq"))).alias("message"))
+    open_ = scan_progress(events).agg(F.count_if(F.col("status") == "analyzing").alias("n_open"))
+    failed = F.coalesce(F.col("last_type") == "run_failed", F.lit(False))
+    return last.crossJoin(F.broadcast(open_)).select("last_type", "last_sale", "last_seq", "message", failed.alias("failed"), ((F.col("n_open") > 0) & ~failed).alias("running"), "n_open")  # one row each
+
+
+def status_stream(stream: DataFrame, out_path: str, checkpoint: str):
+    """The first columns of ``scan_status`` kept up by a streaming aggregation: one row of state, written anew by each micro-batch."""
+    message = F.when(F.col("message").isNotNull(), F.col("seq"))
+    last = stream.groupBy(F.lit("run").alias("run")).agg(F.max_by("type", "seq").alias("last_type"), F.max_by("sale_id", "seq").alias("last_sale"), F.max("seq").alias("last_seq"), F.max_by("message", message).alias("message"))
+    last = last.withColumn("failed", F.coalesce(F.col("last_type") == "run_failed", F.lit(False)))
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out_path}/batch={number}")
+
+    return last.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def flush_completed(events: DataFrame) -> DataFrame:
@@ -60,35 +79,12 @@ def append_events(events: DataFrame, path: str, checkpoint: str):
 
 
 def fold_stream(stream: DataFrame, out_path: str, checkpoint: str):
-    """scan_progress by arbitrary state: one small record per sale instead of its events, in update mode."""
-    from collections.abc import Iterator
-
-    import pandas as pd
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    shape = "sale_id string, status string, n_progress long, last_value double, oracle_requested boolean, last_seq long"
-    kept = "started boolean, status string, n_progress long, last_value double, oracle_requested boolean, last_seq long"
-
-    def step(key, parts: Iterator[pd.DataFrame], state: GroupState):
-        now = list(state.get) if state.exists else [False, "analyzing", 0, None, False, -1]
-        for e in pd.concat(list(parts)).sort_values("seq").itertuples():
-            if e.type == "sale_start":
-                now = [True, "analyzing", 0, None, False, -1]
-            if now[0]:
-                now[1] = {"sale_done": "done", "sale_skip": "skipped"}.get(e.type, now[1])
-                now[2] += e.type == "progress"
-                now[3], now[5] = e.value, e.seq
-                now[4] = now[4] or e.type == "oracle_request"
-        state.update(tuple(now))
-        if now[0]:
-            yield pd.DataFrame([[key[0], *now[1:]]], columns=[c.split()[0] for c in shape.split(", ")])
-
-    folded = stream.groupBy("sale_id").applyInPandasWithState(step, shape, kept, "update", GroupStateTimeout.NoTimeout)
+    """scan_progress kept up by a stream whose events may arrive in any order; changed records go to ``out_path``/batch=<n>."""
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out_path}/batch={number}")
 
-    return folded.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return run_stateful(stream, "sale_id", ProgressFold(), write, checkpoint)
 
 
 def latest_state(spark: SparkSession, out_path: str, key: str = "sale_id") -> DataFrame:
@@ -98,40 +94,60 @@ def latest_state(spark: SparkSession, out_path: str, key: str = "sale_id") -> Da
     return last.select(key, "s.*")
 
 
+def compact_state(spark: SparkSession, out_path: str, target: str, key: str = "sale_id") -> DataFrame:
+    """The last record of each key written to ``target`` under the greatest batch's number; a stream may go on writing there."""
+    top = spark.read.parquet(out_path).agg(F.max("batch")).first()[0]
+    latest_state(spark, out_path, key).write.mode("overwrite").parquet(f"{target}/batch={top}")
+    return spark.read.parquet(target)
+
+
 def new_only(batch: DataFrame, done: DataFrame, key: str = "image_url") -> DataFrame:
-    """The rows of a micro-batch that no earlier run has processed, one per key."""
+    """The rows of a batch that no earlier run has processed, one per key."""
     w = Window.partitionBy(key).orderBy(*sorted(batch.columns))
     first = batch.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
     return skip_processed(first, done, key)
 
 
-def _earlier(batch: DataFrame, path: str, number: int) -> DataFrame:
-    """What micro-batches before ``number`` have written under ``path``; a repeated batch does not see its own rows."""
-    if number == 0:
-        return batch.limit(0)
-    return batch.sparkSession.read.parquet(path).where(F.col("batch") < number).drop("batch")
-
-
 def ingest_new(stream: DataFrame, path: str, checkpoint: str, key: str = "image_url"):
-    """A stream of photos of which each key is taken once over all runs; micro-batch n goes to ``path``/batch=<n>."""
+    """A stream of photos of which each key is taken once over all runs; micro-batch n goes to ``path``/batch=<n>.
+
+    The keys that have been taken are state of the stream: what was written before is not read again.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        new_only(batch, _earlier(batch, path, number), key).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    with rocksdb(stream.sparkSession):
+        return stream.dropDuplicates([key]).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def flush_stream(events: DataFrame, images: DataFrame, findings: DataFrame, path: str, checkpoint: str):
-    """When a sale is done, its buffered photos and then its findings are written, once over all runs.
+def flush_stream(events: DataFrame, path: str, checkpoint: str, images: str = "analyzed_image", findings: str = "finding"):
+    """Events (sale_id, seq, kind, payload) of which a sale's photos and then its findings are written when the sale is done.
 
-    Micro-batch n goes to ``path``/images, ``path``/findings and, last, ``path``/sales, each under batch=<n>: a run that breaks between them is
-    repeated as a whole and overwrites what it had written.
+    Until then they are held in the stream's state.  Micro-batch n goes to ``path``/images and then to ``path``/findings under batch=<n>: a run
+    that breaks between the two is repeated as a whole, gets the same rows from the same state, and overwrites what it had written.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        done = new_only(batch.where("type = 'sale_done'").select("sale_id"), _earlier(batch.select("sale_id"), f"{path}/sales", number), "sale_id")
-        for name, rows in (("images", images), ("findings", findings)):
-            rows.join(done, "sale_id", "left_semi").write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
-        done.write.mode("overwrite").parquet(f"{path}/sales/batch={number}")
+        batch = batch.persist()
+        try:
+            for name, kind in (("images", images), ("findings", findings)):
+                batch.where(F.col("kind") == kind).write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
+        finally:
+            batch.unpersist()
+
+    return run_stateful(events.select("sale_id", "kind", "seq", "payload"), "sale_id", SaleBuffer(), write, checkpoint)
+
+
+def boilerplate_stream(photos: DataFrame, path: str, checkpoint: str):
+    """Photos (phash, sale_id, change: 1 when one comes, -1 when it goes); the number of sales of each fingerprint that has changed goes to ``path``/batch=<n>."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return run_stateful(photos.where("phash IS NOT NULL").select("phash", "sale_id", "change"), "phash", SalesOfFingerprint(), write, checkpoint)
+
 
-    return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def boilerplate_prints(spark: SparkSession, path: str, least: int = R.BOILERPLATE_SALES) -> DataFrame:
+    """The fingerprints that a ``boilerplate_stream`` has found in ``least`` sales or more, as of its last micro-batch."""
+    return latest_state(spark, path, "phash").where(F.col("n_sales") >= least).select("phash", "n_sales")

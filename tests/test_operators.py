@@ -185,7 +185,9 @@ def test_event_folds(spark):
     e = events(spark)
     assert rows(progress.scan_progress(e), *STATE) == [("a", "analyzing", 1, 5.0, False, 7), ("b", "analyzing", 0, 0.0, True, 5)]
     assert rows(progress.flush_completed(e), "sale_id", "upto", "n_events") == [("a", 3, 3), ("c", 8, 1)]
-    assert rows(progress.scan_status(e), "last_type", "running", "n_open") == [("sale_skip", True, 2)]
+    assert rows(progress.scan_status(e), "last_type", "running", "n_open", "failed", "message") == [("sale_skip", True, 2, False, None)]
+    failed = spark.createDataFrame([(9, "run_failed", "b", None, None, "disk full"), (10, None, "b", None, None, None)][:1], records.EVENT)
+    assert rows(progress.scan_status(e.unionByName(failed)), "last_type", "running", "n_open", "failed", "message") == [("run_failed", False, 2, True, "disk full")]
     assert rows(progress.scan_totals(e), "n_done", "n_skipped", "n_progress", "total_value") == [(1, 1, 2, 2.0)]
 
 
@@ -197,17 +199,103 @@ def test_stream_equals_batch(spark, tmp_path):
     assert rows(progress.latest_state(spark, f"{tmp_path}/fold"), *STATE) == rows(progress.scan_progress(events(spark)), *STATE)
 
 
-def test_streams_take_each_photo_and_each_sale_once(spark, tmp_path):
+def test_stream_stands_any_order(spark, tmp_path):
+    """Events that arrive before their start, starts that arrive last, each event in a micro-batch of its own."""
+    rng = random.Random(8)
+    data = [(s, rng.choice(["sale_start", "progress", "progress", "oracle_request", "sale_done", "sale_skip"]), rng.choice("abc"), float(s)) for s in range(24)]
+    data += [(100, "progress", "late", 1.0), (101, "sale_done", "late", 2.0), (90, "sale_start", "late", 0.0), (5, "progress", "never", 1.0)]
+    for k, e in enumerate(rng.sample(data, len(data))):
+        events(spark, [e]).coalesce(1).write.mode("append").json(f"{tmp_path}/in")
+        if k == len(data) // 2:  # the stream ends and begins again
+            progress.fold_stream(progress.read_stream(spark, f"{tmp_path}/in", files=2), f"{tmp_path}/fold", f"{tmp_path}/cp").awaitTermination()
+    progress.fold_stream(progress.read_stream(spark, f"{tmp_path}/in", files=3), f"{tmp_path}/fold", f"{tmp_path}/cp").awaitTermination()
+    assert spark.read.parquet(f"{tmp_path}/fold").select("batch").distinct().count() > 4
+    want = rows(progress.scan_progress(events(spark, data)), *STATE)
+    assert rows(progress.latest_state(spark, f"{tmp_path}/fold"), *STATE) == want
+    assert ("late", "done", 1, 2.0, False, 101) in want
+    assert rows(progress.compact_state(spark, f"{tmp_path}/fold", f"{tmp_path}/small"), *STATE) == want
+
+
+def test_status_stream(spark, tmp_path):
+    data = [(4, "progress", "b", 1.0, None, "four"), (9, "run_failed", "a", None, None, "gone"), (2, "sale_start", "a", 0.0, None, "two"), (8, "progress", "a", None, None, None)]
+    for k, e in enumerate(data):
+        spark.createDataFrame([e], records.EVENT).coalesce(1).write.mode("append").json(f"{tmp_path}/in")
+        progress.status_stream(progress.read_stream(spark, f"{tmp_path}/in", files=1), f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
+        want = rows(progress.scan_status(spark.createDataFrame(data[: k + 1], records.EVENT)), "last_type", "last_sale", "last_seq", "message", "failed")
+        assert rows(progress.latest_state(spark, f"{tmp_path}/out", "run"), "last_type", "last_sale", "last_seq", "message", "failed") == want
+
+
+def test_boilerplate_stream(spark, tmp_path):
+    rng = random.Random(3)
+    changes, held = [], []
+    for _ in range(120):
+        photo = (rng.choice("pqrs"), rng.choice("uvwxyz"))
+        if held and rng.random() < 0.4:
+            photo = held.pop(rng.randrange(len(held)))
+            changes.append((*photo, -1))
+        else:
+            held.append(photo)
+            changes.append((*photo, 1))
+    for k in range(0, 120, 40):
+        spark.createDataFrame(changes[k : k + 40] + [(None, "u", 1)], "phash string, sale_id string, change int").coalesce(1).write.mode("append").json(f"{tmp_path}/in")
+        progress.boilerplate_stream(progress.read_stream(spark, f"{tmp_path}/in", "phash string, sale_id string, change int"), f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
+    now = spark.createDataFrame(held, "phash string, sale_id string")
+    flagged = {r.phash for r in photos.boilerplate(now, least=3).where("is_boilerplate").collect()}
+    assert {r.phash for r in progress.boilerplate_prints(spark, f"{tmp_path}/out", 3).collect()} == flagged and flagged
+
+
+def test_a_broken_flush_is_repeated_without_doubles(spark, tmp_path):
+    kinds = "seq long, sale_id string, kind string, payload string"
+    put = lambda *r: spark.createDataFrame(list(r), kinds).coalesce(1).write.mode("append").json(f"{tmp_path}/in")
+    start = lambda: progress.flush_stream(progress.read_stream(spark, f"{tmp_path}/in", kinds, files=1), f"{tmp_path}/out", f"{tmp_path}/cp")
+    put((1, "a", "sale_start", None), (2, "a", "analyzed_image", "i2"), (3, "a", "finding", "f3"), (1, "b", "analyzed_image", "lost"))
+    start().awaitTermination()
+    put((5, "a", "finding", "f5"), (6, "a", "sale_done", None), (2, "b", "sale_start", None), (3, "b", "analyzed_image", "i3"))
+    os.makedirs(tmp_path / "out", exist_ok=True)
+    os.rename(tmp_path / "out" / "findings", tmp_path / "out" / "aside")
+    (tmp_path / "out" / "findings").write_text("in the way")
+    with pytest.raises(Exception):  # noqa: B017
+        start().awaitTermination()
+    os.remove(tmp_path / "out" / "findings")
+    os.rename(tmp_path / "out" / "aside", tmp_path / "out" / "findings")
+    put((4, "a", "analyzed_image", "late"), (9, "a", "finding", "next"), (7, "b", "sale_skip", None), (8, "b", "sale_done", None))
+    start().awaitTermination()
+    assert rows(spark.read.parquet(f"{tmp_path}/out/images"), "sale_id", "payload") == [("a", "i2"), ("a", "late"), ("b", "i3")]
+    assert rows(spark.read.parquet(f"{tmp_path}/out/findings"), "sale_id", "payload") == [("a", "f3"), ("a", "f5")]
+
+
+def test_streams_take_each_photo_once(spark, tmp_path):
     url = lambda *names: spark.createDataFrame([(n, n) for n in names], "image_url string, sale_id string").coalesce(1)
-    buffered = url("a", "b", "c").withColumn("description", F.lit("d"))
-    for part, ended in ((("a", "b"), EVENTS[:3]), (("b", "c", "c"), [*EVENTS[3:], (9, "sale_done", "a", 0.0), (10, "sale_done", "b", 0.0)])):
+    for part in (("a", "b"), ("b", "c", "c")):
         url(*part).write.mode("append").json(f"{tmp_path}/urls")
-        events(spark, ended).coalesce(1).write.mode("append").json(f"{tmp_path}/events")
         progress.ingest_new(progress.read_stream(spark, f"{tmp_path}/urls", "image_url string, sale_id string"), f"{tmp_path}/new", f"{tmp_path}/cp1").awaitTermination()
-        progress.flush_stream(progress.read_stream(spark, f"{tmp_path}/events"), buffered, buffered, f"{tmp_path}/out", f"{tmp_path}/cp2").awaitTermination()
     assert rows(spark.read.parquet(f"{tmp_path}/new"), "image_url", "batch") == [("a", 0), ("b", 0), ("c", 1)]
-    for name in ("images", "findings"):
-        assert rows(spark.read.parquet(f"{tmp_path}/out/{name}"), "sale_id", "batch") == [("a", 0), ("b", 1)]
+
+
+def test_a_log_gives_each_event_once(spark, tmp_path):
+    log = tmp_path / "log.json"
+    line = lambda k: '{"seq": %d, "type": "progress", "sale_id": "é"}' % k
+    log.write_text(f"{line(1)}\nnot json\n\n{line(2)}")  # the last line is not complete, though it parses
+    first = lineage.settle(records.log_offsets(spark, str(log)))
+    assert [r.next_line for r in first.collect()] == [3]
+    assert rows(records.read_log(spark, str(log), first), "line", "seq") == [(0, 1)]
+    with log.open("a") as f:
+        f.write(f"\n{line(3)}\r\n" + "".join(f"{line(k)}\n" for k in range(4, 300)) + '{"seq": 9')
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        second = lineage.settle(records.log_offsets(spark, str(log)))
+        assert [r.next_line for r in second.collect()] == [301]
+        assert rows(records.read_log(spark, str(log), second, first), "line", "seq") == [(k + 1, k) for k in range(2, 300)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_arrays_are_read_as_they_are_written(spark, tmp_path):
+    made = spark.createDataFrame([(str(k), None, k) for k in range(50)], "sale_id string, response string, total int").repartition(3)
+    records.write_array(made, f"{tmp_path}/a")
+    assert rows(records.read_array(spark, f"{tmp_path}/a"), "sale_id", "response", "total") == rows(made, "sale_id", "response", "total")
+    records.write_array(made.limit(0), f"{tmp_path}/b")
+    assert records.read_array(spark, f"{tmp_path}/b").count() == 0
 
 
 def test_files(spark, tmp_path):
