@@ -1,7 +1,7 @@
 """Phrase collocations: phrases of two and three words that occur together more than their parts would make one expect, by language.
 
 Counting is by HAT-tries: each task keeps a trie over word ids whose leaves are hash containers; a container that grows too large bursts into a branch
-over its next word.  When a task's trie has too many entries its largest subtrees are spilled whole, as runs sorted by their words, and the runs
+over its next word.  When a task's trie has too many entries its oldest subtrees are spilled whole, as runs sorted by their words, and the runs
 are merged by Spark: summed by the whole phrase, since the runs under one short prefix (a very frequent first word) may hold a third of all rows.
 
 Three passes over the texts count words, pairs and triples.  A phrase occurs no more often than any part of it, so a pair is counted only if both its words,
@@ -43,7 +43,7 @@ class Sizes:
     burst: int = 4096
     entries: int = 300_000
     #: Bytes of a text that are cut into words at once.
-    window: int = 1_000_000
+    window: int = 500_000
 
     @property
     def mask(self) -> int:
@@ -55,91 +55,110 @@ ENDS = re.compile(rb"[ \t.,;:!?\n-\r]")
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-class Node:
-    """A container (``table``: what is left of a key -> count) or, once burst, a branch (``kids``: word id -> node)."""
-
-    __slots__ = ("width", "table", "kids")
-
-    def __init__(self, width: int):
-        self.width, self.table, self.kids = width, {}, None
-
-    def burst(self) -> None:
-        self.kids, shift = {}, ID_BITS * (self.width - 1)
-        for key, n in self.table.items():
-            first = key >> shift
-            kid = self.kids.get(first)
-            if kid is None:
-                kid = self.kids[first] = Node(self.width - 1)
-            kid.table[key & ((1 << shift) - 1)] = n
-        self.table = None
-
-    def __len__(self) -> int:
-        return len(self.table) if self.kids is None else sum(map(len, self.kids.values()))
-
-    def pour(self, keys: list[int], counts: list[int], base: int = 0) -> None:
-        """Adds all keys, ``base`` in front of each, and their counts to two lists."""
-        if self.kids is None:
-            keys.extend([base | key for key in self.table] if base else self.table)
-            counts.extend(self.table.values())
-        else:
-            shift = ID_BITS * (self.width - 1)
-            for first, kid in self.kids.items():
-                kid.pour(keys, counts, base | first << shift)
+class HatTrie:
+    """Counts of sequences of ``width`` word ids, packed into one number.
 
+    A node is a container (dict: what is left of a key -> count) until it has more than ``burst`` entries, and then a ``Branch`` over its next word.
+    """
 
-class HatTrie:
-    """Counts of sequences of ``width`` word ids, packed into one number."""
+    class Branch(dict):
+        """word id -> node."""
 
-    def __init__(self, width: int, burst: int = Sizes.burst):
-        self.width, self.most, self.root, self.size = width, burst, Node(width), 0
+    def __init__(self, width: int, burst: int):
+        self.width, self.burst, self.root, self.size = width, burst, {}, 0
 
     def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        for key, n in zip(keys.tolist(), counts.tolist(), strict=True):
-            node = self.root
-            while node.kids is not None:
-                shift = ID_BITS * (node.width - 1)
-                first, key = key >> shift, key & ((1 << shift) - 1)
-                kid = node.kids.get(first)
-                if kid is None:
-                    kid = node.kids[first] = Node(node.width - 1)
-                node = kid
-            table = node.table
+        """Adds counts of distinct keys, in order."""
+        if len(keys):
+            self.root = self._add(self.root, self.width, keys, counts)
+
+    def _add(self, node: dict, width: int, keys: np.ndarray, counts: np.ndarray) -> dict:
+        if isinstance(node, self.Branch):
+            shift = ID_BITS * (width - 1)
+            first, rest = keys >> shift, keys & ((1 << shift) - 1)
+            starts = np.flatnonzero(np.concatenate([[True], first[1:] != first[:-1]])).tolist()
+            if width == 2:  # the kids are containers that cannot burst
+                rests, numbers = rest.tolist(), counts.tolist()
+                for kid, at, end in zip(first[starts].tolist(), starts, [*starts[1:], len(keys)], strict=True):
+                    table = node.get(kid)
+                    if table is None:
+                        table = node[kid] = {}
+                    self._count(table, rests[at:end], numbers[at:end])
+            else:
+                for kid, at, end in zip(first[starts].tolist(), starts, [*starts[1:], len(keys)], strict=True):
+                    node[kid] = self._add(node.get(kid, {}), width - 1, rest[at:end], counts[at:end])
+            return node
+        self._count(node, keys.tolist(), counts.tolist())
+        if len(node) <= self.burst or width == 1:
+            return node
+        branch, shift = self.Branch(), ID_BITS * (width - 1)
+        for key, n in node.items():
+            branch.setdefault(key >> shift, {})[key & ((1 << shift) - 1)] = n
+        return branch
+
+    def _count(self, table: dict, keys: list[int], counts: list[int]) -> None:
+        before = len(table)
+        for key, n in zip(keys, counts, strict=True):
             if key in table:
                 table[key] += n
             else:
                 table[key] = n
-                self.size += 1
-                if len(table) > self.most and node.width > 1:
-                    node.burst()
+        self.size += len(table) - before
+
+    def _pour(self, node: dict, width: int, base: int, keys: list[int], counts: list[int]) -> None:
+        """Adds all keys below a node, ``base`` in front of each, and their counts to two lists."""
+        if isinstance(node, self.Branch):
+            for first, kid in node.items():
+                self._pour(kid, width - 1, base | first << ID_BITS * (width - 1), keys, counts)
+        else:
+            keys.extend([base | key for key in node] if base else node)
+            counts.extend(node.values())
 
     def spill(self, keep: int = 0) -> tuple[np.ndarray, np.ndarray]:
-        """Keys and counts of the largest subtrees, taken out whole until at most ``keep`` entries are left."""
+        """Keys and counts of the oldest subtrees, which tend to be the largest, taken out whole until at most ``keep`` entries are left."""
         keys: list[int] = []
         counts: list[int] = []
-        if self.root.kids is None or not keep:
-            self.root.pour(keys, counts)
-            self.root = Node(self.width)
-        else:
-            shift = ID_BITS * (self.width - 1)
-            for first, _ in sorted(((f, len(k)) for f, k in self.root.kids.items()), key=lambda x: -x[1]):
+        if keep and isinstance(self.root, self.Branch):
+            for first in list(self.root):
                 if self.size - len(keys) <= keep:
                     break
-                self.root.kids.pop(first).pour(keys, counts, first << shift)
+                self._pour(self.root.pop(first), self.width - 1, first << ID_BITS * (self.width - 1), keys, counts)
+        else:
+            self._pour(self.root, self.width, 0, keys, counts)
+            self.root = {}
         self.size -= len(keys)
         return np.array(keys, np.int64), np.array(counts, np.int64)
 
 
+class WordCounts:
+    """The same for single words: word ids count up from 1, so an array does."""
+
+    def __init__(self):
+        self.counts, self.size = np.zeros(1, np.int64), 0
+
+    def add(self, ids: np.ndarray, counts: np.ndarray) -> None:
+        if len(ids) and ids[-1] >= len(self.counts):
+            self.counts = np.concatenate([self.counts, np.zeros(int(ids[-1]), np.int64)])
+        self.counts[ids] += counts
+
+    def spill(self, keep: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        ids, counts = np.flatnonzero(self.counts), self.counts
+        self.counts = np.zeros(1, np.int64)
+        return ids, counts[ids]
+
+
 class Words(dict):
     """word -> its number in this task; 0 for breaks and for words that no wanted phrase holds."""
 
-    def __init__(self, lang: bytes, wanted: np.ndarray | None, mask: int):
+    def __init__(self, lang: bytes, wanted: bytes | None, mask: int):
         super().__init__({bytes([b]): 0 for b in b".,;:!?\n\x0b\x0c\r"})
         self.prefix, self.wanted, self.mask, self.texts, self.hashes = lang + b"\0", wanted, mask, [b""], array("Q", [0])
 
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh64_intdigest(self.prefix + word, seed=42)
         i = 0
-        if self.wanted is None or all(int(self.wanted[s >> 6]) >> (s & 63) & 1 for s in (h & self.mask, h >> 32 & self.mask)):
+        a, b = h & self.mask, h >> 32 & self.mask
+        if self.wanted is None or (self.wanted[a >> 3] >> (a & 7) & self.wanted[b >> 3] >> (b & 7) & 1):
             i = len(self.texts)
             self.texts.append(word)
             self.hashes.append(h)
@@ -201,6 +220,7 @@ def runs(docs: DataFrame, width: int, wanted: np.ndarray | None = None, pairs: n
     A run is sorted by the words' hashes.
     """
     low = (1 << ID_BITS) - 1
+    wanted_bits = None if wanted is None else wanted.tobytes()
 
     def batches_of(lang, words, keys, counts):
         ids = [(keys >> (ID_BITS * (width - 1 - k))) & low for k in range(width)]
@@ -217,7 +237,7 @@ def runs(docs: DataFrame, width: int, wanted: np.ndarray | None = None, pairs: n
         for batch in batches:
             for part in pieces(batch, "text"):
                 for lang in pc.unique(part.column(0)).to_pylist():
-                    words, trie = known.get(lang) or (Words(lang.encode(), wanted, sizes.mask), HatTrie(width, sizes.burst))
+                    words, trie = known.get(lang) or (Words(lang.encode(), wanted_bits, sizes.mask), WordCounts() if width == 1 else HatTrie(width, sizes.burst))
                     rows = part.filter(pc.equal(part.column(0), lang)).column(1).to_pylist()
                     raw = b"\n".join(x or b"" for x in rows).translate(LOWER)
                     tail = np.zeros(0, np.int64)
@@ -240,7 +260,7 @@ def runs(docs: DataFrame, width: int, wanted: np.ndarray | None = None, pairs: n
                             # too many words to number: everything goes, and numbering begins anew
                             yield from batches_of(lang, words, *trie.spill())
                             last = [words.texts[i] for i in tail]
-                            words = Words(lang.encode(), wanted, sizes.mask)
+                            words = Words(lang.encode(), wanted_bits, sizes.mask)
                             tail = np.array([words[w] if w else 0 for w in last], np.int64)
                         elif trie.size > sizes.entries // max(1, len(known)):
                             yield from batches_of(lang, words, *trie.spill(trie.size // 2))
