@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions.text import col, finding_score, finding_tag, keyword_match, thumb_url
-from .search import containing
+from .keywords import found_in
 
 
 def upcoming(sales: DataFrame, as_of: Column) -> DataFrame:
@@ -72,12 +72,10 @@ def category_totals(scored_findings: DataFrame) -> DataFrame:
 def hunt_matches(findings: DataFrame, hunts: DataFrame) -> DataFrame:
     """finding_id, sale_id, hunt_id, name: pairs of which any keyword of the hunt occurs in the finding.
 
-    Each description is tested against the distinct keywords of all hunts, however many hunts share one.
+    Each description is read once for the keywords of all hunts, and its hunts are gathered where it is read.
     """
-    words = hunts.select("hunt_id", "name", F.explode("keywords").alias("keyword")).where("keyword <> ''")
-    words = words.groupBy(F.lower("keyword").alias("keyword")).agg(F.collect_set(F.struct("hunt_id", "name")).alias("hunts"))
-    hits = containing(findings.select("finding_id", "sale_id", F.lower("description").alias("d")), "d", words, "keyword")
-    return hits.select("finding_id", "sale_id", F.explode("hunts").alias("h")).select("finding_id", "sale_id", "h.hunt_id", "h.name").distinct()
+    words = hunts.select("hunt_id", "name", F.explode("keywords").alias("keyword")).withColumn("keyword", F.lower("keyword"))
+    return found_in(findings.select("finding_id", "sale_id", F.lower("description").alias("d")), "d", words, "keyword")
 
 
 def hunt_match_counts(findings: DataFrame, hunts: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lotlens.functions import text
-from lotlens.operators import changes, evaluation, inference, lineage, photos, ranking, search
+from lotlens.operators import changes, evaluation, inference, keywords, lineage, photos, ranking, search
 from lotlens.sources import pages, records
 from lotlens.streaming import progress
 
@@ -311,11 +311,12 @@ def test_files(spark, tmp_path):
     assert rows(records.import_nested(nested, done), "sale_id", "image_url", "description") == [("a", "v", "e")]
 
 
-def test_many_words_meet_texts_by_their_first_characters(spark):
+def test_words_are_sent_in_blocks(spark):
     texts = spark.createDataFrame([(1, "an oak table"), (2, "a"), (3, ""), (4, None), (5, "table lamp tab")], "i int, t string")
     words = spark.createDataFrame([("oak",), ("ab",), ("a",), ("table",), ("lamps",), ("tab",)], "w string")
-    want = rows(search.containing(texts, "t", words, "w"), "i", "w")
-    assert want == rows(search.containing(texts, "t", words, "w", most=2), "i", "w") and len(want) == 10
+    owners = words.select("w", F.col("w").alias("owner"))
+    want = rows(keywords.found_in(texts, "t", owners, "w"), "i", "owner")
+    assert want == rows(keywords.found_in(texts, "t", owners, "w", most=2), "i", "owner") and len(want) == 10
     a, b = spark.range(7).withColumnRenamed("id", "a"), spark.range(5).withColumnRenamed("id", "b")
     assert rows(search.against_all(a, b, "b", most=2), "a", "b") == [(x, y) for x in range(7) for y in range(5)]
 
@@ -351,3 +352,19 @@ def test_settled_tables_can_be_discarded(spark):
     assert df.count() == 5 and os.path.isdir(folder)
     lineage.discard(df)
     assert not os.path.exists(folder)
+
+
+def test_many_keywords_in_one_pass(spark):
+    """50,000 keywords of 20,000 owners against plain containment, owners with several words, words of several owners."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdé ") for _ in range(rng.randint(3, 7)))
+    owners = [(word(), rng.randrange(20_000), "n") for _ in range(50_000)] + [("", 1, "n"), (None, 2, "n"), ("zzz", None, None)]
+    texts = [(i, "".join(rng.choice("abcdé ") for _ in range(60))) for i in range(40)] + [(100, None), (101, ""), (102, "a zzz b")]
+    want = sorted((i, o) for i, t in texts for o in {o for w, o, _ in owners if w and t and w in t and o is not None})
+    a = spark.createDataFrame(texts, "i int, t string").repartition(3)
+    b = spark.createDataFrame(owners, "w string, owner int, name string")
+    for most in (200_000, 9_000):
+        got = keywords.found_in(a, "t", b, "w", most=most)
+        assert rows(got.where("owner IS NOT NULL"), "i", "owner") == want and len(want) > 1000
+        assert rows(got.where("owner IS NULL"), "i") == [(102,)]
+    assert keywords.found_in(a, "t", b.limit(0), "w").count() == 0
