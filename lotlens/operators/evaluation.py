@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions.text import has_findings, keyword_match, matches, specific, strip
+from .lineage import settle
 
 
 def flags(results: DataFrame) -> DataFrame:
@@ -77,24 +78,54 @@ def latency(records: DataFrame, order: str = "seq", duration: str = "duration_s"
     return sums.crossJoin(F.broadcast(ranked)).select("cold_start_s", *(F.coalesce(p, F.lit(0.0)).alias(p) for p in ("p50", "p95")), "avg_s", "n")  # one row each
 
 
-def nearest_ranks(rows: DataFrame, value: str, shares: dict[str, float], slices: int = 4096) -> DataFrame:
+#: The most distinct values that are put in order in one task, and the number of pivots of a round (a power of two, less one).
+IN_ORDER, PIVOTS = 100_000, 255
+
+
+def _holding(counts: DataFrame, rank: int, most: int) -> tuple[DataFrame, int]:
+    """(part, before): at most ``most`` neighbouring values (v, k) with the one of that rank among them, and how many rows lie below them.
+
+    Each round asks a quantile sketch for pivots that part the values left into equal numbers, counts the rows between pivots exactly, and goes on
+    with the values between two of them: by the values' order, not by their size, so that outliers do no harm.
+    """
+    part, before = counts, 0
+    while True:
+        n = part.count()
+        if n <= most:
+            return part, before
+        pivots = sorted(set(part.agg(F.percentile_approx("v", [k / (PIVOTS + 1) for k in range(1, PIVOTS + 1)], 10_000)).first()[0]))
+        held, size = F.array(*(F.lit(p) for p in pivots)), 1 << len(pivots).bit_length()
+        # how many pivots are less than the value, by halving steps
+        place = part.withColumn("p", F.lit(0))
+        while size > 1:
+            size //= 2
+            place = place.withColumn("p", F.when(F.coalesce(F.get(held, F.col("p") + (size - 1)) < F.col("v"), F.lit(False)), F.col("p") + size).otherwise(F.col("p")))
+        for p, m, kinds in sorted(place.groupBy("p").agg(F.sum("k"), F.count("*")).collect()):
+            if before + m >= rank:
+                break
+            before += m
+        low, high = (pivots[p - 1] if p else None), (pivots[p] if p < len(pivots) else None)
+        if kinds == n:
+            raise RuntimeError("the pivots part nothing")
+        part = part if low is None else part.where(F.col("v") > low)
+        part = part if high is None else part.where(F.col("v") <= high)
+
+
+def nearest_ranks(rows: DataFrame, value: str, shares: dict[str, float], most: int = IN_ORDER) -> DataFrame:
     """One row: for each name the least value that at least that share of the rows do not exceed (null without rows).
 
-    Values are counted first; ``slices`` equal parts of their range are summed to find the slice that holds each rank, and only the
-    values of these slices are put in order.
+    Values are counted first; only ``most`` distinct values around each rank are put in order.
     """
-    counts = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("k"))
-    span = counts.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("k").alias("total"))
-    place = F.when(F.col("hi") > F.col("lo"), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * (slices - 1))).otherwise(F.lit(0))
-    counts = counts.crossJoin(F.broadcast(span)).withColumn("slice", place.cast("int"))  # one row
-    parts = counts.groupBy("slice", "total").agg(F.sum("k").alias("m"))
-    # at most ``slices`` rows meet in the one window without a key
-    parts = parts.withColumn("upto", F.sum("m").over(Window.orderBy("slice")))
-    wanted = {n: F.ceil(F.round(F.col("total") * p, 9)) for n, p in shares.items()}
-    held = reduce(lambda a, b: a | b, ((F.col("upto") >= w) & (F.col("upto") - F.col("m") < w) for w in wanted.values()))
-    near = counts.join(F.broadcast(parts.where(held).select("slice", (F.col("upto") - F.col("m")).alias("before"))), "slice")  # a slice for each share
-    near = near.withColumn("upto", F.col("before") + F.sum("k").over(Window.partitionBy("slice").orderBy("v")))
-    return near.agg(*(F.min(F.when(F.col("upto") >= w, F.col("v"))).alias(n) for n, w in wanted.items()))
+    counts = settle(rows.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("k")))
+    total = counts.agg(F.sum("k")).first()[0]
+    out = None
+    for name, share_ in shares.items():
+        rank = ceil(round((total or 0) * share_, 9))
+        part, before = _holding(counts, rank, most)
+        upto = part.withColumn("upto", before + F.sum("k").over(Window.orderBy("v")))  # at most ``most`` rows
+        one = upto.agg(F.min(F.when(F.col("upto") >= rank, F.col("v"))).alias(name))
+        out = one if out is None else out.crossJoin(F.broadcast(one))  # one row each
+    return out
 
 
 def throughput(records: DataFrame, elapsed: Column) -> DataFrame:

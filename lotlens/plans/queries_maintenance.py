@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import changes as C
+from ..operators import tables
 from ..operators.lineage import settle, shared_dir
 from ..sources import records
 from ..streaming import progress as G
@@ -57,6 +58,25 @@ def _(t):
     return C.delete_keys(old(t), new(t), KEY).select("c_custkey", "c_mktsegment")
 
 
+@query("table_upsert", sql=f"SELECT c_custkey, round(coalesce(n.c_acctbal, o.c_acctbal), 6) AS c_acctbal, coalesce(n.c_mktsegment, o.c_mktsegment) AS c_mktsegment FROM {OLD} o FULL JOIN {NEW} n USING (c_custkey)")
+def _(t):
+    """The changes merged into a table in place; applied twice, as after a batch that broke off."""
+    path = shared_dir(t.spark)
+    tables.create(old(t), path, KEY, 64)
+    for _ in range(2):
+        tables.apply(t.spark, path, new(t), KEY, lambda a, b: C.upsert_coalesce(a, b, KEY), 64)
+    return tables.read(t.spark, path).withColumn("c_acctbal", F.round("c_acctbal", 6))
+
+
+@query("table_delete", sql=f"SELECT c_custkey, c_mktsegment FROM {OLD} WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def _(t):
+    """Keys deleted from a table in place."""
+    path = shared_dir(t.spark)
+    tables.create(old(t), path, KEY, 64)
+    tables.apply(t.spark, path, new(t).select(*KEY), KEY, lambda a, b: C.delete_keys(a, b, KEY), 64)
+    return tables.read(t.spark, path).select("c_custkey", "c_mktsegment")
+
+
 @query("skip_processed", "findings", sql="SELECT finding_id FROM findings WHERE confidence <> 'high'")
 def _(t):
     return C.skip_processed(t.findings.select("finding_id"), t.findings.where("confidence = 'high'"), "finding_id")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lotlens.functions import text
-from lotlens.operators import changes, evaluation, inference, keywords, lineage, photos, ranking, search
+from lotlens.operators import changes, evaluation, inference, keywords, lineage, photos, ranking, search, tables
 from lotlens.sources import pages, records
 from lotlens.streaming import progress
 
@@ -368,3 +368,39 @@ def test_many_keywords_in_one_pass(spark):
         assert rows(got.where("owner IS NOT NULL"), "i", "owner") == want and len(want) > 1000
         assert rows(got.where("owner IS NULL"), "i") == [(102,)]
     assert keywords.found_in(a, "t", b.limit(0), "w").count() == 0
+
+
+def test_a_table_is_changed_where_its_keys_lie(spark, tmp_path):
+    path, keys, n = f"{tmp_path}/t", ["k"], 512
+    files = lambda: {os.path.join(d, f) for d, _, names in os.walk(path) for f in names if f.endswith(".parquet")}
+    table = lambda: {r.k: (r.a, r.b) for r in tables.read(spark, path).collect()}
+    old = spark.range(4000).selectExpr("id AS k", "id * 2 AS a", "CAST(id AS STRING) AS b")
+    tables.create(old, path, keys, n)
+    want, before = {k: (2 * k, str(k)) for k in range(4000)}, files()
+    new = spark.createDataFrame([(100 * k, None, f"new{k}") for k in range(40)] + [(5000, 1, None)], "k long, a long, b string")
+    for _ in range(2):  # twice is as once
+        touched = tables.apply(spark, path, new, keys, lambda a, b: changes.upsert_coalesce(a, b, keys), n)
+        want |= {100 * k: (200 * k, f"new{k}") for k in range(40)} | {5000: (1, None)}
+        assert table() == want
+    assert len(touched) <= 41 and len(before & files()) >= len(before) - 41
+    kept = files()
+    assert tables.apply(spark, path, new.limit(0), keys, lambda a, b: changes.upsert_coalesce(a, b, keys), n) == [] and files() == kept
+    # a bucket that loses all its rows loses its folder
+    gone = old.where(tables.bucket_of(keys, n) < 3).select("k")
+    tables.apply(spark, path, gone, keys, lambda a, b: changes.delete_keys(a, b, keys), n)
+    left = {r.k for r in gone.collect()}
+    assert left and table() == {k: v for k, v in want.items() if k not in left}
+    for change, check in ((changes.insert_only, (0, "new0")), (changes.upsert_replace, (None, "x"))):
+        tables.apply(spark, path, spark.createDataFrame([(77, None, "x")], "k long, a long, b string"), keys, lambda a, b, c=change: c(a, b, keys), n)
+    assert table()[77] == (None, "x")
+
+
+@pytest.mark.parametrize("most", [1, 7, 100_000])
+def test_ranks_despite_outliers_and_ties(spark, most):
+    rng = random.Random(4)
+    data = [1e15, -1e15] + [rng.gauss(0, 1) for _ in range(700)] + [3.0] * 500 + [rng.choice([1e-9, 2e-9]) for _ in range(99)]
+    rows_ = spark.createDataFrame([(v,) for v in data] + [(None,)], "v double").repartition(3)
+    got = evaluation.nearest_ranks(rows_, "v", {"a": 0.5, "b": 0.95, "c": 1.0, "d": 0.0001}, most=most).first()
+    data.sort()
+    assert [got[c] for c in "abcd"] == [data[max(0, math.ceil(round(len(data) * p, 9)) - 1)] for p in (0.5, 0.95, 1.0, 0.0001)]
+    assert evaluation.nearest_ranks(rows_.limit(0), "v", {"a": 0.5}).first().a is None
