@@ -21,13 +21,12 @@ def near_pairs(photos: DataFrame, most: int = R.NEAR_BITS, group: str | None = "
     """a, b, bits: pairs of photos whose hashes differ in at most ``most`` bits, inside a group or (None) everywhere.
 
     Two hashes that differ in so many bits agree on one of most + 1 blocks of bits, so only photos that share a block are compared, and a
-    pair is kept where it first meets.  Where blocks are too narrow to tell hashes apart (under five bits), a group's photos are compared directly.
+    pair is kept where it first meets.  Where blocks are too narrow to tell hashes apart (under five bits), a group's photos are compared directly,
+    those of a large group in a grid of cells.
     """
     n = most + 1
     if group is not None and 64 // n < 5:
-        rows = photos.where(F.col(phash).isNotNull()).select(group, F.col(key).alias("k"), F.col(phash).alias("h"))
-        pairs = rows.withColumnsRenamed({"k": "a", "h": "ha"}).join(rows.withColumnsRenamed({"k": "b", "h": "hb"}), group).where("a < b")
-        return pairs.withColumn("distance", hamming("ha", "hb")).where(F.col("distance") <= most).select(group, "a", "b", "distance")
+        return grid_pairs(photos.where(F.col(phash).isNotNull()).select(group, F.col(key).alias("k"), F.col(phash).alias("h")), most, group)
     edges = [64 * i // n for i in range(n + 1)]
     blocks = F.array(*(F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(phash, edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1)).alias("bits")) for i in range(n)))
     keys = [] if group is None else [group]
@@ -40,6 +39,26 @@ def near_pairs(photos: DataFrame, most: int = R.NEAR_BITS, group: str | None = "
     return pairs.withColumn("distance", hamming("ha", "hb")).where(F.col("distance") <= most).select(*keys, "a", "b", "distance")
 
 
+#: About so many photos of a group meet about so many others under one key.
+CELL = 2000
+
+
+def grid_pairs(rows: DataFrame, most: int, group: str, cell: int = CELL) -> DataFrame:
+    """group, a, b, distance of near rows (group, k, h), each pair compared once.
+
+    A group of over ``cell`` rows is cut into parts by a hash of k, and each two parts meet under a key of their own: a row is sent once for
+    each part of its group, and no key has more than about ``cell`` rows on either side.
+    """
+    large = rows.groupBy(group).agg(F.ceil(F.count("*") / cell).cast("int").alias("_parts")).where("_parts > 1")
+    # no hint: whether the large groups are few is known when they have been counted, and a large group's rows may then be dealt anew
+    rows = rows.join(large, group, "left").withColumn("_parts", F.coalesce("_parts", F.lit(1))).withColumn("_own", F.pmod(F.xxhash64("k"), F.col("_parts")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))
+    left = rows.select(group, F.col("k").alias("a"), F.col("h").alias("ha"), F.col("_own").alias("_i"), every.alias("_j"))
+    right = rows.select(group, F.col("k").alias("b"), F.col("h").alias("hb"), F.col("_own").alias("_j"), every.alias("_i"))
+    pairs = left.join(right, [group, "_i", "_j"]).where("a < b")
+    return pairs.withColumn("distance", hamming("ha", "hb")).where(F.col("distance") <= most).select(group, "a", "b", "distance")
+
+
 #: The most different hashes of a group that one task takes.
 GROUP_LIMIT = 50_000
 

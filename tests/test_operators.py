@@ -404,3 +404,19 @@ def test_ranks_despite_outliers_and_ties(spark, most):
     data.sort()
     assert [got[c] for c in "abcd"] == [data[max(0, math.ceil(round(len(data) * p, 9)) - 1)] for p in (0.5, 0.95, 1.0, 0.0001)]
     assert evaluation.nearest_ranks(rows_.limit(0), "v", {"a": 0.5}).first().a is None
+
+
+def test_a_large_group_is_compared_in_a_grid(spark, monkeypatch):
+    monkeypatch.setattr(photos.grid_pairs, "__defaults__", (20,))
+    rng = random.Random(7)
+    base = [rng.getrandbits(64) for _ in range(20)]
+    flip = lambda h: (h ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 24)))) - (1 << 63)
+    data = [("big" if k < 300 else f"s{k % 5}", k, flip(rng.choice(base))) for k in range(340)] + [("big", 900, None), (None, 901, 1), (None, 902, 1)]
+    df = spark.createDataFrame(data, "sale_id string, image_id int, phash long")
+    bits = lambda x, y: bin((x ^ y) & (2**64 - 1)).count("1")
+    held = [d for d in data if d[0] and d[2] is not None]
+    want = sorted((g, a, b, bits(x, y)) for g, a, x in held for h, b, y in held if g == h and a < b and bits(x, y) <= 20)
+    assert rows(photos.near_pairs(df, 20), "sale_id", "a", "b", "distance") == want and len(want) > 200
+    # the fold of a group over the limit, settled in rounds over these pairs, against one task
+    df = df.where("sale_id IS NOT NULL").withColumn("position", F.col("image_id"))
+    assert rows(photos.collapse(df, 20, limit=50), "image_id", "kept") == rows(photos.collapse(df, 20), "image_id", "kept")
