@@ -4,8 +4,8 @@ Counting is by HAT-tries: each task keeps a trie over word ids whose leaves are
 over its next word.  When a task's trie has too many entries its oldest subtrees are spilled whole, as runs sorted by their words, and the runs
 are merged by Spark: summed by the whole phrase, since the runs under one short prefix (a very frequent first word) may hold a third of all rows.
 
-Three passes over the texts count words, pairs and triples.  A phrase occurs no more often than any part of it, so a pair is counted only if both its words,
-and a triple only if both its pairs, can have reached ``least``.  Those that have are marked in a bitmap of a fixed size (``Sizes.bits``) that is sent to the
+Two passes over the texts count words with pairs, and triples.  A phrase occurs no more often than any part of it, so a triple is counted only if both its
+pairs have reached ``least``; these, and the words that have, are marked in two bitmaps of a fixed size (``Sizes.bits``) that are sent to the
 tasks.  A bitmap may let through more than it should, never less, and what it lets through is counted like the rest: counts are exact, and a
 fuller bitmap costs time only.
 
@@ -77,20 +77,22 @@ class HatTrie:
             shift = ID_BITS * (width - 1)
             first, rest = keys >> shift, keys & ((1 << shift) - 1)
             starts = np.flatnonzero(np.concatenate([[True], first[1:] != first[:-1]])).tolist()
-            if width == 2:  # the kids are containers that cannot burst
-                rests, numbers = rest.tolist(), counts.tolist()
-                for kid, at, end in zip(first[starts].tolist(), starts, [*starts[1:], len(keys)], strict=True):
-                    table = node.get(kid)
-                    if table is None:
-                        table = node[kid] = {}
-                    self._count(table, rests[at:end], numbers[at:end])
-            else:
-                for kid, at, end in zip(first[starts].tolist(), starts, [*starts[1:], len(keys)], strict=True):
-                    node[kid] = self._add(node.get(kid, {}), width - 1, rest[at:end], counts[at:end])
+            rests, numbers = rest.tolist(), counts.tolist()
+            for kid, at, end in zip(first[starts].tolist(), starts, [*starts[1:], len(keys)], strict=True):
+                below = node.get(kid)
+                if below is None:
+                    below = node[kid] = {}
+                if isinstance(below, self.Branch):
+                    self._add(below, width - 1, rest[at:end], counts[at:end])
+                else:
+                    self._count(below, rests[at:end], numbers[at:end])
+                    if len(below) > self.burst and width > 2:
+                        node[kid] = self._burst(below, width - 1)
             return node
         self._count(node, keys.tolist(), counts.tolist())
-        if len(node) <= self.burst or width == 1:
-            return node
+        return self._burst(node, width) if len(node) > self.burst and width > 1 else node
+
+    def _burst(self, node: dict, width: int) -> dict:
         branch, shift = self.Branch(), ID_BITS * (width - 1)
         for key, n in node.items():
             branch.setdefault(key >> shift, {})[key & ((1 << shift) - 1)] = n
@@ -214,15 +216,15 @@ def windows(raw: bytes, size: int):
         at = end
 
 
-def runs(docs: DataFrame, width: int, wanted: np.ndarray | None = None, pairs: np.ndarray | None = None, sizes: Sizes = Sizes()) -> DataFrame:  # noqa: B008
-    """k, c: sorted runs of counts of phrases, k being the words and the language, parted by blanks; a phrase may be in several.
+def runs(docs: DataFrame, widths: tuple[int, ...], wanted: np.ndarray | None = None, pairs: np.ndarray | None = None, sizes: Sizes = Sizes()) -> DataFrame:  # noqa: B008
+    """width, k, c: sorted runs of counts of phrases of these widths, k being the words and the language, parted by blanks; a phrase may be in several.
 
     A run is sorted by the words' hashes.
     """
-    low = (1 << ID_BITS) - 1
+    low, longest = (1 << ID_BITS) - 1, max(widths)
     wanted_bits = None if wanted is None else wanted.tobytes()
 
-    def batches_of(lang, words, keys, counts):
+    def batches_of(lang, words, width, keys, counts):
         ids = [(keys >> (ID_BITS * (width - 1 - k))) & low for k in range(width)]
         hashes = np.array(words.hashes)
         place = np.lexsort([hashes[i] for i in ids[::-1]])
@@ -230,52 +232,66 @@ def runs(docs: DataFrame, width: int, wanted: np.ndarray | None = None, pairs: n
         for at in range(0, len(place), 50_000):
             now = place[at : at + 50_000]
             k = pc.binary_join_element_wise(*(texts.take(pa.array(i[now])) for i in ids), lang, b" ")
-            yield pa.RecordBatch.from_arrays([k.view(pa.string()), pa.array(counts[now])], ["k", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(now), width, np.int8)), k.view(pa.string()), pa.array(counts[now])], ["width", "k", "c"])
 
     def count(batches):
-        known: dict[str, tuple[Words, HatTrie]] = {}
+        known: dict[str, tuple[Words, dict]] = {}
         for batch in batches:
             for part in pieces(batch, "text"):
                 for lang in pc.unique(part.column(0)).to_pylist():
-                    words, trie = known.get(lang) or (Words(lang.encode(), wanted_bits, sizes.mask), WordCounts() if width == 1 else HatTrie(width, sizes.burst))
+                    words, tries = known.get(lang) or (Words(lang.encode(), wanted_bits, sizes.mask), {w: WordCounts() if w == 1 else HatTrie(w, sizes.burst) for w in widths})
                     rows = part.filter(pc.equal(part.column(0), lang)).column(1).to_pylist()
                     raw = b"\n".join(x or b"" for x in rows).translate(LOWER)
                     tail = np.zeros(0, np.int64)
                     for window in windows(raw, sizes.window):
                         tokens = TOKEN.findall(window)
-                        ids = np.concatenate([tail, np.fromiter(map(words.__getitem__, tokens), np.int64, len(tokens))])
-                        tail = ids[len(ids) - min(len(ids), width - 1) :]
-                        m = len(ids) - width + 1
-                        if m > 0:
-                            if pairs is None:
-                                good = np.all([ids[k : k + m] > 0 for k in range(width)], axis=0)
+                        fresh = np.fromiter(map(words.__getitem__, tokens), np.int64, len(tokens))
+                        ids = np.concatenate([tail, fresh])
+                        for width, trie in tries.items():
+                            # phrases that end in this window
+                            mine = ids[max(0, len(tail) - width + 1) :]
+                            m = len(mine) - width + 1
+                            if m <= 0:
+                                continue
+                            if pairs is None or width == 1:
+                                good = np.all([mine[k : k + m] > 0 for k in range(width)], axis=0)
                             else:
-                                near = paired(ids, np.array(words.hashes), pairs, sizes.mask)
+                                near = paired(mine, np.array(words.hashes), pairs, sizes.mask)
                                 good = np.all([near[k : k + m] for k in range(width - 1)], axis=0)
                             keys = np.zeros(m, np.int64)
                             for k in range(width):
-                                keys = keys << ID_BITS | ids[k : k + m]
+                                keys = keys << ID_BITS | mine[k : k + m]
                             trie.add(*np.unique(keys[good], return_counts=True))
+                        tail = ids[len(ids) - min(len(ids), longest - 1) :]
                         if len(words) > low >> 3:
                             # too many words to number: everything goes, and numbering begins anew
-                            yield from batches_of(lang, words, *trie.spill())
+                            for width, trie in tries.items():
+                                yield from batches_of(lang, words, width, *trie.spill())
                             last = [words.texts[i] for i in tail]
                             words = Words(lang.encode(), wanted_bits, sizes.mask)
                             tail = np.array([words[w] if w else 0 for w in last], np.int64)
-                        elif trie.size > sizes.entries // max(1, len(known)):
-                            yield from batches_of(lang, words, *trie.spill(trie.size // 2))
-                    known[lang] = words, trie
-        for lang, (words, trie) in known.items():
-            yield from batches_of(lang, words, *trie.spill())
+                        else:
+                            for width, trie in tries.items():
+                                if trie.size > sizes.entries // max(1, len(known)):
+                                    yield from batches_of(lang, words, width, *trie.spill(trie.size // 2))
+                    known[lang] = words, tries
+        for lang, (words, tries) in known.items():
+            for width, trie in tries.items():
+                yield from batches_of(lang, words, width, *trie.spill())
+
+    return docs.mapInArrow(count, "width byte, k string, c long")
+
 
-    return docs.mapInArrow(count, "k string, c long")
+def merged(parts: DataFrame, least: int) -> DataFrame:
+    """width, k, f: the runs merged, for every word and for every phrase that occurs ``least`` times; settled."""
+    sums = parts.groupBy("width", "k").agg(F.sum("c").alias("f"))
+    return settle(sums.where((F.col("width") == 1) | (F.col("f") >= least)))
 
 
-def merged(parts: DataFrame, width: int, least: int) -> DataFrame:
-    """lang, w1 .. w<width>, f: the runs merged, for every phrase that occurs ``least`` times; settled."""
-    sums = parts.groupBy("k").agg(F.sum("c").alias("f")).where(F.col("f") >= least)
+def of_width(sums: DataFrame, width: int) -> DataFrame:
+    """lang, w1 .. w<width>, f of the merged phrases of one width."""
     k = F.split("k", " ", width + 1)
-    return settle(sums.select(k[width].alias("lang"), *(k[i].alias(f"w{i + 1}") for i in range(width)), "f"))
+    return sums.where(F.col("width") == width).select(k[width].alias("lang"), *(k[i].alias(f"w{i + 1}") for i in range(width)), "f")
 
 
 def score(a: str, left: str, right: str) -> Column:
@@ -287,11 +303,11 @@ def score(a: str, left: str, right: str) -> Column:
 def phrase_counts(docs: DataFrame, least: int = 10, sizes: Sizes = Sizes()) -> tuple[DataFrame, DataFrame, DataFrame]:  # noqa: B008
     """Tables of words (all of them), pairs and triples (of ``least`` occurrences): lang, w1.., f."""
     docs = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").cast("binary").alias("text"))
-    words = merged(runs(docs, 1, sizes=sizes), 1, 1)
+    short = merged(runs(docs, (1, 2), sizes=sizes), least)
+    words, pairs = of_width(short, 1), of_width(short, 2)
     wanted = bitmap(word_slots(words.where(F.col("f") >= least), sizes.mask), sizes.bits)
-    pairs = merged(runs(docs, 2, wanted, sizes=sizes), 2, least)
-    triples = merged(runs(docs, 3, wanted, bitmap(pair_slots(pairs, sizes.mask), sizes.bits), sizes), 3, least)
-    return words, pairs, triples
+    triples = merged(runs(docs, (3,), wanted, bitmap(pair_slots(pairs, sizes.mask), sizes.bits), sizes), least)
+    return words, pairs, of_width(triples, 3)
 
 
 def collocations(docs: DataFrame, least: int = 10, share: int = 50, top: int = 2000, sizes: Sizes = Sizes()) -> DataFrame:  # noqa: B008
