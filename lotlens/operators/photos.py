@@ -120,11 +120,45 @@ def pending_embeddings(photos: DataFrame, limit: int = 10_000) -> DataFrame:
     return photos.where("embedding IS NULL AND thumbnail_path IS NOT NULL AND NOT is_boilerplate").orderBy("image_id").limit(limit)
 
 
-def positions(df: DataFrame, group: str, order: str) -> DataFrame:
-    """Adds position (from 0), total and position_pct = position / max(total - 1, 1)."""
-    w = Window.partitionBy(group)
-    out = df.withColumn("position", F.row_number().over(w.orderBy(order)) - 1).withColumn("total", F.count("*").over(w))
-    return out.withColumn("position_pct", F.col("position") / F.greatest(F.col("total") - 1, F.lit(1)))
+#: Rows that are looked at for large groups, the share of them that makes a group large, and into how many parts it is cut.
+LOOK, SHARE, PARTS = 10_000, 200, 64
+
+
+def large_groups(df: DataFrame, group: str, order: str, look: int = LOOK) -> dict:
+    """group -> values of ``order`` that cut it into parts of about one size, for groups with over 1 / SHARE of ``look`` rows.
+
+    The rows are the first by a hash, so that the cuts depend on the table alone; a table with fewer rows has no large group.
+    """
+    rows = df.select(F.col(group).alias("g"), F.col(order).alias("o")).where("g IS NOT NULL AND o IS NOT NULL")
+    seen: dict = {}
+    for g, o in (found := rows.orderBy(F.xxhash64("g", "o"), "g", "o").limit(look).collect()):
+        seen.setdefault(g, []).append(o)
+    if len(found) < look:
+        return {}
+    return {g: sorted(set(os))[:: -(-len(os) // PARTS)][1:] for g, os in seen.items() if len(os) * SHARE > look}
+
+
+def positions(df: DataFrame, group: str, order: str, look: int = LOOK) -> DataFrame:
+    """Adds position (from 0), total and position_pct = position / max(total - 1, 1).
+
+    A group with a large share of all rows is cut at values of its order and numbered part by part; what lies in earlier parts is added.
+    """
+    large = large_groups(df, group, order, look)
+    part = F.lit(0)
+    for g, cuts in large.items():
+        held = F.array(*map(F.lit, cuts))
+        part = F.when(F.col(group) == F.lit(g), F.size(F.filter(held, lambda c: c <= F.col(order)))).otherwise(part)
+    out = df.withColumn("_part", part)
+    w = Window.partitionBy(group, "_part")
+    out = out.withColumn("position", F.row_number().over(w.orderBy(order)) - 1).withColumn("total", F.count("*").over(w))
+    if large:
+        held = df.where(F.col(group).isin(list(large))).groupBy(group, part.alias("_part")).agg(F.count("*").alias("_k"))
+        each = Window.partitionBy(group)
+        held = held.select(group, "_part", (F.sum("_k").over(each.orderBy("_part")) - F.col("_k")).alias("_before"), F.sum("_k").over(each).alias("_all"))
+        # fewer than SHARE groups of at most PARTS parts
+        out = out.join(F.broadcast(held), [group, "_part"], "left")
+        out = out.withColumns({"position": (F.col("position") + F.coalesce("_before", F.lit(0))).cast("int"), "total": F.coalesce("_all", "total")}).select(*df.columns, "position", "total")
+    return out.drop("_part").withColumn("position_pct", F.col("position") / F.greatest(F.col("total") - 1, F.lit(1)))
 
 
 def segments(df: DataFrame) -> DataFrame:

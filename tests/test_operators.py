@@ -420,3 +420,19 @@ def test_a_large_group_is_compared_in_a_grid(spark, monkeypatch):
     # the fold of a group over the limit, settled in rounds over these pairs, against one task
     df = df.where("sale_id IS NOT NULL").withColumn("position", F.col("image_id"))
     assert rows(photos.collapse(df, 20, limit=50), "image_id", "kept") == rows(photos.collapse(df, 20), "image_id", "kept")
+
+
+def test_positions_of_a_sale_with_half_of_all_rows(spark):
+    rng = random.Random(9)
+    names = rng.sample(range(10_000), 900)
+    data = [("hot" if k % 2 else None if k % 50 == 0 else f"s{k % 400}", f"é{n:05d}", "x") for k, n in enumerate(names)]
+    df = spark.createDataFrame(data, "sale_id string, image_id string, total2 string").repartition(4)
+    cuts = photos.large_groups(df, "sale_id", "image_id", 400)
+    assert "hot" in cuts and 20 < len(cuts["hot"]) <= photos.PARTS and photos.large_groups(df, "sale_id", "image_id") == {}
+    got = photos.positions(df, "sale_id", "image_id", 400)
+    assert got.columns == photos.positions(df, "sale_id", "image_id").columns
+    of = {}
+    for g, i, _ in data:
+        of.setdefault(g, []).append(i)
+    want = sorted((i, of_g.index(i), len(of_g)) for of_g in map(sorted, of.values()) for i in of_g)
+    assert rows(got, "image_id", "position", "total") == want == rows(photos.positions(df, "sale_id", "image_id"), "image_id", "position", "total")
