@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import pieces, settle
 
-#: Bits of a word's number within a task.
-ID_BITS = 21
+#: Bits of a word's number within a task; parts of a language that are ranked by themselves.
+ID_BITS, SALTS = 21, 16
 
 
 @dataclass(frozen=True)
@@ -329,8 +329,10 @@ def collocations(docs: DataFrame, least: int = 10, share: int = 50, top: int = 2
     three = three.select("lang", "w1", "w2", "w3", "a", F.when(later, F.col("l2")).otherwise(F.col("l1")).alias("l"), F.when(later, F.col("r2")).otherwise(F.col("r1")).alias("r"), F.least("s1", "s2").alias("score"))
     text = lambda *ws: F.concat_ws(" ", *ws).alias("phrase")
     rows = two.select("lang", text("w1", "w2"), "a", "l", "r", "score").unionByName(three.select("lang", text("w1", "w2", "w3"), "a", "l", "r", "score"))
-    # Spark keeps ``top`` rows of each language in each task before they are sent
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
-    best = rows.withColumn("rank", rank).where(F.col("rank") <= top)
+    # the best of each of SALTS parts of a language, and then of all: the last task of a language reads SALTS * top rows at most
+    order = [F.desc("score"), F.desc("a"), "phrase"]
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)))
+    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "_salt").orderBy(*order))).where(F.col("rank") <= top)
+    best = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
     sums = words.groupBy("lang").agg(F.sum("f").alias("n"))
     return best.join(sums, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
