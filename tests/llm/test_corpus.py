@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lotlens.llm import chunks, components, decontaminate, hashing, linededup, ngramlm, packing, quality, sentences, simhash, substring, tokens
+from lotlens.llm import chunks, common, components, decontaminate, hashing, linededup, ngramlm, packing, quality, sentences, simhash, substring, tokens
 
 from . import fixture
 
@@ -167,8 +167,21 @@ def test_sentence_dedup(spark):
     assert sentences.sentence_dedup(df.where("text IS NULL")).collect()[0].text is None
 
 
-def test_a_hot_run_is_dealt_out(spark):
+def test_joins_deal_a_hot_key_by_its_rows(spark, monkeypatch):
+    """Each place of a hot key has about as many rows as a task should hold, and no row is lost or doubled."""
+    monkeypatch.setattr(common, "LEAST", 100)
+    rows = spark.createDataFrame([("hot" if k % 3 == 0 else f"k{k % 50}", k) for k in range(3000)], "key string, v int")
+    kinds = common.settle(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("v").alias("least")))
+    got = common.join_hot(rows, kinds, ["key"])
+    want = rows.join(kinds.drop("n"), "key")
+    assert sorted(map(tuple, got.select("key", "v", "least").collect())) == sorted(map(tuple, want.select("key", "v", "least").collect()))
+    places = rows.where("key = 'hot'").groupBy(F.pmod(F.hash("key", "v"), F.lit(10))).count().collect()
+    assert len(places) == 10 and max(r["count"] for r in places) < 150
+
+
+def test_a_hot_run_is_dealt_out(spark, monkeypatch):
     """A passage in every document: each document but the first loses it, whichever place its runs are dealt to."""
+    monkeypatch.setattr(common, "LEAST", 50)
     passage = " ".join(f"Alpha{k} beta gamma delta epsilon zeta." for k in range(8))
     df, _ = fixture.docs(spark, texts=[(i, f"Own words of {i} here, as no other. {passage} And an end of {i}.") for i in range(300)])
     got = {r.doc_id: r for r in sentences.sentence_dedup(df).collect()}
