@@ -136,12 +136,12 @@ FROM v JOIN u ON u.path = v.path LEFT JOIN n q ON v.depth > 0 AND q.depth = v.de
     "op13_phrase_collocations": r"""
 WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
 w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
-g AS (SELECT lang, ws[i:i + k - 1] AS ph FROM w, range(1, 4) t(k), LATERAL (SELECT unnest(range(1, len(ws) - k + 2)) AS i)),
+g AS (SELECT lang, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: ws[i:i + k - 1])) AS ph FROM w, range(1, 4) t(k)),
 f AS (SELECT lang, ph, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 10 OR len(ph) = 1),
 n AS (SELECT lang, sum(f) AS n FROM f WHERE len(ph) = 1 GROUP BY lang),
 c AS (SELECT lang, ph, f AS a FROM f WHERE len(ph) > 1),
 s AS (SELECT c.lang, c.ph, c.a, k, x.f AS l, y.f AS r, (CAST(1000000 AS HUGEINT) * c.a * c.a) // (CAST(x.f AS HUGEINT) * y.f) AS score
-      FROM c, range(1, 3) t(k), f x, f y WHERE k < len(c.ph) AND x.lang = c.lang AND y.lang = c.lang AND x.ph = c.ph[1:k] AND y.ph = c.ph[k + 1:]),
+      FROM (SELECT *, ph[1:k] AS lp, ph[k + 1:] AS rp FROM c, range(1, 3) t(k) WHERE k < len(ph)) c JOIN f x ON x.lang = c.lang AND x.ph = c.lp JOIN f y ON y.lang = c.lang AND y.ph = c.rp),
 b AS (SELECT lang, ph, any_value(a) AS a, min({'score': score, 'k': k, 'l': l, 'r': r}) AS s FROM s GROUP BY lang, ph),
 m AS (SELECT lang, ph, max(a) AS most FROM (SELECT lang, ph[1:2] AS ph, a FROM c WHERE len(ph) = 3 UNION ALL SELECT lang, ph[2:3], a FROM c WHERE len(ph) = 3) GROUP BY lang, ph),
 z AS (SELECT b.lang, array_to_string(b.ph, ' ') AS phrase, b.a, b.s.l AS l, b.s.r AS r, CAST(b.s.score AS BIGINT) AS score FROM b LEFT JOIN m USING (lang, ph) WHERE m.most IS NULL OR 100 * m.most < 50 * b.a),
