@@ -10,13 +10,18 @@ from pyspark.sql import functions as F
 
 from ..operators.lineage import discard, settle
 
-__all__ = ["counts", "discard", "free_name", "id_text", "join_hot", "pieces", "settle", "utf8"]
+__all__ = ["counts", "discard", "free_name", "id_text", "join_hot", "pieces", "settle", "task_rows", "utf8"]
 
 
 #: A task takes about LEAST rows of one key, or a HEAVY-th of all rows where that is more: fewer than HEAVY keys have more, by arithmetic.
 HEAVY, LEAST = 200_000, 2000
 
 
+def task_rows(total: int) -> int:
+    """The rows of one key that a task takes, of a table of ``total`` rows."""
+    return max(LEAST, total // HEAVY)
+
+
 def counts(kinds: DataFrame) -> tuple[int, int]:
     """The sum and the greatest of ``n``."""
     total, top = kinds.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
@@ -30,7 +35,7 @@ def join_hot(rows: DataFrame, kinds: DataFrame, on: list[str], known: tuple[int,
     twice and should be settled; ``known`` are its ``counts``.
     """
     total, top = known or counts(kinds)
-    bound = max(LEAST, total // HEAVY)
+    bound = task_rows(total)
     if top <= bound:
         return rows.join(kinds.drop("n"), on)
     places = F.ceil(F.col("n") / bound).cast("int")

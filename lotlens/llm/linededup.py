@@ -8,7 +8,8 @@ classes of the same old rank, which is a running sum over classes, not over suff
 Where a class splits, its parts are neighbours in the suffix array; the longest common prefix of two neighbours follows from the ranks of
 the rounds before, by halving steps.  Joining neighbours of one class by falling prefix length gives its intervals: when two intervals meet, the
 first member of the later one (by doc_id, then place) has found the longest run of lines with which it begins and which occurs earlier.  A
-run that no run of the line before contains is maximal, and its lines are deleted.
+run that no run of the line before contains is maximal, and its lines are deleted.  A class of very many suffixes is cut into slices and stretches
+(``in_order``, ``longest_runs``), so that no task holds a whole one.
 
 Defined cases: a null or blank text has no lines and stays as it is; blank lines neither count nor are deleted; a run never spans
 documents; the copies may lie in one document; rows that repeat id and text count as one row; an empty table gives an empty result; rows
@@ -17,12 +18,14 @@ with a null doc_id are left alone; other columns, whatever their names, pass thr
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import counts, free_name, join_hot, settle
+from .common import counts, free_name, join_hot, settle, task_rows
 
 SLICES = 4096
 BLANK = b" \t\x0b\x0c\r"
@@ -51,10 +54,37 @@ def first_ranks(lines: DataFrame) -> DataFrame:
     return join_hot(lines, settle(ranked), ["a", "b"]).drop("a", "b").distinct()
 
 
-def split(open_: DataFrame, now: DataFrame, row: str, depth: int) -> tuple[DataFrame, DataFrame, int]:
+def in_order(parts: DataFrame, hot: DataFrame | None, bound: int) -> DataFrame:
+    """``parts`` (rank, then, end, n, first) with part (the new rank), before (the first member of the part before it in its class) and size (of
+    the class, null unless it is in ``hot``: rank, size).
+
+    A class of ``hot`` is cut at multiples of ``bound`` of ``then``, its ends by their hash: a slice has about ``bound`` parts at most, since parts of one
+    class differ in ``then`` or end.  Slices are summed by themselves, and what lies in earlier slices is added.
+    """
+    if hot is None:
+        parts = parts.withColumn("size", F.lit(None).cast("long")).withColumn("slice", F.lit(None).cast("long"))
+    else:
+        line = F.floor(F.col("then") / bound)
+        end = -1 - F.pmod("end", F.ceil(F.col("size") / bound))
+        # fewer than HEAVY classes and numbers
+        parts = parts.join(F.broadcast(hot), "rank", "left").withColumn("slice", F.when(F.col("size").isNotNull(), F.when(F.col("then") < 0, end).otherwise(line)))
+    order = Window.partitionBy("rank", "slice").orderBy("then", "end")
+    parts = settle(parts.withColumn("part", F.col("rank") + F.sum("n").over(order) - F.col("n")).withColumn("before", F.lag("first").over(order)))
+    if hot is None:
+        return parts.drop("slice")
+    cut = parts.where("slice IS NOT NULL")
+    sums = cut.groupBy("rank", "slice").agg(F.sum("n").alias("k"), F.max_by("first", F.struct("then", "end")).alias("last"))
+    # a class has at most 2 * HEAVY slices
+    along = Window.partitionBy("rank").orderBy("slice")
+    sums = sums.select("rank", "slice", (F.sum("k").over(along) - F.col("k")).alias("base"), F.lag("last").over(along).alias("prior"))
+    cut = cut.join(sums, ["rank", "slice"]).withColumns({"part": F.col("part") + F.col("base"), "before": F.coalesce("before", "prior")})
+    return parts.where("slice IS NULL").unionByName(settle(cut.select(*parts.columns))).drop("slice")
+
+
+def split(open_: DataFrame, now: DataFrame, row: str, depth: int, hot: DataFrame | None, bound: int) -> tuple[DataFrame, DataFrame, int]:
     """Suffixes ranked by ``depth`` lines, by twice as many: (parts, suffixes, the size of the largest part).
 
-    ``parts``: rank, part (the new rank), n, first, before (the first member of the part before it in the same class).
+    ``parts``: rank, part (the new rank), n, first, before, size as in ``in_order``; ``hot``: rank, size of the classes of more than ``bound`` suffixes.
     """
     nexts = now.select(row, "doc_id", (F.col("at") - depth).alias("at"), F.col("rank").alias("then"))
     key = [row, "doc_id", "at"]
@@ -62,12 +92,10 @@ def split(open_: DataFrame, now: DataFrame, row: str, depth: int) -> tuple[DataF
     ends = F.when(F.col("then").isNull(), F.xxhash64(*key)).otherwise(0)
     paired = settle(open_.select(*key, "rank").join(nexts, key, "left").select(*key, "rank", F.coalesce("then", F.lit(-1)).alias("then"), ends.alias("end")))
     on = ["rank", "then", "end"]
-    order = Window.partitionBy("rank").orderBy("then", "end")
-    parts = paired.groupBy(*on).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", row, "at")).alias("first"))
-    parts = settle(parts.withColumn("part", F.col("rank") + F.sum("n").over(order) - F.col("n")).withColumn("before", F.lag("first").over(order)))
+    parts = in_order(paired.groupBy(*on).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", row, "at")).alias("first")), hot, bound)
     known = counts(parts)
     ranks = join_hot(paired, parts.select(*on, "n", "part", (F.col("n") == 1).alias("lone")), on, known)
-    return parts.select("rank", "part", "n", "first", "before"), ranks.select(*key, F.col("part").alias("rank"), "lone"), known[1]
+    return parts.select("rank", "part", "n", "first", "before", "size"), ranks.select(*key, F.col("part").alias("rank"), "lone"), known[1]
 
 
 def common_prefixes(neighbours: dict[int, DataFrame], ranks: dict[int, DataFrame], row: str) -> DataFrame:
@@ -94,10 +122,10 @@ def common_prefixes(neighbours: dict[int, DataFrame], ranks: dict[int, DataFrame
     return out
 
 
-def _longest(order: list[int], first: list[tuple], length: list[int]) -> tuple[list[int], list[int]]:
-    """For parts in order, each with its first member and the prefix it shares with the part before (0: none): (part, run) of each part
-    that has an earlier member beside it, by joining neighbours from the longest prefix down."""
-    home, found, runs = list(range(len(order))), [], []
+def _longest(first: list[tuple], length: list[int], best: list[int]) -> list[int]:
+    """For parts in order, each with its first member and the prefix it shares with the part before (0: none): the longest prefix that each part's
+    first member shares with an earlier one, ``best`` if that is longer.  Neighbours are joined from the longest prefix down."""
+    home, best = list(range(len(first))), list(best)
 
     def top(i: int) -> int:
         while home[i] != i:
@@ -105,34 +133,76 @@ def _longest(order: list[int], first: list[tuple], length: list[int]) -> tuple[l
             i = home[i]
         return i
 
-    for i in sorted((i for i in range(1, len(order)) if length[i]), key=lambda i: -length[i]):
+    for i in sorted((i for i in range(1, len(first)) if length[i]), key=lambda i: -length[i]):
         a, b = top(i - 1), top(i)
         if first[b] < first[a]:
             a, b = b, a
         home[b] = a  # a stands for both: its member is first
-        found.append(b)
-        runs.append(length[i])
-    return found, runs
-
+        best[b] = max(best[b], length[i])
+    return best
 
-def longest_runs(neighbours: DataFrame, row: str) -> DataFrame:
-    """doc_id, row, at, length of the first member of each part that is not the first of its interval: its longest run that occurs earlier."""
-    groups = neighbours.groupBy("depth", "rank").agg(F.array_sort(F.collect_list(F.struct("part", "first", "length"))).alias("parts")).select("parts")
 
-    def run(batches):
-        for batch in batches:
-            docs, rows, places, lengths = [], [], [], []
-            for parts in batch.column(0):
-                part, first, length = (parts.values.field(k) for k in range(3))
-                members = list(zip(*(first.field(k).to_pylist() for k in range(3))))
-                for i, n in zip(*_longest(part.to_pylist(), members, length.to_pylist())):
-                    docs.append(members[i][0])
-                    rows.append(members[i][1])
-                    places.append(members[i][2])
-                    lengths.append(n)
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(rows, pa.int64()), pa.array(places, pa.int32()), pa.array(lengths, pa.int32())], ["doc_id", row, "at", "length"])
+def _outward(first: list[tuple], length: list[int]) -> tuple[list[int], list[int]]:
+    """Of a stretch of parts those that may still meet parts beyond it, and the prefix each shares with the one kept before it.
 
-    return groups.mapInArrow(run, f"doc_id long, {row} long, at int, length int")
+    Seen from a border, the parts that share v lines with it hold one that is first; the others find v lines within the stretch, and whoever looks in
+    from beyond finds at least as much with the first one.  So for each side and each v one part is kept, and always the last one.
+    """
+    kept, n = set(), len(first)
+    for places, shared in ((range(n), length), (range(n - 1, -1, -1), [*length[1:], None])):
+        v, least = None, None
+        for i in places:
+            if shared[i] is not None and (v is None or shared[i] < v):
+                if least is not None:
+                    kept.add(least)
+                v = shared[i]
+            if v == 0:
+                break
+            least = i if least is None or first[i] < first[least] else least
+        if v != 0 and least is not None:
+            kept.add(least)
+    kept = sorted(kept | {n - 1})
+    return kept, [min(length[a + 1 : b + 1]) for a, b in zip([-1, *kept[:-1]], kept)]
+
+
+#: So many stretches of a class are joined in one task.
+FAN = 500
+
+
+def longest_runs(neighbours: DataFrame, row: str, largest: int, bound: int) -> DataFrame:
+    """doc_id, row, at, length of the first member of each part that is not the first of its interval: its longest run that occurs earlier.
+
+    ``neighbours``: depth, rank, part, first, length, size.  A class of more than ``bound`` suffixes is taken in stretches; of each, the few parts that may meet
+    others beyond it (at most two for each length of prefix that occurs) go on to a round in which FAN stretches are one.
+    """
+    shape = f"depth int, rank long, part long, first struct<doc_id:long,{row}:long,at:int>, length int, size long, best int, open boolean"
+    names = ["depth", "rank", "part", "first", "length", "size", "best"]
+    rows, width, found = neighbours.withColumn("best", F.lit(0)), bound, []
+    while True:
+        stretch = F.floor((F.col("part") - F.col("rank")) / width)
+        held = F.array_sort(F.collect_list(F.struct("part", "first", "length", "best")))
+        groups = rows.groupBy("depth", "rank", stretch.alias("stretch")).agg(F.max(F.coalesce("size", F.lit(0))).alias("size"), held.alias("parts")).select("depth", "rank", "size", "parts")
+
+        def run(batches, width=width):
+            for batch in batches:
+                out = []
+                for depth, rank, size, parts in zip(*(batch.column(k) for k in range(4))):
+                    part, first, length, best = (parts.values.field(k).to_pylist() for k in range(4))
+                    members = [tuple(f.values()) for f in first]
+                    best = _longest(members, length, best)
+                    kept, shared = _outward(members, length) if size.as_py() > width else ([], [])
+                    out += [(depth.as_py(), rank.as_py(), part[i], first[i], n, size.as_py(), best[i], True) for i, n in zip(kept, shared)]
+                    gone = set(kept)
+                    out += [(None, None, None, first[i], None, None, n, False) for i, n in enumerate(best) if n and i not in gone]
+                columns = list(zip(*out)) or [()] * len(arrow)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+        arrow = pa.schema([("depth", pa.int32()), ("rank", pa.int64()), ("part", pa.int64()), ("first", pa.struct([("doc_id", pa.int64()), (row, pa.int64()), ("at", pa.int32())])), ("length", pa.int32()), ("size", pa.int64()), ("best", pa.int32()), ("open", pa.bool_())])
+        done = settle(groups.mapInArrow(run, shape))
+        found.append(done.where("NOT open").select("first.doc_id", f"first.{row}", "first.at", F.col("best").alias("length")))
+        if largest <= width:
+            return reduce(DataFrame.union, found)
+        rows, width = done.where("open").select(*names), width * FAN
 
 
 def repeated_runs(lines: DataFrame, row: str, min_lines: int = 2, rounds: int = 40) -> DataFrame:
@@ -140,20 +210,25 @@ def repeated_runs(lines: DataFrame, row: str, min_lines: int = 2, rounds: int =
 
     ``lines``: the result of ``first_ranks``.
     """
-    now, depth, ranks, neighbours, largest = lines.select(row, "doc_id", "at", "rank", "lone"), 1, {}, {}, 2
+    now, depth, ranks, neighbours = lines.select(row, "doc_id", "at", "rank", "lone"), 1, {}, {}
     open_ = now.where("NOT lone")
+    classes = open_.groupBy("rank").agg(F.count("*").alias("n"))
+    total, largest = counts(classes)
+    bound, biggest = task_rows(total), largest
+    hot = classes.where(F.col("n") > bound).select("rank", F.col("n").alias("size")) if largest > bound else None
     for _ in range(rounds):
         if largest < 2:
             break
         ranks[depth] = open_
-        parts, fresh, largest = split(open_, now, row, depth)
+        parts, fresh, largest = split(open_, now, row, depth, hot, bound)
+        hot = parts.where(F.col("n") > bound).select(F.col("part").alias("rank"), F.col("n").alias("size")) if largest > bound else None
         # what stands alone keeps its rank
         after = settle(fresh)
         open_, now = after.where("NOT lone"), after.unionByName(now.where("lone"))
         if depth <= 8:  # in the documents that still have something open: at first most have not
             now = settle(now.join(open_.select(row, "doc_id").distinct(), [row, "doc_id"], "left_semi"))
         if 2 * depth > min_lines:
-            neighbours[depth] = parts.select(F.lit(depth).alias("depth"), "rank", "part", F.col("first").alias("y"), F.col("before").alias("x"))
+            neighbours[depth] = parts.select(F.lit(depth).alias("depth"), "rank", "part", F.col("first").alias("y"), F.col("before").alias("x"), "size")
         depth *= 2
     else:
         raise RuntimeError(f"runs of more than {depth} lines")
@@ -161,7 +236,7 @@ def repeated_runs(lines: DataFrame, row: str, min_lines: int = 2, rounds: int =
         return lines.select("doc_id", row, F.col("at").cast("int").alias("at"), F.lit(0).alias("length")).limit(0)
     pairs = common_prefixes(neighbours, ranks, row)
     length = F.when(F.col("x").isNotNull() & (F.col("length") >= min_lines), F.col("length")).otherwise(0)
-    found = settle(longest_runs(pairs.select("depth", "rank", "part", F.col("y").alias("first"), length.alias("length")), row))
+    found = longest_runs(pairs.select("depth", "rank", "part", F.col("y").alias("first"), length.alias("length"), "size"), row, biggest, bound)
     before = F.lag(F.col("at") + F.col("length")).over(Window.partitionBy(row, "doc_id").orderBy("at"))
     return found.withColumn("_upto", before).where("_upto IS NULL OR at + length > _upto").drop("_upto")
 

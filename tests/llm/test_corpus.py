@@ -213,9 +213,13 @@ def test_line_dedup(spark, data, least):
     assert kept.columns == df.columns
 
 
-@pytest.mark.parametrize("least", [2, 3])
-def test_maximal_repeated_runs(spark, least):
-    """Lengths of the longest runs that occur earlier, over few different lines, copies of documents and repeats within one."""
+@pytest.mark.parametrize(("least", "share"), [(2, None), (3, None), (1, 3), (2, 3), (3, 7)])
+def test_maximal_repeated_runs(spark, monkeypatch, least, share):
+    """Lengths of the longest runs that occur earlier, over few different lines, copies of documents and repeats within one; with ``share``, classes of
+    more suffixes are cut into slices and stretches, joined two by two."""
+    if share:
+        monkeypatch.setattr("lotlens.llm.common.LEAST", share)
+        monkeypatch.setattr(linededup, "FAN", 2)
     rng = random.Random(least)
     made = [[rng.choice("abc") for _ in range(rng.randint(0, 14))] for _ in range(25)]
     made += [made[3], made[5] + made[7], list("abcabcabcabc"), list("a" * 9), ["z"], made[3] + ["q"], list("uvwxyz" * 3)]
@@ -233,6 +237,41 @@ def test_maximal_repeated_runs(spark, least):
     assert got == want and max(want.values()) >= 9
 
 
+def test_a_line_before_many_others_is_dealt_out(spark, monkeypatch):
+    """One line before 3000 different ones, each of which comes twice: no window and no array takes more than a share of them."""
+    monkeypatch.setattr(common, "LEAST", 200)
+    df, _ = fixture.docs(spark, texts=[(i, f"the line of all\nline {i % 3000}\nend of {i}") for i in range(6000)])
+    lines = common.settle(linededup.first_ranks(common.settle(linededup.suffixes(df.withColumn("row", F.col("doc_id")), "row"))))
+    assert sorted(map(tuple, linededup.repeated_runs(lines, "row").select("doc_id", "at", "length").collect())) == [(i, 0, 2) for i in range(3000, 6000)]
+    hot = spark.createDataFrame([(0, 6000)], "rank long, size long")
+    made = spark.range(3000).select(F.lit(0).cast("long").alias("rank"), (F.col("id") - F.when(F.col("id") < 900, F.col("id") + 1).otherwise(0)).alias("then"), F.when(F.col("id") < 900, F.xxhash64("id")).otherwise(F.lit(0)).alias("end"), F.lit(2).cast("long").alias("n"), F.struct(F.col("id").alias("doc_id"), F.col("id").alias("row"), F.lit(0).alias("at")).alias("first"))
+    parts = linededup.in_order(made, hot, 200).orderBy("part").collect()
+    assert [r.part for r in parts] == list(range(0, 6000, 2)) and parts[0].before is None
+    assert all(b.before == a.first for a, b in zip(parts, parts[1:])) and [r.then for r in parts if r.then >= 0] == list(range(900, 3000))
+    stretches = collections.Counter(r.part // 200 for r in parts)
+    assert max(stretches.values()) == 100
+
+
+def test_parts_that_may_meet_others_are_few():
+    """Of a stretch at most two parts for each length of prefix go on, and what is found with them is what is found at once."""
+    rng = random.Random(5)
+    for _ in range(200):
+        n = rng.randint(1, 40)
+        first, length = [(x,) for x in rng.sample(range(1000), n)], [0, *(rng.choice((0, 2, 3, 3, 4)) for _ in range(n - 1))]
+        want, width = linededup._longest(first, length, [0] * n), rng.randint(1, 9)
+        kept, best, got = [], [], {}
+        for at in range(0, n, width):
+            f, s = first[at : at + width], length[at : at + width]
+            b = linededup._longest(f, s, [0] * len(f))
+            got.update(zip(range(at, at + width), b))
+            which, shared = linededup._outward(f, s)
+            assert len(which) <= 8
+            kept += [(at + i, k) for i, k in zip(which, shared)]
+        best = linededup._longest([first[i] for i, _ in kept], [k for _, k in kept], [got[i] for i, _ in kept])
+        got.update(zip((i for i, _ in kept), best))
+        assert [got[i] for i in range(n)] == want
+
+
 def test_token_files_round_trip(spark, data):
     from tokenizers import Tokenizer
 
