@@ -186,15 +186,18 @@ def adaptive_sampling(df: DataFrame, group: str, key: str, seed: str = "0", prob
     probe that scores is TAIL_PROBE and all rows are processed, else EARLY_STOP with lead and probe processed.
     """
     rows = segments(df).withColumn("score", response_score("response"))
-    w = Window.partitionBy(group, "segment").orderBy(tail_order(group, key, seed), key)
-    rows = rows.withColumn("probed", (F.col("segment") == "tail") & (F.row_number().over(w) <= probe))
-    g = Window.partitionBy(group)
-    rows = rows.withColumn("_lead", F.round(F.sum(F.when(F.col("segment") == "lead", F.col("score")).otherwise(0.0)).over(g), 6))
-    rows = rows.withColumn("_tail", F.round(F.sum(F.when(F.col("probed"), F.col("score")).otherwise(0.0)).over(g), 6))
-    rows = rows.withColumn("_all_lead", F.count_if(F.col("segment") == "lead").over(g) >= F.col("total"))
+    place = F.struct(tail_order(group, key, seed), key, "position")
+    # the numbers are cut off before the shuffle, and groups are summed before it, so that a group with a large share of all rows is no task's burden
+    first = rows.where("segment = 'tail'").withColumn("_place", place).withColumn("_n", F.row_number().over(Window.partitionBy(group).orderBy("_place"))).where(F.col("_n") <= probe)
+    tail = first.groupBy(F.col(group).alias("_other")).agg(F.max("_place").alias("_cut"), F.round(F.sum("score"), 6).alias("_tail"))
+    lead = F.when(F.col("segment") == "lead", F.col("score")).otherwise(0.0)
+    sums = rows.groupBy(F.col(group).alias("_group")).agg(F.round(F.sum(lead), 6).alias("_lead"), (F.count_if(F.col("segment") == "lead") >= F.max("total")).alias("_all_lead"))
+    sums = sums.join(tail, F.col("_group").eqNullSafe(F.col("_other")), "left").drop("_other")
+    out = rows.join(sums, F.col(group).eqNullSafe(F.col("_group"))).drop("_group")
+    out = out.withColumn("probed", F.coalesce((F.col("segment") == "tail") & (place <= F.col("_cut")), F.lit(False)))
     full = F.col("_all_lead") | (F.col("_lead") >= R.SWITCH_SCORE)
-    rows = rows.withColumn("phase", F.when(full, "FULL").when(F.col("_tail") > 0, "TAIL_PROBE").otherwise("EARLY_STOP"))
-    return rows.withColumn("processed", (F.col("phase") != "EARLY_STOP") | (F.col("segment") == "lead") | F.col("probed")).drop("_lead", "_tail", "_all_lead")
+    out = out.withColumn("phase", F.when(full, "FULL").when(F.col("_tail") > 0, "TAIL_PROBE").otherwise("EARLY_STOP"))
+    return out.withColumn("processed", (F.col("phase") != "EARLY_STOP") | (F.col("segment") == "lead") | F.col("probed")).drop("_lead", "_tail", "_all_lead", "_cut")
 
 
 def emit_findings(df: DataFrame, group: str, error: str | None = None) -> DataFrame:
