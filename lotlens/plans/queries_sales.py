@@ -175,7 +175,7 @@ THUMB = f"SELECT sale_id, finding_id, description FROM (SELECT f.*, row_number()
 
 @query("sale_thumbnail", "findings", "hunts", sql=THUMB)
 def _(t):
-    return ranking.thumbnail(t.findings, ranking.hunt_matches(t.findings, t.hunts))
+    return ranking.thumbnail(t.findings, ranking.set_matches(t.findings, ranking.keyword_sets(t.hunts)))
 
 
 @query("sale_summary", "sales", "findings", "hunts", sql=f"""
