@@ -128,6 +128,21 @@ def _(t):
     return G.flush_completed(t.scan_events)
 
 
+def arrive(batches, path: str, start) -> None:
+    """Each of ``batches`` is written to ``path`` and taken by the stream that ``start`` starts before the next is written.
+
+    So each is one micro-batch, of as many files as tasks write it, and they arrive in this order whatever the times of their files.
+    """
+    for rows in batches:
+        rows.write.mode("append").json(path)
+        start().awaitTermination()
+
+
+def dealt(rows, n: int, *by: str) -> list:
+    """The rows in ``n`` parts by a hash of columns."""
+    return [rows.where(F.pmod(F.xxhash64(*by), F.lit(n)) == b) for b in range(n)]
+
+
 @query("event_log_read", "scan_events", sql="SELECT seq, sale_id, type, value FROM scan_events WHERE seq >= 100")
 def _(t):
     """The events written as a log of JSON lines and read in two steps, of which the second begins where the first ended."""
@@ -153,8 +168,7 @@ def _(t):
 def _(t):
     """scan_progress kept up by a stream over six micro-batches of events in any order."""
     path = shared_dir(t.spark)
-    t.scan_events.repartition(6, F.xxhash64("seq")).write.json(f"{path}/in")
-    G.fold_stream(G.read_stream(t.spark, f"{path}/in", files=1), f"{path}/state", f"{path}/cp").awaitTermination()
+    arrive(dealt(t.scan_events, 6, "seq"), f"{path}/in", lambda: G.fold_stream(G.read_stream(t.spark, f"{path}/in"), f"{path}/state", f"{path}/cp"))
     return G.latest_state(t.spark, f"{path}/state").withColumn("last_value", F.round("last_value", 6))
 
 
@@ -162,8 +176,8 @@ def _(t):
 def _(t):
     """The last event and message, kept up over micro-batches in any order."""
     path = shared_dir(t.spark)
-    t.scan_events.withColumn("message", F.when(F.col("seq") % 7 == 0, F.concat(F.lit("at "), "seq"))).repartition(4, F.xxhash64("seq")).write.json(f"{path}/in")
-    G.status_stream(G.read_stream(t.spark, f"{path}/in", files=1), f"{path}/state", f"{path}/cp").awaitTermination()
+    rows = t.scan_events.withColumn("message", F.when(F.col("seq") % 7 == 0, F.concat(F.lit("at "), "seq")))
+    arrive(dealt(rows, 4, "seq"), f"{path}/in", lambda: G.status_stream(G.read_stream(t.spark, f"{path}/in"), f"{path}/state", f"{path}/cp"))
     return G.latest_state(t.spark, f"{path}/state", "run").drop("run")
 
 
@@ -171,9 +185,10 @@ def _(t):
 def _(t):
     """Photos that arrive twice, in several micro-batches, are taken once."""
     path = shared_dir(t.spark)
-    urls = t.findings.select(F.col("finding_id").alias("image_url"))
-    urls.unionByName(urls).repartition(3).write.json(f"{path}/in")
-    G.ingest_new(G.read_stream(t.spark, f"{path}/in", "image_url string", files=2), f"{path}/out", f"{path}/cp").awaitTermination()
+    urls = settle(t.findings.select(F.col("finding_id").alias("image_url")))
+    a, b, c = dealt(urls, 3, "image_url")
+    batches = [a.unionByName(a).unionByName(b), b.unionByName(c), c]
+    arrive(batches, f"{path}/in", lambda: G.ingest_new(G.read_stream(t.spark, f"{path}/in", "image_url string"), f"{path}/out", f"{path}/cp"))
     return t.spark.read.parquet(f"{path}/out").select("image_url")
 
 
@@ -187,10 +202,11 @@ def _(t):
     """Photos (here: progress) and findings (here: requests) are buffered by sale over four micro-batches and written when it is done."""
     path = shared_dir(t.spark)
     rows = t.scan_events.select("seq", "sale_id", F.col("type").alias("kind"), F.col("value").cast("string").alias("payload"))
-    # four files by order of seq, so that starts and ends arrive in their order
-    rows.repartitionByRange(4, "seq").write.json(f"{path}/in")
-    stream = G.read_stream(t.spark, f"{path}/in", "seq long, sale_id string, kind string, payload string", files=1)
-    G.flush_stream(stream, f"{path}/out", f"{path}/cp", "progress", "oracle_request").awaitTermination()
+    # in order of seq, so that starts and ends arrive in their order
+    cuts = t.scan_events.approxQuantile("seq", [0.25, 0.5, 0.75], 0.01)
+    part = sum((F.coalesce((F.col("seq") > c).cast("int"), F.lit(0)) for c in cuts), F.lit(0))
+    stream = lambda: G.read_stream(t.spark, f"{path}/in", "seq long, sale_id string, kind string, payload string")
+    arrive([rows.where(part == k) for k in range(4)], f"{path}/in", lambda: G.flush_stream(stream(), f"{path}/out", f"{path}/cp", "progress", "oracle_request"))
     out = t.spark.read.parquet(f"{path}/out/images").unionByName(t.spark.read.parquet(f"{path}/out/findings"))
     return out.select("kind", "seq", "sale_id")
 
@@ -200,8 +216,9 @@ def _(t):
     """Fingerprints in several sources, kept up over micro-batches in which every fifth document comes and goes again."""
     path = shared_dir(t.spark)
     rows = t.documents.select(F.sha1("text").alias("phash"), F.col("source").alias("sale_id"), F.col("doc_id"))
-    came = rows.withColumn("change", F.lit(1)).repartition(3, "doc_id")
-    came.drop("doc_id").write.json(f"{path}/in")
-    rows.where("doc_id % 5 = 0").withColumn("change", F.lit(-1)).repartition(2, "doc_id").drop("doc_id").write.mode("append").json(f"{path}/in")
-    G.boilerplate_stream(G.read_stream(t.spark, f"{path}/in", "phash string, sale_id string, change int", files=2), f"{path}/out", f"{path}/cp").awaitTermination()
+    came = dealt(rows.withColumn("change", F.lit(1)), 3, "doc_id")
+    gone = dealt(rows.where("doc_id % 5 = 0").withColumn("change", F.lit(-1)), 3, "doc_id")
+    batches = [came[0], came[1].unionByName(gone[0]), came[2].unionByName(gone[1]), gone[2]]
+    stream = lambda: G.read_stream(t.spark, f"{path}/in", "phash string, sale_id string, change int")
+    arrive([b.drop("doc_id") for b in batches], f"{path}/in", lambda: G.boilerplate_stream(stream(), f"{path}/out", f"{path}/cp"))
     return G.boilerplate_prints(t.spark, f"{path}/out", 2)
