@@ -5,11 +5,12 @@ State is kept by key in RocksDB, so the cost of a micro-batch follows from its o
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -27,15 +28,6 @@ def rocksdb(spark: SparkSession):
         spark.conf.set(PROVIDER, before) if before else spark.conf.unset(PROVIDER)
 
 
-def plain(value):
-    """A value as the state store takes it."""
-    return None if pd.isna(value) else value.item() if hasattr(value, "item") else value
-
-
-def tuples(frame: pd.DataFrame) -> list[tuple]:
-    return [tuple(map(plain, r)) for r in zip(*(frame[c] for c in frame.columns), strict=True)]
-
-
 class ProgressFold(StatefulProcessor):
     """The progress of one sale, whatever the order in which its events arrive.
 
@@ -44,7 +36,7 @@ class ProgressFold(StatefulProcessor):
     """
 
     SHAPE = "sale_id string, status string, n_progress long, last_value double, oracle_requested boolean, last_seq long"
-    EVENT = ("seq", "type", "value")
+    NAMES = [c.split()[0] for c in SHAPE.split(", ")]
     STATUS = {"sale_done": "done", "sale_skip": "skipped"}
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -52,12 +44,12 @@ class ProgressFold(StatefulProcessor):
         self.summary = handle.getValueState("summary", "start long, end_seq long, status string, n_progress long, last_value double, oracle_requested boolean, last_seq long")
 
     @classmethod
-    def fold(cls, start: int | None, e: pd.DataFrame) -> tuple:
+    def fold(cls, start: int | None, events: list[tuple]) -> tuple:
         """The summary of events (none older than ``start``)."""
-        ends = e[e.type.isin(list(cls.STATUS))]
-        end = ends.loc[ends.seq.idxmax()] if len(ends) else None
-        last = e.loc[e.seq.idxmax()]
-        return (start, None if end is None else int(end.seq), "analyzing" if end is None else cls.STATUS[end.type], int((e.type == "progress").sum()), plain(last.value), bool((e.type == "oracle_request").any()), int(last.seq))
+        end = max((e for e in events if e[1] in cls.STATUS), key=lambda e: e[0], default=None)
+        last = max(events, key=lambda e: e[0])
+        status = "analyzing" if end is None else cls.STATUS[end[1]]
+        return (start, None if end is None else end[0], status, sum(e[1] == "progress" for e in events), last[2], any(e[1] == "oracle_request" for e in events), last[0])
 
     @staticmethod
     def merge(a: tuple, b: tuple) -> tuple:
@@ -65,29 +57,27 @@ class ProgressFold(StatefulProcessor):
         last = a if a[6] >= b[6] else b
         return (a[0], end[1], end[2], a[3] + b[3], last[4], a[5] or b[5], last[6])
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows), ignore_index=True)[list(self.EVENT)]
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        new = [(r["seq"], r["type"], r["value"]) for r in rows if r["seq"] is not None]
         old = self.summary.get() if self.summary.exists() else None
         start = None if old is None else old[0]
-        starts = new.seq[new.type == "sale_start"]
-        if len(starts) and (start is None or starts.max() > start):
+        latest = max((e[0] for e in new if e[1] == "sale_start"), default=None)
+        if latest is not None and (start is None or latest > start):
             # all that is held is looked at once more, and what is older goes
-            start = int(starts.max())
-            held = pd.DataFrame(list(self.events.get()), columns=list(self.EVENT))
-            new = pd.concat([held, new], ignore_index=True) if len(held) else new
-            new = new[new.seq >= start]
-            self.events.put(tuples(new))
+            start = latest
+            new = [e for e in [*map(tuple, self.events.get()), *new] if e[0] >= start]
+            self.events.put(new)
             summary = self.fold(start, new)
         else:
-            new = new if start is None else new[new.seq >= start]
-            if not len(new):
+            new = new if start is None else [e for e in new if e[0] >= start]
+            if not new:
                 return
-            self.events.appendList(tuples(new))
+            self.events.appendList(new)
             if start is None:
                 return
             summary = self.merge(tuple(old), self.fold(start, new))
         self.summary.update(summary)
-        yield pd.DataFrame([[key[0], *summary[2:]]], columns=[c.split()[0] for c in self.SHAPE.split(", ")])
+        yield Row(**dict(zip(self.NAMES, (key[0], *summary[2:]), strict=True)))
 
     def close(self) -> None:
         pass
@@ -107,28 +97,27 @@ class SaleBuffer(StatefulProcessor):
         self.held = handle.getListState("held", "kind string, seq long, payload string")
         self.marks = handle.getListState("marks", "kind string, seq long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows), ignore_index=True)[["kind", "seq", "payload"]]
-        is_mark = new.kind.isin([self.START, self.END])
-        if is_mark.any():
-            self.marks.appendList(tuples(new.loc[is_mark, ["kind", "seq"]]))
-        fresh = new[~is_mark & new.kind.notna()]
-        marks = pd.DataFrame(list(self.marks.get()), columns=["kind", "seq"]).sort_values("seq")
-        if not is_mark.any() and not (len(marks) and len(fresh) and fresh.seq.min() < marks.seq.max()):
-            if len(fresh):
-                self.held.appendList(tuples(fresh))
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        new = [(r["kind"], r["seq"], r["payload"]) for r in rows if r["kind"] is not None and r["seq"] is not None]
+        came = [(kind, seq) for kind, seq, _ in new if kind in (self.START, self.END)]
+        if came:
+            self.marks.appendList(came)
+        fresh = [e for e in new if e[0] not in (self.START, self.END)]
+        marks = sorted(map(tuple, self.marks.get()), key=lambda m: m[1])
+        places = [seq for _, seq in marks]
+        if not came and not (marks and fresh and min(e[1] for e in fresh) < places[-1]):
+            if fresh:
+                self.held.appendList(fresh)
             return
-        held = pd.DataFrame(list(self.held.get()), columns=["kind", "seq", "payload"])
-        rows_ = pd.concat([held, fresh], ignore_index=True) if len(held) else fresh
-        if not len(rows_):
+        held = sorted([*map(tuple, self.held.get()), *fresh], key=lambda e: e[1])
+        if not held:
             return
-        rows_ = rows_.sort_values("seq").astype({"seq": "int64"})
-        ahead = pd.merge_asof(rows_, marks.astype({"seq": "int64"}).rename(columns={"kind": "next"}).assign(at=marks.seq.astype("int64")), on="seq", direction="forward", allow_exact_matches=False)
-        self.held.put(tuples(ahead.loc[ahead.next.isna(), ["kind", "seq", "payload"]])) if ahead.next.isna().any() else self.held.clear()
-        out = ahead.loc[ahead.next == self.END, ["kind", "seq", "payload"]]
-        if len(out):
-            out.insert(0, "sale_id", key[0])
-            yield out
+        ahead = [bisect_right(places, seq) for _, seq, _ in held]
+        open_ = [e for e, k in zip(held, ahead, strict=True) if k == len(marks)]
+        self.held.put(open_) if open_ else self.held.clear()
+        for (kind, seq, payload), k in zip(held, ahead, strict=True):
+            if k < len(marks) and marks[k][0] == self.END:
+                yield Row(sale_id=key[0], kind=kind, seq=seq, payload=payload)
 
     def close(self) -> None:
         pass
@@ -143,20 +132,24 @@ class SalesOfFingerprint(StatefulProcessor):
         self.photos = handle.getMapState("photos", "sale_id string", "n long")
         self.total = handle.getValueState("total", "n long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows), ignore_index=True)
-        total = before = self.total.get()[0] if self.total.exists() else 0
-        for sale, change in new.groupby("sale_id").change.sum().items():
-            was = self.photos.getValue((sale,))[0] if self.photos.containsKey((sale,)) else 0
-            now = was + int(change)
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        changes = Counter()
+        for r in rows:
+            if r["sale_id"] is not None:
+                changes[r["sale_id"]] += r["change"]
+        known = self.total.exists()
+        total = before = self.total.get()[0] if known else 0
+        for sale, change in changes.items():
+            was = self.photos.getValue((sale,))[0] if known and self.photos.containsKey((sale,)) else 0
+            now = was + change
             total += (now > 0) - (was > 0)
             if now:
                 self.photos.updateValue((sale,), (now,))
             elif was:
                 self.photos.removeKey((sale,))
-        if total != before or not self.total.exists():
+        if total != before or not known:
             self.total.update((total,))
-            yield pd.DataFrame({"phash": [key[0]], "n_sales": [total]})
+            yield Row(phash=key[0], n_sales=total)
 
     def close(self) -> None:
         pass
@@ -166,5 +159,5 @@ def run_stateful(stream: DataFrame, key: str, processor: StatefulProcessor, writ
     """Start ``processor`` over ``stream`` by ``key``; ``write(batch, number)`` gets what comes out of each micro-batch."""
     spark = stream.sparkSession
     with rocksdb(spark):
-        out = stream.groupBy(key).transformWithStateInPandas(processor, processor.SHAPE, "Update", "None")
+        out = stream.groupBy(key).transformWithState(processor, processor.SHAPE, "Update", "None")
         return out.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
