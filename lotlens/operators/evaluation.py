@@ -8,14 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
-from ..functions.text import has_findings, keyword_match, matches, specific, strip
+from ..functions.text import has_findings, keyword_match, matches, once, specific, strip
 from .lineage import settle
 
 
 def flags(results: DataFrame) -> DataFrame:
     """detected, keyword_hit, specific (null where it does not apply), format_ok of rows (raw, category, expected_keywords, expect_nothing)."""
-    t = strip("raw")
-    fine = (F.length(t) <= 1000) & ~matches(t, f"^({R.NO_ANSWER.lower()})")
+    fine = once(strip("raw"), lambda t: (F.length(t) <= 1000) & ~matches(t, f"^({R.NO_ANSWER.lower()})"))
     return results.withColumns({
         "detected": has_findings("raw", limit=1000, trim_lines=False),
         "keyword_hit": F.col("expect_nothing") | keyword_match("raw", "expected_keywords"),

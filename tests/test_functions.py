@@ -104,3 +104,14 @@ def test_searches_by_what_is_expected_of_them(spark):
     for i, (q, (terms, categories)) in enumerate(queries.items()):
         assert set(q.split()) | terms <= set(got[i].expanded) and categories <= set(got[i].categories)
     assert got[3].expanded == ["zzz"] and got[3].categories == [] and got[4].expanded == []
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_text_is_parsed_once(spark):
+    df = spark.createDataFrame([("a", "b")], "t string, c string")
+    assert plan_of(df.select(X.response_score("t").alias("v"))).count("trim(t") == 1
+    assert plan_of(df.select(X.has_findings("t").alias("v"))).count("trim(t") == 1
+    assert plan_of(df.select(X.specific("t").alias("v"))).count("lower(t") == 1
