@@ -186,11 +186,16 @@ def verdict(text: Column | str) -> Column:
     t = col(text)
     first, last = F.instr(t, "{"), F.length(t) - F.instr(F.reverse(t), "}") + 1
     block = F.when((first > 0) & (F.instr(t, "}") > 0) & (last >= first), F.substring(t, first, last - first + 1))
-    v = F.from_json(block, "score string, topItems array<string>, shouldAttend string, reasoning string")
-    score = F.try_to_number(v["score"], F.lit("999999999.999999")).cast("double")
-    truth = F.coalesce(~F.lower(v["shouldAttend"]).isin("", "false", "0", "null"), F.lit(False))
-    made = F.struct(score.alias("score"), F.coalesce(v["topItems"], F.array().cast("array<string>")).alias("top_items"), truth.alias("should_attend"), F.coalesce(v["reasoning"], F.lit("")).alias("reasoning"))
-    return F.when((score >= 1) & (score <= 5), made)
+
+    def made(score: Column, v: Column) -> Column:
+        truth = F.coalesce(~F.lower(v["shouldAttend"]).isin("", "false", "0", "null"), F.lit(False))
+        items = F.coalesce(v["topItems"], F.array().cast("array<string>"))
+        made = F.struct(score.alias("score"), items.alias("top_items"), truth.alias("should_attend"), F.coalesce(v["reasoning"], F.lit("")).alias("reasoning"))
+        return F.when((score >= 1) & (score <= 5), made)
+
+    number = lambda v: F.try_to_number(v["score"], F.lit("999999999.999999")).cast("double")
+    parsed = F.from_json(block, "score string, topItems array<string>, shouldAttend string, reasoning string")
+    return once(parsed, lambda v: once(number(v), lambda score: made(score, v)))
 
 
 def specific(raw: Column | str) -> Column:
