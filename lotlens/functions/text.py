@@ -174,11 +174,19 @@ def gate_passes(answer: Column | str) -> Column:
 
 def structured_flatten(content: Column | str) -> Column:
     """{items: [{description}]} as lines; NOTHING if empty; other text as it is."""
-    c = strip(content)
-    parsed = F.from_json(c, "items array<struct<description string>>", {"mode": "PERMISSIVE"})
-    is_json = F.try_parse_json(c).isNotNull()
-    items = F.filter(F.transform(parsed["items"], lambda i: strip(F.coalesce(i["description"], F.lit("")))), lambda x: x != "")
-    return F.when(~is_json, c).when(F.coalesce(F.size(parsed["items"]), F.lit(0)) <= 0, "NOTHING").otherwise(F.array_join(items, "\n"))
+    schema = "items array<struct<description string>>, _broken string"
+
+    def flat(c: Column, parsed: Column) -> Column:
+        items = F.filter(F.transform(parsed["items"], lambda i: strip(F.coalesce(i["description"], F.lit("")))), lambda x: x != "")
+        # what is no object, array or string is JSON only as one word; text that cannot be JSON is not parsed to learn so
+        is_json = parsed["_broken"].isNull() | F.try_parse_json(c).isNotNull()
+        return F.when(~is_json, c).when(F.coalesce(F.size(parsed["items"]), F.lit(0)) <= 0, "NOTHING").otherwise(F.array_join(items, "\n"))
+
+    def one(c: Column) -> Column:
+        parsed = F.from_json(c, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
+        return F.when(c.rlike(r'^(?:[\[{"]|\S+$)'), once(parsed, lambda p: flat(c, p))).otherwise(c)
+
+    return once(strip(content), one)
 
 
 def verdict(text: Column | str) -> Column:
