@@ -6,42 +6,50 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import rules as R
-from .text import WORD_END, WORD_START, col, is_junk, lines, strip
+from .text import WORD_END, WORD_START, col, core, factored, is_junk, lines, once, strip
+
+
+def starts(low: Column, words: list[str], letter: str) -> Column:
+    """For each place of a lower-case text the first of the words that begins there and stands by itself between ``letter``s, read in one pass."""
+    first = "".join(sorted({R.quoted(w[0]) for w in words}))
+    pattern = f"(?:^|[^{letter}])(?=[{first}])(?=({factored([R.quoted(w) for w in words])})(?![{letter}]))"
+    return F.transform(F.regexp_extract_all(low, F.lit(pattern), F.lit(1)), lambda x: F.array_position(F.array(*map(F.lit, words)), x).cast("int"))
 
 
 def makers(line: Column | str) -> Column:
-    """array<struct<maker, raw>>: each maker once, by its longest spelling in the line; makers in the order of those spellings."""
-    low = F.lower(col(line))
-    names = R.aliases()
-    bound = lambda p: f"(^|[^a-z0-9])({p})([^a-z0-9]|$)"
-    best: dict[str, Column] = {}
-    for rank, (alias, maker) in enumerate(names):  # longest first, so the first that fits is a maker's longest
-        # the plain search settles most spellings before the pattern runs
-        test, value = F.contains(low, F.lit(alias)) & low.rlike(bound(R.quoted(alias))), F.struct(F.lit(rank).alias("rank"), F.lit(maker).alias("maker"), F.lit(alias).alias("raw"))
-        best[maker] = best[maker].when(test, value) if maker in best else F.when(test, value)
-    found = F.array_sort(F.array_compact(F.array(*best.values())))
-    return F.transform(found, lambda x: F.struct(x["maker"].alias("maker"), x["raw"].alias("raw")))
+    """array<struct<maker, raw>>: each maker once, by its longest spelling in the line; makers in the order of those spellings.
+
+    Spellings that begin alike name one maker.
+    """
+    spellings, owners = zip(*R.aliases(), strict=True)  # longest first
+    raw, owner = (lambda r, names=names: F.element_at(F.array(*map(F.lit, names)), r) for names in (spellings, owners))
+    ranks = F.sort_array(F.array_distinct(starts(F.lower(F.coalesce(col(line), F.lit(""))), list(spellings), "a-z0-9")))
+    longest = lambda rs: F.aggregate(rs, F.array().cast("array<int>"), lambda kept, r: F.when(F.exists(kept, lambda k: owner(k) == owner(r)), kept).otherwise(F.concat(kept, F.array(r))))
+    first = once(ranks, lambda rs: F.when(F.size(rs) < 2, rs).otherwise(longest(rs)))
+    return F.transform(first, lambda r: F.struct(owner(r).alias("maker"), raw(r).alias("raw")))
 
 
 def category(line: Column | str) -> Column:
     """The first category with a keyword as a word of its own, else ``other``."""
-    low, out = F.lower(col(line)), None
-    for name, keywords in R.CATEGORIES.items():
-        test = low.rlike(f"{WORD_START}({'|'.join(R.quoted(k) for k in keywords)}){WORD_END}")
-        out = F.when(test, name) if out is None else out.when(test, name)
-    return out.otherwise(R.OTHER)
+    owner = {k: name for name, keywords in reversed(R.CATEGORIES.items()) for k in keywords}
+    words = [k for name, keywords in R.CATEGORIES.items() for k in keywords if owner[k] == name]
+    found = F.array_min(starts(F.lower(col(line)), words, r"\w"))
+    return F.coalesce(F.get(F.array(*(F.lit(owner[w]) for w in words)), found - 1), F.lit(R.OTHER))
 
 
 def era(line: Column | str) -> Column:
     """A decade, else a year after circa, else the first named period, else null."""
-    low = F.lower(col(line))
-    got = lambda p, k: F.nullif(F.regexp_extract(low, p, k), F.lit(""))
-    named = None
-    for pattern, label in R.ERAS:
-        test = low.rlike(f"{WORD_START}{pattern}{WORD_END}")
-        named = F.when(test, label) if named is None else named.when(test, label)
-    circa = got(rf"{WORD_START}circa\s+(1[89]\d{{2}}|20\d{{2}}){WORD_END}", 1)
-    return F.coalesce(got(rf"{WORD_START}((18|19|20)\d0s){WORD_END}", 1), got(rf"(?:^|\s)['’](\d0s){WORD_END}", 1), F.concat(F.lit("circa "), circa), named)
+
+    def read(low: Column) -> Column:
+        # the plain search settles most periods before the pattern runs
+        held = lambda x: F.contains(low, F.lit(x))
+        got = lambda p, k: F.nullif(F.regexp_extract(low, p, k), F.lit(""))
+        decade = F.when(held("0s"), F.coalesce(got(rf"{WORD_START}((18|19|20)\d0s){WORD_END}", 1), got(rf"(?:^|\s)['’](\d0s){WORD_END}", 1)))
+        circa = F.when(held("circa"), F.concat(F.lit("circa "), got(rf"{WORD_START}circa\s+(1[89]\d{{2}}|20\d{{2}}){WORD_END}", 1)))
+        named = [F.when(held(core(p)) & low.rlike(f"{WORD_START}{p}{WORD_END}"), label) for p, label in R.ERAS]
+        return F.coalesce(decade, circa, *named)
+
+    return once(F.lower(col(line)), read)
 
 
 def desirability(n_makers: Column, period: Column | str) -> Column:
@@ -56,8 +64,9 @@ def id_confidence(confidence: Column | str) -> Column:
 
 def extract_items(findings: DataFrame, description: str = "description", confidence: str = "confidence", keep: tuple[str, ...] = ("finding_id",)) -> DataFrame:
     """One row per line that is neither blank nor junk."""
-    full = F.filter(F.transform(lines(description), strip), lambda x: (x != "") & ~is_junk(x))
-    rows = findings.select(*keep, F.col(confidence).alias("_c"), F.posexplode(full).alias("line_no", "item_desc"))
+    full = F.filter(F.transform(lines(description), strip), lambda x: (x != "") & ~is_junk(x, trim=False))
+    # an outer explode, since Spark works the lines of the other out a second time to drop texts without any
+    rows = findings.select(*keep, F.col(confidence).alias("_c"), F.posexplode_outer(full).alias("line_no", "item_desc")).where("line_no IS NOT NULL")
     rows = rows.withColumn("_m", makers("item_desc")).withColumn("era", era("item_desc"))
     first = F.get("_m", F.lit(0))
     return rows.select(

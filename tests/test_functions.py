@@ -123,3 +123,22 @@ def test_a_text_is_parsed_once(spark):
 def test_text_that_only_begins_like_json_stays(spark):
     texts = ["12 chairs", "true story", "12", '{"items": [{"description": " a "}]}', '{"items": {"description": "x"}}', "[1, 2", "nul"]
     assert column(spark, texts, X.structured_flatten) == ["12 chairs", "true story", "NOTHING", "a", "NOTHING", "[1, 2", "nul"]
+
+
+def test_lines_are_taken_apart_once(spark):
+    df = spark.createDataFrame([(1, "TOYS: NONE\r\nlamp \n\nold clock", "high"), (2, None, "low"), (3, " \n", None)], "finding_id int, description string, confidence string")
+    out = I.extract_items(df)
+    assert plan_of(out).count("split(") == 1
+    assert sorted((r.finding_id, r.line_no, r.item_desc) for r in out.collect()) == [(1, 0, "lamp"), (1, 1, "old clock")]
+
+
+def test_words_that_overlap(spark):
+    names = [a for a, _ in I.R.aliases()]
+    owner = dict(I.R.aliases())
+    assert all(owner[a] == owner[b] for a in names for b in names if b.startswith(a))
+    got = column(spark, ["a sega genesis console", "Atari, atari 2600", "snes-nes", "estates b&o", None], I.makers)
+    assert [[(m.maker, m.raw) for m in ms] for ms in got] == [[("Sega", "genesis console")], [("Atari", "atari 2600")], [("Nintendo", "snes")], [("Bang & Olufsen", "b&o")], []]
+    assert plan_of(spark.createDataFrame([("a",)], "v string").select(I.makers("v").alias("m"))).count("lower(") == 1
+    assert column(spark, ["console table", "coffee table lamp", "bedding", "a bed", "", None], lambda c: I.category(c)) == ["games_toys", "lighting", "other", "beds", "other", "other"]
+    assert column(spark, ["reel to reel", "a rooster on a lamp", "artscrafts", "art x deco"], lambda c: X.occurs(F.lower(c), ["reel.to.reel", "rooster.*lamp", "arts.?&?.?crafts", "art.deco"])) == [True, True, True, False]
+    assert X.core("arts.?&?.?crafts") == "crafts" and X.core("mid[- ]century") == "century"
