@@ -7,6 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,16 +60,46 @@ def grid_pairs(rows: DataFrame, most: int, group: str, cell: int = CELL) -> Data
     return pairs.withColumn("distance", hamming("ha", "hb")).where(F.col("distance") <= most).select(group, "a", "b", "distance")
 
 
-#: The most different hashes of a group that one task takes.
+#: The most photos, and in larger groups the most different hashes, of a group that one task takes.
 GROUP_LIMIT = 50_000
 
 
+def stand(hashes: np.ndarray, most: int) -> np.ndarray:
+    """Which of different hashes, in order, stay: each that stays is held against the later ones at once."""
+    stays = np.ones(len(hashes), bool)
+    for i in range(len(hashes)):
+        if stays[i]:
+            stays[i + 1 :] &= np.bitwise_count((hashes[i + 1 :] ^ hashes[i]).view(np.uint64)) > most
+    return stays
+
+
 def collapse(photos: DataFrame, most: int = R.NEAR_BITS, group: str = "sale_id", order: str = "position", key: str = "image_id", phash: str = "phash", limit: int = GROUP_LIMIT) -> DataFrame:
     """All photos with ``kept``: in order, a photo goes if it is within ``most`` bits of one that stays; without a hash it stays.
 
-    Only the first photo of each hash is compared.  A group of up to ``limit`` hashes is settled in one task, where each hash that stays
-    is held against the later ones at once; the hashes of a larger group are settled in rounds of joins over its near pairs.
+    Only the first photo of each hash is compared.  A group of up to ``limit`` photos is settled where its rows meet, so they are sent once.
     """
+    large = photos.groupBy(group).agg(F.count("*").alias("_k")).where(F.col("_k") > limit).select(group)
+    shape = T.StructType([*photos.schema.fields, T.StructField("kept", T.BooleanType())])
+
+    def mark(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([(order, "ascending"), (key, "ascending")])
+        kept = rows[phash].is_null().to_numpy()
+        known = np.flatnonzero(~kept)
+        hashes, first = np.unique(rows[phash].drop_null().to_numpy(), return_index=True)
+        at = np.argsort(first)
+        kept = kept.copy()
+        kept[known[first[at][stand(hashes[at], most)]]] = True
+        return rows.append_column("kept", pa.array(kept))
+
+    if large.isEmpty():
+        return photos.groupBy(group).applyInArrow(mark, shape)
+    out = photos.join(large, group, "left_anti").select(photos.columns).groupBy(group).applyInArrow(mark, shape)
+    return out.unionByName(collapse_large(photos.join(large, group, "left_semi").select(photos.columns), most, group, order, key, phash, limit))
+
+
+def collapse_large(photos: DataFrame, most: int, group: str, order: str, key: str, phash: str, limit: int) -> DataFrame:
+    """``collapse`` for groups of many photos: those of up to ``limit`` hashes send only their hashes to one task, the hashes of others are
+    settled in rounds of joins over their near pairs."""
     first = Window.partitionBy(group, phash).orderBy(order, key)
     rows = photos.withColumn("_n", F.when(F.col(phash).isNotNull(), F.row_number().over(first)))
     nodes = rows.where("_n = 1").select(group, phash, order, key)
@@ -77,12 +108,7 @@ def collapse(photos: DataFrame, most: int = R.NEAR_BITS, group: str = "sale_id",
 
     def settle_group(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values([order, key])
-        hashes = rows[phash].to_numpy(np.int64)
-        stays = np.ones(len(hashes), bool)
-        for i in range(len(hashes)):
-            if stays[i]:
-                stays[i + 1 :] &= np.bitwise_count((hashes[i + 1 :] ^ hashes[i]).view(np.uint64)) > most
-        return rows.loc[stays, [group, phash]]
+        return rows.loc[stand(rows[phash].to_numpy(np.int64), most), [group, phash]]
 
     kept = nodes.join(large, group, "left_anti").groupBy(group).applyInPandas(settle_group, shape)
     if not large.isEmpty():

@@ -66,7 +66,7 @@ WITH {PHOTOS}, f AS (SELECT *, row_number() OVER (PARTITION BY source_id, phash
 k AS (SELECT source_id, list_reduce(list([phash] ORDER BY position, image_id), lambda a, b: CASE WHEN len(list_filter(a, lambda s: bit_count(xor(s, b[1])) <= 20)) > 0 THEN a ELSE list_concat(a, b) END) AS kept FROM f WHERE nth = 1 GROUP BY source_id)
 SELECT image_id, source_id, position, nth = 1 AND list_contains(kept, phash) AS kept FROM f JOIN k USING (source_id)""")
 def _(t):
-    return P.collapse(photos(t), 20, "source_id").select("image_id", "source_id", "position", "kept")
+    return P.collapse(photos(t).select("image_id", "source_id", "phash", "position"), 20, "source_id").select("image_id", "source_id", "position", "kept")
 
 
 @query("boilerplate_flags", sql="SELECT doc_id, coalesce(n >= 2, false) AS is_boilerplate FROM documents d LEFT JOIN (SELECT sha1(text) AS h, count(DISTINCT source) AS n FROM documents GROUP BY 1) g ON sha1(d.text) = g.h")

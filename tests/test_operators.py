@@ -93,6 +93,13 @@ def test_collapse_is_the_fold_in_order(spark):
     assert photos.collapse(df.limit(0), 3).count() == 0
 
 
+def test_collapse_sends_its_rows_once(spark):
+    df = spark.createDataFrame([("s", 0, "a", 7), ("s", 1, "b", 5), ("s", 2, "c", None), (None, 0, "d", 7)], "sale_id string, position int, image_id string, phash long")
+    out = photos.collapse(df, 3)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert rows(out, "image_id", "kept") == [("a", True), ("b", False), ("c", True), ("d", True)]
+
+
 def test_collapse_invariant(spark, sf_dir):
     from lotlens.plans.bindings import Tables
     from lotlens.plans.queries_photos import photos as photo_rows
