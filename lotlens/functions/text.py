@@ -109,10 +109,14 @@ def has_findings(response: Column | str, limit: int = 1400, trim_lines: bool = T
 
 def names_something(t: Column, limit: int = 1400, trim_lines: bool = True, strict_nothing: bool = False) -> Column:
     """``has_findings`` of a stripped response, null for none."""
+    return answers(t, limit, strict_nothing) & F.exists(lines(t), lambda x: (strip(x) != "") & ~is_junk(x, trim_lines))
+
+
+def answers(t: Column, limit: int = 1400, strict_nothing: bool = False) -> Column:
+    """Whether a stripped response is an answer, whatever its lines say."""
     nothing = F.upper(t).rlike(r"^NOTHING\b[.\s]*(\[\w+\])?$") if strict_nothing else F.upper(t) == "NOTHING"
-    some = F.exists(lines(t), lambda x: (strip(x) != "") & ~is_junk(x, trim_lines))
     # the length comes first: a text that is too long is read no further
-    return (F.length(t) <= limit) & (t != "") & ~nothing & ~matches(t, f"^({R.NO_ANSWER.lower()})") & some
+    return (F.length(t) <= limit) & (t != "") & ~nothing & ~matches(t, f"^({R.NO_ANSWER.lower()})")
 
 
 def line_confidence(line: Column | str) -> Column:
@@ -141,7 +145,8 @@ def response_score(response: Column | str) -> Column:
     def points(x: Column) -> Column:
         return F.when((strip(x) != "") & ~is_junk(x), once(line_confidence(x), by_tag)).otherwise(0.0)
 
-    total = lambda t: F.when(names_something(t), F.aggregate(lines(t), F.lit(0.0), lambda a, x: a + points(x))).otherwise(0.0)
+    # an answer without a line that counts sums to 0
+    total = lambda t: F.when(answers(t), F.aggregate(lines(t), F.lit(0.0), lambda a, x: a + points(x))).otherwise(0.0)
     return once(strip(response), total)
 
 

@@ -236,7 +236,8 @@ def emit_findings(df: DataFrame, group: str, error: str | None = None) -> DataFr
 
 def escalation_evidence(df: DataFrame, group: str, k: int = R.EVIDENCE) -> DataFrame:
     """The k best responses of groups with findings and a score in the uncertain zone; ``evidence_rank`` from 1, ties by position."""
-    rows = df.withColumn("score", response_score("response")).withColumn("found", has_findings("response"))
+    # every line that counts has points, so a response has findings if it has a score
+    rows = df.withColumn("score", response_score("response")).withColumn("found", F.col("score") > 0)
     g = Window.partitionBy(group)
     rows = rows.withColumn("group_score", F.round(F.sum("score").over(g), 6)).withColumn("n_found", F.count_if("found").over(g))
     rows = rows.where("found AND n_found > 0").where((F.col("group_score") >= R.ESCALATE_MIN) & (F.col("group_score") < R.ESCALATE_MAX))

@@ -443,3 +443,10 @@ def test_positions_of_a_sale_with_half_of_all_rows(spark):
         of.setdefault(g, []).append(i)
     want = sorted((i, of_g.index(i), len(of_g)) for of_g in map(sorted, of.values()) for i in of_g)
     assert rows(got, "image_id", "position", "total") == want == rows(photos.positions(df, "sale_id", "image_id"), "image_id", "position", "total")
+
+
+def test_escalation_reads_a_response_once(spark):
+    data = [("s", 0, "chair [low]"), ("s", 1, "TOYS: NONE"), ("s", 2, "lamp [low]\nTOYS: 0"), ("s", 3, "x" * 1401), ("t", 0, "NOTHING"), ("s", 4, None)]
+    out = photos.escalation_evidence(spark.createDataFrame(data, "sale_id string, position int, response string"), "sale_id")
+    assert out.select("evidence_rank", "position")._jdf.queryExecution().optimizedPlan().toString().count("trim(response") == 1
+    assert rows(out, "sale_id", "position", "evidence_rank") == [("s", 0, 1), ("s", 2, 2)]
