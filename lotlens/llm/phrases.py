@@ -1,8 +1,9 @@
 """Phrase collocations: phrases of two and three words that occur together more than their parts would make one expect, by language.
 
-Counting is by HAT-tries: each task keeps a trie over word ids whose leaves are hash containers; a container that grows too large bursts into a branch
-over its next word.  When a task's trie has too many entries its oldest subtrees are spilled whole, as runs sorted by their words, and the runs
-are merged by Spark: summed by the whole phrase, since the runs under one short prefix (a very frequent first word) may hold a third of all rows.
+Counting is by HAT-tries, in the hybrid form: each task keeps tries over word ids whose leaves are containers, arrays of keys in order and counts, which
+words in a row share; one that grows too large parts between two words or bursts into a branch over its next word.  When a task's tries have too many
+entries, the subtrees of the youngest words of the largest are spilled whole, as runs sorted by their words' numbers, and the runs are merged by Spark: dealt and
+summed by the whole phrase, since the runs under one short prefix (a very frequent first word) may hold a third of all rows.
 
 Two passes over the texts count words with pairs, and triples.  A phrase occurs no more often than any part of it, so a triple is counted only if both its
 pairs have reached ``least``; these, and the words that have, are marked in two bitmaps of a fixed size (``Sizes.bits``) that are sent to the
@@ -39,9 +40,10 @@ class Sizes:
 
     #: A bitmap of frequent words or pairs has 2**bits bits (4 MB).
     bits: int = 25
-    #: Entries of a container before it bursts, and of a task's trie before it spills.
+    #: Entries of a container before it bursts, of all tries of a task before one spills, and words that a task numbers at once.
     burst: int = 4096
-    entries: int = 300_000
+    entries: int = 1_000_000
+    words: int = 400_000
     #: Bytes of a text that are cut into words at once.
     window: int = 500_000
 
@@ -55,81 +57,129 @@ ENDS = re.compile(rb"[ \t.,;:!?\n-\r]")
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
+def folded(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys in order, each once, and the sums of their counts."""
+    keys, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else order
+    return keys[starts], np.add.reduceat(counts, starts) if len(keys) else counts
+
+
 class HatTrie:
     """Counts of sequences of ``width`` word ids, packed into one number.
 
-    A node is a container (dict: what is left of a key -> count) until it has more than ``burst`` entries, and then a ``Branch`` over its next word.
+    A ``Branch`` deals keys by their next word.  Words in a row share one ``Container`` until it has more than ``burst`` entries: then it parts between two
+    words, or, if it holds one word only, bursts into a branch over the word after that.  Containers are arrays, 16 bytes an entry.
     """
 
-    class Branch(dict):
-        """word id -> node."""
+    class Container:
+        """Keys in order with their counts, and beside them what came since they were put in order last."""
+
+        def __init__(self, keys: np.ndarray, counts: np.ndarray):
+            self.parts, self.settled, self.size = [(keys, counts)], len(keys), len(keys)
+
+        def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+            self.parts.append((keys, counts))
+            self.size += len(keys)
+            if self.size - self.settled > self.settled // 2:
+                self.fold()
+
+        def fold(self) -> tuple[np.ndarray, np.ndarray]:
+            if len(self.parts) > 1:
+                self.parts = [folded(self.parts)]
+                self.settled = self.size = len(self.parts[0][0])
+            return self.parts[0]
+
+    class Branch:
+        """Nodes, and the word with which the range of each begins; a branch has a range of one word and keys without it."""
+
+        def __init__(self, nodes: list[tuple[int, HatTrie.Container | HatTrie.Branch]]):
+            self.lows, self.kids = np.zeros(0, np.int64), []
+            self.put(0, 0, nodes)
+
+        def put(self, at: int, end: int, nodes: list[tuple]) -> None:
+            """These nodes instead of those from ``at`` to ``end``."""
+            self.lows = np.concatenate([self.lows[:at], np.array([low for low, _ in nodes], np.int64), self.lows[end:]])
+            self.kids[at:end] = [node for _, node in nodes]
 
     def __init__(self, width: int, burst: int):
-        self.width, self.burst, self.root, self.size = width, burst, {}, 0
+        self.width, self.burst, self.size = width, burst, 0
+        self.root = self.Branch([(0, self.empty())])
+
+    def empty(self) -> Container:
+        return self.Container(np.zeros(0, np.int64), np.zeros(0, np.int64))
 
     def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
         """Adds counts of distinct keys, in order."""
         if len(keys):
-            self.root = self._add(self.root, self.width, keys, counts)
-
-    def _add(self, node: dict, width: int, keys: np.ndarray, counts: np.ndarray) -> dict:
-        if isinstance(node, self.Branch):
-            shift = ID_BITS * (width - 1)
-            first, rest = keys >> shift, keys & ((1 << shift) - 1)
-            starts = np.flatnonzero(np.concatenate([[True], first[1:] != first[:-1]])).tolist()
-            rests, numbers = rest.tolist(), counts.tolist()
-            for kid, at, end in zip(first[starts].tolist(), starts, [*starts[1:], len(keys)], strict=True):
-                below = node.get(kid)
-                if below is None:
-                    below = node[kid] = {}
-                if isinstance(below, self.Branch):
-                    self._add(below, width - 1, rest[at:end], counts[at:end])
+            self._add(self.root, self.width, keys, counts)
+
+    def _add(self, branch: Branch, width: int, keys: np.ndarray, counts: np.ndarray) -> None:
+        shift = ID_BITS * (width - 1)
+        ends = [*np.searchsorted(keys, branch.lows[1:] << shift).tolist(), len(keys)]
+        at, full = 0, []
+        for i, end in enumerate(ends):
+            if at < end:
+                kid = branch.kids[i]
+                if isinstance(kid, self.Branch):
+                    self._add(kid, width - 1, keys[at:end] & ((1 << shift) - 1), counts[at:end])
                 else:
-                    self._count(below, rests[at:end], numbers[at:end])
-                    if len(below) > self.burst and width > 2:
-                        node[kid] = self._burst(below, width - 1)
-            return node
-        self._count(node, keys.tolist(), counts.tolist())
-        return self._burst(node, width) if len(node) > self.burst and width > 1 else node
-
-    def _burst(self, node: dict, width: int) -> dict:
-        branch, shift = self.Branch(), ID_BITS * (width - 1)
-        for key, n in node.items():
-            branch.setdefault(key >> shift, {})[key & ((1 << shift) - 1)] = n
-        return branch
-
-    def _count(self, table: dict, keys: list[int], counts: list[int]) -> None:
-        before = len(table)
-        for key, n in zip(keys, counts, strict=True):
-            if key in table:
-                table[key] += n
-            else:
-                table[key] = n
-        self.size += len(table) - before
-
-    def _pour(self, node: dict, width: int, base: int, keys: list[int], counts: list[int]) -> None:
-        """Adds all keys below a node, ``base`` in front of each, and their counts to two lists."""
+                    before = kid.size
+                    # copies: a slice would keep the whole array
+                    kid.add(keys[at:end].copy(), counts[at:end].copy())
+                    self.size += kid.size - before
+                    if kid.settled > self.burst:
+                        full.append(i)
+            at = end
+        for i in reversed(full):
+            before, until = branch.kids[i].size, int(branch.lows[i + 1]) if i + 1 < len(branch.kids) else None
+            self.size -= before - len((entries := branch.kids[i].fold())[0])
+            branch.put(i, i + 1, self._burst(*entries, width, int(branch.lows[i]), until))
+
+    def _burst(self, keys: np.ndarray, counts: np.ndarray, width: int, low: int, until: int | None) -> list[tuple]:
+        """Nodes for distinct keys of words from ``low`` to before ``until``."""
+        if len(keys) <= self.burst:
+            return [(low, self.Container(keys.copy(), counts.copy()))]
+        shift = ID_BITS * (width - 1)
+        word = int(keys[0] >> shift)
+        if word == keys[-1] >> shift:
+            below = self.Branch(self._burst(keys & ((1 << shift) - 1), counts, width - 1, 0, None))
+            before = [(low, self.empty())] if low < word else []
+            return [*before, (word, below), *([(word + 1, self.empty())] if until is None or word + 1 < until else [])]
+        half = int(keys[len(keys) // 2] >> shift)
+        half += half == word
+        at = int(np.searchsorted(keys, half << shift))
+        return [*self._burst(keys[:at], counts[:at], width, low, half), *self._burst(keys[at:], counts[at:], width, half, until)]
+
+    def _pour(self, node: Container | Branch, width: int, base: int, out: list[tuple]) -> None:
+        """Adds all entries below a node, in order and with ``base`` in front of each key."""
         if isinstance(node, self.Branch):
-            for first, kid in node.items():
-                self._pour(kid, width - 1, base | first << ID_BITS * (width - 1), keys, counts)
+            for low, kid in zip(node.lows.tolist(), node.kids, strict=True):
+                self._pour(kid, width - 1 if isinstance(kid, self.Branch) else width, base | low << ID_BITS * (width - 1) if isinstance(kid, self.Branch) else base, out)
         else:
-            keys.extend([base | key for key in node] if base else node)
-            counts.extend(node.values())
+            keys, counts = node.fold()
+            out.append((keys | base, counts))
 
     def spill(self, keep: int = 0) -> tuple[np.ndarray, np.ndarray]:
-        """Keys and counts of the oldest subtrees, which tend to be the largest, taken out whole until at most ``keep`` entries are left."""
-        keys: list[int] = []
-        counts: list[int] = []
-        if keep and isinstance(self.root, self.Branch):
-            for first in list(self.root):
-                if self.size - len(keys) <= keep:
-                    break
-                self._pour(self.root.pop(first), self.width - 1, first << ID_BITS * (self.width - 1), keys, counts)
-        else:
-            self._pour(self.root, self.width, 0, keys, counts)
-            self.root = {}
-        self.size -= len(keys)
-        return np.array(keys, np.int64), np.array(counts, np.int64)
+        """Keys, in order, and counts of the subtrees of the youngest words, which tend to be the rarest, taken out whole until at most ``keep`` entries are left."""
+        out: list[list[tuple]] = []
+        at = len(self.root.kids)
+        while at and self.size > keep:
+            at -= 1
+            here = self.Branch([(int(self.root.lows[at]), self.root.kids[at])])
+            before, part = self.held(here), []
+            self._pour(here, self.width, 0, part)
+            out.append(part)
+            self.size -= before
+        if out:
+            low = int(self.root.lows[at])
+            self.root.put(at, len(self.root.kids), [(low, self.empty())])
+        parts = [x for part in reversed(out) for x in part] or [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        return np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts])
+
+    def held(self, node: Container | Branch) -> int:
+        return sum(map(self.held, node.kids)) if isinstance(node, self.Branch) else node.size
 
 
 class WordCounts:
@@ -219,31 +269,36 @@ def windows(raw: bytes, size: int):
 def runs(docs: DataFrame, widths: tuple[int, ...], wanted: np.ndarray | None = None, pairs: np.ndarray | None = None, sizes: Sizes = Sizes()) -> DataFrame:  # noqa: B008
     """width, k, c: sorted runs of counts of phrases of these widths, k being the words and the language, parted by blanks; a phrase may be in several.
 
-    A run is sorted by the words' hashes.
+    A run is sorted by the words' numbers.  What a task holds is bounded over all its languages together.
     """
     low, longest = (1 << ID_BITS) - 1, max(widths)
     wanted_bits = None if wanted is None else wanted.tobytes()
 
     def batches_of(lang, words, width, keys, counts):
-        ids = [(keys >> (ID_BITS * (width - 1 - k))) & low for k in range(width)]
-        hashes = np.array(words.hashes)
-        place = np.lexsort([hashes[i] for i in ids[::-1]])
         texts, lang = pa.array(words.texts, pa.binary()), pa.scalar(lang.encode(), pa.binary())
-        for at in range(0, len(place), 50_000):
-            now = place[at : at + 50_000]
-            k = pc.binary_join_element_wise(*(texts.take(pa.array(i[now])) for i in ids), lang, b" ")
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(now), width, np.int8)), k.view(pa.string()), pa.array(counts[now])], ["width", "k", "c"])
+        for at in range(0, len(keys), 50_000):
+            now = keys[at : at + 50_000]
+            k = pc.binary_join_element_wise(*(texts.take(pa.array((now >> (ID_BITS * (width - 1 - i))) & low)) for i in range(width)), lang, b" ")
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(now), width, np.int8)), k.view(pa.string()), pa.array(counts[at : at + 50_000])], ["width", "k", "c"])
+
+    def fresh_of(lang):
+        return Words(lang.encode(), wanted_bits, sizes.mask), {w: WordCounts() if w == 1 else HatTrie(w, sizes.burst) for w in widths}
+
+    def emptied(known, lang):
+        words, tries = known.pop(lang)
+        for width, trie in tries.items():
+            yield from batches_of(lang, words, width, *trie.spill())
 
     def count(batches):
         known: dict[str, tuple[Words, dict]] = {}
         for batch in batches:
             for part in pieces(batch, "text"):
                 for lang in pc.unique(part.column(0)).to_pylist():
-                    words, tries = known.get(lang) or (Words(lang.encode(), wanted_bits, sizes.mask), {w: WordCounts() if w == 1 else HatTrie(w, sizes.burst) for w in widths})
                     rows = part.filter(pc.equal(part.column(0), lang)).column(1).to_pylist()
                     raw = b"\n".join(x or b"" for x in rows).translate(LOWER)
                     tail = np.zeros(0, np.int64)
                     for window in windows(raw, sizes.window):
+                        words, tries = known.get(lang) or known.setdefault(lang, fresh_of(lang))
                         tokens = TOKEN.findall(window)
                         fresh = np.fromiter(map(words.__getitem__, tokens), np.int64, len(tokens))
                         ids = np.concatenate([tail, fresh])
@@ -263,28 +318,31 @@ def runs(docs: DataFrame, widths: tuple[int, ...], wanted: np.ndarray | None = N
                                 keys = keys << ID_BITS | mine[k : k + m]
                             trie.add(*np.unique(keys[good], return_counts=True))
                         tail = ids[len(ids) - min(len(ids), longest - 1) :]
-                        if len(words) > low >> 3:
-                            # too many words to number: everything goes, and numbering begins anew
-                            for width, trie in tries.items():
-                                yield from batches_of(lang, words, width, *trie.spill())
-                            last = [words.texts[i] for i in tail]
-                            words = Words(lang.encode(), wanted_bits, sizes.mask)
-                            tail = np.array([words[w] if w else 0 for w in last], np.int64)
-                        else:
-                            for width, trie in tries.items():
-                                if trie.size > sizes.entries // max(1, len(known)):
-                                    yield from batches_of(lang, words, width, *trie.spill(trie.size // 2))
-                    known[lang] = words, tries
-        for lang, (words, tries) in known.items():
-            for width, trie in tries.items():
-                yield from batches_of(lang, words, width, *trie.spill())
+                        while sum(len(w) for w, _ in known.values()) > sizes.words:
+                            # too many words to number: those of the language with most of them go with all that they number
+                            most = max(known, key=lambda k: len(known[k][0]))
+                            yield from emptied(known, most)
+                            if most == lang:
+                                last = [words.texts[i] for i in tail]
+                                words, _ = known[lang] = fresh_of(lang)
+                                tail = np.array([words[w] if w else 0 for w in last], np.int64)
+                                break
+                        while sum(t.size for _, tries in known.values() for t in tries.values()) > sizes.entries:
+                            most, width = max(((k, w) for k in known for w in widths), key=lambda x: known[x[0]][1][x[1]].size)
+                            trie = known[most][1][width]
+                            yield from batches_of(most, known[most][0], width, *trie.spill(trie.size // 2))
+        for lang in list(known):
+            yield from emptied(known, lang)
 
     return docs.mapInArrow(count, "width byte, k string, c long")
 
 
 def merged(parts: DataFrame, least: int) -> DataFrame:
-    """width, k, f: the runs merged, for every word and for every phrase that occurs ``least`` times; settled."""
-    sums = parts.groupBy("width", "k").agg(F.sum("c").alias("f"))
+    """width, k, f: the runs merged, for every word and for every phrase that occurs ``least`` times; settled.
+
+    A task's runs hold a phrase once or a few times, so they are dealt as they are: summed before, they would fill a map with all that the task has counted.
+    """
+    sums = parts.repartition("width", "k").groupBy("width", "k").agg(F.sum("c").alias("f"))
     return settle(sums.where((F.col("width") == 1) | (F.col("f") >= least)))
 
 

@@ -91,6 +91,66 @@ def test_trie_bursts_and_spills():
     assert got == want and trie.size == 0
 
 
+def test_trie_takes_few_bytes_an_entry():
+    import tracemalloc
+
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    tracemalloc.start()
+    try:
+        trie = phrases.HatTrie(2, phrases.Sizes().burst)
+        for _ in range(4):
+            trie.add(*np.unique(rng.zipf(1.3, 50_000) % 30_000 << phrases.ID_BITS | rng.integers(1, 30_000, 50_000), return_counts=True))
+        assert tracemalloc.get_traced_memory()[0] < 40 * trie.size
+    finally:
+        tracemalloc.stop()
+
+
+def test_runs_are_dealt_before_they_are_summed(spark, monkeypatch, capsys):
+    monkeypatch.setattr(phrases, "settle", lambda df: df)
+    docs = table(spark, texts(20)).select("lang", phrases.F.col("text").cast("binary").alias("text"))
+    phrases.merged(phrases.runs(docs, (1, 2)), 10).explain()
+    plan = capsys.readouterr().out
+    assert "HashAggregate" not in plan[plan.rindex("Exchange hashpartitioning(width") :] and plan.count("Exchange hashpartitioning(width") == 1
+
+
+def test_a_task_is_bounded_over_all_its_languages(spark, monkeypatch):
+    import weakref
+
+    import pyarrow as pa
+
+    alive, most = weakref.WeakSet(), []
+
+    class Counted(phrases.Words):
+        __hash__ = object.__hash__
+
+        def __init__(self, *args):
+            super().__init__(*args)
+            alive.add(self)
+
+    class Docs:
+        def mapInArrow(self, count, schema):
+            self.count = count
+            return self
+
+    monkeypatch.setattr(phrases, "Words", Counted)
+    rng = random.Random(6)
+    rows = [(f"l{i % 40}", " ".join(f"w{rng.randint(0, 400)}" for _ in range(30)).encode()) for i in range(2000)]
+    batches = [pa.RecordBatch.from_pydict({"lang": [g for g, _ in rows[i : i + 100]], "text": [t for _, t in rows[i : i + 100]]}) for i in range(0, 2000, 100)]
+    got, want = collections.Counter(), collections.Counter()
+    for batch in phrases.runs(Docs(), (1, 2), sizes=phrases.Sizes(burst=8, entries=500, words=1000)).count(iter(batches)):
+        most.append(sum(len(w) for w in alive))
+        for width, k, c in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            got[width, k] += c
+    for lang, text in rows:
+        ws = text.decode().split()
+        want.update((1, f"{w} {lang}") for w in ws)
+        want.update((2, f"{a} {b} {lang}") for a, b in zip(ws, ws[1:]))
+    assert got == want
+    assert max(most) < 2000
+
+
 def test_scores_past_64_bits(spark):
     a = 3_000_000_000_000
     row = spark.createDataFrame([(a, a + 7, a + 9)], "a long, l long, r long").select(phrases.score("a", "l", "r").alias("s")).first()
