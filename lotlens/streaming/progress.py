@@ -68,8 +68,11 @@ def flush_completed(events: DataFrame) -> DataFrame:
 
 
 def read_stream(spark: SparkSession, path: str, schema: str = EVENT, files: int | None = None) -> DataFrame:
-    """New event files as a stream, at most ``files`` of them in a micro-batch; a file is seen whole or not at all."""
-    reader = spark.readStream.schema(schema)
+    """New event files as a stream, at most ``files`` of them in a micro-batch; a file is seen whole or not at all.
+
+    No file is passed over for its age (Spark's default: seven days before the newest file seen), so clocks may differ or be set back.
+    """
+    reader = spark.readStream.schema(schema).option("maxFileAge", "36500d")
     return (reader.option("maxFilesPerTrigger", files) if files else reader).json(path)
 
 

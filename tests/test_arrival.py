@@ -24,6 +24,24 @@ def test_the_flush_does_not_depend_on_the_times_of_files(spark, sf_dir, monkeypa
     assert_same(registry.QUERIES["flush_stream"](spark, sf_dir), connect(sf_dir), registry.ORACLE["flush_stream"])
 
 
+def test_the_flush_reads_files_that_look_old(spark, sf_dir, monkeypatch):
+    """The clock is set back by a month between the parts."""
+    read, seen = M.G.read_stream, []
+
+    def turned(spark, path, *args, **kwargs):
+        folder = path.removeprefix("file://")
+        names = {n for n in os.listdir(folder) if n.startswith("part-")}
+        for n in names.difference(*seen):
+            at = os.path.getmtime(f"{folder}/{n}") - 30 * 86400 * len(seen)
+            os.utime(f"{folder}/{n}", (at, at))
+        seen.append(names)
+        return read(spark, path, *args, **kwargs)
+
+    monkeypatch.setattr(M.G, "read_stream", turned)
+    assert_same(registry.QUERIES["flush_stream"](spark, sf_dir), connect(sf_dir), registry.ORACLE["flush_stream"])
+    assert len(seen) == 4
+
+
 def test_each_batch_arrives_whole_and_in_order(spark, tmp_path):
     rows, seen = spark.range(1000).repartition(7), []
 
