@@ -2,9 +2,11 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from lotlens.operators import search
-from lotlens.plans import registry
+from lotlens.operators import keys, search
+from lotlens.plans import queries_sales, registry
+from lotlens.plans.bindings import Tables
 
 
 def plan(df):
@@ -30,3 +32,28 @@ def test_fused_for_all_queries_as_fused_one_by_one(spark, monkeypatch, most, cel
 def test_fused_rows_are_not_grouped_once_they_are_those_of_all_queries(spark, sf_dir, name):
     above = plan(registry.QUERIES[name](spark, sf_dir)).split("MapInArrow")[0]
     assert "Aggregate" not in above and "Join" not in above
+
+
+@pytest.mark.parametrize("bits", [6, 7, 25])
+def test_rows_of_wanted_keys(spark, bits):
+    rows = spark.createDataFrame([(k % 50 if k else None, k) for k in range(400)], "a int, b int")
+    wanted = spark.createDataFrame([(str(k),) for k in (3, 7, 7, 49, 1000)] + [(None,)], "id string")
+    got = keys.kept_by(rows, F.col("a").cast("string"), wanted, bits=bits)
+    assert got.columns == ["a", "b"]
+    assert sorted(r.b for r in got.collect()) == [k for k in range(1, 400) if k % 50 in (3, 7, 49)]
+
+
+def test_line_items_of_other_sales_go_before_any_shuffle(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    for df in (queries_sales.candidates(t), queries_sales.lexical_hits(t)):
+        lines = plan(df).splitlines()
+        depth = lambda s: len(s) - len(s.lstrip(" :+-"))
+        scans = [i for i, line in enumerate(lines) if "Relation" in line and "l_orderkey" in line]
+        assert len(scans) == 2
+        for i in scans:
+            joins, at = [], depth(lines[i])
+            for line in reversed(lines[:i]):
+                if depth(line) < at:
+                    at = depth(line)
+                    joins += [line] if "Join" in line else []
+            assert "_word" in joins[0] and "_key" in joins[1]  # the first that it meets has the bits
