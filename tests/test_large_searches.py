@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lotlens.operators import keys, search
+from lotlens.operators import keys, search, vectors
 from lotlens.plans import queries_sales, registry
 from lotlens.plans.bindings import Tables
 
@@ -57,3 +57,18 @@ def test_line_items_of_other_sales_go_before_any_shuffle(spark, sf_dir):
                     at = depth(line)
                     joins += [line] if "Join" in line else []
             assert "_word" in joins[0] and "_key" in joins[1]  # the first that it meets has the bits
+
+
+def test_cosines_from_a_matrix_product_round_as_the_fold_does():
+    rng = np.random.default_rng(7)
+    x, q = rng.standard_normal((400, 64)).astype("float32").astype(float), rng.standard_normal((90, 64)).astype("float32").astype(float)
+    q[:40] = x[:40]
+    # in two places: cosines that lie at halves of a unit, where the order of summing decides
+    for size, scale in ((64, 1.0), (2, 1e-9)):
+        a, b = x[:, :size] * 1.0, q[:, :size] * 1.0
+        if size == 2:
+            a, b = np.c_[np.ones(400), (np.arange(400) + 0.5) * scale], np.c_[np.zeros(90), np.ones(90)]
+        na, nb = vectors.norms(a), vectors.norms(b)
+        unit = np.ascontiguousarray((b / nb[:, None]).T) * vectors.UNIT
+        want = np.rint(vectors.cosines_of(a, na, b, nb) * vectors.UNIT)
+        assert np.array_equal(vectors.rounded(a, na, b, nb, unit), want)
