@@ -72,3 +72,20 @@ def test_cosines_from_a_matrix_product_round_as_the_fold_does():
         unit = np.ascontiguousarray((b / nb[:, None]).T) * vectors.UNIT
         want = np.rint(vectors.cosines_of(a, na, b, nb) * vectors.UNIT)
         assert np.array_equal(vectors.rounded(a, na, b, nb, unit), want)
+
+
+def test_rows_of_a_text_are_ordered_in_many_parts(spark, sf_dir):
+    queries = spark.createDataFrame([(k, "ab"[k % 2] if k else None) for k in range(9)], "query_id int, query string")
+    hits = spark.createDataFrame([(q, s) for q in (0, 1, 2) for s in ("y", "x", "z")], "query_id int, sale_id string")
+    order = lambda df: [[r.sale_id for r in df.collect() if r.query_id == k] for k in range(9)]
+    for most in (2, 100):
+        assert order(search.ordered_for_all(hits, queries, "query_id", F.desc("sale_id"), most=most)) == [["z", "y", "x"]] * 9
+        assert sorted(map(tuple, search.asked(hits, queries, most=most).collect())) == [(k, s) for k in range(9) for s in "xyz"]
+    assert search.ordered_for_all(hits, queries.limit(0), "query_id").count() == 0
+    found = registry.QUERIES["lexical_search"](spark, sf_dir)
+    assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    miles = {r.sale_id: r.distance_miles for r in Tables(spark, sf_dir).sales.select("sale_id", "distance_miles").collect()}
+    rows = {}
+    for r in found.collect():
+        rows.setdefault(r.query_id, []).append((-r.score, miles[r.sale_id], r.sale_id))
+    assert len(rows) > 3 and all(of == sorted(of) for of in rows.values())
